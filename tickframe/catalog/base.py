@@ -104,7 +104,10 @@ _NEEDS = {"bars": ["ticks"], "und": ["bars"], "idx": ["bars"], "news": ["ticks"]
 
 
 def sql(body: str, *views: str, **extra: str) -> str:
-    """``body`` with the named views (and further ones given by keyword) as WITH clauses."""
+    """``body`` with the named views (and further ones given by keyword) as WITH clauses.
+
+    A keyword starting with ``chain`` is a recursive view.
+    """
     order: list[str] = []
 
     def need(v: str) -> None:
@@ -116,7 +119,8 @@ def sql(body: str, *views: str, **extra: str) -> str:
     for v in views:
         need(v)
     parts = [f"{v} AS ({CTES[v]})" for v in order] + [f"{k} AS ({v})" for k, v in extra.items()]
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    word = "WITH RECURSIVE" if any(k.startswith("chain") for k in extra) else "WITH"
+    return f"{word} {', '.join(parts)} {body}" if parts else body
 
 
 def ewm_sql(src: str, x: str, name: str, alpha: float, need: int, by: str) -> str:

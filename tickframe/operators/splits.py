@@ -98,13 +98,13 @@ def timeseries_folds(df: DataFrame, k: int = 5, ts: str = "timestamp", tie: Sequ
     position in time order.
     """
     placed = df if position else global_position(df, ts, tie, "_pos")
-    pos = F.col(position or "_pos")
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    size = F.floor(n / (k + 1))
-    start = lambda i: n - (F.lit(k) - i) * size
-    folds = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: pos < start(i) + size)
-    out = placed.withColumn("fold", F.explode(folds))
-    out = out.withColumn("role", F.when(pos < start(F.col("fold")), "train").otherwise("test"))
+    pos, rows = F.col(position or "_pos"), F.col("_all")
+    placed = placed.withColumn("_all", df.agg(F.count(F.lit(1))).scalar())
+    size = F.floor(rows / (k + 1))
+    start = lambda i: rows - (F.lit(k) - i) * size
+    member = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: pos < start(i) + size)
+    out = placed.withColumn("fold", F.explode(member))
+    out = out.withColumn("role", F.when(pos < start(F.col("fold")), "train").otherwise("test")).drop("_all")
     return out if position else out.drop("_pos")
 
 
