@@ -1,3 +1,263 @@
-from .base import Catalog
+"""Jobs composed from the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.trades import build_trades
+from ..plans import features, reports
+from ..plans.consolidate import consolidate
+from ..session import scratch_path
+from ..sources import views
+from . import pricing_sql as ps
+from .aggregates import (GRID_SQL, RESULT_COLUMNS, RESULTS_SQL, SPLIT_SQL, SWEEP_COLUMNS, SWEEP_SQL, _MODEL_TRADES)
+from .base import Catalog, bollinger_sql, ewm_sql, macd_sql, rsi_sql, sql
+from .joins import OPTION_SIDE_SQL, RANGED_SQL, RUNGS_SQL, TARGETED_SQL, underlying_bars
+from .models import MODEL_FEATURES, SMALL, modelling_rows
+from .predicates import DAILY_OPENS_SQL, ET_SQL, daily_opens
+from .windows import _BACK_CHAIN, _FORWARD_CHAIN, _LAGS, _LISTS, _RETS
 
 CATALOG = Catalog()
+add = CATALOG.add
+
+_DAY = "trade_date"
+_W = "(PARTITION BY trade_date ORDER BY ts_ms)"
+_OW = "(PARTITION BY ticker, trade_date ORDER BY ts_ms)"
+
+# Underlying bars with index level, indicators, momentum and news.
+_SPY = "SELECT trade_date, ts_ms, open AS spy_open, high AS spy_high, low AS spy_low, close AS spy_close, volume AS spy_volume, transactions AS spy_transactions, vwap AS spy_vwap FROM und"
+_ALIGNED = """SELECT s.*, i.open AS vix_open, i.high AS vix_high, i.low AS vix_low, i.close AS vix_close FROM spy s
+    ASOF LEFT JOIN idx i ON s.trade_date = i.trade_date AND s.ts_ms >= i.ts_ms"""
+_INDICATED = bollinger_sql("(" + macd_sql("(" + rsi_sql("aligned", "spy_close", "spy_rsi_14", _DAY) + ")", "spy_close", "spy_macd",
+                                          "spy_macd_signal", "spy_macd_histogram", _DAY) + ")", "spy_close", "spy_bb", _DAY)
+_GATED_COLS = ("spy_rsi_14", "spy_macd", "spy_macd_signal", "spy_macd_histogram", "spy_bb_upper", "spy_bb_middle", "spy_bb_lower", "spy_bb_width")
+_ENRICHED = f"""SELECT e.*, n.article_id AS news_article_id, n.sentiment AS news_sentiment, n.sentiment_reasoning AS news_sentiment_reasoning
+    FROM (SELECT * REPLACE ({", ".join(f"CASE WHEN cnt >= 36 THEN {c} END AS {c}" for c in _GATED_COLS)}), """ + ", ".join(
+        f"spy_close - lag(spy_close, {n}) OVER {_W} AS spy_price_change_{n}, (spy_close - lag(spy_close, {n}) OVER {_W}) / "
+        f"nullif(lag(spy_close, {n}) OVER {_W}, 0) AS spy_roc_{n}" for n in (5, 30, 60)) + """
+        FROM (SELECT *, count(*) OVER (PARTITION BY trade_date) AS cnt FROM indicated)) e
+    ASOF LEFT JOIN news n ON e.trade_date = n.trade_date AND e.ts_ms >= n.ts_ms"""
+_FLAT = """SELECT * FROM enriched JOIN opt USING (trade_date, ts_ms)
+    UNION ALL BY NAME SELECT * FROM enriched WHERE trade_date NOT IN (SELECT trade_date FROM opt)"""
+_PRICED = """SELECT ticker || ts_ms AS id, option_avg_price AS p, spy_close AS s, strike_price AS k, time_to_expiry_days / 365 AS t,
+    CASE WHEN contract_type = 'call' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS w FROM flat WHERE time_to_expiry_days >= 0.01 AND ticker IS NOT NULL"""
+_GREEKED = f"SELECT id, iv, delta, gamma, theta, vega, rho FROM ({ps.greeks('(SELECT * FROM priced JOIN (' + ps.IV_RESULT + ') USING (id))', 'iv')})"
+
+
+@add("C1_consolidate",
+     "trade_date:s ts_ms:l spy_open:d spy_high:d spy_low:d spy_close:d spy_volume:l spy_transactions:l spy_vwap:d vix_open:d "
+     "vix_high:d vix_low:d vix_close:d spy_rsi_14:d spy_macd:d spy_macd_signal:d spy_macd_histogram:d spy_bb_upper:d "
+     "spy_bb_middle:d spy_bb_lower:d spy_bb_width:d spy_price_change_5:d spy_price_change_30:d spy_price_change_60:d spy_roc_5:d "
+     "spy_roc_30:d spy_roc_60:d news_sentiment:s news_sentiment_reasoning:s news_article_id:l ticker:s contract_type:s "
+     "strike_price:d time_to_expiry_days:d12 option_avg_price:d delta:d gamma:d theta:d vega:d rho:d implied_volatility:d source:s",
+     sql("SELECT f.*, g.* EXCLUDE (id), g.iv AS implied_volatility, 'consolidated' AS source FROM flat f LEFT JOIN greeked g ON f.ticker || f.ts_ms = g.id",
+         "und", "idx", "news", "terms", opt=OPTION_SIDE_SQL, spy=_SPY, aligned=_ALIGNED, indicated=_INDICATED, enriched=_ENRICHED,
+         flat=_FLAT, priced=_PRICED, chain_iv=ps.iv_chain("priced"), greeked=_GREEKED))
+def consolidated(spark, sf):
+    return consolidate(views.underlying_ticks(spark, sf), views.index_ticks(spark, sf), views.option_ticks(spark, sf),
+                       views.event_contracts(spark, sf), views.news(spark, sf), views.BAR_MS, "event_id")
+
+
+_MSO = f"hour({ET_SQL}) * 60 + minute({ET_SQL}) - 570"
+_KEY = "ticker:s trade_date:s ts_ms:l"
+
+
+def _lag_pct(x: str, n: int, w: str = _OW) -> str:
+    return f"CASE WHEN mso >= {n} THEN ({x} - lag({x}, {n}) OVER {w}) / nullif(CAST(lag({x}, {n}) OVER {w} AS DOUBLE), 0) * 100 ELSE 0.0 END"
+
+
+def _from_first(x: str) -> str:
+    return f"CASE WHEN first_value({x}) OVER {_OW} > 0 THEN ({x} - first_value({x}) OVER {_OW}) / first_value({x}) OVER {_OW} * 100 END"
+
+
+@add("C2_engineer_equity", f"{_KEY} minutes_since_open:l " + " ".join(f"price_change_{n}m:d volume_change_{n}m:d" for n in _LAGS), sql(
+    "SELECT *, mso AS minutes_since_open, " + ", ".join(
+        f"{_lag_pct('close', n)} AS price_change_{n}m, {_lag_pct('volume', n)} AS volume_change_{n}m" for n in _LAGS) + " FROM c",
+    "bars", c=f"SELECT *, {_MSO} AS mso FROM bars"))
+def engineer_equity(spark, sf):
+    return features.engineer_equity(views.bars(spark, sf))
+
+
+# Option bars with the underlying's close as-of, and a quote per bar for the volatility.
+_OPT = f"""SELECT *, {_MSO} AS mso FROM (SELECT o.*, u.close AS spy_close FROM optbars o ASOF LEFT JOIN und u
+    ON o.trade_date = u.trade_date AND o.ts_ms >= u.ts_ms)"""
+_QUOTE = """SELECT ticker || ts_ms AS id, close AS p, spy_close AS s, 25.0::DOUBLE AS k, 3.0::DOUBLE / 365 AS t,
+    CASE WHEN ticker = 'purchase' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS w FROM o WHERE spy_close > 0 AND close > 0"""
+_WITH_IV = f"""SELECT o.*, coalesce(v.iv, 0.20) AS implied_volatility FROM o LEFT JOIN ({ps.IV_RESULT}) v ON o.ticker || o.ts_ms = v.id"""
+
+
+@add("C3_engineer_options",
+     f"{_KEY} minutes_since_open:l spy_close:d implied_volatility:d price_change_open:d iv_change_open:d4 "
+     + " ".join(f"price_change_{n}m:d iv_change_{n}m:d4" for n in _LAGS), sql(
+         f"SELECT *, mso AS minutes_since_open, {_from_first('close')} AS price_change_open, {_from_first('implied_volatility')} AS iv_change_open, "
+         + ", ".join(f"{_lag_pct('close', n)} AS price_change_{n}m, {_lag_pct('implied_volatility', n)} AS iv_change_{n}m" for n in _LAGS)
+         + " FROM i", "optbars", "und", o=_OPT, q=_QUOTE, chain_iv=ps.iv_chain("q"), i=_WITH_IV))
+def engineer_options(spark, sf):
+    return features.engineer_options(views.option_bars(spark, sf), underlying_bars(spark, sf))
+
+
+def _log_ret(x: str, n: int, w: str) -> str:
+    return f"CASE WHEN mso >= {n} THEN CASE WHEN {x} > 0 AND lag({x}, {n}) OVER {w} > 0 THEN ln({x} / lag({x}, {n}) OVER {w}) * 100 END ELSE 0.0 END"
+
+
+def _rows(n: int, by: str = "trade_date") -> str:
+    return f"(PARTITION BY {by} ORDER BY ts_ms ROWS {n - 1} PRECEDING)"
+
+
+_TECH = ("spy_rsi_14", "spy_ema_9", "spy_ema_21", "spy_ema_diff", "spy_macd", "spy_macd_signal", "spy_macd_hist", "spy_bb_upper", "spy_bb_lower", "spy_bb_pct_b")
+_FILLED = (*_TECH, "spy_vol_std_5m", "spy_vol_std_30m", "spy_hl_range_5m", "spy_hl_range_30m")
+_U1 = f"""SELECT *, hour({ET_SQL}) AS hour_et, minute({ET_SQL}) AS minute_et, {_MSO} AS mso, row_number() OVER {_W} AS spy_bar_count,
+    avg(spy_volume) OVER {_rows(5)} AS spy_vol_ma5, avg(spy_volume) OVER {_rows(30)} AS spy_vol_ma30,
+    CASE WHEN count(spy_volume) OVER {_rows(30)} >= 5 THEN (spy_volume - avg(spy_volume) OVER {_rows(30)})
+        / nullif(stddev_samp(spy_volume) OVER {_rows(30)}, 0) END AS spy_vol_zscore,
+    CASE WHEN spy_close > 0 AND lag(spy_close) OVER {_W} > 0 THEN ln(spy_close / lag(spy_close) OVER {_W}) * 100 END AS ret,
+    (max(spy_high) OVER {_rows(5)} - min(spy_low) OVER {_rows(5)}) / nullif(spy_close, 0) * 100 AS spy_hl_range_5m,
+    (max(spy_high) OVER {_rows(30)} - min(spy_low) OVER {_rows(30)}) / nullif(spy_close, 0) * 100 AS spy_hl_range_30m,
+    (spy_close - spy_vwap) / nullif(spy_vwap, 0) * 100 AS spy_vwap_dist_pct FROM spy"""
+_U2 = "SELECT *, " + ", ".join(f"{_log_ret('spy_close', n, _W)} AS spy_return_{n}m" for n in _RETS) + f""",
+    CASE WHEN count(ret) OVER {_rows(5)} >= 2 THEN stddev_samp(ret) OVER {_rows(5)} END AS spy_vol_std_5m,
+    CASE WHEN count(ret) OVER {_rows(30)} >= 2 THEN stddev_samp(ret) OVER {_rows(30)} END AS spy_vol_std_30m FROM u1"""
+_U3 = ewm_sql("(" + ewm_sql("(" + rsi_sql("u2", "spy_close", "spy_rsi_14", _DAY) + ")", "spy_close", "spy_ema_9", 2 / 10, 9, _DAY) + ")",
+              "spy_close", "spy_ema_21", 2 / 22, 21, _DAY)
+_U4 = bollinger_sql("(" + macd_sql("u3", "spy_close", "spy_macd", "spy_macd_signal", "spy_macd_hist", _DAY) + ")", "spy_close", "spy_bb", _DAY)
+_U5 = f"""SELECT * REPLACE ({", ".join(f"CASE WHEN cnt >= 26 THEN {c} END AS {c}" for c in _TECH)})
+    FROM (SELECT *, spy_ema_9 - spy_ema_21 AS spy_ema_diff, count(*) OVER (PARTITION BY trade_date) AS cnt FROM u4)"""
+_U6 = f"""SELECT * REPLACE ({", ".join(
+    f"coalesce(last_value({c} IGNORE NULLS) OVER p, first_value({c} IGNORE NULLS) OVER f) AS {c}" for c in _FILLED)}) FROM u5
+    WINDOW p AS (PARTITION BY trade_date ORDER BY ts_ms ROWS UNBOUNDED PRECEDING),
+        f AS (PARTITION BY trade_date ORDER BY ts_ms ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+_O1 = """SELECT o.*, u.* EXCLUDE (trade_date, ts_ms) FROM optbars o ASOF LEFT JOIN u6 u ON o.trade_date = u.trade_date AND o.ts_ms >= u.ts_ms"""
+_O2 = rsi_sql("o", "close", "opt_rsi_14", "ticker, trade_date")
+_O3 = f"""SELECT i.* REPLACE (coalesce(last_value(r IGNORE NULLS) OVER p, first_value(r IGNORE NULLS) OVER f) AS opt_rsi_14) FROM (
+    SELECT x.*, coalesce(v.iv, 0.20) AS implied_volatility, CASE WHEN count(*) OVER (PARTITION BY x.ticker, x.trade_date) >= 14 THEN opt_rsi_14 END AS r
+    FROM ({_O2}) x LEFT JOIN ({ps.IV_RESULT}) v ON x.ticker || x.ts_ms = v.id) i
+    WINDOW p AS (PARTITION BY ticker, trade_date ORDER BY ts_ms ROWS UNBOUNDED PRECEDING),
+        f AS (PARTITION BY ticker, trade_date ORDER BY ts_ms ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+_IVP = lambda n: (f"(implied_volatility - lag(implied_volatility, {n}) OVER {_OW}) / nullif(lag(implied_volatility, {n}) OVER {_OW}, 0) * 100")
+_O4 = f"""SELECT *, hour_et * 60 + minute_et AS minute_of_day, mso AS minutes_since_open, CAST(mso < 120 AS BIGINT) AS is_morning,
+    CASE WHEN mso IS NOT NULL THEN greatest(0.0, least(1.0, mso / 390.0::DOUBLE)) END AS pct_day_elapsed, CAST(mso >= 330 AS BIGINT) AS is_last_hour,
+    spy_volume / nullif(spy_vol_ma5, 0) AS spy_vol_ratio_5m, spy_volume / nullif(spy_vol_ma30, 0) AS spy_vol_ratio_30m,
+    {", ".join(f"{_log_ret('close', n, _OW)} AS opt_return_{n}m" for n in _RETS)}, {_from_first("close")} AS opt_price_change_open,
+    avg(volume) OVER {_rows(5, "ticker, trade_date")} AS opt_vol_ma5, volume / nullif(avg(volume) OVER {_rows(5, "ticker, trade_date")}, 0) AS opt_vol_ratio_5m,
+    (max(high) OVER {_rows(5, "ticker, trade_date")} - min(low) OVER {_rows(5, "ticker, trade_date")}) / nullif(close, 0) * 100 AS opt_hl_range_5m,
+    25.0 AS strike, CASE WHEN ticker = 'purchase' THEN 1 ELSE 0 END AS contract_type, 3.0 AS time_to_expiry_days, 0 AS is_0dte,
+    spy_close / 25 AS moneyness, CASE WHEN spy_close > 0 THEN ln(spy_close / 25) END AS log_moneyness,
+    {_IVP(1)} AS iv_change_1m, {_IVP(5)} AS iv_change_5m, {_from_first("implied_volatility")} AS iv_change_open,
+    (close - vwap) / nullif(vwap, 0) * 100 AS opt_vwap_dist_pct, spy_volume / nullif(spy_vol_ma30, 0) AS spy_vol_regime,
+    sum(volume) OVER (PARTITION BY ticker, trade_date ORDER BY ts_ms ROWS UNBOUNDED PRECEDING)
+        / CAST(sum(volume) OVER (PARTITION BY ticker, trade_date) AS DOUBLE) AS opt_vol_pct_cumday,
+    transactions / nullif(CAST(spy_transactions AS DOUBLE), 0) AS transactions_ratio, row_number() OVER {_OW} AS opt_bar_count,
+    max({{'p': close, 't': -ts_ms}}) OVER w AS best, min(close) OVER w AS worst, trade_date AS date, close AS opt_close FROM o3
+    WINDOW w AS (PARTITION BY ticker, trade_date ORDER BY ts_ms RANGE BETWEEN 1 FOLLOWING AND 7200000 FOLLOWING)"""
+_ML = """SELECT *, opt_return_1m - spy_return_1m AS opt_vs_spy_return_1m, CASE WHEN (best.p - close) / close * 100 >= 20 THEN 1 ELSE 0 END AS target,
+    (best.p - close) / close * 100 AS max_gain_120m, (worst - close) / close * 100 AS min_loss_120m, (-best.t - ts_ms) / 60000.0::DOUBLE AS time_to_max_min FROM o4"""
+ML_COLUMNS = (
+    f"{_KEY} date:s opt_close:d spy_open:d spy_high:d spy_low:d spy_close:d spy_volume:l spy_vwap:d spy_transactions:l spy_bar_count:l "
+    "hour_et:l minute_et:l minute_of_day:l minutes_since_open:l is_morning:l pct_day_elapsed:d is_last_hour:l "
+    + " ".join(f"spy_return_{n}m:d opt_return_{n}m:d" for n in _RETS) + " spy_vol_ma5:d spy_vol_ma30:d spy_vol_ratio_5m:d spy_vol_ratio_30m:d "
+    "spy_vol_zscore:d spy_vwap_dist_pct:d " + " ".join(f"{c}:d" for c in _FILLED) + " opt_price_change_open:d opt_vol_ma5:d "
+    "opt_vol_ratio_5m:d opt_rsi_14:d opt_hl_range_5m:d strike:d contract_type:l time_to_expiry_days:d is_0dte:l moneyness:d log_moneyness:d "
+    "implied_volatility:d iv_change_1m:d4 iv_change_5m:d4 iv_change_open:d4 opt_vs_spy_return_1m:d opt_vwap_dist_pct:d spy_vol_regime:d "
+    "opt_vol_pct_cumday:d transactions_ratio:d opt_bar_count:l target:l max_gain_120m:d min_loss_120m:d time_to_max_min:d")
+
+
+@add("C4_engineer_ml_features", ML_COLUMNS, sql(
+    _ML, "optbars", "und", spy=_SPY, u1=_U1, u2=_U2, u3=_U3, u4=_U4, u5=_U5, u6=_U6, o=_O1, q=_QUOTE, chain_iv=ps.iv_chain("q"), o3=_O3, o4=_O4))
+def engineer_ml_features(spark, sf):
+    return features.engineer_ml_features(views.option_bars(spark, sf), underlying_bars(spark, sf))
+
+
+@add("C5_prepare_training", f"{_KEY} k:l price:d", sql("""
+    SELECT c.*, k, f.close AS price FROM (SELECT b.* FROM bars b JOIN bars f ON f.ticker = b.ticker AND f.trade_date = b.trade_date
+        AND f.ts_ms > b.ts_ms AND f.ts_ms <= b.ts_ms + 7200000 GROUP BY ALL HAVING count(*) >= 4) c
+    CROSS JOIN (SELECT unnest(range(1, 9)) AS k) LEFT JOIN bars f ON f.ticker = c.ticker AND f.trade_date = c.trade_date
+        AND f.ts_ms = c.ts_ms + k * 900000""", "bars"))
+def prepare_training(spark, sf):
+    v = features.prepare_training(views.bars(spark, sf), 8, views.BAR_MS)
+    return v.select("ticker", "trade_date", "ts_ms", F.posexplode("target_future_prices").alias("i", "price")).withColumn("k", F.col("i") + 1)
+
+
+@add("C6_backfill", "trade_date:s ticker:s timestamp:l close:d volume:l source:s", sql("""
+    SELECT trade_date, ticker, bar AS timestamp, close, volume, 'equity' AS source FROM (
+    SELECT *, ts_ms - ts_ms % 900000 AS bar, row_number() OVER (PARTITION BY ticker, ts_ms - ts_ms % 900000 ORDER BY volume DESC, price DESC) AS rn
+    FROM ticks WHERE event_id % 13 <> 0) WHERE rn = 1""", "ticks"))
+def backfill(spark, sf):
+    """Two runs over the same input: the second finds every day in the ledger and writes nothing."""
+    t = views.ticks(spark, sf)
+    price = F.when(F.pmod("event_id", F.lit(13)) != 0, F.col("price"))
+    raw = t.select(*[price.alias(c) for c in ("o", "h", "l", "c", "vw")], F.col("volume").alias("v"),
+                   (F.col("ts_ms") - F.pmod("ts_ms", F.lit(views.BAR_MS))).alias("t"), F.col("transactions").alias("n"), "ticker")
+    table, ledger = scratch_path(spark, "table"), scratch_path(spark, "ledger")
+    done = reports.backfill(raw, "equity", table, None, ledger, ("ticker", "timestamp"), ("volume", "close"))
+    reports.backfill(raw, "equity", table, spark.read.schema(done.schema).parquet(ledger), ledger, ("ticker", "timestamp"), ("volume", "close"))
+    return spark.read.parquet(table)
+
+
+@add("C7_scan_and_report_backward", "contract_days:l total_bars:l total_events:l max_events:l minutes_above:l mean_duration:d positive_minute_rate:d", sql("""
+    SELECT (SELECT count(DISTINCT (ticker, trade_date)) FROM bars) AS contract_days, (SELECT count(*) FROM bars) AS total_bars,
+        sum(n) AS total_events, max(n) AS max_events, sum(m) AS minutes_above, sum(m) / CAST(sum(n) AS DOUBLE) AS mean_duration,
+        sum(m) * 100.0::DOUBLE / (SELECT count(*) FROM bars) AS positive_minute_rate
+    FROM (SELECT ticker, trade_date, count(*) AS n, sum(a20) AS m FROM chain WHERE ended OR (active AND i = n) GROUP BY ALL)""",
+    "bars", lists=_LISTS, chain=_BACK_CHAIN))
+def scan_report_backward(spark, sf):
+    return reports.scan_and_report(views.bars(spark, sf), False, window=8)["summary"]
+
+
+@add("C7_scan_and_report_forward", "hour:l events:l", sql("""
+    SELECT hour(make_timestamp(ts[j] * 1000) - INTERVAL 5 HOUR) AS hour, count(*) AS events FROM chain WHERE j IS NOT NULL GROUP BY 1""",
+    "bars", lists=_LISTS, chain=_FORWARD_CHAIN))
+def scan_report_forward(spark, sf):
+    return reports.scan_and_report(views.bars(spark, sf), True, window=8)["hours"]
+
+
+def _trained(spark, sf):
+    return reports.train_and_score(modelling_rows(spark, sf), MODEL_FEATURES, views.ROW_KEY, params=SMALL)
+
+
+@add("C8_train_backtest", "n_test_rows:l n_signals:l precision:d recall:d f1:d roc_auc:d avg_gain_signals:d lift:d")
+def train_backtest(spark, sf):
+    artifact, scored = _trained(spark, sf)
+    return reports.backtest(scored, artifact.threshold)["metrics"]
+
+
+@add("C8_backtest_trades", "timestamp:l date:s ticker:s predicted_proba:d is_true_positive:b", sql("""
+    SELECT timestamp, date, ticker, proba AS predicted_proba, target = 1 AS is_true_positive FROM scored JOIN sp USING (date)
+    WHERE split = 'test' AND proba >= 0.7""", "scored", sp=SPLIT_SQL))
+def backtest_trades(spark, sf):
+    from ..operators.splits import chronological_split
+    return reports.backtest(chronological_split(views.scored(spark, sf)), 0.7)["trades"]
+
+
+@add("C9_threshold_report", SWEEP_COLUMNS, sql(f"SELECT * FROM ({SWEEP_SQL}) WHERE scope = 'full'", "scored", thresholds=GRID_SQL))
+def threshold_report(spark, sf):
+    return reports.threshold_report(views.scored(spark, sf))["sweep"].where(F.col("scope") == "full")
+
+
+@add("C10_error_report", "stop_level_pct:d triggered_count:l uncaught_count:l uncaught_max_loss_pct:d total_false_positives:l p90:d expected_value_pct:d", sql("""
+    SELECT s AS stop_level_pct, count(*) FILTER (x < s) AS triggered_count, count(*) FILTER (x >= s) AS uncaught_count,
+        coalesce(min(x) FILTER (x >= s), 0.0) AS uncaught_max_loss_pct, count(*) AS total_false_positives, quantile_cont(x, 0.9) AS p90,
+        any_value(ev) AS expected_value_pct
+    FROM (SELECT min_loss_120m AS x FROM scored WHERE proba >= 0.7 AND target = 0), (SELECT unnest([-5.0, -10.0, -15.0, -20.0, -25.0]::DOUBLE[]) AS s),
+        (SELECT p * w + (1 - p) * l AS ev FROM (SELECT avg(target) AS p, avg(max_gain_120m) FILTER (target = 1) AS w,
+            avg(min_loss_120m) FILTER (target = 0) AS l FROM scored WHERE proba >= 0.7)) GROUP BY s""", "scored"))
+def error_report(spark, sf):
+    r = reports.error_report(build_trades(views.scored(spark, sf), 0.7))
+    one = F.lit(1).alias("_one")
+    head = r["report"].select("total_false_positives", F.col("p90_worst_drawdown_pct").alias("p90"), one)
+    ev = r["expected_value"].select("expected_value_pct", one)
+    return r["stops"].withColumn("_one", F.lit(1)).join(head, "_one").join(ev, "_one")
+
+
+@add("C11_full_comparison", RESULT_COLUMNS, sql(RESULTS_SQL, "scored_models", **_MODEL_TRADES))
+def full_comparison(spark, sf):
+    return reports.full_comparison(views.scored_models(spark, sf))["results"]
+
+
+@add("C12_select_contracts", "trade_date:s contract_type:s rank:l ticker:s strike_price:d expiration_date:s", sql(
+    TARGETED_SQL, "contracts", opens=DAILY_OPENS_SQL, rungs=RUNGS_SQL, ranged=RANGED_SQL))
+def select_contracts(spark, sf):
+    """The day's earliest bar opens at the derived level; a later bar must not count."""
+    o = daily_opens(spark, sf)
+    bars = o.select("trade_date", F.lit(1).alias("ts_ms"), F.col("opening_price").alias("open")).unionByName(
+        o.select("trade_date", F.lit(2).alias("ts_ms"), (F.col("opening_price") + 500).alias("open")))
+    return reports.select_contracts(bars, views.contracts(spark, sf), "und", 3, 2, 0.1)

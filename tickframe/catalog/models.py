@@ -1,3 +1,151 @@
-from .base import Catalog
+"""Pricing, trades, models and schema drift."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import pricing
+from ..operators import models, quality, risk, splits, trades
+from ..sources import views
+from . import pricing_sql as ps
+from .base import Catalog, sql
+from .joins import TRADES_SQL
 
 CATALOG = Catalog()
+add = CATALOG.add
+
+
+def quotes(spark, sf):
+    """Option bars as quotes: price, spot, strike, days and side."""
+    b = views.option_bars(spark, sf)
+    return b.select(
+        "ticker", "trade_date", "ts_ms", (F.col("close") / 4).alias("p"), (F.lit(15.0) + F.pmod("volume", F.lit(40))).alias("s"),
+        F.lit(25.0).alias("k"), (F.lit(1.0) + F.pmod("transactions", F.lit(5)) * 10).alias("days"),
+        (F.col("ticker") == "purchase").alias("call"))
+
+
+QUOTES_SQL = """SELECT ticker || ts_ms AS id, ticker, trade_date, ts_ms, close / 4 AS p, 15.0::DOUBLE + volume % 40 AS s,
+    25.0::DOUBLE AS k, (1.0::DOUBLE + (transactions % 5) * 10) / 365 AS t,
+    CASE WHEN ticker = 'purchase' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS w FROM optbars"""
+_KEY = "ticker:s trade_date:s ts_ms:l"
+
+
+def _iv(q):
+    return pricing.implied_vol(F.col("p"), F.col("s"), F.col("k"), F.col("days"), F.col("call"))
+
+
+@add("G1_implied_vol", f"{_KEY} iv:d", sql(
+    f"SELECT * FROM q JOIN ({ps.IV_RESULT}) USING (id)", "optbars", q=QUOTES_SQL, chain_iv=ps.iv_chain("q")))
+def implied_vol(spark, sf):
+    q = quotes(spark, sf)
+    return q.withColumn("iv", _iv(q))
+
+
+@add("G1_round_trip", f"{_KEY} repriced:b", sql(
+    "SELECT *, true AS repriced FROM q JOIN (SELECT id, inside FROM chain_iv WHERE step = 0) USING (id) WHERE inside", "optbars",
+    q=QUOTES_SQL, chain_iv=ps.iv_chain("q")))
+def round_trip(spark, sf):
+    """Solved volatilities price back to the quote."""
+    q = quotes(spark, sf)
+    t = F.col("days") / pricing.YEAR_DAYS
+    at = lambda v: pricing.bs_price(F.col("s"), F.col("k"), t, v, F.col("call"))
+    inside = (at(F.lit(0.01)) <= F.col("p")) & (F.col("p") <= at(F.lit(5.0)))
+    return (q.where(inside).withColumn("iv", _iv(q))
+            .withColumn("repriced", F.abs(at(F.col("iv")) - F.col("p")) < 1e-6))
+
+
+@add("G2_greeks", f"{_KEY} delta:d gamma:d theta:d vega:d rho:d", sql(
+    f"SELECT * FROM ({ps.greeks('(SELECT *, 0.2::DOUBLE + volume_mod / 100.0::DOUBLE AS v FROM q)', 'v')})",
+    "optbars", q=QUOTES_SQL.replace(" FROM optbars", ", volume % 30 AS volume_mod FROM optbars")))
+def greeks(spark, sf):
+    b = views.option_bars(spark, sf).select("ticker", "ts_ms", F.pmod("volume", F.lit(30)).alias("m"))
+    q = quotes(spark, sf).join(b, ["ticker", "ts_ms"])
+    g = pricing.greek_columns(F.col("s"), F.col("k"), F.col("days") / pricing.YEAR_DAYS,
+                              F.lit(0.2) + F.col("m") / F.lit(100.0), F.col("call"))
+    return q.select("ticker", "trade_date", "ts_ms", *[e.alias(n) for n, e in g.items()])
+
+
+_ROW = "l_orderkey:l l_linenumber:l l_partkey:l l_suppkey:l"
+
+
+@add("T1_trade_outcomes",
+     f"{_ROW} num_contracts:l actual_position_size:d exit_price:d4 exit_reason:s time_in_trade_minutes:d1 entry_time:s "
+     "profit_loss_usd:d4 profit_loss_pct:d is_winner:b", sql(
+         "SELECT * FROM trades WHERE proba >= 0.7", "scored", trades=TRADES_SQL.format(src="scored")))
+def trade_outcomes(spark, sf):
+    return trades.trade_outcomes(trades.signals_at(views.scored(spark, sf), 0.7))
+
+
+_FACTORS = (("l_tax", 0.1), ("l_quantity", 0.5), ("l_discount", 0.4))
+
+
+@add("T2_trigger_factors", f"{_ROW} position:l feature:s value:d4 importance:d4", sql("""
+    SELECT *, f.pos AS position, f.feature AS feature, f.value AS value, f.importance AS importance FROM (
+    SELECT *, unnest([{'pos': 0, 'feature': 'l_quantity', 'value': l_quantity, 'importance': 0.5},
+        {'pos': 1, 'feature': 'l_discount', 'value': l_discount, 'importance': 0.4}]) AS f FROM scored WHERE proba >= 0.7)""", "scored"))
+def trigger_factors(spark, sf):
+    s = trades.trigger_factors(trades.signals_at(views.scored(spark, sf), 0.7), _FACTORS, 2)
+    return s.select(*views.ROW_KEY, F.posexplode("trigger_factors").alias("position", "f")).select(
+        *views.ROW_KEY, "position", "f.*")
+
+
+@add("T3_build_trades",
+     "timestamp:l date:s ticker:s close:d max_gain_120m:d min_loss_120m:d predicted_proba:d predicted_label:l actual_target:l is_true_positive:b",
+     sql("""SELECT *, proba AS predicted_proba, 1 AS predicted_label, target AS actual_target, target = 1 AS is_true_positive
+         FROM scored WHERE proba >= 0.7""", "scored"))
+def build_trades(spark, sf):
+    return trades.build_trades(views.scored(spark, sf), 0.7)
+
+
+SMALL = {"maxIter": 4, "maxDepth": 3}
+
+
+def modelling_rows(spark, sf):
+    return views.scored(spark, sf).withColumnRenamed("proba", "signal").withColumnRenamed("proba_b", "signal_b")
+
+
+MODEL_FEATURES = ("l_quantity", "l_discount", "l_tax", "signal", "signal_b")
+
+
+@add("M1_train", "split:s n_rows:l accuracy:d precision:d recall:d f1:d roc_auc:d")
+def train(spark, sf):
+    _, scored = models.train(modelling_rows(spark, sf), MODEL_FEATURES, views.ROW_KEY, params=SMALL)
+    return models.evaluate(scored, 0.5)
+
+
+@add("M2_score", f"{_ROW} proba:d")
+def score(spark, sf):
+    rows = modelling_rows(spark, sf)
+    model = models.fit(rows.where(F.col("date") < "1999-01-01"), MODEL_FEATURES, SMALL)
+    return models.score(model, rows, MODEL_FEATURES)
+
+
+@add("M3_walk_forward", "split_index:l train_positives:l test_samples:l total_signals:l precision:d expected_value_pct:d status:s")
+def walk_forward(spark, sf):
+    rows = modelling_rows(spark, sf)
+    windows = splits.walk_forward_splits(rows, 24, 24)
+    return models.walk_forward(rows, MODEL_FEATURES, views.ROW_KEY, windows, 0.5, {"maxIter": 2, "maxDepth": 2})[0]
+
+
+@add("M4_tune", "params:s score:d")
+def tune(spark, sf):
+    grid = {"maxDepth": (2, 3), "maxIter": (2,)}
+    return models.tune(modelling_rows(spark, sf), MODEL_FEATURES, grid, folds=2, threshold=0.4, tie=views.ROW_KEY)
+
+
+@add("M5_feature_importance", "feature:s importance:d share:d rank:l")
+def feature_importance(spark, sf):
+    model = models.fit(modelling_rows(spark, sf), MODEL_FEATURES, SMALL)
+    return risk.importance_table(models.feature_importance(spark, model, MODEL_FEATURES))
+
+
+_PART = {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_size": "bigint", "p_container": "string"}
+
+
+@add("O1_schema_drift", "kind:s column:s expected:s actual:s n:l", """
+    SELECT kind, "column", expected, actual, count(*) AS n FROM part, (VALUES ('new_column', 'p_retailprice', NULL, 'double'),
+        ('new_column', 'p_type', NULL, 'string'), ('missing_column', 'p_container', 'string', NULL),
+        ('type_change', 'p_size', 'bigint', 'int')) AS v(kind, "column", expected, actual) GROUP BY ALL""")
+def schema_drift(spark, sf):
+    p = views.table(spark, sf, "part")
+    return quality.schema_drift(spark, p.schema, _PART).withColumn("n", p.agg(F.count(F.lit(1))).scalar())

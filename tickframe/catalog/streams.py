@@ -1,3 +1,218 @@
-from .base import Catalog
+"""Structured Streaming queries (R1-R12), run to the end of their landed input."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import monitoring
+from ..session import scratch_path
+from ..sources import views
+from ..streaming import ingest, windows
+from .base import Catalog, sql
+from .predicates import _OPEN_SQL
 
 CATALOG = Catalog()
+add = CATALOG.add
+
+HALF = "2024-01-16"
+DELAY, DELAY_MS = "10 minutes", 600_000
+
+
+def _first(t):
+    return t.where(F.col("trade_date") < HALF)
+
+
+def _second(t):
+    return t.where(F.col("trade_date") >= HALF)
+
+
+def _two_landings(t, run):
+    """Land the first half of the month, drain the stream, land the second, drain again."""
+    spark, path = t.sparkSession, scratch_path(t.sparkSession, "landing")
+    for half in (_first(t), _second(t)):
+        ingest.lay_out(half, path)
+        query = run(ingest.file_stream(spark, path, t.schema))
+        query.awaitTermination()
+    return query
+
+
+def _to_table(t, shape):
+    """Run ``shape`` over both landings into a table and read it."""
+    spark = t.sparkSession
+    out, spot = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
+    schemas = []
+
+    def run(stream):
+        shaped = shape(stream)
+        schemas.append(shaped.schema)
+        return ingest.append_to(shaped, out, spot)
+
+    _two_landings(t, run)
+    return spark.read.schema(schemas[-1]).parquet(out)
+
+
+def _records(spark, sf, source):
+    """Ticks as bar records on a 15-minute grid: many arrivals per key, some without a close."""
+    t = views.ticks(spark, sf)
+    return t.select(
+        (F.col("ts_ms") - F.pmod("ts_ms", F.lit(views.BAR_MS))).alias("timestamp"), "open", "high", "low",
+        F.when(F.pmod("event_id", F.lit(11)) != 0, F.col("close")).alias("close"), "volume", "vwap", "transactions",
+        F.lit(source).alias("source"), "ticker", "event_id")
+
+
+def _ingested(records, source, keys, stats=False):
+    """Stream the records, then a correction of every fifth, into one table."""
+    spark = records.sparkSession
+    path, table, spot = (scratch_path(spark, n) for n in ("landing", "table", "checkpoint"))
+    stats_path = scratch_path(spark, "stats") if stats else None
+    fixes = records.where(F.pmod("event_id", F.lit(5)) == 0).withColumn("close", F.col("close") + 1)
+    for part in (records, fixes):
+        part.repartition(4, *keys).write.mode("append").parquet(path)
+        stream = ingest.file_stream(spark, path, records.schema)
+        ingest.ingest(stream, source, table, keys, ("event_id",), spot, stats_path).awaitTermination()
+    return spark.read.parquet(stats_path if stats else table)
+
+
+_INGEST_SQL = """SELECT * FROM (SELECT ts_ms - ts_ms % 900000 AS timestamp, trade_date, ticker, event_id, close + b AS close, volume,
+    row_number() OVER (PARTITION BY {keys} ts_ms - ts_ms % 900000 ORDER BY b DESC, event_id DESC) AS rn
+    FROM ticks, (SELECT unnest([0, 1]) AS b) WHERE event_id % 11 <> 0 AND (b = 0 OR event_id % 5 = 0) {only}) WHERE rn = 1"""
+_INGEST = "timestamp:l trade_date:s ticker:s event_id:l close:d volume:l"
+
+
+@add("R1_stream_ingest", _INGEST, sql(_INGEST_SQL.format(keys="", only="AND ticker = 'view'"), "ticks"))
+def stream_ingest(spark, sf):
+    rows = _records(spark, sf, "spy").where(F.col("ticker") == views.UNDERLYING)
+    return _ingested(rows, "spy", ("timestamp",))
+
+
+@add("R2_stream_ingest_options", _INGEST, sql(_INGEST_SQL.format(keys="ticker,", only=""), "ticks"))
+def stream_ingest_options(spark, sf):
+    return _ingested(_records(spark, sf, "options"), "options", ("ticker", "timestamp"))
+
+
+@add("R3_stream_dedup", "ticker:s bar_ms:l", sql(
+    "SELECT DISTINCT ticker, ts_ms - ts_ms % 900000 AS bar_ms FROM ticks", "ticks"))
+def stream_dedup(spark, sf):
+    t = views.ticks(spark, sf).withColumn("bar_ms", F.col("ts_ms") - F.pmod("ts_ms", F.lit(views.BAR_MS)))
+    shape = lambda s: ingest.bounded_dedup(
+        s.withColumn("event_time", F.timestamp_millis("ts_ms")), ("ticker", "bar_ms"), "event_time", "1 hour")
+    return _to_table(t, shape)
+
+
+@add("R4_market_hours_gate", "event_id:l ts_ms:l", sql(f"SELECT event_id, ts_ms FROM ticks WHERE {_OPEN_SQL}", "ticks"))
+def market_hours_gate(spark, sf):
+    return _to_table(views.ticks(spark, sf), lambda s: ingest.market_hours_gate(s, "ts_ms", ("2024-01-15",)))
+
+
+_CLOSED = f"(SELECT max(ts_ms) FROM ticks) - {DELAY_MS}"
+
+
+@add("R5_heartbeat", "ticker:s beat_ms:l messages:l last_message_ms:l", sql(f"""
+    SELECT * FROM (SELECT ticker, ts_ms - ts_ms % 300000 AS beat_ms, count(*) AS messages, max(ts_ms) AS last_message_ms FROM ticks
+    GROUP BY 1, 2) WHERE beat_ms + 300000 <= {_CLOSED}""", "ticks"))
+def heartbeat(spark, sf):
+    return _to_table(views.ticks(spark, sf), lambda s: windows.heartbeat(windows.watermarked(s, DELAY), ["ticker"]))
+
+
+@add("R5_heartbeat_totals", "ticker:s beat_ms:l messages:l last_message_ms:l total_today:l", sql("""
+    SELECT *, sum(messages) OVER (PARTITION BY ticker, beat_ms // 86400000 ORDER BY beat_ms) AS total_today FROM (
+    SELECT ticker, ts_ms - ts_ms % 300000 AS beat_ms, count(*) AS messages, max(ts_ms) AS last_message_ms FROM ticks GROUP BY ALL)""", "ticks"))
+def heartbeat_totals(spark, sf):
+    return monitoring.heartbeats(views.ticks(spark, sf), ["ticker"])
+
+
+@add("R6_activity_sessions", "ticker:s start_ms:l end_ms:l messages:l", sql(f"""
+    SELECT ticker, min(ts_ms) AS start_ms, max(ts_ms) + 900000 AS end_ms, count(*) AS messages FROM (
+    SELECT *, sum(n) OVER (PARTITION BY ticker ORDER BY ts_ms, event_id) AS g FROM (
+    SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY ticker ORDER BY ts_ms, event_id) <= 900000 THEN 0 ELSE 1 END AS n FROM ticks))
+    GROUP BY ticker, g HAVING max(ts_ms) + 900000 <= {_CLOSED}""", "ticks"))
+def activity_sessions(spark, sf):
+    return _to_table(views.ticks(spark, sf), lambda s: windows.activity_sessions(windows.watermarked(s, DELAY), ["ticker"]))
+
+
+@add("R6_stall_detect", "ticker:s stalled_from_ms:l resumed_ms:l gap_seconds:d", sql("""
+    SELECT ticker, p AS stalled_from_ms, ts_ms AS resumed_ms, (ts_ms - p) / 1000.0::DOUBLE AS gap_seconds
+    FROM (SELECT ticker, ts_ms, lag(ts_ms) OVER (PARTITION BY ticker ORDER BY ts_ms) AS p FROM ticks) WHERE ts_ms - p > 900000""", "ticks"))
+def stall_detect(spark, sf):
+    return monitoring.stalls(views.ticks(spark, sf), ["ticker"])
+
+
+@add("R7_incremental_news", "article_id:l ts_ms:l sentiment:s", sql(
+    "SELECT * FROM news WHERE ts_ms > 1704844800000", "news"))
+def incremental_news(spark, sf):
+    return _to_table(views.news(spark, sf), lambda s: ingest.incremental(s, 1_704_844_800_000, "ts_ms"))
+
+
+@add("R8_error_rate_stream", "window_ms:l total:l errors:l rate_pct:d alert:b", sql(f"""
+    SELECT w AS window_ms, count(*) AS total, count(*) FILTER (price > 60) AS errors,
+        count(*) FILTER (price > 60) * 100.0::DOUBLE / count(*) AS rate_pct, count(*) FILTER (price > 60) * 100.0::DOUBLE / count(*) > 1 AS alert
+    FROM (SELECT price, ts_ms - ts_ms % 60000 - k * 60000 AS w FROM ticks, (SELECT unnest(range(15)) AS k))
+    GROUP BY w HAVING w + 900000 <= {_CLOSED}""", "ticks"))
+def error_rate_stream(spark, sf):
+    t = views.ticks(spark, sf).withColumn("is_error", F.col("price") > 60)
+    return _to_table(t, lambda s: windows.error_rate(windows.watermarked(s, DELAY)))
+
+
+def _with_late(t):
+    """The second landing also brings every tenth tick of the first half again."""
+    again = _first(t).where(F.pmod("event_id", F.lit(10)) == 0)
+    return _first(t).withColumn("landing", F.lit(1)).unionByName(
+        _second(t).unionByName(again).withColumn("landing", F.lit(2)))
+
+
+@add("R9_late_data_dropped", "ticker:s beat_ms:l messages:l", sql(f"""
+    SELECT * FROM (SELECT ticker, ts_ms - ts_ms % 300000 AS beat_ms, count(*) AS messages FROM ticks
+    GROUP BY 1, 2) WHERE beat_ms + 300000 <= {_CLOSED}""", "ticks"))
+def late_data_dropped(spark, sf):
+    """Re-sent ticks of closed intervals change nothing."""
+    t = views.ticks(spark, sf)
+    path, out, spot = (scratch_path(spark, n) for n in ("landing", "out", "checkpoint"))
+    both = _with_late(t)
+    for n in (1, 2):
+        part = both.where(F.col("landing") == n).drop("landing")
+        ingest.lay_out(part, path)
+        stream = windows.watermarked(ingest.file_stream(spark, path, t.schema), DELAY)
+        beats = windows.heartbeat(stream, ["ticker"])
+        ingest.append_to(beats, out, spot).awaitTermination()
+    return spark.read.schema(beats.schema).parquet(out)
+
+
+@add("R9_late_rows", "event_id:l ts_ms:l", sql(f"""
+    SELECT event_id, ts_ms FROM ticks WHERE trade_date < '{HALF}' AND event_id % 10 = 0
+        AND ts_ms < (SELECT max(ts_ms) FROM ticks WHERE trade_date < '{HALF}') - {DELAY_MS}""", "ticks"))
+def late_rows(spark, sf):
+    return ingest.late_rows(_with_late(views.ticks(spark, sf)), "landing", "ts_ms", DELAY_MS)
+
+
+@add("R10_replay", "event_id:l ts_ms:l price:d", sql("SELECT event_id, ts_ms, price FROM ticks", "ticks"))
+def replay(spark, sf):
+    t, path, out = views.ticks(spark, sf), scratch_path(spark, "replay"), scratch_path(spark, "out")
+    ingest.lay_out(t, path)
+    ingest.append_to(ingest.replay(spark, path, t.schema, 2), out).awaitTermination()
+    return spark.read.schema(t.schema).parquet(out)
+
+
+@add("R11_stream_bars", "ticker:s ts_ms:l open:d high:d low:d close:d volume:l transactions:l vwap:d", sql(f"""
+    SELECT * FROM bars WHERE ts_ms + 900000 <= {_CLOSED}""", "bars"))
+def stream_bars(spark, sf):
+    shape = lambda s: windows.stream_bars(windows.watermarked(s, DELAY), ["ticker"], "15 minutes", "event_id")
+    return _to_table(views.ticks(spark, sf), shape)
+
+
+@add("R12_stream_metrics", "operation:s records:l", sql("SELECT 'stream' AS operation, count(*) AS records FROM ticks", "ticks"))
+def stream_metrics(spark, sf):
+    t, path, out = views.ticks(spark, sf), scratch_path(spark, "landing"), scratch_path(spark, "out")
+    ingest.lay_out(t, path)
+    query = ingest.append_to(ingest.file_stream(spark, path, t.schema), out)
+    query.awaitTermination()
+    done = ingest.progress_frame(spark, query)
+    return done.groupBy("operation").agg(F.sum("records").alias("records"))
+
+
+@add("R12_ingest_stats", "batch_id:l fetched:l valid:l invalid:l duplicates:l written:l", sql("""
+    SELECT b AS batch_id, sum(n) AS fetched, sum(v) AS valid, sum(n - v) AS invalid, sum(greatest(v - 1, 0)) AS duplicates,
+        count(*) FILTER (v > 0) AS written
+    FROM (SELECT b, ticker, ts_ms - ts_ms % 900000 AS k, count(*) AS n, count(*) FILTER (event_id % 11 <> 0) AS v
+          FROM ticks, (SELECT unnest([0, 1]) AS b) WHERE b = 0 OR event_id % 5 = 0 GROUP BY ALL) GROUP BY b""", "ticks"))
+def ingest_batch_stats(spark, sf):
+    return _ingested(_records(spark, sf, "options"), "options", ("ticker", "timestamp"), stats=True)

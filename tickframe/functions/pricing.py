@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Approximation constants and pricing defaults.
 AS_P = 0.2316419
@@ -83,7 +84,7 @@ def _np_price(s, k, t, v, w, r):
     return w * (s * _np_cdf(w * d1) - k * np.exp(-r * t) * _np_cdf(w * (d1 - spread)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _solve_vol(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     """Bisection on volatility for whole Arrow batches; NULL when not bracketed."""
     for price, spot, strike, years, sign, rate in batches:

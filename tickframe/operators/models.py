@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import count_if
-from ..session import materialise
+from ..session import materialise, scratch_path
 from .balance import align_features, attach_class_weight, class_weights, undersample_majority
 from .metrics import classification_metrics
-from .splits import chronological_split, timeseries_folds
+from .compare import fold_metrics
+from .splits import chronological_split, fit_val_split, rows_in_splits, timeseries_folds
 
 # Training defaults.
 MIN_FOLD_POSITIVES = 10
@@ -123,3 +124,33 @@ def tune(df: DataFrame, features: Sequence[str], grid: dict[str, Sequence], metr
             scores.append((row[metric] or 0.0) if row["signals"] >= MIN_FOLD_SIGNALS else 0.0)
         trials.append((json.dumps(params, sort_keys=True), float(sum(scores) / len(scores)) if scores else 0.0))
     return df.sparkSession.createDataFrame(trials, "params string, score double")
+
+
+def walk_forward(df: DataFrame, features: Sequence[str], keys: Sequence[str], windows: DataFrame,
+                 threshold: float = 0.67, params: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Refit per window and score its test range; returns (fold metrics, scored test rows).
+
+    The loop walks the windows, a few per year of data.  Every fit and scoring
+    is distributed, and each scored range is written before the next fit.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "walk")
+    positives = (rows_in_splits(df, windows, "train").groupBy("split_index")
+                 .agg(count_if(F.col("target") == 1).alias("train_positives")))
+    positives = materialise(windows.select("split_index").join(positives, "split_index", "left")
+                            .fillna(0, ["train_positives"]), "positives")
+    usable = windows.join(positives.where(F.col("train_positives") >= MIN_FOLD_POSITIVES), "split_index")
+    schema = None
+    for w in usable.orderBy("split_index").collect():
+        span = df.where(F.col("date").between(w["train_start"], w["train_end"]))
+        parts = materialise(fit_val_split(span), "fit")
+        model = fit(undersample_majority(parts.where(F.col("part") == "fit"), keys), features, params,
+                    parts.where(F.col("part") == "val"))
+        scored = score(model, df.where(F.col("date").between(w["test_start"], w["test_end"])), features)
+        scored = scored.withColumn("split_index", F.lit(w["split_index"]))
+        schema = scored.schema
+        scored.write.mode("append").parquet(path)
+    if schema is None:
+        scored = df.limit(0).withColumn("proba", F.lit(0.0)).withColumn("split_index", F.lit(0).cast("long"))
+    else:
+        scored = spark.read.schema(schema).parquet(path)
+    return fold_metrics(scored, threshold, train_positives=positives), scored

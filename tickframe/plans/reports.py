@@ -68,7 +68,7 @@ def select_contracts(bars: DataFrame, listed: DataFrame | None, underlying: str,
 def backfill(raw: DataFrame, source: str, table: str, ledger: DataFrame | None, ledger_path: str,
              keys: Sequence[str] = ("timestamp",), arrival: Sequence[str] = ()) -> DataFrame:
     """Normalise, validate and upsert the days not yet in the ledger; returns the days done."""
-    bars = normalise_bars(raw, source, "ticker" in raw.columns).withColumn("date", partition_date(F.col("timestamp" if "timestamp" in raw.columns else "t")))
+    bars = normalise_bars(raw, source, "ticker" in raw.columns).withColumn("date", partition_date(F.col("timestamp")))
     days = bars.select(F.lit(source).alias("source"), "date").distinct()
     todo = pending(days, ledger) if ledger is not None else days
     good, _ = split_valid(bars.join(todo.select("date"), "date", "left_semi"), source)

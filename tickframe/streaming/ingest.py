@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -74,11 +74,32 @@ def incremental(stream: DataFrame, since_ms: int, ts: str = "timestamp") -> Data
     return stream.where(F.col(ts) > since_ms)
 
 
-def replay(table: DataFrame, path: str, slot: str = "trade_date") -> None:
-    """Lay a table out for replay: files ordered in time, one or more per slot.
+def lay_out(table: DataFrame, path: str, order: str = "ts_ms", mode: str = "append") -> None:
+    """Land a table as files of consecutive time ranges, sorted inside."""
+    (table.repartitionByRange(F.col(order)).sortWithinPartitions(order).write.mode(mode).parquet(path))
 
-    A file stream over the result with a small ``maxFilesPerTrigger`` feeds the
-    rows through any streaming operator in time order.
+
+def replay(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
+    """A landed table as a stream, a few time ranges per batch."""
+    return file_stream(spark, path, schema, files_per_trigger)
+
+
+def late_rows(arrivals: DataFrame, batch: str, ts: str, delay_ms: int) -> DataFrame:
+    """Rows a stateful operator would drop: older than the watermark left by earlier batches.
+
+    Streams have no side output for late rows, so landed batches are compared
+    with the running maximum of the batches before them (one row per batch).
     """
-    ordered = table.repartitionByRange(F.col(slot)).sortWithinPartitions("ts_ms")
-    ordered.write.mode("overwrite").parquet(path)
+    before = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
+    marks = (arrivals.groupBy(batch).agg(F.max(ts).alias("_max"))
+             .select(batch, (F.max("_max").over(before) - delay_ms).alias("_mark")))
+    return arrivals.join(marks, batch).where(F.col(ts) < F.col("_mark")).drop("_mark")
+
+
+def progress_frame(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """Duration and volume per batch of a query (Spark keeps the last 100), as operation rows."""
+    rows = [(p.name or "stream", p.batchId, (p.durationMs or {}).get("triggerExecution", 0) / 1000.0,
+             p.numInputRows, p.timestamp) for p in query.recentProgress]
+    done = spark.createDataFrame(rows, "operation string, batch_id long, seconds double, records long, started string")
+    start = F.unix_millis(F.try_to_timestamp("started"))
+    return done.withColumn("ended_ms", start + (F.col("seconds") * 1000).cast("long")).drop("started")
