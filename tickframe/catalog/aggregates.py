@@ -271,8 +271,7 @@ GRID_SQL = "SELECT round(0.70 + i / 100.0, 2)::DOUBLE AS thr FROM range(26) t(i)
 
 
 def _sweep(spark, sf):
-    s = metrics.with_periods(views.scored(spark, sf))
-    return metrics.threshold_sweep(s, by=["scope", "period"])
+    return metrics.threshold_sweep(views.scored(spark, sf), periods="date")
 
 
 @add("A17_threshold_sweep", f"scope:s period:s {SWEEP_COLUMNS}", sql(SWEEP_SQL, "scored", thresholds=GRID_SQL))

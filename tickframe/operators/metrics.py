@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import count_if, ratio
-from .quantiles import exact_quantiles
+from .quantiles import above, exact_quantiles, up_to
 
 # Threshold grids.
 SWEEP_GRID = tuple(round(0.70 + i / 100, 2) for i in range(26))
@@ -104,15 +104,14 @@ def backtest_metrics(df: DataFrame, threshold: float, by: Sequence[str] = (), la
     return _join_one(out, roc_auc(df, by, label, score), by)
 
 
-def _cells(df: DataFrame, by: Sequence[str], thresholds: Sequence[float], values: dict[str, str]) -> DataFrame:
+def _cells(df: DataFrame, by: Sequence[str], values: dict[str, str]) -> DataFrame:
     """Counts and moments per (group, cuts reached, class)."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for name, col in values.items():
         aggs += [F.count(col).alias(f"{name}_n"), F.max(col).alias(f"{name}_max"),
                  F.min(col).alias(f"{name}_min"), F.avg(col).alias(f"{name}_avg"),
                  F.var_pop(col).alias(f"{name}_var")]
-    return (df.groupBy(*by, "_c", "_y").agg(*aggs)
-            .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(thresholds) - 1)))))
+    return df.groupBy(*by, "_c", "_y").agg(*aggs)
 
 
 def _merged(prefix: str, name: str, keep: Column) -> list[Column]:
@@ -137,19 +136,27 @@ def with_periods(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def threshold_sweep(df: DataFrame, thresholds: Sequence[float] = SWEEP_GRID, by: Sequence[str] = (),
-                    medians: bool = True, label: str = "target", score: str = "proba",
+                    periods: str | None = None, medians: bool = True, label: str = "target", score: str = "proba",
                     gain: str = "max_gain_120m", loss: str = "min_loss_120m") -> DataFrame:
     """Every metric per group and threshold.
 
-    Groups must be few (none, months, days of the calendar): their number times
-    the thresholds is what the median pass broadcasts.
+    ``periods`` names a date column: results then come for the whole table, each
+    month and each day (columns scope, period), rolled up from daily cells.
+    Groups must be few (none, calendar periods): their number times the
+    thresholds is what the median pass broadcasts.
     """
-    base = df.select(*by, cuts_reached(F.col(score), thresholds).alias("_c"),
+    k = len(thresholds)
+    fine = [*by, periods] if periods else list(by)
+    keys = [*by, "scope", "period"] if periods else list(by)
+    rollup = (lambda d: with_periods(d, periods)) if periods else None
+    base = df.select(*fine, cuts_reached(F.col(score), thresholds).alias("_c"),
                      F.coalesce(F.col(label).cast("int"), F.lit(0)).alias("_y"),
                      F.col(gain).cast("double").alias("_gain"), F.col(loss).cast("double").alias("_loss"))
     hit, y = F.col("_c") > F.col("level"), F.col("_y") == 1
     n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    swept = _cells(base, by, thresholds, {"gain": "_gain", "loss": "_loss"}).groupBy(*by, "level").agg(
+    cells = _cells(base, fine, {"gain": "_gain", "loss": "_loss"})
+    cells = (rollup(cells) if rollup else cells).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    swept = cells.groupBy(*keys, "level").agg(
         n(hit & y).alias("true_positives"), n(hit & ~y).alias("false_positives"),
         n(~hit & y).alias("false_negatives"), n(~hit & ~y).alias("true_negatives"),
         *_merged("tp_profit_pct", "gain", hit & y), *_merged("fp_loss_pct", "loss", hit & ~y),
@@ -157,26 +164,23 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float] = SWEEP_GRID, by:
     tp, fp, fn, tn = (F.col(c) for c in ("true_positives", "false_positives", "false_negatives", "true_negatives"))
     p, r, f = precision_recall_f1(tp, fp, fn)
     zero = F.lit(0.0)
-    out = (
-        swept.withColumn("threshold", threshold_at(F.col("level"), thresholds))
-        .withColumn("total_signals", tp + fp)
-        .withColumn("signal_rate", (tp + fp) / (tp + fp + fn + tn))
-        .withColumn("precision", p).withColumn("recall", r).withColumn("f1_score", f)
-        .withColumn("expected_value_pct", F.when(
-            tp + fp > 0, F.col("precision") * F.coalesce("tp_profit_pct_avg", zero)
-            + (1 - F.col("precision")) * F.coalesce("fp_loss_pct_avg", zero)).otherwise(zero))
-    )
+    ev = (F.col("precision") * F.coalesce("tp_profit_pct_avg", zero)
+          + (1 - F.col("precision")) * F.coalesce("fp_loss_pct_avg", zero))
+    out = swept.withColumns({
+        "threshold": threshold_at(F.col("level"), thresholds), "total_signals": tp + fp,
+        "signal_rate": (tp + fp) / (tp + fp + fn + tn), "precision": p, "recall": r, "f1_score": f,
+    }).withColumn("expected_value_pct", F.when(tp + fp > 0, ev).otherwise(zero))
     if medians:
-        k = len(thresholds)
-        signal = base.withColumn("_side", F.col("_y")).withColumn(
-            "_v", F.when(F.col("_y") == 1, F.col("_gain")).otherwise(F.col("_loss")))
-        sides = exact_quantiles(signal, [*by, "_side"], "_v", {"m": 0.5}, ("_c", k, True), few_groups=True)
-        sides = sides.groupBy(*by, "level").agg(
-            F.max(F.when(F.col("_side") == 1, F.col("m"))).alias("tp_profit_pct_median"),
-            F.max(F.when(F.col("_side") == 0, F.col("m"))).alias("fp_loss_pct_median"))
-        missed = exact_quantiles(base.where(F.col("_y") == 1), by, "_gain", {"fn_missed_pct_median": 0.5},
-                                 ("_c", k, False), few_groups=True)
-        out = out.join(sides, [*by, "level"], "left").join(missed, [*by, "level"], "left")
+        # gains of positives, losses of negatives; levels 0..k-1 above, k..2k-1 below each threshold
+        outcome = base.withColumn("_x", F.when(y, F.col("_gain")).otherwise(F.col("_loss")))
+        q = exact_quantiles(outcome, [*fine, "_y"], "_x", {"m": 0.5}, ("_c", above(k) + up_to(k)), True,
+                            rollup, [*keys, "_y"])
+        above_it = F.col("level") < k
+        q = q.groupBy(*keys, F.pmod("level", F.lit(k)).alias("level")).agg(
+            F.max(F.when(above_it & y, F.col("m"))).alias("tp_profit_pct_median"),
+            F.max(F.when(above_it & ~y, F.col("m"))).alias("fp_loss_pct_median"),
+            F.max(F.when(~above_it & y, F.col("m"))).alias("fn_missed_pct_median"))
+        out = out.join(q, [*keys, "level"], "left")
     return out.drop("level")
 
 

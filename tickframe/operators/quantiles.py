@@ -7,11 +7,12 @@ ranks.  A second pass looks only at the values of those bins.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+Member = Callable[[Column], Column]
 _BINS_PER_E = 512
 _BIN_OFFSET = 400_000
 
@@ -22,69 +23,78 @@ def log_bin(v: Column) -> Column:
     return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
 
 
-def _before(w) -> Column:
-    return F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+def above(n: int) -> list[Member]:
+    """Level i takes the rows with more than i cuts reached."""
+    return [lambda c, i=i: c > i for i in range(n)]
+
+
+def up_to(n: int) -> list[Member]:
+    """Level i takes the rows with at most i cuts reached."""
+    return [lambda c, i=i: c <= i for i in range(n)]
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
-                    levels: tuple[str, int, bool] | None = None,
-                    few_groups: bool = False) -> DataFrame:
+                    levels: tuple[str, Sequence[Member]] | None = None, few_groups: bool = False,
+                    rollup: Callable[[DataFrame], DataFrame] | None = None,
+                    rolled_by: Sequence[str] = ()) -> DataFrame:
     """One row per group with a linearly interpolated quantile per entry of ``probs``.
 
-    ``levels=(col, n, at_least)`` answers for n cumulative groups at once: level i
-    of the output column ``level`` covers rows with ``col > i`` when at_least
-    (a score above the i-th cut) and ``col <= i`` otherwise.  Rows are not
-    replicated for it; only the bin counts are.
+    ``levels=(col, members)`` answers for several overlapping groups at once, each
+    given by a predicate on ``col``; the output column ``level`` numbers them.
+    Levels are counted side by side in columns, so rows are not replicated.
+
+    ``rollup`` maps rows keyed by ``by`` to rows keyed by ``rolled_by`` (for
+    example days to days, months and the whole); the bin counts are rolled up
+    instead of the rows.
 
     ``few_groups`` states that the number of groups is bounded (no grouping,
-    thresholds, calendar months): the second pass then broadcasts the wanted
-    bins, at most two per group and quantile, instead of shuffling the values.
+    thresholds, calendar periods): the second pass then broadcasts the wanted
+    bins, at most two per group, level and quantile, instead of shuffling values.
     """
-    keys = [*by, "level"] if levels else list(by)
+    by = list(by)
     base = df.select(*by, *([F.col(levels[0]).alias("_c")] if levels else []),
                      F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     base = base.withColumn("_bin", log_bin(F.col("_v")))
-
-    if levels:
-        _, n, at_least = levels
-        grid = F.sequence(F.lit(0), F.lit(n - 1))
-        reach = (lambda i: F.col("_c") > i) if at_least else (lambda i: F.col("_c") <= i)
-        hist = (base.groupBy(*by, "_c", "_bin").agg(F.count(F.lit(1)).alias("_n"))
-                .withColumn("level", F.explode(F.filter(grid, reach)))
-                .groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n")))
-    else:
-        hist = base.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = (hist.withColumn("_total", F.sum("_n").over(group))
-              .withColumn("_b", _before(group.orderBy("_bin"))))
-    wanted = F.array(*[F.struct(F.lit(name).alias("p"), (F.lit(float(q)) * (F.col("_total") - 1)).alias("h"))
-                       for name, q in probs.items()])
-    targets = (
-        ranked.withColumn("_w", F.explode(wanted))
-        .withColumn("_k", F.explode(F.array_distinct(F.array(F.floor("_w.h"), F.ceil("_w.h")))))
-        .where((F.col("_k") >= F.col("_b")) & (F.col("_k") < F.col("_b") + F.col("_n")))
-        .select(*keys, "_bin", F.col("_w.p").alias("_p"), F.col("_w.h").alias("_h"),
-                "_k", (F.col("_k") - F.col("_b")).alias("_inner"))
-    )
-
-    spots = targets.select(*keys, "_bin").distinct()
+    members = levels[1] if levels else [lambda c: F.lit(True)]
+    n = len(members)
+    counts = [F.count(F.when(m(F.col("_c")), F.lit(1))).alias(f"_n{i}") for i, m in enumerate(members)]
+
+    def with_before(counted: DataFrame, part: list[str], order: str) -> DataFrame:
+        w = Window.partitionBy(*(part or [F.lit(0)])).orderBy(order)
+        ahead = w.rowsBetween(Window.unboundedPreceding, -1)
+        every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return counted.select(
+            *part, order,
+            F.array(*[F.col(f"_n{i}") for i in range(n)]).alias("_n"),
+            F.array(*[F.coalesce(F.sum(f"_n{i}").over(ahead), F.lit(0)) for i in range(n)]).alias("_b"),
+            F.array(*[F.sum(f"_n{i}").over(every) for i in range(n)]).alias("_t"))
+
+    # pass 1: the bins that hold the lower and upper neighbour of each wanted rank
+    binned = base.groupBy(*by, "_bin").agg(*counts)
+    if rollup:
+        by, base = list(rolled_by), rollup(base)
+        binned = rollup(binned).groupBy(*by, "_bin").agg(*[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(n)])
+    hist = with_before(binned, by, "_bin")
+    ranks = (
+        hist.select(*by, "_bin", F.posexplode(F.arrays_zip("_n", "_b", "_t")).alias("level", "_z"))
+        .select(*by, "_bin", "level", "_z.*").where(F.col("_n") > 0)
+        .select("*", F.inline(F.array(*[F.struct(
+            F.lit(p).alias("_p"), (F.lit(float(q)) * (F.col("_t") - 1)).alias("_h")) for p, q in probs.items()]))))
+    here = lambda k: F.when((k >= F.col("_b")) & (k < F.col("_b") + F.col("_n")), k - F.col("_b"))
+    targets = (ranks.select(*by, "_bin", "level", "_p", "_h", here(F.floor("_h")).alias("_klo"),
+                            here(F.ceil("_h")).alias("_khi"))
+               .where(F.col("_klo").isNotNull() | F.col("_khi").isNotNull()))
+
+    # pass 2: count equal values of those bins and pick the wanted ones
+    cells = targets.select(*by, "_bin").distinct()
     if few_groups or not by:
-        spots = F.broadcast(spots)
-    if levels:
-        hit = base.join(spots, [*by, "_bin"])
-        hit = hit.where(F.col("_c") > F.col("level") if levels[2] else F.col("_c") <= F.col("level"))
-    else:
-        hit = base.join(spots, [*keys, "_bin"], "left_semi")
-    cell = Window.partitionBy(*keys, "_bin")
-    exact = (hit.groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"))
-             .withColumn("_b", _before(cell.orderBy("_v"))))
-    picked = (
-        exact.join(targets, [*keys, "_bin"])
-        .where((F.col("_inner") >= F.col("_b")) & (F.col("_inner") < F.col("_b") + F.col("_n")))
-        .groupBy(*keys, "_p", "_h")
-        .agg(F.min_by("_v", "_k").alias("_lo"), F.max_by("_v", "_k").alias("_hi"))
-        .withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h")))
-    )
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_p") == name, F.col("_q"))).alias(name) for name in probs])
+        cells = F.broadcast(cells)
+    hit = base.join(cells, [*by, "_bin"], "left_semi").groupBy(*by, "_bin", "_v").agg(*counts)
+    exact = with_before(hit, [*by, "_bin"], "_v")
+    start = F.get("_b", F.col("level"))
+    at = lambda k: F.when((k >= start) & (k < start + F.get("_n", F.col("level"))), F.col("_v"))
+    keys = [*by, "level"] if levels else by
+    pairs = exact.join(targets, [*by, "_bin"]).groupBy(*keys, "_p", "_h").agg(
+        F.max(at(F.col("_klo"))).alias("_lo"), F.max(at(F.col("_khi"))).alias("_hi"))
+    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h"))
+    return pairs.groupBy(*keys).agg(*[F.max(F.when(F.col("_p") == p, q)).alias(p) for p in probs])

@@ -31,7 +31,7 @@ def scan_and_report(bars: DataFrame, forward: bool, **kw) -> dict[str, DataFrame
 
 def threshold_report(scored: DataFrame, thresholds: Sequence[float] = metrics.SWEEP_GRID) -> dict[str, DataFrame]:
     """Sweep by scope, monthly pivot and the two recommended thresholds."""
-    sweep = materialise(metrics.threshold_sweep(metrics.with_periods(scored), thresholds, ["scope", "period"]), "sweep")
+    sweep = materialise(metrics.threshold_sweep(scored, thresholds, periods="date"), "sweep")
     full = sweep.where(F.col("scope") == "full")
     return {"sweep": sweep, "monthly": metrics.monthly_pivot(sweep.where(F.col("scope") == "month")),
             "best_ev": metrics.optimal_threshold(full, "expected_value_pct", 0.90),
