@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import exchange_clock
 from ..operators import balance, bars, compare, labels, metrics, monitoring, risk, scanners, splits, trades
 from ..operators.quality import validate
-from ..plans.consolidate import DAY, attach_news
+from ..plans.consolidate import attach_news
 from ..plans.features import prepare_training
 from ..operators.labels import future_price_vector
 from ..sources import views
@@ -49,7 +49,7 @@ def resample_options(spark, sf):
     "und", "news", "terms", opt=OPTION_SIDE_SQL))
 def consolidation_stats(spark, sf):
     from ..operators.flatten import flatten_with_fallback
-    u = attach_news(underlying_bars(spark, sf), views.news(spark, sf))
+    u = attach_news(underlying_bars(spark, sf), views.news(spark, sf), grid_ms=views.BAR_MS)
     return bars.consolidation_stats(flatten_with_fallback(u, option_side(spark, sf)))
 
 

@@ -93,7 +93,7 @@ _WITH_IV = f"""SELECT o.*, coalesce(v.iv, 0.20) AS implied_volatility FROM o LEF
          + ", ".join(f"{_lag_pct('close', n)} AS price_change_{n}m, {_lag_pct('implied_volatility', n)} AS iv_change_{n}m" for n in _LAGS)
          + " FROM i", "optbars", "und", o=_OPT, q=_QUOTE, chain_iv=ps.iv_chain("q"), i=_WITH_IV))
 def engineer_options(spark, sf):
-    return features.engineer_options(views.option_bars(spark, sf), underlying_bars(spark, sf))
+    return features.engineer_options(views.option_bars(spark, sf), underlying_bars(spark, sf), views.BAR_MS)
 
 
 def _log_ret(x: str, n: int, w: str) -> str:
@@ -164,7 +164,7 @@ ML_COLUMNS = (
 @add("C4_engineer_ml_features", ML_COLUMNS, sql(
     _ML, "optbars", "und", spy=_SPY, u1=_U1, u2=_U2, u3=_U3, u4=_U4, u5=_U5, u6=_U6, o=_O1, q=_QUOTE, chain_iv=ps.iv_chain("q"), o3=_O3, o4=_O4))
 def engineer_ml_features(spark, sf):
-    return features.engineer_ml_features(views.option_bars(spark, sf), underlying_bars(spark, sf))
+    return features.engineer_ml_features(views.option_bars(spark, sf), underlying_bars(spark, sf), grid_ms=views.BAR_MS)
 
 
 @add("C5_prepare_training", f"{_KEY} k:l price:d", sql("""

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import flatten
-from ..operators.asof import asof_join
+from ..operators.asof import asof_grid, asof_join
 from ..operators.balance import attach_class_weight, class_weights
 from ..operators.bars import opening_price, resample_ohlc, resample_ohlcv, resample_options
 from ..operators.compare import signal_overlap
 from ..operators.labels import future_price_vector
 from ..operators.selection import targeted_selection
 from ..operators.trades import trade_outcomes
-from ..plans.consolidate import DAY, attach_news, prefixed
+from ..plans.consolidate import DAY, align_index, attach_news
 from ..sources import views
 from .base import Catalog, sql
 from .predicates import DAILY_OPENS_SQL, daily_opens
@@ -33,7 +33,7 @@ def index_bars(spark, sf):
     SELECT und.*, idx.open AS vix_open, idx.close AS vix_close FROM und ASOF LEFT JOIN idx
         ON und.trade_date = idx.trade_date AND und.ts_ms >= idx.ts_ms""", "und", "idx"))
 def asof_bars(spark, sf):
-    return asof_join(underlying_bars(spark, sf), prefixed(index_bars(spark, sf), "vix"), by=DAY)
+    return align_index(underlying_bars(spark, sf), index_bars(spark, sf), grid_ms=views.BAR_MS)
 
 
 @add("J1_asof_join_ticks", "event_id:l trade_date:s ts_ms:l price:d view_id:l view_price:d", sql("""
@@ -53,7 +53,7 @@ def asof_ticks(spark, sf):
         SELECT und.*, n.article_id, n.sentiment, n.sentiment_reasoning, und.ts_ms - n.ts_ms <= 1800000 AS ok
         FROM und ASOF LEFT JOIN news n ON und.trade_date = n.trade_date AND und.ts_ms >= n.ts_ms) AS und""", "und", "news"))
 def asof_news(spark, sf):
-    return attach_news(underlying_bars(spark, sf), views.news(spark, sf), 1_800_000)
+    return attach_news(underlying_bars(spark, sf), views.news(spark, sf), 1_800_000, views.BAR_MS)
 
 
 @add("J3_asof_many_series", "ticker:s trade_date:s ts_ms:l close:d u_close:d u_volume:l", sql("""
@@ -62,7 +62,7 @@ def asof_news(spark, sf):
 def asof_series(spark, sf):
     side = underlying_bars(spark, sf).select("trade_date", "ts_ms", F.col("close").alias("u_close"),
                                              F.col("volume").alias("u_volume"))
-    return asof_join(views.bars(spark, sf), side, by=DAY)
+    return asof_grid(views.bars(spark, sf), side, views.BAR_MS)
 
 
 def option_side(spark, sf):

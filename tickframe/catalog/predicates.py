@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import contracts as con
-from ..functions.indicators import SERIES, add_rolling_mean, series_window, add_log_return
+from ..functions.indicators import layered, rolling_mean, series_window
 from ..functions.numeric import ratio
 from ..operators import quality, selection
 from ..operators.balance import RESERVED, align_features, feature_columns
@@ -298,7 +298,7 @@ def interpret_features(spark, sf):
 def cross_asset_ratios(spark, sf):
     b = views.bars(spark, sf)
     w = series_window(("trade_date",))
-    u = add_rolling_mean(b.where(F.col("ticker") == views.UNDERLYING), "volume", 30, "u_ma", w)
+    u = layered(b.where(F.col("ticker") == views.UNDERLYING), rolling_mean("volume", 30, "u_ma", w))
     u = u.select("trade_date", "ts_ms", "u_ma", *[F.col(c).alias(f"u_{c}") for c in ("close", "volume", "transactions")])
     return b.join(u, ["trade_date", "ts_ms"]).select(
         "ticker", "trade_date", "ts_ms", (F.col("close") - F.col("u_close")).alias("excess"),

@@ -43,8 +43,9 @@ _RETS = (1, 5, 15, 30, 60)
     "SELECT *, " + ", ".join(f"{_gated(_pct('close', n), n)} AS price_change_{n}m, {_gated(_pct('volume', n), n)} AS volume_change_{n}m"
                              for n in _LAGS) + " FROM c", "bars", c=_MSO))
 def lag_pct_change(spark, sf):
-    w, b = ind.series_window(), clocked(spark, sf)
-    return ind.add_lag_change(ind.add_lag_change(b, "close", "price_change", _LAGS, w), "volume", "volume_change", _LAGS, w)
+    w = ind.series_window()
+    return ind.layered(clocked(spark, sf), ind.lag_change("close", "price_change", _LAGS, w),
+                       ind.lag_change("volume", "volume_change", _LAGS, w))
 
 
 @add("W2_lag_pct_change_options", f"{_KEY} " + " ".join(f"price_change_{n}m:d iv_change_{n}m:d" for n in _LAGS), sql(
@@ -53,7 +54,7 @@ def lag_pct_change(spark, sf):
 def lag_pct_change_options(spark, sf):
     """Gated changes of two measures on option series; VWAP stands in for the volatility."""
     w, b = ind.series_window(), clocked(spark, sf).where(F.col("ticker").isin("purchase", "signup"))
-    return ind.add_lag_change(ind.add_lag_change(b, "close", "price_change", _LAGS, w), "vwap", "iv_change", _LAGS, w)
+    return ind.layered(b, ind.lag_change("close", "price_change", _LAGS, w), ind.lag_change("vwap", "iv_change", _LAGS, w))
 
 
 @add("W3_change_from_first", f"{_KEY} change:d", sql(
@@ -67,14 +68,14 @@ def change_from_first(spark, sf):
     "SELECT *, " + ", ".join(_gated(f"CASE WHEN close > 0 AND lag(close, {n}) OVER {_W} > 0 THEN ln(close / lag(close, {n}) OVER {_W}) * 100 END", n)
                              + f" AS ret_{n}m" for n in _RETS) + " FROM c", "bars", c=_MSO))
 def log_return(spark, sf):
-    return ind.add_log_return(clocked(spark, sf), "close", "ret", _RETS, ind.series_window())
+    return ind.layered(clocked(spark, sf), ind.log_return("close", "ret", _RETS, ind.series_window()))
 
 
 @add("W5_momentum", f"{_KEY} " + " ".join(f"price_change_{n}:d roc_{n}:d" for n in (5, 30, 60)), sql(
     "SELECT *, " + ", ".join(f"close - lag(close, {n}) OVER {_W} AS price_change_{n}, (close - lag(close, {n}) OVER {_W}) / "
                              f"nullif(lag(close, {n}) OVER {_W}, 0) AS roc_{n}" for n in (5, 30, 60)) + " FROM bars", "bars"))
 def momentum(spark, sf):
-    return ind.add_momentum(views.bars(spark, sf), "close", (5, 30, 60), ind.series_window())
+    return ind.layered(views.bars(spark, sf), ind.momentum("close", (5, 30, 60), ind.series_window()))
 
 
 @add("W6_rolling_mean", f"{_KEY} ma5:d ratio5:d ma30:d ratio30:d", sql("""
@@ -83,8 +84,8 @@ def momentum(spark, sf):
         avg(volume) OVER (PARTITION BY ticker, trade_date ORDER BY ts_ms ROWS 29 PRECEDING) AS ma30 FROM bars)""", "bars"))
 def rolling_mean(spark, sf):
     w = ind.series_window()
-    return ind.add_rolling_mean(ind.add_rolling_mean(views.bars(spark, sf), "volume", 5, "ma5", w, "ratio5"),
-                                "volume", 30, "ma30", w, "ratio30")
+    return ind.layered(views.bars(spark, sf), ind.rolling_mean("volume", 5, "ma5", w, "ratio5"),
+                       ind.rolling_mean("volume", 30, "ma30", w, "ratio30"))
 
 
 @add("W7_rolling_zscore", f"{_KEY} z:d", sql("""
@@ -101,7 +102,7 @@ def rolling_zscore(spark, sf):
     WINDOW a AS (PARTITION BY ticker, trade_date ORDER BY ts_ms ROWS 4 PRECEDING),
         b AS (PARTITION BY ticker, trade_date ORDER BY ts_ms ROWS 29 PRECEDING)""", "bars"))
 def return_volatility(spark, sf):
-    return ind.add_return_volatility(views.bars(spark, sf), "close", {5: "sd5", 30: "sd30"}, ind.series_window())
+    return ind.layered(views.bars(spark, sf), ind.return_volatility("close", {5: "sd5", 30: "sd30"}, ind.series_window()))
 
 
 @add("W9_hl_range", f"{_KEY} hl5:d hl30:d", sql("""
@@ -119,28 +120,28 @@ def hl_range(spark, sf):
     SELECT * REPLACE (CASE WHEN count(*) OVER (PARTITION BY {_BY}) >= 14 THEN rsi END AS rsi)
     FROM ({rsi_sql("bars", "close", "rsi", _BY)})""", "bars"))
 def rsi(spark, sf):
-    out = ind.add_rsi(views.bars(spark, sf), "close", "rsi", ind.series_window())
-    return ind.blank_short_series(out, ["rsi"], ind.RSI_PERIOD)
+    w = ind.series_window()
+    return ind.layered(views.bars(spark, sf), ind.after(ind.rsi("close", "rsi", w), ind.blank_short(["rsi"], ind.RSI_PERIOD, w)))
 
 
 @add("W11_ema", f"{_KEY} ema_9:d ema_21:d ema_diff:d", sql(
     f"SELECT *, ema_9 - ema_21 AS ema_diff FROM ({ewm_sql('(' + ewm_sql('bars', 'close', 'ema_9', 2 / 10, 9, _BY) + ')', 'close', 'ema_21', 2 / 22, 21, _BY)})", "bars"))
 def ema(spark, sf):
     w = ind.series_window()
-    out = ind.add_ema(ind.add_ema(views.bars(spark, sf), "close", 9, "ema_9", w), "close", 21, "ema_21", w)
+    out = ind.layered(views.bars(spark, sf), ind.ema("close", 9, "ema_9", w), ind.ema("close", 21, "ema_21", w))
     return out.withColumn("ema_diff", F.col("ema_9") - F.col("ema_21"))
 
 
 @add("W12_macd", f"{_KEY} macd:d macd_signal:d macd_hist:d", sql(
     macd_sql("bars", "close", "macd", "macd_signal", "macd_hist", _BY), "bars"))
 def macd(spark, sf):
-    return ind.add_macd(views.bars(spark, sf), "close", "macd", "macd_signal", "macd_hist", ind.series_window())
+    return ind.layered(views.bars(spark, sf), ind.macd("close", "macd", "macd_signal", "macd_hist", ind.series_window()))
 
 
 @add("W13_bollinger", f"{_KEY} bb_upper:d bb_middle:d bb_lower:d bb_width:d bb_pct_b:d", sql(
     bollinger_sql("bars", "close", "bb", _BY), "bars"))
 def bollinger(spark, sf):
-    return ind.add_bollinger(views.bars(spark, sf), "close", "bb", ind.series_window())
+    return ind.layered(views.bars(spark, sf), ind.bollinger("close", "bb", ind.series_window()))
 
 
 @add("W14_ffill_bfill", f"{_KEY} rsi:d ema_21:d", sql(f"""
@@ -151,8 +152,8 @@ def bollinger(spark, sf):
         f AS (PARTITION BY {_BY} ORDER BY ts_ms ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""", "bars"))
 def ffill_bfill(spark, sf):
     w = ind.series_window()
-    out = ind.add_ema(ind.add_rsi(views.bars(spark, sf), "close", "rsi", w), "close", 21, "ema_21", w)
-    return ind.fill_both_ways(out, ["rsi", "ema_21"], w)
+    both = ind.beside(ind.rsi("close", "rsi", w), ind.ema("close", 21, "ema_21", w))
+    return ind.layered(views.bars(spark, sf), ind.after(both, ind.fill_both_ways(["rsi", "ema_21"], w)))
 
 
 @add("W15_cum_share", f"{_KEY} share:d", sql("""

@@ -4,6 +4,11 @@ Every function expects bars on a time grid, so a (ticker, trade_date) partition
 holds at most one row per grid step (1,440 for minute bars) however large the
 table is.  Exponential averages are one running sum each: with weights
 (1-a)^-i the partial sums stay inside a double for about 3,000 rows at a = 0.2.
+
+A feature is a list of layers: dictionaries of columns, each layer using the
+columns of the ones before it.  ``layered`` adds several features layer by
+layer, so window functions of the same depth share one sort and one pass.
+Columns starting with an underscore are dropped at the end.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from pyspark.sql.window import WindowSpec
 from .numeric import log_pct, pct_from, ratio, rows, warm
 
 SERIES = ("ticker", "trade_date")
+Layers = list[dict[str, Column]]
 
 # Indicator periods.
 RSI_PERIOD = 14
@@ -36,106 +42,115 @@ def onward(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
 
-def spread(w: WindowSpec) -> WindowSpec:
+def whole(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def add_ewm(df: DataFrame, source: Column, name: str, alpha: float, w: WindowSpec,
-            min_periods: int) -> DataFrame:
+def layered(df: DataFrame, *features: Layers) -> DataFrame:
+    """Add features, one projection per layer."""
+    helpers: list[str] = []
+    for depth in range(max(len(f) for f in features)):
+        layer: dict[str, Column] = {}
+        for f in features:
+            if depth < len(f):
+                layer.update(f[depth])
+        helpers += [c for c in layer if c.startswith("_")]
+        df = df.withColumns(layer)
+    return df.drop(*helpers)
+
+
+def beside(*features: Layers) -> Layers:
+    """Features computed side by side."""
+    out: Layers = [{} for _ in range(max(len(f) for f in features))]
+    for f in features:
+        for depth, layer in enumerate(f):
+            out[depth].update(layer)
+    return out
+
+
+def after(first: Layers, second: Layers) -> Layers:
+    """``second`` on top of the columns of ``first``."""
+    return [*first, *second]
+
+
+def ewm(source: Column, name: str, alpha: float, w: WindowSpec, min_periods: int) -> Layers:
     """Exponential mean seeded with the first non-NULL input, NULL for the first inputs.
 
     NULLs may lead the series but not interrupt it.
     """
-    i = F.col("_i").cast("double")
-    first_weight = F.when(i == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-    value = F.pow(F.lit(1 - alpha), i) * F.sum("_wx").over(running(w))
-    return (
-        df.withColumn("_x", source)
-        .withColumn("_i", F.count("_x").over(running(w)) - 1)
-        .withColumn("_wx", F.when(F.col("_x").isNotNull(),
-                                  F.col("_x") * first_weight * F.pow(F.lit(1 - alpha), -i)))
-        .withColumn(name, F.when(F.col("_i") + 1 >= min_periods, value))
-        .drop("_x", "_i", "_wx")
-    )
+    x, i, wx = f"_{name}_x", f"_{name}_i", f"_{name}_wx"
+    at = F.col(i).cast("double")
+    first_weight = F.when(at == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    value = F.pow(F.lit(1 - alpha), at) * F.sum(wx).over(running(w))
+    return [
+        {x: source},
+        {i: F.count(x).over(running(w)) - 1},
+        {wx: F.when(F.col(x).isNotNull(), F.col(x) * first_weight * F.pow(F.lit(1 - alpha), -at))},
+        {name: F.when(F.col(i) + 1 >= min_periods, value)},
+    ]
 
 
-def add_ema(df: DataFrame, close: str, span: int, name: str, w: WindowSpec) -> DataFrame:
-    return add_ewm(df, F.col(close), name, 2.0 / (span + 1), w, span)
+def ema(close: str, span: int, name: str, w: WindowSpec) -> Layers:
+    return ewm(F.col(close), name, 2.0 / (span + 1), w, span)
 
 
-def add_rsi(df: DataFrame, close: str, name: str, w: WindowSpec, period: int = RSI_PERIOD) -> DataFrame:
+def rsi(close: str, name: str, w: WindowSpec, period: int = RSI_PERIOD) -> Layers:
     """Wilder RSI: exponential means of gains and losses, 100 when there is no loss."""
-    step = F.col(close) - F.lag(close).over(w)
-    gain = F.when(step > 0, step).otherwise(F.lit(0.0))
-    loss = F.when(step < 0, -step).otherwise(F.lit(0.0))
-    out = df.withColumn("_gain", gain).withColumn("_loss", loss)
-    out = add_ewm(out, F.col("_gain"), "_up", 1.0 / period, w, period)
-    out = add_ewm(out, F.col("_loss"), "_down", 1.0 / period, w, period)
-    rsi = F.when(F.col("_down") == 0, F.lit(100.0)).otherwise(
-        100 - 100 / (1 + ratio(F.col("_up"), F.col("_down"))))
-    return (out.withColumn(name, F.when(F.col("_down").isNotNull(), rsi))
-            .drop("_gain", "_loss", "_up", "_down"))
-
-
-def add_macd(df: DataFrame, close: str, line: str, signal: str, hist: str, w: WindowSpec,
-             fast: int = MACD_FAST, slow: int = MACD_SLOW, sign: int = MACD_SIGNAL) -> DataFrame:
-    out = add_ema(add_ema(df, close, fast, "_fast", w), close, slow, "_slow", w)
-    out = out.withColumn(line, F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    out = add_ewm(out, F.col(line), signal, 2.0 / (sign + 1), w, sign)
-    return out.withColumn(hist, F.col(line) - F.col(signal))
-
-
-def add_bollinger(df: DataFrame, close: str, prefix: str, w: WindowSpec,
-                  period: int = BB_PERIOD, width: float = BB_WIDTH) -> DataFrame:
+    step, up, down = f"_{name}_step", f"_{name}_up", f"_{name}_down"
+    gain = F.when(F.col(step) > 0, F.col(step)).otherwise(F.lit(0.0))
+    loss = F.when(F.col(step) < 0, -F.col(step)).otherwise(F.lit(0.0))
+    value = F.when(F.col(down) == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + ratio(F.col(up), F.col(down))))
+    means = beside(ewm(gain, up, 1.0 / period, w, period), ewm(loss, down, 1.0 / period, w, period))
+    return [{step: F.col(close) - F.lag(close).over(w)}, *means, {name: F.when(F.col(down).isNotNull(), value)}]
+
+
+def macd(close: str, line: str, signal: str, hist: str, w: WindowSpec,
+         fast: int = MACD_FAST, slow: int = MACD_SLOW, sign: int = MACD_SIGNAL) -> Layers:
+    f, s = f"_{line}_fast", f"_{line}_slow"
+    both = beside(ema(close, fast, f, w), ema(close, slow, s, w))
+    return [*both, {line: F.col(f) - F.col(s)}, *ewm(F.col(line), signal, 2.0 / (sign + 1), w, sign),
+            {hist: F.col(line) - F.col(signal)}]
+
+
+def bollinger(close: str, prefix: str, w: WindowSpec, period: int = BB_PERIOD, width: float = BB_WIDTH) -> Layers:
     """{prefix}_upper/_middle/_lower/_width/_pct_b with the population deviation."""
     frame = rows(w, period)
     full = F.count(close).over(frame) >= period
-    mid, up, low = F.col(f"{prefix}_middle"), F.col(f"{prefix}_upper"), F.col(f"{prefix}_lower")
-    return (
-        df.withColumn(f"{prefix}_middle", F.when(full, F.avg(close).over(frame)))
-        .withColumn("_sd", F.when(full, F.stddev_pop(close).over(frame)))
-        .withColumn(f"{prefix}_upper", mid + F.lit(width) * F.col("_sd"))
-        .withColumn(f"{prefix}_lower", mid - F.lit(width) * F.col("_sd"))
-        .withColumn(f"{prefix}_width", ratio(up - low, mid) * 100)
-        .withColumn(f"{prefix}_pct_b", ratio(F.col(close) - low, up - low))
-        .drop("_sd")
-    )
-
-
-def blank_short_series(df: DataFrame, cols: Sequence[str], min_bars: int,
-                       by: Sequence[str] = SERIES) -> DataFrame:
+    mid, up, low, sd = (f"{prefix}_middle", f"{prefix}_upper", f"{prefix}_lower", f"_{prefix}_sd")
+    return [
+        {mid: F.when(full, F.avg(close).over(frame)), sd: F.when(full, F.stddev_pop(close).over(frame))},
+        {up: F.col(mid) + F.lit(width) * F.col(sd), low: F.col(mid) - F.lit(width) * F.col(sd)},
+        {f"{prefix}_width": ratio(F.col(up) - F.col(low), F.col(mid)) * 100,
+         f"{prefix}_pct_b": ratio(F.col(close) - F.col(low), F.col(up) - F.col(low))},
+    ]
+
+
+def blank_short(cols: Sequence[str], min_bars: int, w: WindowSpec) -> Layers:
     """NULL the columns of every series with fewer than ``min_bars`` bars."""
-    out = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    for c in cols:
-        out = out.withColumn(c, F.when(F.col("_n") >= min_bars, F.col(c)))
-    return out.drop("_n")
+    n = F.count(F.lit(1)).over(whole(w))
+    return [{"_bars": n}, {c: F.when(F.col("_bars") >= min_bars, F.col(c)) for c in cols}]
 
 
-def add_momentum(df: DataFrame, close: str, windows: Sequence[int], w: WindowSpec,
-                 prefix: str = "") -> DataFrame:
+def momentum(close: str, windows: Sequence[int], w: WindowSpec, prefix: str = "") -> Layers:
     """Difference and fractional change against n rows earlier."""
+    out: dict[str, Column] = {}
     for n in windows:
         past = F.lag(close, n).over(w)
-        df = (df.withColumn(f"{prefix}price_change_{n}", F.col(close) - past)
-              .withColumn(f"{prefix}roc_{n}", ratio(F.col(close) - past, past)))
-    return df
+        out[f"{prefix}price_change_{n}"] = F.col(close) - past
+        out[f"{prefix}roc_{n}"] = ratio(F.col(close) - past, past)
+    return [out]
 
 
-def add_lag_change(df: DataFrame, col: str, name: str, windows: Sequence[int], w: WindowSpec,
-                   gate: str = "minutes_since_open") -> DataFrame:
+def lag_change(col: str, name: str, windows: Sequence[int], w: WindowSpec,
+               gate: str = "minutes_since_open") -> Layers:
     """{name}_{n}m: percent change against n rows earlier, 0.0 before minute n."""
-    for n in windows:
-        raw = pct_from(F.col(col), F.lag(col, n).over(w))
-        df = df.withColumn(f"{name}_{n}m", warm(raw, F.col(gate), n))
-    return df
+    return [{f"{name}_{n}m": warm(pct_from(F.col(col), F.lag(col, n).over(w)), F.col(gate), n) for n in windows}]
 
 
-def add_log_return(df: DataFrame, col: str, name: str, windows: Sequence[int], w: WindowSpec,
-                   gate: str = "minutes_since_open") -> DataFrame:
+def log_return(col: str, name: str, windows: Sequence[int], w: WindowSpec,
+               gate: str = "minutes_since_open") -> Layers:
     """{name}_{n}m: log return in percent, 0.0 before minute n."""
-    for n in windows:
-        df = df.withColumn(f"{name}_{n}m", warm(log_pct(F.col(col), F.lag(col, n).over(w)), F.col(gate), n))
-    return df
+    return [{f"{name}_{n}m": warm(log_pct(F.col(col), F.lag(col, n).over(w)), F.col(gate), n) for n in windows}]
 
 
 def change_from_first(col: str, w: WindowSpec) -> Column:
@@ -144,10 +159,10 @@ def change_from_first(col: str, w: WindowSpec) -> Column:
     return F.when(first > 0, pct_from(F.col(col), first))
 
 
-def add_rolling_mean(df: DataFrame, col: str, n: int, mean: str, w: WindowSpec,
-                     rel: str | None = None) -> DataFrame:
-    df = df.withColumn(mean, F.avg(col).over(rows(w, n)))
-    return df.withColumn(rel, ratio(F.col(col).cast("double"), F.col(mean))) if rel else df
+def rolling_mean(col: str, n: int, mean: str, w: WindowSpec, rel: str | None = None) -> Layers:
+    """Mean of the last n rows and, as ``rel``, the value relative to it."""
+    out: Layers = [{mean: F.avg(col).over(rows(w, n))}]
+    return [*out, {rel: ratio(F.col(col).cast("double"), F.col(mean))}] if rel else out
 
 
 def rolling_zscore(col: str, n: int, min_periods: int, w: WindowSpec) -> Column:
@@ -156,13 +171,12 @@ def rolling_zscore(col: str, n: int, min_periods: int, w: WindowSpec) -> Column:
     return ratio(F.col(col) - F.avg(col).over(frame), sd)
 
 
-def add_return_volatility(df: DataFrame, close: str, windows: dict[int, str], w: WindowSpec) -> DataFrame:
+def return_volatility(close: str, windows: dict[int, str], w: WindowSpec) -> Layers:
     """Sample deviation of one-row log returns in percent, at least two returns."""
-    df = df.withColumn("_ret", log_pct(F.col(close), F.lag(close).over(w)))
-    for n, name in windows.items():
-        frame = rows(w, n)
-        df = df.withColumn(name, F.when(F.count("_ret").over(frame) >= 2, F.stddev_samp("_ret").over(frame)))
-    return df.drop("_ret")
+    ret = f"_{close}_ret"
+    sd = lambda f: F.when(F.count(ret).over(f) >= 2, F.stddev_samp(ret).over(f))
+    return [{ret: log_pct(F.col(close), F.lag(close).over(w))},
+            {name: sd(rows(w, n)) for n, name in windows.items()}]
 
 
 def hl_range(high: str, low: str, close: str, n: int, w: WindowSpec) -> Column:
@@ -170,18 +184,15 @@ def hl_range(high: str, low: str, close: str, n: int, w: WindowSpec) -> Column:
     return ratio(F.max(high).over(frame) - F.min(low).over(frame), F.col(close)) * 100
 
 
-def fill_both_ways(df: DataFrame, cols: Sequence[str], w: WindowSpec) -> DataFrame:
+def fill_both_ways(cols: Sequence[str], w: WindowSpec) -> Layers:
     """Forward then backward fill inside the day.  Leaky: warm-up rows see later bars."""
-    for c in cols:
-        df = df.withColumn(c, F.coalesce(
-            F.last(c, ignorenulls=True).over(running(w)),
-            F.first(c, ignorenulls=True).over(onward(w))))
-    return df
+    return [{c: F.coalesce(F.last(c, ignorenulls=True).over(running(w)),
+                           F.first(c, ignorenulls=True).over(onward(w))) for c in cols}]
 
 
-def cumulative_share(col: str, w: WindowSpec, by: Sequence[str] = SERIES) -> Column:
+def cumulative_share(col: str, w: WindowSpec) -> Column:
     """Running sum over the day's total.  Leaky: the total includes later bars."""
-    total = F.sum(col).over(Window.partitionBy(*by))
+    total = F.sum(col).over(whole(w))
     return F.when(total > 0, F.sum(col).over(running(w)) / total)
 
 

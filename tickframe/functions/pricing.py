@@ -118,10 +118,8 @@ def add_greeks(df: DataFrame, spot: str = "spy_close", price: str = "option_avg_
     call = F.col("contract_type").isin("call", "c")
     vol = implied_vol(F.col(price), F.col(spot), F.col("strike_price"),
                       F.col("time_to_expiry_days"), call, rate)
-    out = df.withColumn("implied_volatility", F.when(ok, vol))
     priced = ok & (F.col(spot) > 0) & (F.col("strike_price") > 0)
     greeks = greek_columns(F.col(spot), F.col("strike_price"), F.col("time_to_expiry_days") / YEAR_DAYS,
                            F.col("implied_volatility"), call, rate)
-    for name, expr in greeks.items():
-        out = out.withColumn(name, F.when(priced, expr))
-    return out
+    return (df.withColumn("implied_volatility", F.when(ok, vol))
+            .withColumns({name: F.when(priced, expr) for name, expr in greeks.items()}))

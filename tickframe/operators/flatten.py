@@ -35,5 +35,11 @@ def underlying_only(underlying: DataFrame, option_side: DataFrame) -> DataFrame:
 
 
 def flatten_with_fallback(underlying: DataFrame, option_side: DataFrame, ts: str = "ts_ms") -> DataFrame:
-    return flatten_per_option(underlying, option_side, ts).unionByName(
-        underlying_only(underlying, option_side), allowMissingColumns=True)
+    """Both cases in one pass over the underlying.
+
+    Unmatched minutes survive only on days that have no option row at all; the
+    list of covered days is one short row per calendar day.
+    """
+    covered = F.broadcast(option_side.select("trade_date").distinct().withColumn("_covered", F.lit(True)))
+    joined = underlying.join(option_side, ["trade_date", ts], "left").join(covered, "trade_date", "left")
+    return joined.where(F.col("ticker").isNotNull() | F.col("_covered").isNull()).drop("_covered")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..functions.pricing import RISK_FREE, add_greeks
-from ..operators.asof import asof_join
+from ..operators.asof import asof_bars
 from ..operators.bars import MINUTE_MS, resample_ohlc, resample_ohlcv, resample_options
 from ..operators.flatten import flatten_with_fallback, option_rows
 
@@ -17,7 +17,6 @@ from ..operators.flatten import flatten_with_fallback, option_rows
 MOMENTUM_WINDOWS = (5, 30, 60)
 NEWS_LOOKBACK_MS = 24 * 3_600_000
 MIN_BARS = max(ind.MACD_SLOW, ind.BB_PERIOD) + 10
-NEWS_SLICE_MS = 3_600_000
 DAY = ("trade_date",)
 
 
@@ -25,38 +24,38 @@ def prefixed(bars: DataFrame, prefix: str, keep: Sequence[str] = ("trade_date",
     return bars.select(*keep, *[F.col(c).alias(f"{prefix}_{c}") for c in bars.columns if c not in keep])
 
 
-def align_index(underlying: DataFrame, index_bars: DataFrame, prefix: str = "vix") -> DataFrame:
+def align_index(underlying: DataFrame, index_bars: DataFrame, prefix: str = "vix",
+                grid_ms: int = MINUTE_MS) -> DataFrame:
     """Last index bar at or before each underlying bar of the same day."""
-    return asof_join(underlying, prefixed(index_bars, prefix), by=DAY)
+    return asof_bars(underlying, prefixed(index_bars, prefix), grid_ms, DAY)
 
 
-def add_indicators(df: DataFrame, prefix: str = "spy", min_bars: int = MIN_BARS) -> DataFrame:
+def indicator_layers(prefix: str = "spy", min_bars: int = MIN_BARS) -> ind.Layers:
     """RSI, MACD and Bollinger columns; all NULL on days with too few bars."""
     w, close = ind.series_window(DAY), f"{prefix}_close"
     macd = [f"{prefix}_macd", f"{prefix}_macd_signal", f"{prefix}_macd_histogram"]
     bands = [f"{prefix}_bb_{p}" for p in ("upper", "middle", "lower", "width")]
-    out = ind.add_rsi(df, close, f"{prefix}_rsi_14", w)
-    out = ind.add_macd(out, close, *macd, w)
-    out = ind.add_bollinger(out, close, f"{prefix}_bb", w).drop(f"{prefix}_bb_pct_b")
-    return ind.blank_short_series(out, [f"{prefix}_rsi_14", *macd, *bands], min_bars, DAY)
+    measured = ind.beside(ind.rsi(close, f"{prefix}_rsi_14", w), ind.macd(close, *macd, w),
+                          ind.bollinger(close, f"{prefix}_bb", w), ind.momentum(close, MOMENTUM_WINDOWS, w, f"{prefix}_"))
+    return ind.after(measured, ind.blank_short([f"{prefix}_rsi_14", *macd, *bands], min_bars, w))
 
 
-def attach_news(df: DataFrame, news: DataFrame, lookback_ms: int = NEWS_LOOKBACK_MS) -> DataFrame:
+def attach_news(df: DataFrame, news: DataFrame, lookback_ms: int = NEWS_LOOKBACK_MS,
+                grid_ms: int = MINUTE_MS) -> DataFrame:
     """Latest article at or before each bar, same day and within the lookback."""
     side = news.select("trade_date", "ts_ms", F.col("sentiment").alias("news_sentiment"),
                        F.col("sentiment_reasoning").alias("news_sentiment_reasoning"),
                        F.col("article_id").alias("news_article_id"))
-    return asof_join(df, side, by=DAY, tolerance=lookback_ms, tie="news_article_id", slice_width=NEWS_SLICE_MS)
+    return asof_bars(df, side, grid_ms, DAY, tolerance=lookback_ms, tie="news_article_id")
 
 
 def enrich_underlying(ticks: DataFrame, index_ticks: DataFrame, news: DataFrame, width_ms: int = MINUTE_MS,
                       order: str | None = None, prefix: str = "spy", index_prefix: str = "vix",
                       min_bars: int = MIN_BARS) -> DataFrame:
     bars = prefixed(resample_ohlcv(ticks, DAY, width_ms, order=order), prefix)
-    bars = align_index(bars, resample_ohlc(index_ticks, DAY, width_ms, order=order), index_prefix)
-    bars = add_indicators(bars, prefix, min_bars)
-    bars = ind.add_momentum(bars, f"{prefix}_close", MOMENTUM_WINDOWS, ind.series_window(DAY), f"{prefix}_")
-    return attach_news(bars, news)
+    bars = align_index(bars, resample_ohlc(index_ticks, DAY, width_ms, order=order), index_prefix, width_ms)
+    bars = ind.layered(bars, indicator_layers(prefix, min_bars)).drop(f"{prefix}_bb_pct_b")
+    return attach_news(bars, news, grid_ms=width_ms)
 
 
 def consolidate(ticks: DataFrame, index_ticks: DataFrame, option_ticks: DataFrame, contracts: DataFrame,
