@@ -7,30 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_MS = 86_400_000
-MINUTE_MS = 60_000
+from ..session import materialise
+
 _PREFIX = 5  # hex digits: 1,048,576 buckets
 
 
 def global_position(df: DataFrame, ts: str, tie: Sequence[str], name: str = "position") -> DataFrame:
     """0-based position of each row in (ts, tie) order over the whole table.
 
-    Counts per minute are summed over days and over the minutes of a day (both
-    bounded by the calendar); only rows of one minute are ever ordered together.
+    Rows are cut into sampled, even ranges of the full order, so a crowded
+    timestamp is split by its ties.  The ranges are written once to fix them;
+    after that only their sizes (one row per range) are summed globally.
     """
-    cut = (df.withColumn("_day", F.floor(F.col(ts) / DAY_MS))
-           .withColumn("_min", F.floor(F.col(ts) / MINUTE_MS)))
-    minutes = cut.groupBy("_day", "_min").agg(F.count(F.lit(1)).alias("_n"))
-    days = minutes.groupBy("_day").agg(F.sum("_n").alias("_dn"))
-    ahead = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("_day", F.coalesce(F.sum("_dn").over(ahead), F.lit(0)).alias("_d0"))
-    inside = Window.partitionBy("_day").orderBy("_min").rowsBetween(Window.unboundedPreceding, -1)
-    base = (minutes.withColumn("_m0", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-            .join(days, "_day").select("_day", "_min", (F.col("_d0") + F.col("_m0")).alias("_base")))
-    order = Window.partitionBy("_day", "_min").orderBy(ts, *tie)
-    return (cut.join(base, ["_day", "_min"])
+    ranged = df.repartitionByRange(F.col(ts), *[F.col(c) for c in tie])
+    placed = materialise(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = (placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+            .select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base")))
+    order = Window.partitionBy("_range").orderBy(ts, *tie)
+    # one row per range: as many as shuffle partitions
+    return (placed.join(F.broadcast(base), "_range")
             .withColumn(name, F.col("_base") + F.row_number().over(order) - 1)
-            .drop("_day", "_min", "_base"))
+            .drop("_range", "_base"))
 
 
 def shuffle_key(seed: int, keys: Sequence[str]) -> Column:

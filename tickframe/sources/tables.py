@@ -24,14 +24,13 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_partitions(df: DataFrame, path: str, partitions: Sequence[str] = (PARTITION,),
-                     sort: Sequence[str] = ("timestamp",), files_per_partition: int = 1) -> None:
+                     sort: Sequence[str] = ("timestamp",)) -> None:
     """Replace exactly the partitions present in ``df``.
 
-    Rows are placed by partition plus a hash of the row, so a heavy day can be
-    spread over several files by raising ``files_per_partition``.
+    The rebalance hint brings each partition together in as few files as the
+    advised size allows and splits a heavy day over several tasks.
     """
-    spread = F.pmod(F.xxhash64(*sort), F.lit(files_per_partition))
-    (df.repartition(*[F.col(c) for c in partitions], spread)
+    (df.hint("rebalance", *[F.col(c) for c in partitions])
      .sortWithinPartitions(*partitions, *sort)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partitions).parquet(path))
