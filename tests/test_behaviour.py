@@ -326,6 +326,21 @@ def test_date_bounds_prune_partitions(spark):
     assert "PartitionFilters: [isnotnull" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nan_is_read_as_null(spark):
+    path = scratch_path(spark, "nan")
+    schema = T.StructType([T.StructField("date", T.StringType()), T.StructField("x", T.DoubleType())])
+    spark.createDataFrame([("d", float("nan")), ("d", 1.0)], schema).write.parquet(path)
+    assert sorted(r["x"] or 0.0 for r in readers.load_features(spark, path, schema).collect()) == [0.0, 1.0]
+    assert readers.load_features(spark, path, schema).where("x is null").count() == 1
+
+
+def test_rows_in_windows_respect_exact_bounds(spark):
+    w = spark.createDataFrame([(1, "2024-01-15", "2024-03-10"), (2, "2024-03-01", "2024-03-31")], "split_index int, test_start string, test_end string")
+    df = spark.createDataFrame([("2024-01-14",), ("2024-01-15",), ("2024-02-29",), ("2024-03-10",), ("2024-03-11",)], "date string")
+    got = sorted((r["split_index"], r["date"]) for r in splits.rows_in_splits(df, w).collect())
+    assert got == [(1, "2024-01-15"), (1, "2024-02-29"), (1, "2024-03-10"), (2, "2024-03-10"), (2, "2024-03-11")]
+
+
 def test_upsert_touches_only_its_partitions_and_is_repeatable(spark):
     path = scratch_path(spark, "upsert")
     make = lambda rows: spark.createDataFrame(rows, "timestamp long, close double, trade_date string")

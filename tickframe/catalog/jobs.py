@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import join_results
 from ..operators.trades import build_trades
 from ..plans import features, reports
 from ..plans.consolidate import consolidate
@@ -242,10 +243,8 @@ def threshold_report(spark, sf):
             avg(min_loss_120m) FILTER (target = 0) AS l FROM scored WHERE proba >= 0.7)) GROUP BY s""", "scored"))
 def error_report(spark, sf):
     r = reports.error_report(build_trades(views.scored(spark, sf), 0.7))
-    one = F.lit(1).alias("_one")
-    head = r["report"].select("total_false_positives", F.col("p90_worst_drawdown_pct").alias("p90"), one)
-    ev = r["expected_value"].select("expected_value_pct", one)
-    return r["stops"].withColumn("_one", F.lit(1)).join(head, "_one").join(ev, "_one")
+    head = r["report"].select("total_false_positives", F.col("p90_worst_drawdown_pct").alias("p90"))
+    return join_results(join_results(r["stops"], head, ()), r["expected_value"].select("expected_value_pct"), ())
 
 
 @add("C11_full_comparison", RESULT_COLUMNS, sql(RESULTS_SQL, "scored_models", **_MODEL_TRADES))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 
@@ -40,5 +43,15 @@ def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
 
-def nan_to_null(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN becomes NULL in every floating-point column."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(float("nan"))) for c in floats}) if floats else df
+
+
+def join_results(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``a`` with the columns of ``b`` per group; without groups ``b`` is one row, read as a scalar."""
+    if by:
+        return a.join(b, list(by), "left")
+    row = b.select(F.struct(*b.columns)).scalar()
+    return a.withColumn("_row", row).select(*a.columns, "_row.*")

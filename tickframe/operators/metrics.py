@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_if, ratio
+from ..functions.numeric import count_if, join_results, ratio
 from .quantiles import above, exact_quantiles, up_to
 
 # Threshold grids.
@@ -77,14 +77,7 @@ def classification_metrics(df: DataFrame, threshold: float = 0.5, by: Sequence[s
     out = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"), ((tp + tn) / F.count(F.lit(1))).alias("accuracy"),
         p.alias("precision"), r.alias("recall"), f.alias("f1"))
-    return _join_one(out, roc_auc(df, by, label, score), by)
-
-
-def _join_one(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join two per-group results; without groups both are one row."""
-    if by:
-        return a.join(b, list(by), "left")
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    return join_results(out, roc_auc(df, by, label, score), by)
 
 
 def backtest_metrics(df: DataFrame, threshold: float, by: Sequence[str] = (), label: str = "target",
@@ -101,7 +94,7 @@ def backtest_metrics(df: DataFrame, threshold: float, by: Sequence[str] = (), la
         base.alias("avg_gain_all_bars"), sig.alias("avg_gain_signals"),
         F.avg(F.when(hit & y, g)).alias("avg_gain_tp"), F.avg(F.when(hit & ~y, g)).alias("avg_gain_fp"),
         F.when(base > 0, sig / base).alias("lift"))
-    return _join_one(out, roc_auc(df, by, label, score), by)
+    return join_results(out, roc_auc(df, by, label, score), by)
 
 
 def _cells(df: DataFrame, by: Sequence[str], values: dict[str, str]) -> DataFrame:

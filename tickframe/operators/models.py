@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_if
+from ..functions.numeric import count_if, join_results
 from ..session import materialise, scratch_path
 from .balance import align_features, attach_class_weight, class_weights, undersample_majority
 from .metrics import classification_metrics
@@ -118,9 +118,8 @@ def tune(df: DataFrame, features: Sequence[str], grid: dict[str, Sequence], metr
             fold = parts.where(F.col("fold") == i)
             model = fit(fold.where(F.col("role") == "train"), features, params)
             scored = score(model, fold.where(F.col("role") == "test"), features)
-            m = classification_metrics(scored.withColumn("_hit", F.col("proba") >= threshold), threshold)
             n = scored.agg(count_if(F.col("proba") >= threshold).alias("signals"))
-            row = m.withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one").first()
+            row = join_results(classification_metrics(scored, threshold), n, ()).first()
             scores.append((row[metric] or 0.0) if row["signals"] >= MIN_FOLD_SIGNALS else 0.0)
         trials.append((json.dumps(params, sort_keys=True), float(sum(scores) / len(scores)) if scores else 0.0))
     return df.sparkSession.createDataFrame(trials, "params string, score double")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_if, ratio
+from ..functions.numeric import count_if, join_results, ratio
 from .quantiles import exact_quantiles
 
 # Windows and alert limits.
@@ -74,10 +74,7 @@ def latency_percentiles(df: DataFrame, value: str = "latency_ms", by: Sequence[s
     """Mean, linear p50/p95/p99, maximum and whether p99 is under the limit."""
     q = exact_quantiles(df, by, value, {"p50": 0.50, "p95": 0.95, "p99": 0.99})
     head = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
-    key = list(by)
-    if not key:
-        key, head, q = ["_one"], head.withColumn("_one", F.lit(1)), q.withColumn("_one", F.lit(1))
-    return head.join(q, key).withColumn("meets_target", F.col("p99") < limit).drop("_one")
+    return join_results(head, q, by).withColumn("meets_target", F.col("p99") < limit)
 
 
 def error_rate(events: DataFrame, window_ms: int = ERROR_WINDOW_MS, limit_pct: float = MAX_ERROR_PCT,
@@ -154,7 +151,3 @@ def session_health(snapshots: DataFrame, now_ms: Column, by: Sequence[str] = ("s
     """Latest metrics per session and whether they are stale."""
     return (latest_per_group(snapshots, by, ts)
             .withColumn("age_ms", now_ms - F.col(ts)).withColumn("is_stale", F.col("age_ms") > stale_ms))
-
-
-def throughput_ratio(records: Column, seconds: Column) -> Column:
-    return F.coalesce(ratio(records.cast("double"), seconds.cast("double")), F.lit(0.0))

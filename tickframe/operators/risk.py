@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_if, ratio
+from ..functions.numeric import count_if, join_results, ratio
 from .quantiles import exact_quantiles
 
 # Report levels.
@@ -45,8 +45,7 @@ def risk_report(fp: DataFrame, loss: str = "min_loss_120m") -> DataFrame:
     q = q.select(F.col("p50").alias("median_worst_drawdown_pct"),
                  *[F.col(p).alias(f"{p}_worst_drawdown_pct") for p in ("p25", "p50", "p75", "p90")],
                  *[F.col(p).alias(f"stop_loss_{p}_pct") for p in ("p75", "p90", "p95")])
-    one = F.lit(1).alias("_one")
-    return head.select("*", one).join(q.select("*", one), "_one", "left").drop("_one")
+    return join_results(head, q, ())
 
 
 def stop_loss_impact(fp: DataFrame, levels: Sequence[float] = STOP_LEVELS,

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import exchange_clock
 from ..functions.contracts import option_type
 from ..functions.indicators import SERIES
-from ..functions.numeric import count_if, ratio
+from ..functions.numeric import count_if, join_results, ratio
 
 # Scan defaults and report bands.
 WINDOW_BARS = 120
@@ -142,8 +142,7 @@ def scan_summary(bars: DataFrame, events: DataFrame, by: Sequence[str] = ()) ->
         F.sum("above_20pct_duration_min").alias("minutes_above"),
         F.median("above_20pct_duration_min").alias("median_duration"),
         F.avg("above_20pct_duration_min").alias("mean_duration"))
-    joined = per_day.join(runs, list(by), "left") if by else per_day.join(runs, F.lit(True), "left")
-    return (joined.withColumn("minutes_above", F.coalesce("minutes_above", F.lit(0)))
+    return (join_results(per_day, runs, by).withColumn("minutes_above", F.coalesce("minutes_above", F.lit(0)))
             .withColumn("positive_minute_rate",
                         F.coalesce(ratio(F.col("minutes_above") * 100.0, F.col("total_bars").cast("double")),
                                    F.lit(0.0))))
@@ -163,7 +162,7 @@ def scan_observations(summary: DataFrame, hours: DataFrame) -> DataFrame:
         F.max(F.when(in_morning, F.col("events"))).alias("morning_max"),
         F.min(F.when(in_morning, F.col("events"))).alias("morning_min"),
         F.max_by("hour", F.when(in_morning, F.struct("events", -F.col("hour")))).alias("morning_peak"))
-    both = summary.join(peaks, F.lit(True), "left")
+    both = join_results(summary, peaks, ())
     rate, mean, med = F.col("positive_minute_rate"), F.col("mean_duration"), F.col("median_duration")
     some = F.col("total_events") > 0
     return both.select(

@@ -118,9 +118,16 @@ def sliding_sequences(df: DataFrame, features: Sequence[str], seq_len: int, by:
 
 
 def rows_in_splits(df: DataFrame, splits: DataFrame, part: str = "test", date: str = "date") -> DataFrame:
-    """Rows of each window's train or test range; a few windows, so a broadcast range join."""
+    """Rows of each window's train or test range.
+
+    Windows are spread over their calendar months, so the join is an equality
+    on the month with the exact range as residual; windows are a few per year.
+    """
     lo, hi = F.col(f"{part}_start"), F.col(f"{part}_end")
-    return df.join(F.broadcast(splits), (F.col(date) >= lo) & (F.col(date) <= hi))
+    months = F.sequence(F.trunc(F.to_date(lo), "MM"), F.to_date(hi), F.expr("interval 1 month"))
+    spread = splits.withColumn("_month", F.explode(F.transform(months, lambda m: F.date_format(m, "yyyy-MM"))))
+    joined = df.withColumn("_month", F.substring(date, 1, 7)).join(F.broadcast(spread), "_month")
+    return joined.where((F.col(date) >= lo) & (F.col(date) <= hi)).drop("_month")
 
 
 def date_splits(spark: SparkSession, dates: Sequence[str]) -> DataFrame:

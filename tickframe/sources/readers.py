@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions.numeric import nan_to_null
 
 # Vendor short names of bar fields.
 SHORT_NAMES = {"t": "timestamp", "o": "open", "h": "high", "l": "low", "c": "close",
@@ -31,7 +32,7 @@ def scan_bars(spark: SparkSession, path: str, source: str | None = None, start:
     parts = [T.StructField("source", T.StringType()), T.StructField("trade_date", T.StringType())]
     full = T.StructType([f for f in schema.fields if f.name != "source"] + parts)
     df = between_dates(spark.read.schema(full).parquet(path), start, end, "trade_date")
-    return df.where(F.col("source") == source) if source else df
+    return nan_to_null(df.where(F.col("source") == source) if source else df)
 
 
 def scan_contracts(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
@@ -57,14 +58,14 @@ def load_features(spark: SparkSession, path: str, schema: T.StructType, start: s
     if date_from_name:
         name = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{4}-\d{2}-\d{2})_", 1)
         df = df.withColumn("date", name)
-    return between_dates(df, start, end)
+    return nan_to_null(between_dates(df, start, end))
 
 
 def scan_labelable(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV or Parquet by suffix, without labels of an earlier run."""
     reader = spark.read.schema(schema)
     df = reader.option("header", "true").csv(path) if path.rstrip("/").endswith(".csv") else reader.parquet(path)
-    return drop_labels(df)
+    return nan_to_null(drop_labels(df))
 
 
 def drop_labels(df: DataFrame) -> DataFrame:
