@@ -13,7 +13,7 @@ from tickframe.operators.balance import undersample_majority
 from tickframe.operators.metrics import roc_auc, threshold_sweep
 from tickframe.operators.monitoring import error_rate, stalls
 from tickframe.operators.quality import dedup_last
-from tickframe.operators.quantiles import above, exact_quantiles, up_to
+from tickframe.operators.quantiles import exact_quantiles
 from tickframe.operators.ranking import global_position
 from tickframe.operators.risk import equal_width_histogram
 
@@ -122,7 +122,7 @@ def test_exact_quantiles_with_a_hot_value(spark):
 
 def test_exact_quantiles_over_overlapping_levels(spark):
     pdf = pd.DataFrame({"c": RNG.integers(0, 4, 400), "x": RNG.normal(10, 3, 400)})
-    got = exact_quantiles(spark.createDataFrame(pdf), [], "x", {"m": 0.5}, ("c", above(4) + up_to(4))).toPandas()
+    got = exact_quantiles(spark.createDataFrame(pdf), [], "x", {"m": 0.5}, ("c", 4), complement=True).toPandas()
     got = got.set_index("level").m
     for i in range(3):
         assert got[i] == pytest.approx(pdf[pdf.c > i].x.median())

@@ -18,6 +18,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, sf: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # trade dates are UTC dates
         return self.build(spark, sf).select(*[_spark_cast(c, k) for c, k in self.columns.items()])
 
     def oracle(self) -> str | None:

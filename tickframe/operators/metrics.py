@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import count_if, join_results, ratio
-from .quantiles import above, exact_quantiles, up_to
+from .quantiles import exact_quantiles
 
 # Threshold grids.
 SWEEP_GRID = tuple(round(0.70 + i / 100, 2) for i in range(26))
@@ -166,8 +166,7 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float] = SWEEP_GRID, by:
     if medians:
         # gains of positives, losses of negatives; levels 0..k-1 above, k..2k-1 below each threshold
         outcome = base.withColumn("_x", F.when(y, F.col("_gain")).otherwise(F.col("_loss")))
-        q = exact_quantiles(outcome, [*fine, "_y"], "_x", {"m": 0.5}, ("_c", above(k) + up_to(k)), True,
-                            rollup, [*keys, "_y"])
+        q = exact_quantiles(outcome, [*fine, "_y"], "_x", {"m": 0.5}, ("_c", k), True, True, rollup, [*keys, "_y"])
         above_it = F.col("level") < k
         q = q.groupBy(*keys, F.pmod("level", F.lit(k)).alias("level")).agg(
             F.max(F.when(above_it & y, F.col("m"))).alias("tp_profit_pct_median"),

@@ -12,7 +12,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Member = Callable[[Column], Column]
 _BINS_PER_E = 512
 _BIN_OFFSET = 400_000
 
@@ -23,25 +22,16 @@ def log_bin(v: Column) -> Column:
     return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
 
 
-def above(n: int) -> list[Member]:
-    """Level i takes the rows with more than i cuts reached."""
-    return [lambda c, i=i: c > i for i in range(n)]
-
-
-def up_to(n: int) -> list[Member]:
-    """Level i takes the rows with at most i cuts reached."""
-    return [lambda c, i=i: c <= i for i in range(n)]
-
-
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
-                    levels: tuple[str, Sequence[Member]] | None = None, few_groups: bool = False,
+                    levels: tuple[str, int] | None = None, complement: bool = False, few_groups: bool = False,
                     rollup: Callable[[DataFrame], DataFrame] | None = None,
                     rolled_by: Sequence[str] = ()) -> DataFrame:
     """One row per group with a linearly interpolated quantile per entry of ``probs``.
 
-    ``levels=(col, members)`` answers for several overlapping groups at once, each
-    given by a predicate on ``col``; the output column ``level`` numbers them.
-    Levels are counted side by side in columns, so rows are not replicated.
+    ``levels=(col, k)`` answers for k nested groups at once: level i of the output
+    column ``level`` covers the rows with ``col > i``.  With ``complement`` level
+    k + i covers the other rows.  Levels are counted side by side in columns, so
+    rows are not replicated.
 
     ``rollup`` maps rows keyed by ``by`` to rows keyed by ``rolled_by`` (for
     example days to days, months and the whole); the bin counts are rolled up
@@ -55,25 +45,33 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     base = df.select(*by, *([F.col(levels[0]).alias("_c")] if levels else []),
                      F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     base = base.withColumn("_bin", log_bin(F.col("_v")))
-    members = levels[1] if levels else [lambda c: F.lit(True)]
-    n = len(members)
-    counts = [F.count(F.when(m(F.col("_c")), F.lit(1))).alias(f"_n{i}") for i, m in enumerate(members)]
+    k = levels[1] if levels else 0
+    names = ["_all", *[f"_n{i}" for i in range(k)]]
+    counts = [F.count(F.lit(1)).alias("_all"),
+              *[F.count(F.when(F.col("_c") > i, F.lit(1))).alias(f"_n{i}") for i in range(k)]]
+
+    def per_level(cols: dict[str, Column]) -> Column:
+        """Array over levels of a count known for the nested groups and for all rows."""
+        nested = [cols[c] for c in names[1:]] or [cols["_all"]]
+        return F.array(*nested, *([cols["_all"] - c for c in nested] if complement else []))
 
     def with_before(counted: DataFrame, part: list[str], order: str) -> DataFrame:
         w = Window.partitionBy(*(part or [F.lit(0)])).orderBy(order)
         ahead = w.rowsBetween(Window.unboundedPreceding, -1)
         every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return counted.select(
-            *part, order,
-            F.array(*[F.col(f"_n{i}") for i in range(n)]).alias("_n"),
-            F.array(*[F.coalesce(F.sum(f"_n{i}").over(ahead), F.lit(0)) for i in range(n)]).alias("_b"),
-            F.array(*[F.sum(f"_n{i}").over(every) for i in range(n)]).alias("_t"))
+        summed = counted.select(
+            *part, order, *names,
+            *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_b") for c in names],
+            *[F.sum(c).over(every).alias(f"{c}_t") for c in names])
+        return summed.select(*part, order, *[
+            per_level({c: F.col(c + tail) for c in names}).alias(out)
+            for out, tail in (("_n", ""), ("_b", "_b"), ("_t", "_t"))])
 
     # pass 1: the bins that hold the lower and upper neighbour of each wanted rank
     binned = base.groupBy(*by, "_bin").agg(*counts)
     if rollup:
         by, base = list(rolled_by), rollup(base)
-        binned = rollup(binned).groupBy(*by, "_bin").agg(*[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(n)])
+        binned = rollup(binned).groupBy(*by, "_bin").agg(*[F.sum(c).alias(c) for c in names])
     hist = with_before(binned, by, "_bin")
     ranks = (
         hist.select(*by, "_bin", F.posexplode(F.arrays_zip("_n", "_b", "_t")).alias("level", "_z"))
