@@ -9,7 +9,6 @@ from ..operators import balance, bars, compare, labels, metrics, monitoring, ris
 from ..operators.quality import validate
 from ..plans.consolidate import attach_news
 from ..plans.features import prepare_training
-from ..operators.labels import future_price_vector
 from ..sources import views
 from .base import Catalog, sql
 from .joins import OPTION_SIDE_SQL, TRADES_SQL, index_bars, option_side, underlying_bars

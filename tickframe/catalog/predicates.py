@@ -10,12 +10,12 @@ from ..functions.indicators import layered, rolling_mean, series_window
 from ..functions.numeric import ratio
 from ..operators import quality, selection
 from ..operators.balance import RESERVED, align_features, feature_columns
-from ..operators.explain import FEATURE_BANDS, interpret
+from ..operators.explain import interpret
 from ..operators.metrics import apply_threshold
 from ..operators.scanners import event_filter
-from ..operators.trades import build_trades, trade_outcomes
+from ..operators.trades import trade_outcomes
 from ..sources import views
-from .base import CTES, Catalog, sql
+from .base import Catalog, sql
 
 CATALOG = Catalog()
 add = CATALOG.add
