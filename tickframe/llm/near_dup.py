@@ -25,7 +25,8 @@ from .store import Store
 from .words import find, grams, mix, pieces, stream
 
 _U = np.uint64
-_SKETCH = "doc_id bigint, n bigint, cls binary, bands array<bigint>"
+_SKETCH = "doc_id bigint, h bigint, n bigint, cls binary, bands array<bigint>"
+_NO_ID = (1 << 63) - 1
 _SETS = "cls binary, n bigint, shingles array<bigint>"
 
 
@@ -78,9 +79,9 @@ def _sketches(size: int, bands: int, rows: int):
             keys = [(mix((signature(u, rank).reshape(bands, rows) * weight).sum(axis=1) + salt)).view(np.int64)
                     if len(u) else None for u in sets]
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([len(u) for u in sets], pa.int64()),
+                part.column(0), part.column(2), pa.array([len(u) for u in sets], pa.int64()),
                 pa.array([_digest(u) if len(u) else None for u in sets], pa.binary()),
-                pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "cls", "bands"])
+                pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "n", "cls", "bands"])
     return run
 
 
@@ -143,7 +144,7 @@ def _rest(members: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     percent: int = 75, bands: int = 40, rows: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, text_hash, chosen) for each row of ``docs``.
 
     Two texts are linked if their sets of ``shingle`` words have a Jaccard
     similarity of at least ``percent`` / 100; with 40 bands of 4 rows a pair at
@@ -151,24 +152,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component and ``kept`` marks that row.  A text without words, an empty text
     and a null have no shingles and are linked with nothing (n_shingles 0, kept).
     A null id takes part in links but is never the smallest id unless all ids of its
-    component are null.  Rows that share an id are all marked like that id.  An
-    empty table gives an empty result; other columns are ignored.
+    component are null.  Rows that share an id are all marked like that id; ``chosen``
+    marks one text per component even then, named by (doc_id, text_hash), the
+    xxhash64 of the text.  An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     store = Store(spark, "near-dup")
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     rows_ = store.keep(base.mapInArrow(_sketches(shingle, bands, rows), _SKETCH), "sketch")
     full = rows_.where("n > 0")
-    classes = full.groupBy("cls").agg(F.min("n").alias("n"), F.min("doc_id").alias("first"),
-                                      F.min_by("bands", F.coalesce("doc_id", F.lit(1 << 62))).alias("bands"))
+    classes = full.groupBy("cls").agg(F.min("n").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("k"), "h")).alias("first"),
+                                      F.min_by("bands", "h").alias("bands"))
     spread = classes.select("cls", "n", "first", F.explode("bands").alias("key"))
     crowd = spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = store.keep(spread.join(crowd, "key"), "members")
 
     # full sets of the classes that share a bucket with another
     wanted = members.select("cls", "first").distinct()
-    texts = base.withColumn("_k", F.coalesce("doc_id", F.lit(-1 << 62))).join(
-        wanted.select(F.coalesce("first", F.lit(-1 << 62)).alias("_k")).distinct(), "_k", "left_semi").select("doc_id", "text")
+    texts = base.withColumn("k", F.coalesce("doc_id", F.lit(_NO_ID))).join(
+        wanted.select("first.*"), ["k", "h"], "left_semi").select("doc_id", "text")
     sets = store.keep(texts.mapInArrow(_full_sets(shingle), _SETS)
                       .join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
@@ -187,8 +189,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.select("cls", "first").join(label.withColumnRenamed("a", "cls"), "cls", "left").select(
         "cls", "first", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = store.keep(named.join(least, "root").select("cls", "component_id"), "names")
+    of_class = store.keep(named.join(least, "root").select("cls", F.col("component_id").alias("least")), "names")
     store.drop("members", "sets", "stars")
-    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")]
-    alone = rows_.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    return full.join(of_class, "cls").select(*out).union(alone.select(*out))
+    id_ = F.when(F.col("least.k") != _NO_ID, F.col("least.k"))
+    chosen = (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("least.k")) & (F.col("h") == F.col("least.h"))
+    alone = rows_.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("chosen", F.lit(True))
+    grouped = full.join(of_class, "cls").withColumn("component_id", id_).withColumn("chosen", chosen)
+    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+           F.col("h").alias("text_hash"), "chosen"]
+    return grouped.select(*out).union(alone.select(*out))

@@ -5,19 +5,84 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
+from .licences import ORACLE as LICENCE_SQL
+from .licences import licences
+from .line_templates import drop_templates
+from .lm_score import backoff_scores
+from .mixing import ORACLE as MIXING_SQL
+from .mixing import mixture
 from .near_dup import near_duplicates
+from .quality import judged
+from .store import Store
+from .token_records import write_index, write_records
+from .toxicity import toxic_passages
+from .url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return judged(_table(spark, sf, "documents")).drop("text_hash")
+
+
 def op4_near_dup(spark: SparkSession, sf: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf, "documents"))
+    return near_duplicates(_table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_token_records(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+    path = Store(spark, "records").path("tokens")
+    write_records(_table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return write_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_licences(spark: SparkSession, sf: str) -> DataFrame:
+    return licences(_table(spark, sf, "documents"))
+
+
+def op6_line_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return drop_templates(_table(spark, sf, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+def op8_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return backoff_scores(_table(spark, sf, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    scored = toxic_passages(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_urls(_table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_token_records": op2_token_records,
+    "op3_quality": op3_quality,
     "op4_near_dup": op4_near_dup,
+    "op5_licences": op5_licences,
+    "op6_line_templates": op6_line_templates,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_lm_score": op8_lm_score,
+    "op9_toxicity": op9_toxicity,
+    "op10_url_filter": op10_url_filter,
+}
+ORACLES: dict[str, str] = {
+    "op1_mixing": MIXING_SQL,
+    "op5_licences": LICENCE_SQL,
 }
-ORACLES: dict[str, str] = {}

@@ -9,10 +9,15 @@ from ..session import scratch_path
 _OPEN: list[str] = []
 
 
+def _system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder through Spark's file system layer."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    system, target = _system(spark, path)
+    system.delete(target, True)
 
 
 class Store:
@@ -25,6 +30,8 @@ class Store:
         if name not in self.paths:
             self.paths[name] = scratch_path(self.spark, f"{self.label}-{name}")
             _OPEN.append(self.paths[name])
+            system, target = _system(self.spark, self.paths[name])
+            system.deleteOnExit(target)  # what is still there when the session's JVM ends
         return self.paths[name]
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
