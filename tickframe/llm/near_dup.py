@@ -7,8 +7,8 @@ stay independent per bin.  Members of a band's bucket are compared with the
 bucket's hub only (the member that shares most buckets), which bounds the pairs by
 the members.  A link between two members that are not linked to the hub could be
 lost that way; buckets that still hold several components are therefore
-finished by an exact bound: shingles that no other such class has can't be
-shared, which leaves few pairs to compare.  All links are confirmed on full sets.
+finished by exact bounds on the places of shared shingles, which leave few pairs
+to compare.  All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .words import find, grams, mix, pieces, stream
 _U = np.uint64
 _SKETCH = "doc_id bigint, h bigint, n bigint, cls binary, bands array<bigint>"
 _NO_ID = (1 << 63) - 1
+_FILTER = 1 << 25  # bits, 4 MB whatever the input
 _SETS = "cls binary, n bigint, shingles array<bigint>"
 
 
@@ -85,9 +86,15 @@ def _sketches(size: int, bands: int, rows: int):
     return run
 
 
-def _full_sets(size: int):
+def _full_sets(size: int, bits: np.ndarray):
+    """Class and shingles of the texts whose place in the filter (third column) is set."""
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.filter(pa.array(bits[at // 64] >> (at % 64).astype(_U) & _U(1) == 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _sets(batches, size):
+        for part, sets in _sets(wanted(batches), size):
             sets = [u for u in sets if len(u)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([_digest(u) for u in sets], pa.binary()), pa.array([len(u) for u in sets], pa.int64()),
@@ -113,33 +120,53 @@ def _sizes_fit(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.lit(100) * F.least(n_a, n_b) >= F.lit(percent) * F.greatest(n_a, n_b)
 
 
-def _rest(members: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def _bits(names: DataFrame) -> np.ndarray:
+    """A bit for the hash of each (k, h): a filter of fixed size that passes every named row and, while it is sparse, few others."""
+    at = F.pmod(F.xxhash64("k", "h"), F.lit(_FILTER))
+    words = names.select(F.floor(at / 64).alias("w"), (at % 64).cast("int").alias("b")).groupBy("w").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b"))).alias("bits")).collect()
+    out = np.zeros(_FILTER // 64, np.int64)
+    for w, bits in words:
+        out[w] = bits
+    return out.view(np.uint64)
+
+
+def _rest(members: DataFrame, sets: DataFrame, label: DataFrame, percent: int, store: Store) -> DataFrame:
     """Pairs that may still be similar, from buckets with more than one component.
 
-    A class has ``own`` shingles that no other class of such buckets has.  With a
-    similarity of t the partner's size is at most (n - own) / t - own and at
-    least t * n, so a class is looked up only in the few size steps between.
+    Shingles of these classes are ordered from the rarest to the commonest.  Two
+    sets with a similarity of t share a shingle within the first
+    n - ceil(t * n) + 1 of each, and nothing before it, so a shared shingle at place
+    i leaves an overlap of n - i at most and a partner of at most
+    (n - i) * (1 + t) / t - n shingles.  Classes meet at such shingles in steps of
+    the partner's size; those of the shingle's largest component are not compared with each other.
     """
     t = percent / 100
     placed = members.join(label.withColumnRenamed("a", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    mixed = placed.join(open_keys, "key", "left_semi")
-    held = sets.join(mixed.select("cls").distinct(), "cls", "left_semi")
-    own = (held.select("cls", F.explode("shingles").alias("s")).groupBy("s")
-           .agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls")).where("c = 1")
-           .groupBy("cls").agg(F.count(F.lit(1)).alias("own")))
+    mixed = placed.join(open_keys, "key", "left_semi").select("cls", "root").distinct()
+    held = store.keep(sets.join(mixed, "cls").select("cls", "root", "n", F.explode("shingles").alias("s")), "held")
+    common = held.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = held.join(common, "s").groupBy("cls").agg(F.min("root").alias("root"), F.min("n").alias("n"),
+                                                       F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))  # of one set
+    first = F.col("n") - F.size("shared")  # shingles of no other class come before the shared ones
+    reach = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1 - first).cast("int")
+    prefix = ranked.select("cls", "root", "n", first.alias("first"), F.posexplode(F.slice("shared", F.lit(1), reach)).alias("i", "x"))
+    most = (F.col("n") - F.col("first") - F.col("i")) * F.lit((1 + t) / t) - F.col("n") + F.lit(1e-6)
+    prefix = store.keep(prefix.select("cls", "root", "n", F.col("x.s").alias("s"), most.alias("most"))
+                        .where(F.col("most") >= F.col("n") * t), "prefix")
+    crowd = prefix.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(
+        F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("major")).where("roots > 1")
     step = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05)))
-    most = (F.col("n") - F.col("own")) / F.lit(t) - F.col("own") + F.lit(1e-6)
-    bound = (mixed.join(own, "cls", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("most", most)
-             .where(F.col("most") >= F.col("n") * t))
-    side = lambda x: bound.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "root", "most")])
-    a = side("a").withColumn("step", F.explode(F.sequence(step(F.col("n_a") * t) - 1, step(F.col("most_a")) + 1)))
-    b = side("b").withColumn("step", step(F.col("n_b")))
-    return (a.join(b, ["key", "step"])
-            .where((F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b"))
-                   & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
+    side = lambda df, x: df.select("s", "step", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "root", "most")])
+    meeting = prefix.join(crowd.select("s", F.col("major.root").alias("major")), "s")
+    a = side(meeting.where("root <> major").withColumn(
+        "step", F.explode(F.sequence(step(F.col("n") * t) - 1, step(F.col("most")) + 1))), "a")
+    b = side(meeting.withColumn("step", step(F.col("n"))), "b")
+    return (a.join(b, ["s", "step"])
+            .where((F.col("root_a") != F.col("root_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
                    & _sizes_fit(F.col("n_a"), F.col("n_b"), percent))
-            .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct())
+            .select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -169,9 +196,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # full sets of the classes that share a bucket with another
     wanted = members.select("cls", "first").distinct()
-    texts = base.withColumn("k", F.coalesce("doc_id", F.lit(_NO_ID))).join(
-        wanted.select("first.*"), ["k", "h"], "left_semi").select("doc_id", "text")
-    sets = store.keep(texts.mapInArrow(_full_sets(shingle), _SETS)
+    named = base.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NO_ID)).alias("k"), "h")
+    texts = named.select("doc_id", "text", F.pmod(F.xxhash64("k", "h"), F.lit(_FILTER)).alias("at"))
+    sets = store.keep(texts.mapInArrow(_full_sets(shingle, _bits(wanted.select("first.*"))), _SETS)
                       .join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
     # a star in each bucket, around the member that shares most buckets
@@ -183,14 +210,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select("a", F.col("cls").alias("b")).distinct())
     linked = store.keep(_confirmed(stars, sets, percent), "stars")
     label = components(linked, store, "first")
-    more = _confirmed(_rest(members.select("key", "cls", "n"), sets, label, percent), sets, percent)
+    more = _confirmed(_rest(members.select("key", "cls"), sets, label, percent, store), sets, percent)
     label = components(label.select("a", F.col("root").alias("b")).union(more), store, "all")
 
     named = classes.select("cls", "first").join(label.withColumnRenamed("a", "cls"), "cls", "left").select(
         "cls", "first", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = store.keep(named.join(least, "root").select("cls", F.col("component_id").alias("least")), "names")
-    store.drop("members", "sets", "stars")
+    store.drop("members", "sets", "stars", "held", "prefix")
     id_ = F.when(F.col("least.k") != _NO_ID, F.col("least.k"))
     chosen = (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("least.k")) & (F.col("h") == F.col("least.h"))
     alone = rows_.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("chosen", F.lit(True))
