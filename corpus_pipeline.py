@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tickframe.llm.near_dup import near_duplicates
 from tickframe.llm.quality import judged
 from tickframe.llm.store import delete, release
 from tickframe.llm.token_records import write_index, write_records
-from tickframe.session import scratch_path
+from tickframe.session import scratch_path, shared_root
 
 #: BPE with word ends; the pipeline's name for it, resolved by the installed vocabulary package.
 TOKENIZER = "word_bpe_49k.json"
@@ -62,7 +64,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The offset index of the record files, which stay in the shared folder."""
     release(spark)
     import public_tokenizers
-    path = scratch_path(spark, "corpus-tokens")
+    path = f"{shared_root(spark)}/corpus-tokens-{uuid.uuid4().hex}"  # the pipeline's product: it stays
     write_records(docs, path, public_tokenizers.path(TOKENIZER))
     return write_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 

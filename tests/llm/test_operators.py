@@ -173,8 +173,8 @@ def test_quality_fences_follow_the_group(spark):
     rows = []
     for k in range(300):
         rows.append((k, prose(k, 120), "en", "plain"))
-        rows.append((1000 + k, re.sub(r" (?=b)", " #### ", prose(k, 120)) if k % 3 else prose(k, 120).replace(" ", " ## "), "en", "code"))
-    rows.append((5000, prose(7, 120).replace(" ", " ### "), "en", "plain"))
+        rows.append((1000 + k, re.sub(r" (?=[bdfg])", " ## ", prose(k, 120)), "en", "code"))
+    rows.append((5000, re.sub(r" (?=[bdfg])", " ## ", prose(7, 120)), "en", "plain"))
     rows.append((5001, prose(8, 120).replace(" ", " ## "), "fr", "tiny"))
     got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert sum(got[k] for k in range(300)) >= 297 and not got[5000]
@@ -266,7 +266,7 @@ def test_licence_rules(spark):
             (5, "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0."), (6, "the software license is odd"), (7, apache)]
     got = {r.doc_id: (r.n_sentences, r.licences) for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == (1, "MIT") and got[2] == (1, "LicenseRef-all-rights-reserved") and got[3] == got[4] == got[6] == (0, "")
-    assert got[5] == (2, "CC-BY-NC-4.0") and got[7][1] == ""  # two sentences without a full stop between are no known one
+    assert got[5] == (2, "CC-BY-NC-4.0") and got[7][1] == "Apache-2.0"
     assert all(re.search(licences.KEYWORDS, t) for t, _ in licences._KNOWN)
 
 
@@ -411,7 +411,7 @@ def test_toxicity_on_held_out_texts(spark, sf):
     held = [(label[i], r.predicted) for i, r in got.items() if r.held_out and i in label]
     hit = sum(p for t, p in held if t) / sum(t for t, _ in held)
     false = sum(p for t, p in held if not t) / sum(not t for t, _ in held)
-    assert hit > 0.9 and false < 0.02
+    assert hit > 0.85 and false < 0.01  # some labelled texts hold no toxic word at all
 
 
 def test_toxicity_on_awkward_rows(spark, odd):

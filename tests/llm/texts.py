@@ -11,7 +11,7 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint
 
 def prose(seed: int, n: int, vocabulary: int = 400) -> str:
     rng = random.Random(seed)
-    words = [f"{rng.choice('bdfglmnprst')}{rng.choice('aeiou')}{rng.choice('bdglmnrst')}{i % vocabulary:x}o" for i in rng.choices(range(vocabulary), k=n)]
+    words = [f"{rng.choice('bdfglmnprst')}{rng.choice('aeiou')}{rng.choice('bdglmnrst')}{''.join(chr(97 + int(c, 16)) for c in f'{i:x}')}o" for i in rng.choices(range(vocabulary), k=n)]
     out = []
     for k, w in enumerate(words):
         out.append(w + (".\n" if k % 37 == 36 else " "))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .store import Store
 from .words import Words, find, mix, pieces
 
-PLACES = 2_500_000  # pairs per partition
+PLACES = 1_250_000  # pairs per partition
 SHARE = 1e-4
 _U, _NEW = np.uint64, np.uint64(1 << 48)  # codes from here on are word hashes, those below are ranks of frequent words
 _START = np.uint64(0xA5A5A5A5A5A5)
@@ -316,7 +316,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = base.agg(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint"))).head()[0] or 0
     parts = int(total // places) + 1
     freq = frequent(base, min(share, 0.5 / parts), total)
-    buckets = 8 * parts
+    buckets = 4 * parts
     rows = base.mapInArrow(_explode(freq, buckets), _PACK).repartition(parts, "bucket")
     rows = rows.mapInArrow(_count(freq, buckets, least, backoff), _PACK).repartition(parts, "bucket")
     rows = rows.mapInArrow(_answer(buckets), _PACK).repartition(parts, "piece")

@@ -89,7 +89,10 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-encoder = functools.lru_cache(maxsize=2)(Encoder)  # one for the life of a Python worker
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for the life of a Python worker."""
+    return Encoder(path)
 
 
 def frame(payload: bytes) -> bytes:

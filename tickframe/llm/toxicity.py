@@ -39,8 +39,8 @@ def split_key(doc_id: str) -> Column:
 
 
 def stems(data: np.ndarray, w: Words) -> np.ndarray:
-    """A token for the first bytes of each longer word, 0 for the others."""
-    long = np.flatnonzero(w.end - w.start > _STEM)
+    """A token for the first bytes of each word that has as many, 0 for the others."""
+    long = np.flatnonzero(w.end - w.start >= _STEM)
     out = np.zeros(len(w.start), np.uint64)
     if len(long):
         byte = data[w.start[long][:, None] + np.arange(_STEM)].astype(np.uint64)
@@ -167,8 +167,39 @@ def _logistic(rows: list[tuple[float, int, int]], steps: int = 50) -> tuple[floa
     return float(beta[0]), float(max(beta[1], 0.0) / 10)
 
 
-def fit(docs: DataFrame, labels: DataFrame, store: Store, sample: int = SAMPLE, terms: int = TERMS) -> tuple[Scores, float, float, float]:
-    """Token scores, the log of the chance level per token, and the calibration's intercept and slope.
+def _rising(rows: list[tuple[float, int, int]]) -> list[tuple[float, float]]:
+    """(lower bound of the evidence, share of toxic texts) of the best rising step function: neighbours out of order are pooled."""
+    blocks: list[list[float]] = []
+    for x, n, y in sorted(rows):
+        blocks.append([x, float(n), float(y)])
+        while len(blocks) > 1 and (blocks[-1][2] + 0.25) / (blocks[-1][1] + blocks[-1][2] + 0.5) <= (
+                blocks[-2][2] + 0.5) / (blocks[-2][1] + blocks[-2][2] + 1):
+            _, n_, y_ = blocks.pop()
+            blocks[-1][1] += n_
+            blocks[-1][2] += y_
+    return [(x, (y + 0.25) / (n + y + 0.5)) for x, n, y in blocks]
+
+
+@dataclass
+class Calibration:
+    """From a text's evidence to the probability of the label: mostly the rising steps, a little of a logistic curve to order within them."""
+
+    log_k: float
+    intercept: float
+    slope: float
+    steps: list[tuple[float, float]]
+
+    def score(self) -> Column:
+        x = evidence(self.log_k)
+        curve = 1 / (1 + F.exp(-(F.lit(self.intercept) + F.lit(self.slope) * x)))
+        share = F.lit(self.steps[0][1]) if self.steps else curve
+        for bound, p in self.steps[1:]:
+            share = F.when(x >= bound, F.lit(p)).otherwise(share)
+        return F.lit(0.95) * share + F.lit(0.05) * curve
+
+
+def fit(docs: DataFrame, labels: DataFrame, store: Store, sample: int = SAMPLE, terms: int = TERMS) -> tuple[Scores, Calibration]:
+    """Token scores and the calibration.
 
     ``docs`` (doc_id, text); ``labels`` (doc_id, toxic) without the hold-out rows.
     """
@@ -205,7 +236,10 @@ def fit(docs: DataFrame, labels: DataFrame, store: Store, sample: int = SAMPLE,
     log_k = float(np.log((hits + 1) / (length + 1)) + 6)
     binned = seen.groupBy((F.floor(evidence(log_k) / _BIN) * _BIN).alias("x")).agg(
         F.count(F.when(~F.col("toxic"), 1)).alias("n"), F.count(F.when(F.col("toxic"), 1)).alias("y")).collect()
-    return model, log_k, *(_logistic([(float(r[0]), r[1], r[2]) for r in binned]) if binned else (-2.0, 0.1))
+    points = [(float(r[0]), r[1], r[2]) for r in binned]
+    if not (big_y and big_n):
+        return model, Calibration(log_k, -2.0, 0.1, [])
+    return model, Calibration(log_k, *_logistic(points), _rising(points))
 
 
 def toxic_passages(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -225,10 +259,9 @@ def toxic_passages(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     store = Store(docs.sparkSession, "toxic")
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).alias("toxic")).where(split_key("doc_id") != 1)
-    model, log_k, a, b = fit(base, held, store, sample, terms)
+    model, calibration = fit(base, held, store, sample, terms)
     store.drop("labelled", "train", "scored")
     scored = base.mapInArrow(_passages(model), f"doc_id bigint, n_tokens bigint, passages {_PASSAGE}")
-    p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * evidence(log_k))))
-    return scored.withColumn("score", p).select(
+    return scored.withColumn("score", calibration.score()).select(
         "doc_id", (split_key("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"),
         "n_tokens", "passages")

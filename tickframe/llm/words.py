@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 4 << 20  # bytes of text handled at once; one longer text is handled alone
+PIECE = 2 << 20  # bytes of text handled at once; one longer text is handled alone
 _SLICE = 1 << 20
 _U = np.uint64
 
