@@ -99,13 +99,17 @@ def test_future_vector_and_coverage(spark):
 # ── contracts and calendar ───────────────────────────────────────────────
 
 def test_symbols(spark):
-    rows = [("O:UND250307C00625000", "2025-03-03"), ("o_und250307p00625500", "2025-03-08"), ("junk", "2025-03-03"),
-            ("O:UND259907C00625000", "2025-03-03"), (None, "2025-03-03")]
+    rows = [("O:QQX260116C00431500", "2026-01-13"), ("o_qqx260116p00432250", "2026-01-17"), ("junk", "2026-01-13"),
+            ("O:QQX269916C00431500", "2026-01-13"), (None, "2026-01-13")]
     df = spark.createDataFrame(rows, "t string, d string").withColumn("p", con.parse_symbol(F.col("t"), F.col("d")))
     got = [tuple(r["p"]) for r in df.collect()]
-    assert got == [(625.0, 4.0, "c"), (625.5, 0.01, "p")] + [(400.0, 1.0, "c")] * 3
-    built = spark.createDataFrame([("und", "2025-03-07", "call", 625.0)], "u string, e string, k string, s double")
-    assert built.select(con.build_symbol(F.col("u"), F.to_date("e"), F.col("k"), F.col("s"))).first()[0] == "O:UND250307C00625000"
+    assert got == [(431.5, 3.0, "c"), (432.25, 0.01, "p")] + [(400.0, 1.0, "c")] * 3
+    built = spark.createDataFrame([("qqx", "2026-01-16", "call", 431.5), ("qqx", "2026-01-16", "put", 123456.5), ("qqx", "2026-01-16", "put", None)],
+                                  "u string, e string, k string, s double")
+    symbols = [r[0] for r in built.select(con.build_symbol(F.col("u"), F.to_date("e"), F.col("k"), F.col("s"))).collect()]
+    assert symbols == ["O:QQX260116C00431500", "O:QQX260116P123456500", None]
+    back = spark.createDataFrame([(symbols[1], "2026-01-13")], "t string, d string").select(con.parse_symbol(F.col("t"), F.col("d")).alias("p"))
+    assert back.first()["p"]["strike"] == 123456.5
 
 
 def test_ladder_puts_include_the_open(spark):
@@ -261,8 +265,12 @@ def test_overlap_counts(spark):
     rows = [("a", "x", "1", 0.9), ("b", "x", "1", 0.9), ("c", "x", "1", 0.9), ("a", "y", "1", 0.9), ("b", "y", "1", 0.9), ("a", "z", "1", 0.9), ("b", "z", "1", 0.1)]
     df = spark.createDataFrame(rows, "model string, ticker string, entry_time string, proba double")
     got = compare.signal_overlap(df, 0.8).collect()
-    assert {r["n_agree"]: r["signals"] for r in got} == {1: 1, 2: 1, 3: 1}
+    assert {(r["n_agree"], r["models"]): r["signals"] for r in got} == {(1, "a"): 1, (2, "a,b"): 1, (3, "a,b,c"): 1}
     assert (got[0]["total_unique_signals"], got[0]["all_models_agree"], got[0]["majority_agree"]) == (3, 1, 2)
+    silent = compare.signal_overlap(df.replace("c", "d", ["model"]).withColumn("proba", F.when(F.col("model") == "d", 0.1).otherwise(F.col("proba"))), 0.8)
+    assert {r["all_models_agree"] for r in silent.collect()} == {0}
+    none = compare.signal_overlap(df, 0.99).collect()
+    assert [(r["n_agree"], r["signals"], r["total_unique_signals"], r["all_models_agree"]) for r in none] == [(0, 0, 0, 0)]
 
 
 def test_insufficient_folds_are_marked(spark):
@@ -344,9 +352,9 @@ def test_rows_in_windows_respect_exact_bounds(spark):
 def test_upsert_touches_only_its_partitions_and_is_repeatable(spark):
     path = scratch_path(spark, "upsert")
     make = lambda rows: spark.createDataFrame(rows, "timestamp long, close double, trade_date string")
-    tables.upsert_partitions(make([(1, 1.0, "d1"), (1, 2.0, "d1"), (2, 5.0, "d2")]), path, arrival=("close",))
+    tables.upsert_partitions(make([(1, 1.0, "d1"), (1, 2.0, "d1"), (2, 5.0, "d2")]), path, ("timestamp",), ("close",))
     for _ in range(2):
-        tables.upsert_partitions(make([(1, 9.0, "d1"), (3, 4.0, "d1")]), path)
+        tables.upsert_partitions(make([(1, 9.0, "d1"), (3, 4.0, "d1")]), path, ("timestamp",), ("close",))
     got = {(r["trade_date"], r["timestamp"]): r["close"] for r in spark.read.parquet(path).collect()}
     assert got == {("d1", 1): 9.0, ("d1", 3): 4.0, ("d2", 2): 5.0}
 

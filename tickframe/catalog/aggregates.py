@@ -120,7 +120,7 @@ def _summary_sql(by: str) -> str:
     head, using = (f"{by}, ", f"USING ({by})") if by else ("", "ON true")
     group = f"GROUP BY {by}" if by else ""
     return f"""SELECT {head}d.*{" EXCLUDE (option_type)" if by else ""}, coalesce(minutes_above, 0) AS minutes_above, median_duration, mean_duration,
-        coalesce(minutes_above * 100.0::DOUBLE / total_bars, 0.0) AS positive_minute_rate
+        coalesce(minutes_above * 100.0::DOUBLE / (SELECT count(*) FROM optbars), 0.0) AS positive_minute_rate
     FROM (SELECT {head}count(*) AS contract_days, sum(bars) AS total_bars, sum(events) AS total_events,
         min(events) AS min_events, median(events) AS median_events, max(events) AS max_events
         FROM (SELECT b.trade_date, b.symbol, CASE WHEN b.symbol LIKE '%C000%' THEN 'C' ELSE 'P' END AS option_type,

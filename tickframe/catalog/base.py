@@ -80,8 +80,7 @@ CTES: dict[str, str] = {
     "terms": """SELECT trade_date, ticker, round(avg(price), 0) AS strike_price,
         strftime(CAST(trade_date AS DATE) + 2, '%Y-%m-%d') AS expiration_date,
         CASE WHEN ticker = 'purchase' THEN 'call' ELSE 'put' END AS contract_type
-        FROM ticks WHERE ticker IN ('purchase', 'signup') AND trade_date < '2024-01-21'
-        GROUP BY trade_date, ticker""",
+        FROM ticks WHERE ticker IN ('purchase', 'signup') GROUP BY trade_date, ticker""",
     "scored": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount,
         l_tax, l_linestatus, strftime(l_shipdate, '%Y-%m-%d') AS date,
         epoch_ms(l_shipdate) + ((l_orderkey * 7919) % 23400) * 1000 AS timestamp,
@@ -95,7 +94,7 @@ CTES: dict[str, str] = {
         floor(l_extendedprice * 100 / 750) / 100 AS close, CAST(9 + l_linenumber % 7 AS BIGINT) AS hour_et,
         CAST(l_partkey % 60 AS BIGINT) AS minute_et,
         'O:UND' || strftime(l_shipdate, '%y%m%d') || CASE WHEN l_partkey % 2 = 0 THEN 'C' ELSE 'P' END
-        || lpad(CAST(l_partkey * 100 AS VARCHAR), 8, '0') AS ticker FROM lineitem""",
+        || printf('%08d', l_partkey * 100) AS ticker FROM lineitem""",
     "scored_models": """SELECT * EXCLUDE (proba, proba_b, proba_c), 'a' AS model, proba FROM scored
         UNION ALL SELECT * EXCLUDE (proba, proba_b, proba_c), 'b', proba_b FROM scored
         UNION ALL SELECT * EXCLUDE (proba, proba_b, proba_c), 'c', proba_c FROM scored""",
@@ -125,14 +124,11 @@ def sql(body: str, *views: str, **extra: str) -> str:
 
 
 def ewm_sql(src: str, x: str, name: str, alpha: float, need: int, by: str) -> str:
-    """The running-sum exponential mean as nested SELECTs over ``src``."""
+    """The exponential mean by its recursion, folded over the values so far, as nested SELECTs over ``src``."""
     w = f"(PARTITION BY {by} ORDER BY ts_ms ROWS UNBOUNDED PRECEDING)"
-    keep = 1 - alpha
-    return f"""SELECT * EXCLUDE (_x, _i, _wx),
-        CASE WHEN _i + 1 >= {need} THEN pow({keep!r}::DOUBLE, _i) * sum(_wx) OVER {w} END AS {name} FROM (
-        SELECT *, CASE WHEN _x IS NOT NULL THEN _x * CASE WHEN _i = 0 THEN 1.0 ELSE {alpha!r}::DOUBLE END
-        * pow({keep!r}::DOUBLE, -_i) END AS _wx FROM (
-        SELECT *, count(_x) OVER {w} - 1 AS _i FROM (SELECT *, {x} AS _x FROM {src})))"""
+    return f"""SELECT * EXCLUDE (_x, _l), CASE WHEN len(_l) >= {need}
+            THEN list_reduce(_l, lambda a, x: {1 - alpha!r}::DOUBLE * a + {alpha!r}::DOUBLE * x) END AS {name} FROM (
+        SELECT *, list(CAST(_x AS DOUBLE)) FILTER (WHERE _x IS NOT NULL) OVER {w} AS _l FROM (SELECT *, {x} AS _x FROM {src}))"""
 
 
 def rsi_sql(src: str, close: str, name: str, by: str, period: int = 14) -> str:

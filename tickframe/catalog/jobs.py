@@ -178,22 +178,40 @@ def prepare_training(spark, sf):
     return v.select("ticker", "trade_date", "ts_ms", F.posexplode("target_future_prices").alias("i", "price")).withColumn("k", F.col("i") + 1)
 
 
+def _raw_ticks(spark, sf):
+    """Ticks as vendor records; every thirteenth lacks its prices."""
+    t = views.ticks(spark, sf)
+    price = F.when(F.pmod("event_id", F.lit(13)) != 0, F.col("price"))
+    return t.select(*[price.alias(c) for c in ("o", "h", "l", "c", "vw")], F.col("volume").alias("v"),
+                    (F.col("ts_ms") - F.pmod("ts_ms", F.lit(views.BAR_MS))).alias("t"), F.col("transactions").alias("n"), "ticker")
+
+
 @add("C6_backfill", "trade_date:s ticker:s timestamp:l close:d volume:l source:s", sql("""
     SELECT trade_date, ticker, bar AS timestamp, close, volume, 'equity' AS source FROM (
     SELECT *, ts_ms - ts_ms % 900000 AS bar, row_number() OVER (PARTITION BY ticker, ts_ms - ts_ms % 900000 ORDER BY volume DESC, price DESC) AS rn
     FROM ticks WHERE event_id % 13 <> 0) WHERE rn = 1""", "ticks"))
 def backfill(spark, sf):
     """Two runs over the same input: the second finds every day in the ledger and writes nothing."""
-    t = views.ticks(spark, sf)
-    price = F.when(F.pmod("event_id", F.lit(13)) != 0, F.col("price"))
-    raw = t.select(*[price.alias(c) for c in ("o", "h", "l", "c", "vw")], F.col("volume").alias("v"),
-                   (F.col("ts_ms") - F.pmod("ts_ms", F.lit(views.BAR_MS))).alias("t"), F.col("transactions").alias("n"), "ticker")
+    raw = _raw_ticks(spark, sf)
     table, ledger = scratch_path(spark, "table"), scratch_path(spark, "ledger")
-    done = reports.backfill(raw, "equity", table, None, ledger, ("ticker", "timestamp"), ("volume", "close"))
-    reports.backfill(raw, "equity", table, spark.read.schema(done.schema).parquet(ledger), ledger, ("ticker", "timestamp"), ("volume", "close"))
+    reports.backfill(raw, "equity", table, None, ledger, ("ticker", "timestamp"), ("volume", "close"))
+    reports.backfill(raw, "equity", table, spark.read.parquet(ledger), ledger, ("ticker", "timestamp"), ("volume", "close"))
     return spark.read.parquet(table)
 
 
+@add("C6_backfill_ledger", "source:s date:s fetched:l valid:l invalid:l duplicates:l written:l rejected:l", sql("""
+    SELECT 'equity' AS source, trade_date AS date, sum(n) AS fetched, sum(v) AS valid, sum(n - v) AS invalid,
+        sum(greatest(v - 1, 0)) AS duplicates, count(*) FILTER (v > 0) AS written, sum(n - v) AS rejected
+    FROM (SELECT trade_date, ticker, ts_ms - ts_ms % 900000 AS k, count(*) AS n, count(*) FILTER (event_id % 13 <> 0) AS v
+          FROM ticks GROUP BY ALL) GROUP BY trade_date""", "ticks"))
+def backfill_ledger(spark, sf):
+    """Counts per day from the ledger, beside the rejected rows found in their folder."""
+    table, ledger, rejects = (scratch_path(spark, n) for n in ("table", "ledger", "rejects"))
+    reports.backfill(_raw_ticks(spark, sf), "equity", table, None, ledger, ("ticker", "timestamp"), ("volume", "close"), rejects)
+    thrown = spark.read.parquet(rejects).groupBy("date").agg(F.count(F.lit(1)).alias("rejected"))
+    return spark.read.parquet(ledger).join(thrown, "date", "left").fillna(0, ["rejected"])
+
+
 @add("C7_scan_and_report_backward", "contract_days:l total_bars:l total_events:l max_events:l minutes_above:l mean_duration:d positive_minute_rate:d", sql("""
     SELECT (SELECT count(DISTINCT (ticker, trade_date)) FROM bars) AS contract_days, (SELECT count(*) FROM bars) AS total_bars,
         sum(n) AS total_events, max(n) AS max_events, sum(m) AS minutes_above, sum(m) / CAST(sum(n) AS DOUBLE) AS mean_duration,

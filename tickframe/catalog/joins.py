@@ -88,9 +88,11 @@ def flatten_options(spark, sf):
 @add("J5_underlying_fallback", _FLAT, sql("""
     SELECT * FROM und JOIN opt USING (trade_date, ts_ms)
     UNION ALL BY NAME SELECT * FROM und WHERE trade_date NOT IN (SELECT trade_date FROM opt)""",
-    "und", "terms", opt=OPTION_SIDE_SQL))
+    "und", "terms", opt=f"SELECT * FROM ({OPTION_SIDE_SQL}) WHERE trade_date < '2024-01-21'"))
 def flatten_fallback(spark, sf):
-    return flatten.flatten_with_fallback(underlying_bars(spark, sf), option_side(spark, sf))
+    """Option bars of the last days are left out: these days show the fallback."""
+    side = option_side(spark, sf).where(F.col("trade_date") < "2024-01-21")
+    return flatten.flatten_with_fallback(underlying_bars(spark, sf), side)
 
 
 TARGETED_SQL = """SELECT trade_date, contract_type, rank, ticker, strike_price, expiration_date FROM (
@@ -146,12 +148,13 @@ TRADES_SQL = """SELECT *, CASE WHEN down AND up THEN 'Stop-loss (before target)'
     FROM {src} WHERE close > 0) WHERE num_contracts >= 1)"""
 
 
-@add("J8_signal_overlap", "n_agree:l signals:l total_unique_signals:l all_models_agree:l majority_agree:l", sql("""
-    SELECT n_agree, count(*) AS signals, sum(count(*)) OVER () AS total_unique_signals,
-        sum(CASE WHEN n_agree = 3 THEN count(*) ELSE 0 END) OVER () AS all_models_agree,
+@add("J8_signal_overlap", "n_agree:l models:s signals:l total_unique_signals:l all_models_agree:l majority_agree:l", sql("""
+    SELECT n_agree, models, count(*) AS signals, sum(count(*)) OVER () AS total_unique_signals,
+        sum(CASE WHEN n_agree = (SELECT count(DISTINCT model) FROM trades) THEN count(*) ELSE 0 END) OVER () AS all_models_agree,
         sum(CASE WHEN n_agree >= 2 THEN count(*) ELSE 0 END) OVER () AS majority_agree
-    FROM (SELECT ticker, entry_time, count(DISTINCT model) AS n_agree FROM trades WHERE proba >= 0.8 GROUP BY ALL)
-    GROUP BY n_agree""", "scored_models", trades=TRADES_SQL.format(src="scored_models")))
+    FROM (SELECT ticker, entry_time, count(DISTINCT model) AS n_agree, string_agg(DISTINCT model, ',' ORDER BY model) AS models
+          FROM trades WHERE proba >= 0.8 GROUP BY ticker, entry_time)
+    GROUP BY n_agree, models""", "scored_models", trades=TRADES_SQL.format(src="scored_models")))
 def overlap(spark, sf):
     return signal_overlap(trade_outcomes(views.scored_models(spark, sf)), 0.8)
 

@@ -10,6 +10,7 @@ from ..sources import views
 from . import pricing_sql as ps
 from .base import Catalog, sql
 from .joins import TRADES_SQL
+from .windows import drift_sql
 
 CATALOG = Catalog()
 add = CATALOG.add
@@ -142,10 +143,7 @@ def feature_importance(spark, sf):
 _PART = {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_size": "bigint", "p_container": "string"}
 
 
-@add("O1_schema_drift", "kind:s column:s expected:s actual:s n:l", """
-    SELECT kind, "column", expected, actual, count(*) AS n FROM part, (VALUES ('new_column', 'p_retailprice', NULL, 'double'),
-        ('new_column', 'p_type', NULL, 'string'), ('missing_column', 'p_container', 'string', NULL),
-        ('type_change', 'p_size', 'bigint', 'int')) AS v(kind, "column", expected, actual) GROUP BY ALL""")
+@add("O1_schema_drift", "kind:s column:s expected:s actual:s n:l", drift_sql("part", _PART))
 def schema_drift(spark, sf):
     p = views.table(spark, sf, "part")
     return quality.schema_drift(spark, p.schema, _PART).withColumn("n", p.agg(F.count(F.lit(1))).scalar())

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import contracts as con
-from ..functions.indicators import layered, rolling_mean, series_window
-from ..functions.numeric import ratio
+from ..functions.indicators import layered, plain_change, rolling_mean, series_window
 from ..operators import quality, selection
 from ..operators.balance import RESERVED, align_features, feature_columns
 from ..operators.explain import interpret
 from ..operators.metrics import apply_threshold
 from ..operators.scanners import event_filter
 from ..operators.trades import trade_outcomes
+from ..plans.features import cross_asset
 from ..sources import views
 from .base import Catalog, sql
 
@@ -120,11 +120,11 @@ _SYMBOLS = "SELECT *, CASE WHEN l_linenumber = 6 THEN 'UND' || l_partkey ELSE ti
 
 
 @add("P6_parse_symbol", "l_orderkey:l l_linenumber:l l_partkey:l strike:d tte_days:d flag:s", sql("""
-    SELECT *, CASE WHEN ok THEN CAST(regexp_extract(symbol, '(\\d{6})([CP])(\\d{8})$', 3) AS DOUBLE) / 1000 ELSE 400.0 END AS strike,
+    SELECT *, CASE WHEN ok THEN CAST(regexp_extract(symbol, '(\\d{6})([CP])(\\d{8,15})$', 3) AS DOUBLE) / 1000 ELSE 400.0 END AS strike,
         CASE WHEN ok THEN greatest(CAST(date_diff('day', CAST(date AS DATE), CAST(strptime('20' ||
-            regexp_extract(symbol, '(\\d{6})([CP])(\\d{8})$', 1), '%Y%m%d') AS DATE)) AS DOUBLE), 0.01) ELSE 1.0 END AS tte_days,
-        CASE WHEN ok THEN lower(regexp_extract(symbol, '(\\d{6})([CP])(\\d{8})$', 2)) ELSE 'c' END AS flag
-    FROM (SELECT *, regexp_matches(symbol, '(\\d{6})([CP])(\\d{8})$') AS ok FROM s)""", "scored", s=_SYMBOLS))
+            regexp_extract(symbol, '(\\d{6})([CP])(\\d{8,15})$', 1), '%Y%m%d') AS DATE)) AS DOUBLE), 0.01) ELSE 1.0 END AS tte_days,
+        CASE WHEN ok THEN lower(regexp_extract(symbol, '(\\d{6})([CP])(\\d{8,15})$', 2)) ELSE 'c' END AS flag
+    FROM (SELECT *, regexp_matches(symbol, '(\\d{6})([CP])(\\d{8,15})$') AS ok FROM s)""", "scored", s=_SYMBOLS))
 def parse_symbol(spark, sf):
     s = views.scored(spark, sf)
     symbol = F.when(F.col("l_linenumber") == 6, F.concat(F.lit("UND"), F.col("l_partkey").cast("string"))).otherwise(F.col("ticker"))
@@ -133,7 +133,7 @@ def parse_symbol(spark, sf):
 
 @add("P7_build_symbol", "p_partkey:l symbol:s", sql("""
     SELECT p_partkey, 'O:UND' || strftime(CAST(expiration_date AS DATE), '%y%m%d') || upper(contract_type[1])
-        || lpad(CAST(CAST(round(strike_price * 1000) AS BIGINT) AS VARCHAR), 8, '0') AS symbol FROM contracts""", "contracts"))
+        || printf('%08d', CAST(round(strike_price * 1000) AS BIGINT)) AS symbol FROM contracts""", "contracts"))
 def build_symbol(spark, sf):
     c = views.contracts(spark, sf)
     return c.select("p_partkey", con.build_symbol(F.lit("und"), F.to_date("expiration_date"), F.col("contract_type"),
@@ -186,7 +186,7 @@ DAILY_OPENS_SQL = """SELECT strftime(CAST(expiration_date AS DATE) - 1, '%Y-%m-%
 
 @add("P10_construct_contracts", "trade_date:s contract_type:s position:l strike_price:d expiration_date:s ticker:s", sql(f"""
     SELECT *, 'O:UND' || strftime(expiration_date, '%y%m%d') || upper(contract_type[1])
-        || lpad(CAST(CAST(round(strike_price * 1000) AS BIGINT) AS VARCHAR), 8, '0') AS ticker FROM (
+        || printf('%08d', CAST(round(strike_price * 1000) AS BIGINT)) AS ticker FROM (
     SELECT *, CAST(trade_date AS DATE) + CASE isodow(CAST(trade_date AS DATE)) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END
         AS expiration_date FROM ({_LADDER_SQL}))""", "contracts", opens=DAILY_OPENS_SQL))
 def construct_contracts(spark, sf):
@@ -196,10 +196,9 @@ def construct_contracts(spark, sf):
 @add("P11_discover_in_range", "trade_date:s ticker:s strike_price:d contract_type:s", sql("""
     SELECT o.trade_date, c.* FROM contracts c JOIN opens o
         ON CAST(c.expiration_date AS DATE) = CAST(o.trade_date AS DATE) + 1
-    WHERE strike_price BETWEEN round(opening_price * 0.97, 2) AND round(opening_price * 1.03, 2)
-    QUALIFY row_number() OVER (PARTITION BY o.trade_date ORDER BY ticker) <= 10""", "contracts", opens=DAILY_OPENS_SQL))
+    WHERE strike_price BETWEEN round(opening_price * 0.97, 2) AND round(opening_price * 1.03, 2)""", "contracts", opens=DAILY_OPENS_SQL))
 def discover_in_range(spark, sf):
-    return selection.discover_in_range(views.contracts(spark, sf), daily_opens(spark, sf), 0.03, 1, 10)
+    return selection.discover_in_range(views.contracts(spark, sf), daily_opens(spark, sf), 0.03, 1)
 
 
 @add("P12_option_type", "l_orderkey:l l_linenumber:l l_partkey:l kind:s", sql(
@@ -290,21 +289,22 @@ def interpret_features(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
-@add("P19_cross_asset", "ticker:s trade_date:s ts_ms:l excess:d vwap_dist:d vol_regime:d tx_ratio:d", sql("""
-    SELECT b.ticker, b.trade_date, b.ts_ms, (b.close - u.close) AS excess, (b.close - b.vwap) / nullif(b.vwap, 0) * 100 AS vwap_dist,
-        u.volume / nullif(u.ma, 0) AS vol_regime, b.transactions / nullif(CAST(u.transactions AS DOUBLE), 0) AS tx_ratio
-    FROM bars b JOIN (SELECT *, avg(volume) OVER (PARTITION BY trade_date ORDER BY ts_ms ROWS 29 PRECEDING) AS ma FROM und) u
+@add("P19_cross_asset", "ticker:s trade_date:s ts_ms:l opt_vs_u_return_1m:d opt_vwap_dist_pct:d u_vol_regime:d opt_vol_pct_cumday:d transactions_ratio:d", sql("""
+    SELECT b.ticker, b.trade_date, b.ts_ms, b.r - u.r AS opt_vs_u_return_1m, (b.close - b.vwap) / nullif(b.vwap, 0) * 100 AS opt_vwap_dist_pct,
+        u.volume / nullif(u.ma, 0) AS u_vol_regime, b.share AS opt_vol_pct_cumday,
+        b.transactions / nullif(CAST(u.transactions AS DOUBLE), 0) AS transactions_ratio
+    FROM (SELECT *, (close - lag(close) OVER w) / nullif(lag(close) OVER w, 0) * 100 AS r,
+            sum(volume) OVER w / CAST(sum(volume) OVER (PARTITION BY ticker, trade_date) AS DOUBLE) AS share
+          FROM bars WINDOW w AS (PARTITION BY ticker, trade_date ORDER BY ts_ms)) b
+    LEFT JOIN (SELECT *, avg(volume) OVER (PARTITION BY trade_date ORDER BY ts_ms ROWS 29 PRECEDING) AS ma,
+            (close - lag(close) OVER v) / nullif(lag(close) OVER v, 0) * 100 AS r FROM und WINDOW v AS (PARTITION BY trade_date ORDER BY ts_ms)) u
         ON b.trade_date = u.trade_date AND b.ts_ms = u.ts_ms""", "bars", "und"))
 def cross_asset_ratios(spark, sf):
-    b = views.bars(spark, sf)
-    w = series_window(("trade_date",))
-    u = layered(b.where(F.col("ticker") == views.UNDERLYING), rolling_mean("volume", 30, "u_ma", w))
-    u = u.select("trade_date", "ts_ms", "u_ma", *[F.col(c).alias(f"u_{c}") for c in ("close", "volume", "transactions")])
-    return b.join(u, ["trade_date", "ts_ms"]).select(
-        "ticker", "trade_date", "ts_ms", (F.col("close") - F.col("u_close")).alias("excess"),
-        (ratio(F.col("close") - F.col("vwap"), F.col("vwap")) * 100).alias("vwap_dist"),
-        ratio(F.col("u_volume").cast("double"), F.col("u_ma")).alias("vol_regime"),
-        ratio(F.col("transactions").cast("double"), F.col("u_transactions").cast("double")).alias("tx_ratio"))
+    b = views.bars(spark, sf).withColumn("opt_return_1m", plain_change("close", 1, series_window()))
+    u = layered(b.where(F.col("ticker") == views.UNDERLYING), rolling_mean("volume", 30, "u_vol_ma30", series_window(("trade_date",))))
+    u = u.select("trade_date", "ts_ms", "u_vol_ma30", F.col("opt_return_1m").alias("u_return_1m"),
+                 *[F.col(c).alias(f"u_{c}") for c in ("volume", "transactions")])
+    return layered(b.join(u, ["trade_date", "ts_ms"], "left"), [cross_asset("u")])
 
 
 @add("P20_event_filters", "date:s ticker:s n:l", sql("""

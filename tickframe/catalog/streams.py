@@ -26,18 +26,26 @@ def _second(t):
     return t.where(F.col("trade_date") >= HALF)
 
 
-def _two_landings(t, run):
+def _two_landings(t, run, close=False):
     """Land the first half of the month, drain the stream, land the second, drain again."""
     spark, path = t.sparkSession, scratch_path(t.sparkSession, "landing")
     for half in (_first(t), _second(t)):
         ingest.lay_out(half, path)
         query = run(ingest.file_stream(spark, path, t.schema))
         query.awaitTermination()
+    if close:
+        _end(t, path)
+        query = run(ingest.file_stream(spark, path, t.schema))
+        query.awaitTermination()
     return query
 
 
-def _to_table(t, shape):
-    """Run ``shape`` over both landings into a table and read it."""
+def _end(t, path):
+    ingest.end_of_stream(t.sparkSession, path, t.schema, "ts_ms", (t.agg(F.max("ts_ms")).head()[0] or 0) + 30 * 86_400_000)
+
+
+def _to_table(t, shape, close=False):
+    """Run ``shape`` over both landings into a table and read it; ``close`` ends the stream, so open windows are emitted."""
     spark = t.sparkSession
     out, spot = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
     schemas = []
@@ -47,7 +55,7 @@ def _to_table(t, shape):
         schemas.append(shaped.schema)
         return ingest.append_to(shaped, out, spot)
 
-    _two_landings(t, run)
+    _two_landings(t, run, close)
     return spark.read.schema(schemas[-1]).parquet(out)
 
 
@@ -104,14 +112,11 @@ def market_hours_gate(spark, sf):
     return _to_table(views.ticks(spark, sf), lambda s: ingest.market_hours_gate(s, "ts_ms", ("2024-01-15",)))
 
 
-_CLOSED = f"(SELECT max(ts_ms) FROM ticks) - {DELAY_MS}"
-
-
 @add("R5_heartbeat", "ticker:s beat_ms:l messages:l last_message_ms:l", sql(f"""
-    SELECT * FROM (SELECT ticker, ts_ms - ts_ms % 300000 AS beat_ms, count(*) AS messages, max(ts_ms) AS last_message_ms FROM ticks
-    GROUP BY 1, 2) WHERE beat_ms + 300000 <= {_CLOSED}""", "ticks"))
+    SELECT ticker, ts_ms - ts_ms % 300000 AS beat_ms, count(*) AS messages, max(ts_ms) AS last_message_ms FROM ticks
+    GROUP BY 1, 2""", "ticks"))
 def heartbeat(spark, sf):
-    return _to_table(views.ticks(spark, sf), lambda s: windows.heartbeat(windows.watermarked(s, DELAY), ["ticker"]))
+    return _to_table(views.ticks(spark, sf), lambda s: windows.heartbeat(windows.watermarked(s, DELAY), ["ticker"]), True)
 
 
 @add("R5_heartbeat_totals", "ticker:s beat_ms:l messages:l last_message_ms:l total_today:l", sql("""
@@ -125,9 +130,9 @@ def heartbeat_totals(spark, sf):
     SELECT ticker, min(ts_ms) AS start_ms, max(ts_ms) + 900000 AS end_ms, count(*) AS messages FROM (
     SELECT *, sum(n) OVER (PARTITION BY ticker ORDER BY ts_ms, event_id) AS g FROM (
     SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY ticker ORDER BY ts_ms, event_id) <= 900000 THEN 0 ELSE 1 END AS n FROM ticks))
-    GROUP BY ticker, g HAVING max(ts_ms) + 900000 <= {_CLOSED}""", "ticks"))
+    GROUP BY ticker, g""", "ticks"))
 def activity_sessions(spark, sf):
-    return _to_table(views.ticks(spark, sf), lambda s: windows.activity_sessions(windows.watermarked(s, DELAY), ["ticker"]))
+    return _to_table(views.ticks(spark, sf), lambda s: windows.activity_sessions(windows.watermarked(s, DELAY), ["ticker"]), True)
 
 
 @add("R6_stall_detect", "ticker:s stalled_from_ms:l resumed_ms:l gap_seconds:d", sql("""
@@ -138,19 +143,22 @@ def stall_detect(spark, sf):
 
 
 @add("R7_incremental_news", "article_id:l ts_ms:l sentiment:s", sql(
-    "SELECT * FROM news WHERE ts_ms > 1704844800000", "news"))
+    "SELECT * FROM news WHERE ts_ms > (SELECT max(ts_ms) FROM news WHERE ts_ms <= 1704844800000)", "news"))
 def incremental_news(spark, sf):
-    return _to_table(views.news(spark, sf), lambda s: ingest.incremental(s, 1_704_844_800_000, "ts_ms"))
+    """The table already holds the articles of the first days; its newest time is the mark."""
+    n = views.news(spark, sf)
+    mark = ingest.high_water_mark(n.where(F.col("ts_ms") <= 1_704_844_800_000), "ts_ms")
+    return _to_table(n, lambda s: ingest.incremental(s, mark, "ts_ms"))
 
 
 @add("R8_error_rate_stream", "window_ms:l total:l errors:l rate_pct:d alert:b", sql(f"""
     SELECT w AS window_ms, count(*) AS total, count(*) FILTER (price > 60) AS errors,
         count(*) FILTER (price > 60) * 100.0::DOUBLE / count(*) AS rate_pct, count(*) FILTER (price > 60) * 100.0::DOUBLE / count(*) > 1 AS alert
     FROM (SELECT price, ts_ms - ts_ms % 60000 - k * 60000 AS w FROM ticks, (SELECT unnest(range(15)) AS k))
-    GROUP BY w HAVING w + 900000 <= {_CLOSED}""", "ticks"))
+    GROUP BY w""", "ticks"))
 def error_rate_stream(spark, sf):
     t = views.ticks(spark, sf).withColumn("is_error", F.col("price") > 60)
-    return _to_table(t, lambda s: windows.error_rate(windows.watermarked(s, DELAY)))
+    return _to_table(t, lambda s: windows.error_rate(windows.watermarked(s, DELAY)), True)
 
 
 def _with_late(t):
@@ -161,16 +169,17 @@ def _with_late(t):
 
 
 @add("R9_late_data_dropped", "ticker:s beat_ms:l messages:l", sql(f"""
-    SELECT * FROM (SELECT ticker, ts_ms - ts_ms % 300000 AS beat_ms, count(*) AS messages FROM ticks
-    GROUP BY 1, 2) WHERE beat_ms + 300000 <= {_CLOSED}""", "ticks"))
+    SELECT ticker, ts_ms - ts_ms % 300000 AS beat_ms, count(*) AS messages FROM ticks GROUP BY 1, 2""", "ticks"))
 def late_data_dropped(spark, sf):
     """Re-sent ticks of closed intervals change nothing."""
     t = views.ticks(spark, sf)
     path, out, spot = (scratch_path(spark, n) for n in ("landing", "out", "checkpoint"))
     both = _with_late(t)
-    for n in (1, 2):
-        part = both.where(F.col("landing") == n).drop("landing")
-        ingest.lay_out(part, path)
+    for n in (1, 2, None):
+        if n is None:
+            _end(t, path)
+        else:
+            ingest.lay_out(both.where(F.col("landing") == n).drop("landing"), path)
         stream = windows.watermarked(ingest.file_stream(spark, path, t.schema), DELAY)
         beats = windows.heartbeat(stream, ["ticker"])
         ingest.append_to(beats, out, spot).awaitTermination()
@@ -193,19 +202,19 @@ def replay(spark, sf):
 
 
 @add("R11_stream_bars", "ticker:s ts_ms:l open:d high:d low:d close:d volume:l transactions:l vwap:d", sql(f"""
-    SELECT * FROM bars WHERE ts_ms + 900000 <= {_CLOSED}""", "bars"))
+    SELECT * FROM bars""", "bars"))
 def stream_bars(spark, sf):
     shape = lambda s: windows.stream_bars(windows.watermarked(s, DELAY), ["ticker"], "15 minutes", "event_id")
-    return _to_table(views.ticks(spark, sf), shape)
+    return _to_table(views.ticks(spark, sf), shape, True)
 
 
 @add("R12_stream_metrics", "operation:s records:l", sql("SELECT 'stream' AS operation, count(*) AS records FROM ticks", "ticks"))
 def stream_metrics(spark, sf):
     t, path, out = views.ticks(spark, sf), scratch_path(spark, "landing"), scratch_path(spark, "out")
     ingest.lay_out(t, path)
-    query = ingest.append_to(ingest.file_stream(spark, path, t.schema), out)
-    query.awaitTermination()
-    done = ingest.progress_frame(spark, query)
+    metrics = scratch_path(spark, "metrics")
+    ingest.append_measured(ingest.file_stream(spark, path, t.schema, 1), out, metrics).awaitTermination()
+    done = spark.read.parquet(metrics)
     return done.groupBy("operation").agg(F.sum("records").alias("records"))
 
 

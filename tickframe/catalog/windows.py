@@ -405,9 +405,17 @@ _BASELINE = {"o_orderkey": "bigint", "o_custkey": "string", "o_orderstatus": "st
              "o_clerk": "string", "o_orderpriority": "string"}
 
 
-@add("U4_schema_difference", "kind:s column:s n:l", """
-    SELECT k AS kind, c AS "column", count(*) AS n FROM orders, (VALUES ('new_column', 'o_orderdate'), ('missing_column', 'o_clerk'),
-        ('type_change', 'o_custkey')) AS v(k, c) GROUP BY ALL""")
+def drift_sql(table: str, baseline: dict[str, str]) -> str:
+    """Differences between the table's own description and a baseline, with its row count."""
+    known = ", ".join(f"('{c}', '{t}')" for c, t in baseline.items())
+    return f"""SELECT CASE WHEN b.c IS NULL THEN 'new_column' WHEN now.c IS NULL THEN 'missing_column' ELSE 'type_change' END AS kind,
+        coalesce(now.c, b.c) AS "column", b.t AS expected, now.t AS actual, (SELECT count(*) FROM {table}) AS n
+    FROM (SELECT column_name AS c, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int'
+          WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS t FROM (DESCRIBE {table})) now
+    FULL JOIN (VALUES {known}) AS b(c, t) ON now.c = b.c WHERE now.t IS DISTINCT FROM b.t"""
+
+
+@add("U4_schema_difference", "kind:s column:s n:l", drift_sql("orders", _BASELINE))
 def schema_difference(spark, sf):
     """Drift alerts of the orders table with the rows each one touches."""
     o = views.table(spark, sf, "orders")

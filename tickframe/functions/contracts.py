@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .numeric import ratio
 
 # Symbol pattern and the fallback for an unreadable symbol.
-SYMBOL_PATTERN = r"(?i)(\d{6})([CP])(\d{8})$"
+SYMBOL_PATTERN = r"(?i)(\d{6})([CP])(\d{8,15})$"
 TYPE_PATTERN = r"\d([CP])\d"
 FALLBACK_STRIKE = 400.0
 FALLBACK_DAYS = 1.0
@@ -19,8 +19,7 @@ MIN_DAYS = 0.01
 def parse_symbol(ticker: Column, trade_date: Column) -> Column:
     """struct(strike, tte_days, flag) from a symbol ending in yyMMdd, C/P, strike*1000."""
     ymd = F.regexp_extract(ticker, SYMBOL_PATTERN, 1)
-    strike = F.try_to_number(F.nullif(F.regexp_extract(ticker, SYMBOL_PATTERN, 3), F.lit("")),
-                             F.lit("99999999")).cast("double") / 1000
+    strike = F.regexp_extract(ticker, SYMBOL_PATTERN, 3).try_cast("bigint").cast("double") / 1000
     expiry = F.try_to_date(F.concat(F.lit("20"), ymd), "yyyyMMdd")
     days = F.datediff(expiry, F.try_to_date(trade_date, "yyyy-MM-dd")).cast("double")
     ok = (ymd != "") & days.isNotNull()
@@ -33,9 +32,10 @@ def parse_symbol(ticker: Column, trade_date: Column) -> Column:
 
 
 def build_symbol(underlying: Column, expiry: Column, kind: Column, strike: Column) -> Column:
-    """O:{UNDERLYING}{yyMMdd}{C|P}{strike*1000, 8 digits}."""
+    """O:{UNDERLYING}{yyMMdd}{C|P}{strike*1000, at least 8 digits}."""
     letter = F.when(F.lower(F.substring(kind, 1, 1)) == "c", "C").otherwise("P")
-    code = F.lpad(F.round(strike * 1000).cast("long").cast("string"), 8, "0")
+    mills = F.round(strike * 1000).cast("long")
+    code = F.when(mills.isNotNull(), F.format_string("%08d", mills))
     return F.concat(F.lit("O:"), F.upper(underlying), F.date_format(expiry, "yyMMdd"), letter, code)
 
 

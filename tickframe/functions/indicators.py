@@ -2,8 +2,8 @@
 
 Every function expects bars on a time grid, so a (ticker, trade_date) partition
 holds at most one row per grid step (1,440 for minute bars) however large the
-table is.  Exponential averages are one running sum each: with weights
-(1-a)^-i the partial sums stay inside a double for about 3,000 rows at a = 0.2.
+table is.  Exponential averages are running sums within blocks of rows plus a
+carry from the few earlier blocks that still count, so series of any length are exact.
 
 A feature is a list of layers: dictionaries of columns, each layer using the
 columns of the ones before it.  ``layered`` adds several features layer by
@@ -13,6 +13,7 @@ Columns starting with an underscore are dropped at the end.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,10 +29,14 @@ Layers = list[dict[str, Column]]
 RSI_PERIOD = 14
 MACD_FAST, MACD_SLOW, MACD_SIGNAL = 12, 26, 9
 BB_PERIOD, BB_WIDTH = 20, 2.0
+EWM_BLOCK = 256
 
 
 def series_window(by: Sequence[str] = SERIES, ts: str = "ts_ms") -> WindowSpec:
-    return Window.partitionBy(*by).orderBy(ts)
+    """Rows of a series in time order; keeps its key and order for windows over parts of a series."""
+    w = Window.partitionBy(*by).orderBy(ts)
+    w.series = (tuple(by), ts)
+    return w
 
 
 def running(w: WindowSpec) -> WindowSpec:
@@ -54,7 +59,7 @@ def layered(df: DataFrame, *features: Layers) -> DataFrame:
         for f in features:
             if depth < len(f):
                 layer.update(f[depth])
-        helpers += [c for c in layer if c.startswith("_")]
+        helpers += [c for c in layer if c.startswith("_") and c not in helpers]
         df = df.withColumns(layer)
     return df.drop(*helpers)
 
@@ -76,17 +81,29 @@ def after(first: Layers, second: Layers) -> Layers:
 def ewm(source: Column, name: str, alpha: float, w: WindowSpec, min_periods: int) -> Layers:
     """Exponential mean seeded with the first non-NULL input, NULL for the first inputs.
 
-    NULLs may lead the series but not interrupt it.
+    NULLs may lead the series but not interrupt it.  Weights (1-a)^-j restart in
+    every block of 256 rows, which keeps them inside a double.  A block's value is
+    carried on with (1-a)^256 per block; blocks whose weight is below 2^-60 are beyond
+    the precision of a double and left out.  ``w`` comes from ``series_window``.
     """
-    x, i, wx = f"_{name}_x", f"_{name}_i", f"_{name}_wx"
-    at = F.col(i).cast("double")
-    first_weight = F.when(at == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-    value = F.pow(F.lit(1 - alpha), at) * F.sum(wx).over(running(w))
+    if not 0 < alpha <= 0.9:
+        raise ValueError("alpha must be in (0, 0.9]")
+    by, ts = w.series
+    x, i, wx, r, end, carry = (f"_{name}_{c}" for c in ("x", "i", "wx", "r", "end", "carry"))
+    keep, j = 1 - alpha, F.col("_ewm_place").cast("double")
+    blocks = math.ceil(60 / (EWM_BLOCK * -math.log2(keep))) + 1
+    in_block = running(Window.partitionBy(*by, "_ewm_block").orderBy(ts))
+    first_weight = F.when(F.col(i) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    ends = sum((F.coalesce(F.lag(r, k * EWM_BLOCK).over(w), F.lit(0.0)) * F.lit(keep ** (k * EWM_BLOCK)) for k in range(1, blocks)), F.col(r))
+    at = F.row_number().over(w) - 1
     return [
         {x: source},
-        {i: F.count(x).over(running(w)) - 1},
-        {wx: F.when(F.col(x).isNotNull(), F.col(x) * first_weight * F.pow(F.lit(1 - alpha), -at))},
-        {name: F.when(F.col(i) + 1 >= min_periods, value)},
+        {i: F.count(x).over(running(w)) - 1, "_ewm_block": F.floor(at / EWM_BLOCK), "_ewm_place": F.pmod(at, F.lit(EWM_BLOCK))},
+        {wx: F.when(F.col(x).isNotNull(), F.col(x) * first_weight * F.pow(F.lit(keep), -j))},
+        {r: F.pow(F.lit(keep), j) * F.coalesce(F.sum(wx).over(in_block), F.lit(0.0))},
+        {end: F.when(F.col("_ewm_place") == EWM_BLOCK - 1, ends)},
+        {carry: F.last(end, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))},
+        {name: F.when(F.col(i) + 1 >= min_periods, F.col(r) + F.pow(F.lit(keep), j + 1) * F.coalesce(carry, F.lit(0.0)))},
     ]
 
 

@@ -18,20 +18,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_MS = 86_400_000
+DAY_MS, HOUR_MS = 86_400_000, 3_600_000
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: str = "ts_ms", by: Sequence[str] = ("trade_date",),
               tolerance: int | None = None, tie: str | None = None,
-              slice_width: int | None = None) -> DataFrame:
+              slice_width: int | None = HOUR_MS) -> DataFrame:
     """Left rows with the last right row at or before them and the same ``by`` keys.
 
     ``tie`` ranks right rows sharing a timestamp (the highest wins); without it
     the right side must be unique per key and timestamp.  ``tolerance`` (in
     units of ``on``) drops older matches, the bound itself still matches.
-    ``slice_width`` cuts long days of raw ticks; bars need none.
+    Right rows without a time match nothing.  Long days are cut into slices of
+    ``slice_width``; None takes a day as one slice, which is enough for bars.
     """
     keys = list(by)
+    right = right.where(F.col(on).isNotNull())
     payload = [c for c in right.columns if c not in (on, *keys)]
     packed = F.struct(F.col(on).alias("_at"), *payload)
     if tie:

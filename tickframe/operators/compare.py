@@ -69,23 +69,26 @@ def model_threshold_results(trades: DataFrame, thresholds: Sequence[float] = KEY
 
 def signal_overlap(trades: DataFrame, threshold: float, score: str = "proba",
                    keys: Sequence[str] = ("ticker", "entry_time")) -> DataFrame:
-    """Signals by the number of models that fire on the same contract and bar.
+    """Signals by the models that fire on the same contract and bar.
 
-    One row per agreement count with the totals beside it; the collected set
-    holds model names, as many as there are models.
+    One row per set of agreeing models with the totals beside it, a row of zeros
+    without any signal; the collected set holds model names, as many as there
+    are models.  The number of models counts silent ones too.
     """
     fired = trades.where(F.col(score) >= threshold)
-    n_models = fired.agg(F.count_distinct("model")).scalar()
-    agree = fired.groupBy(*keys).agg(F.collect_set("model").alias("_m"))
-    counts = agree.groupBy(F.size("_m").alias("n_agree")).agg(F.count(F.lit(1)).alias("signals"))
+    n_models = trades.agg(F.count_distinct("model")).scalar()
+    agree = fired.groupBy(*keys).agg(F.array_sort(F.collect_set("model")).alias("_m"))
+    counts = agree.groupBy(F.size("_m").alias("n_agree"), F.array_join("_m", ",").alias("models")).agg(F.count(F.lit(1)).alias("signals"))
     whole = counts.withColumn("n_models", n_models)
     need = F.floor(F.col("n_models") / 2) + 1
     totals = whole.agg(
-        F.collect_list(F.struct(F.col("n_agree").cast("long").alias("n_agree"), "signals")).alias("_rows"),
-        F.sum("signals").alias("total_unique_signals"),
+        F.collect_list(F.struct(F.col("n_agree").cast("long").alias("n_agree"), "models", "signals")).alias("_rows"),
+        F.coalesce(F.sum("signals"), F.lit(0)).alias("total_unique_signals"),
         F.coalesce(F.sum(F.when(F.col("n_agree") == F.col("n_models"), F.col("signals"))), F.lit(0)).alias("all_models_agree"),
         F.coalesce(F.sum(F.when(F.col("n_agree") >= need, F.col("signals"))), F.lit(0)).alias("majority_agree"))
-    return totals.select("total_unique_signals", "all_models_agree", "majority_agree", F.inline("_rows"))
+    none = F.array(F.struct(F.lit(0).cast("long").alias("n_agree"), F.lit("").alias("models"), F.lit(0).cast("long").alias("signals")))
+    return totals.select("total_unique_signals", "all_models_agree", "majority_agree",
+                         F.inline(F.when(F.size("_rows") > 0, F.col("_rows")).otherwise(none)))
 
 
 def comparison_report(results: DataFrame, threshold: float = 0.80,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,61 +11,63 @@ from pyspark.sql import functions as F
 INF = float("inf")
 
 # Fixed values: (feature, lower bound, upper bound, meaning); lower <= value < upper.
-# Bounds that belong to the lower band are written as the next double above.
-_UP = 1e-9
+# A bound that belongs to the lower band is written past(bound), the next double above it.
+past = lambda bound: math.nextafter(bound, INF)
 FEATURE_BANDS: tuple[tuple[str, float, float, str], ...] = (
-    ("contract_type", -INF, 0.5 + _UP, "put"), ("contract_type", 0.5 + _UP, INF, "call"),
+    ("contract_type", -INF, past(0.5), "put"), ("contract_type", past(0.5), INF, "call"),
     ("time_to_expiry_days", -INF, 1.0, "same day"), ("time_to_expiry_days", 1.0, INF, "multi day"),
-    ("is_0dte", -INF, 0.5 + _UP, "multi day"), ("is_0dte", 0.5 + _UP, INF, "same day"),
+    ("is_0dte", -INF, past(0.5), "multi day"), ("is_0dte", past(0.5), INF, "same day"),
     ("moneyness", -INF, 0.97, "deep ITM"), ("moneyness", 0.97, 0.995, "ITM"),
-    ("moneyness", 0.995, 1.005 + _UP, "ATM"), ("moneyness", 1.005 + _UP, 1.03 + _UP, "OTM"),
-    ("moneyness", 1.03 + _UP, INF, "deep OTM"),
+    ("moneyness", 0.995, past(1.005), "ATM"), ("moneyness", past(1.005), past(1.03), "OTM"),
+    ("moneyness", past(1.03), INF, "deep OTM"),
     ("log_moneyness", -INF, 0.0, "ITM"), ("log_moneyness", 0.0, INF, "OTM"),
-    ("implied_volatility", -INF, 0.15, "low"), ("implied_volatility", 0.15, 0.40 + _UP, "moderate"),
-    ("implied_volatility", 0.40 + _UP, INF, "high"),
-    ("iv_change_1m", -INF, _UP, "falling"), ("iv_change_1m", _UP, INF, "rising"),
-    ("iv_change_5m", -INF, _UP, "falling"), ("iv_change_5m", _UP, INF, "rising"),
-    ("iv_change_open", -INF, _UP, "falling"), ("iv_change_open", _UP, INF, "rising"),
-    ("opt_return_1m", -INF, -0.05, "down"), ("opt_return_1m", -0.05, 0.10 + _UP, "quiet"),
-    ("opt_return_1m", 0.10 + _UP, INF, "up"),
-    ("opt_return_5m", -INF, -0.05, "down"), ("opt_return_5m", -0.05, 0.15 + _UP, "quiet"),
-    ("opt_return_5m", 0.15 + _UP, INF, "up"),
-    ("opt_price_change_open", -INF, -0.10, "down"), ("opt_price_change_open", -0.10, 0.20 + _UP, "quiet"),
-    ("opt_price_change_open", 0.20 + _UP, INF, "up"),
-    ("opt_rsi_14", -INF, 30.0 + _UP, "oversold"), ("opt_rsi_14", 30.0 + _UP, 70.0, "neutral"),
+    ("implied_volatility", -INF, 0.15, "low"), ("implied_volatility", 0.15, past(0.40), "moderate"),
+    ("implied_volatility", past(0.40), INF, "high"),
+    ("iv_change_1m", -INF, past(0.0), "falling"), ("iv_change_1m", past(0.0), INF, "rising"),
+    ("iv_change_5m", -INF, past(0.0), "falling"), ("iv_change_5m", past(0.0), INF, "rising"),
+    ("iv_change_open", -INF, past(0.0), "falling"), ("iv_change_open", past(0.0), INF, "rising"),
+    ("opt_return_1m", -INF, -0.05, "down"), ("opt_return_1m", -0.05, past(0.10), "quiet"),
+    ("opt_return_1m", past(0.10), INF, "up"),
+    ("opt_return_5m", -INF, -0.05, "down"), ("opt_return_5m", -0.05, past(0.15), "quiet"),
+    ("opt_return_5m", past(0.15), INF, "up"),
+    ("opt_price_change_open", -INF, -0.10, "down"), ("opt_price_change_open", -0.10, past(0.20), "quiet"),
+    ("opt_price_change_open", past(0.20), INF, "up"),
+    ("opt_rsi_14", -INF, past(30.0), "oversold"), ("opt_rsi_14", past(30.0), 70.0, "neutral"),
     ("opt_rsi_14", 70.0, INF, "overbought"),
-    ("opt_hl_range_5m", -INF, 0.10 + _UP, "tight"), ("opt_hl_range_5m", 0.10 + _UP, INF, "wide"),
-    ("opt_vwap_dist_pct", -INF, _UP, "below"), ("opt_vwap_dist_pct", _UP, INF, "above"),
-    ("opt_vs_spy_return_1m", -INF, _UP, "lagging"), ("opt_vs_spy_return_1m", _UP, INF, "leading"),
-    ("opt_vol_ratio_5m", -INF, 2.0 + _UP, "normal"), ("opt_vol_ratio_5m", 2.0 + _UP, INF, "surge"),
-    ("opt_bar_count", -INF, 50.0 + _UP, "early"), ("opt_bar_count", 50.0 + _UP, INF, "established"),
-    ("transactions_ratio", -INF, 0.01 + _UP, "normal"), ("transactions_ratio", 0.01 + _UP, INF, "unusual"),
-    ("spy_return_1m", -INF, -0.003, "down"), ("spy_return_1m", -0.003, 0.003 + _UP, "flat"),
-    ("spy_return_1m", 0.003 + _UP, INF, "up"),
-    ("spy_return_5m", -INF, -0.005, "down"), ("spy_return_5m", -0.005, 0.005 + _UP, "flat"),
-    ("spy_return_5m", 0.005 + _UP, INF, "up"),
-    ("spy_hl_range_5m", -INF, 0.005 + _UP, "tight"), ("spy_hl_range_5m", 0.005 + _UP, INF, "wide"),
-    ("spy_hl_range_30m", -INF, 0.01 + _UP, "tight"), ("spy_hl_range_30m", 0.01 + _UP, INF, "wide"),
-    ("spy_rsi_14", -INF, 30.0 + _UP, "oversold"), ("spy_rsi_14", 30.0 + _UP, 70.0, "neutral"),
+    ("opt_hl_range_5m", -INF, past(0.10), "tight"), ("opt_hl_range_5m", past(0.10), INF, "wide"),
+    ("opt_vwap_dist_pct", -INF, past(0.0), "below"), ("opt_vwap_dist_pct", past(0.0), INF, "above"),
+    ("opt_vs_spy_return_1m", -INF, past(0.0), "lagging"), ("opt_vs_spy_return_1m", past(0.0), INF, "leading"),
+    ("opt_vol_ratio_5m", -INF, past(2.0), "normal"), ("opt_vol_ratio_5m", past(2.0), INF, "surge"),
+    ("opt_bar_count", -INF, past(50.0), "early"), ("opt_bar_count", past(50.0), INF, "established"),
+    ("transactions_ratio", -INF, past(0.01), "normal"), ("transactions_ratio", past(0.01), INF, "unusual"),
+    ("spy_return_1m", -INF, -0.003, "down"), ("spy_return_1m", -0.003, past(0.003), "flat"),
+    ("spy_return_1m", past(0.003), INF, "up"),
+    ("spy_return_5m", -INF, -0.005, "down"), ("spy_return_5m", -0.005, past(0.005), "flat"),
+    ("spy_return_5m", past(0.005), INF, "up"),
+    ("spy_hl_range_5m", -INF, past(0.005), "tight"), ("spy_hl_range_5m", past(0.005), INF, "wide"),
+    ("spy_hl_range_30m", -INF, past(0.01), "tight"), ("spy_hl_range_30m", past(0.01), INF, "wide"),
+    ("spy_rsi_14", -INF, past(30.0), "oversold"), ("spy_rsi_14", past(30.0), 70.0, "neutral"),
     ("spy_rsi_14", 70.0, INF, "overbought"),
-    ("spy_macd", -INF, _UP, "bearish"), ("spy_macd", _UP, INF, "bullish"),
-    ("spy_macd_hist", -INF, _UP, "bearish"), ("spy_macd_hist", _UP, INF, "bullish"),
-    ("spy_ema_diff", -INF, _UP, "bearish"), ("spy_ema_diff", _UP, INF, "bullish"),
-    ("spy_bb_pct_b", -INF, 0.2, "oversold"), ("spy_bb_pct_b", 0.2, 0.8 + _UP, "mid band"),
-    ("spy_bb_pct_b", 0.8 + _UP, INF, "overbought"),
-    ("spy_vwap_dist_pct", -INF, _UP, "below"), ("spy_vwap_dist_pct", _UP, INF, "above"),
-    ("spy_vol_ratio_5m", -INF, 0.5, "thin"), ("spy_vol_ratio_5m", 0.5, 2.0 + _UP, "average"),
-    ("spy_vol_ratio_5m", 2.0 + _UP, INF, "surge"),
-    ("spy_vol_zscore", -INF, -2.0, "abnormal"), ("spy_vol_zscore", -2.0, 2.0 + _UP, "normal"),
-    ("spy_vol_zscore", 2.0 + _UP, INF, "abnormal"),
+    ("spy_macd", -INF, past(0.0), "bearish"), ("spy_macd", past(0.0), INF, "bullish"),
+    ("spy_macd_hist", -INF, past(0.0), "bearish"), ("spy_macd_hist", past(0.0), INF, "bullish"),
+    ("spy_ema_diff", -INF, past(0.0), "bearish"), ("spy_ema_diff", past(0.0), INF, "bullish"),
+    ("spy_bb_pct_b", -INF, 0.2, "oversold"), ("spy_bb_pct_b", 0.2, past(0.8), "mid band"),
+    ("spy_bb_pct_b", past(0.8), INF, "overbought"),
+    ("spy_vwap_dist_pct", -INF, past(0.0), "below"), ("spy_vwap_dist_pct", past(0.0), INF, "above"),
+    ("spy_vol_ratio_5m", -INF, 0.5, "thin"), ("spy_vol_ratio_5m", 0.5, past(2.0), "average"),
+    ("spy_vol_ratio_5m", past(2.0), INF, "surge"),
+    ("spy_vol_zscore", -INF, -2.0, "abnormal"), ("spy_vol_zscore", -2.0, past(2.0), "normal"),
+    ("spy_vol_zscore", past(2.0), INF, "abnormal"),
+    ("spy_vol_regime", -0.5, past(0.5), "low"), ("spy_vol_regime", past(0.5), 1.5, "normal"),
+    ("spy_vol_regime", 1.5, past(2.5), "high"),
     ("hour_et", -INF, 10.0, "opening"), ("hour_et", 10.0, 12.0, "late morning"),
     ("hour_et", 12.0, 15.0, "midday"), ("hour_et", 15.0, INF, "closing"),
-    ("minutes_since_open", -INF, 60.0, "first hour"), ("minutes_since_open", 60.0, 240.0 + _UP, "midday"),
-    ("minutes_since_open", 240.0 + _UP, INF, "afternoon"),
-    ("is_morning", -INF, 0.5 + _UP, "afternoon"), ("is_morning", 0.5 + _UP, INF, "morning"),
-    ("is_last_hour", -INF, 0.5 + _UP, "earlier"), ("is_last_hour", 0.5 + _UP, INF, "last hour"),
-    ("pct_day_elapsed", -INF, 0.25, "early"), ("pct_day_elapsed", 0.25, 0.75 + _UP, "midday"),
-    ("pct_day_elapsed", 0.75 + _UP, INF, "late"),
+    ("minutes_since_open", -INF, 60.0, "first hour"), ("minutes_since_open", 60.0, past(240.0), "midday"),
+    ("minutes_since_open", past(240.0), INF, "afternoon"),
+    ("is_morning", -INF, past(0.5), "afternoon"), ("is_morning", past(0.5), INF, "morning"),
+    ("is_last_hour", -INF, past(0.5), "earlier"), ("is_last_hour", past(0.5), INF, "last hour"),
+    ("pct_day_elapsed", -INF, 0.25, "early"), ("pct_day_elapsed", 0.25, past(0.75), "midday"),
+    ("pct_day_elapsed", past(0.75), INF, "late"),
 )
 # Ranking of contributions.
 TOP_IMPACTS = 10

@@ -61,16 +61,22 @@ def future_price_vector(bars: DataFrame, steps: int = 120, step_ms: int = MINUTE
                         name: str = "target_future_prices") -> DataFrame:
     """array<double>: the price exactly k steps ahead for k = 1..steps, NULL where missing.
 
-    A range frame keeps at most ``steps`` grid rows per bar, so the collected
-    list is bounded by the vector length.
+    A frame of the times up to ``steps`` ahead keeps one price per grid time, so
+    the collected list is bounded by the rows of that span; each is put at its
+    place in one pass.  Of bars that share a time the last close by value counts, and each gets the vector.
     """
+    grid = bars.groupBy(*by, ts).agg(F.max(close).alias("_v"))
     ahead = Window.partitionBy(*by).orderBy(ts).rangeBetween(1, steps * step_ms)
-    near = F.collect_list(F.struct(F.col(ts).alias("k"), F.col(close).alias("v"))).over(ahead)
-    lookup = F.map_from_entries(F.col("_near"))
-    vector = F.transform(F.sequence(F.lit(1), F.lit(steps)),
-                         lambda i: F.try_element_at(F.col("_map"), F.col(ts) + i.cast("long") * step_ms))
-    return (bars.withColumn("_near", near).withColumn("_map", lookup)
-            .withColumn(name, F.when(F.col("ticker").isNotNull(), vector)).drop("_near", "_map"))
+    near = F.collect_list(F.struct(F.col(ts).alias("k"), F.col("_v").alias("v"))).over(ahead)
+    exact = F.filter("_near", lambda x: F.pmod(x["k"] - F.col(ts), F.lit(step_ms)) == 0)
+    at = lambda x: ((x["k"] - F.col(ts)) / step_ms).cast("int")
+    nothing = lambda n: F.array_repeat(F.lit(None).cast("double"), n)
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<array<double>>").alias("parts"))
+    filled = F.aggregate(exact, start, lambda s, x: F.struct(at(x).alias("n"), F.concat(s["parts"], F.array(F.concat(
+        nothing(at(x) - s["n"] - 1), F.array(x["v"].cast("double"))))).alias("parts")))
+    vector = F.concat(F.flatten(F.col("_f.parts")), nothing(F.lit(steps) - F.col("_f.n")))
+    ready = grid.withColumn("_near", near).withColumn("_f", filled).select(*by, ts, vector.alias(name))
+    return bars.join(ready, [*by, ts], "left").withColumn(name, F.when(F.col("ticker").isNotNull(), F.col(name)))
 
 
 def target_coverage_filter(df: DataFrame, min_pct: float = 50.0,

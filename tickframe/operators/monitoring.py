@@ -42,13 +42,29 @@ def _nearest_rank(values: Column, pct: int) -> Column:
     return F.get(values, k)
 
 
+def _all_ranks(ops: DataFrame) -> DataFrame:
+    counted = ops.where(F.col("seconds").isNotNull()).groupBy("operation", "seconds").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy("operation").orderBy("seconds").rowsBetween(Window.unboundedPreceding, 0)
+    cum = counted.withColumn("_upto", F.sum("_c").over(upto))
+    total = counted.groupBy("operation").agg(F.sum("_c").alias("samples"))
+    rank = lambda p: F.greatest(F.lit(1), F.floor(F.col("samples") * F.lit(p) / 100))
+    return cum.join(total, "operation").groupBy("operation").agg(
+        F.max("samples").alias("samples"), *[F.min(F.when(F.col("_upto") >= rank(p), F.col("seconds"))).alias(f"p{p}") for p in (50, 95, 99)])
+
+
 def latency_stats(ops: DataFrame, order: Sequence[str], now_ms: Column | None = None,
-                  window_s: int = THROUGHPUT_SECONDS, ts: str = "ended_ms") -> DataFrame:
-    """Nearest-rank p50/p95/p99 over each operation's last 100 runs, and recent throughput."""
-    recent = last_n(ops, ["operation"], order, LAST_N).groupBy("operation").agg(
-        F.sort_array(F.collect_list("seconds")).alias("_v"))  # 100 values at most
-    ranks = recent.select("operation", F.size("_v").cast("long").alias("samples"),
-                          *[_nearest_rank(F.col("_v"), p).alias(f"p{p}") for p in (50, 95, 99)])
+                  window_s: int = THROUGHPUT_SECONDS, ts: str = "ended_ms", runs: int | None = LAST_N) -> DataFrame:
+    """Nearest-rank p50/p95/p99 over each operation's last ``runs`` runs, and recent throughput.
+
+    With ``runs=None`` all runs count; their ranks come from counts per duration.
+    """
+    if runs is not None:
+        recent = last_n(ops, ["operation"], order, runs).groupBy("operation").agg(
+            F.sort_array(F.collect_list("seconds")).alias("_v"))  # ``runs`` values at most
+        ranks = recent.select("operation", F.size("_v").cast("long").alias("samples"),
+                              *[_nearest_rank(F.col("_v"), p).alias(f"p{p}") for p in (50, 95, 99)])
+    else:
+        ranks = _all_ranks(ops)
     now = now_ms if now_ms is not None else ops.agg(F.max(ts)).scalar()
     flow = (ops.withColumn("_now", now).where(F.col(ts) >= F.col("_now") - window_s * 1000)
             .groupBy("operation").agg(F.sum("records").alias("_n"), F.min(ts).alias("_t0"), F.max("_now").alias("_now")))

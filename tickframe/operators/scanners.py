@@ -34,9 +34,9 @@ _RAW = ("trade_date string, ticker string, anchor_ms long, trigger_ms long, bars
 
 
 def _run_lengths(close: np.ndarray, start: int, anchor: float, up: float, hold: float) -> tuple[int, int, int]:
-    """Bars at or above each level from ``start`` until the first below ``hold``; next free bar."""
+    """Bars at or above each level from ``start`` until the first not at ``hold`` or without a close; next free bar."""
     tail = close[start:]
-    below = np.flatnonzero(tail < anchor * hold)
+    below = np.flatnonzero(~(tail >= anchor * hold))
     kept = int(below[0]) if below.size else tail.size
     stop = start + kept + (1 if below.size else 0)
     return int((tail[:kept] >= anchor * up).sum()), kept, stop
@@ -46,8 +46,9 @@ def _backward_events(close: np.ndarray, window: int, up: float, hold: float):
     floor, bar = 0, 0
     while bar < close.size:
         past = close[max(floor, bar - window):bar]
-        if past.size and past.min() > 0 and close[bar] >= past.min() * up:
-            anchor = max(floor, bar - window) + int(past.argmin())
+        low = np.nanmin(past) if past.size and not np.isnan(past).all() else 0.0
+        if low > 0 and close[bar] >= low * up:
+            anchor = max(floor, bar - window) + int(np.nanargmin(past))
             high, kept, stop = _run_lengths(close, bar, close[anchor], up, hold)
             yield anchor, bar, high, kept
             floor = bar = stop
@@ -74,14 +75,13 @@ def _scan(bars: DataFrame, find, window: int, trigger: float, sustain: float, ts
 
     def fold(day: pd.DataFrame) -> pd.DataFrame:
         day = day.sort_values(ts)
-        close, at = day["close"].to_numpy(), day[ts].to_numpy()
+        close, at = day["close"].to_numpy(dtype=float, na_value=np.nan), day[ts].to_numpy()
         head = (day["trade_date"].iloc[0], day["ticker"].iloc[0])
         found = [(*head, at[a], at[t], t - a, (close[t] - close[a]) / close[a] * 100,
                   high, kept, close[a], close[t]) for a, t, high, kept in find(close, window, up, hold)]
         return pd.DataFrame(found, columns=[c.split()[0] for c in _RAW.split(", ")])
 
-    clean = bars.select(*SERIES, ts, "close").where(F.col("close").isNotNull())
-    return clean.groupBy(*SERIES).applyInPandas(fold, _RAW)
+    return bars.select(*SERIES, ts, "close").groupBy(*SERIES).applyInPandas(fold, _RAW)
 
 
 def scan_backward(bars: DataFrame, window: int = WINDOW_BARS, trigger: float = TRIGGER_PCT,
@@ -142,10 +142,11 @@ def scan_summary(bars: DataFrame, events: DataFrame, by: Sequence[str] = ()) ->
         F.sum("above_20pct_duration_min").alias("minutes_above"),
         F.median("above_20pct_duration_min").alias("median_duration"),
         F.avg("above_20pct_duration_min").alias("mean_duration"))
-    return (join_results(per_day, runs, by).withColumn("minutes_above", F.coalesce("minutes_above", F.lit(0)))
+    every = days.agg(F.sum("bars")).scalar()  # also by option type, the share is of all bars
+    return (join_results(per_day, runs, by).withColumn("minutes_above", F.coalesce("minutes_above", F.lit(0))).withColumn("_every", every)
             .withColumn("positive_minute_rate",
-                        F.coalesce(ratio(F.col("minutes_above") * 100.0, F.col("total_bars").cast("double")),
-                                   F.lit(0.0))))
+                        F.coalesce(ratio(F.col("minutes_above") * 100.0, F.col("_every").cast("double")),
+                                   F.lit(0.0))).drop("_every"))
 
 
 def trigger_hours(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -31,8 +31,9 @@ def construct_contracts(opens: DataFrame, underlying: str, n_calls: int, n_puts:
                                                F.col("contract_type"), F.col("strike_price"))))
 
 
-def discover_in_range(contracts: DataFrame, opens: DataFrame, pct: float, lookahead_days: int, cap: int) -> DataFrame:
-    """Listed contracts within ±pct of the open and the given expiry, first ``cap`` symbols per day."""
+def discover_in_range(contracts: DataFrame, opens: DataFrame, pct: float, lookahead_days: int,
+                      cap: int | None = None) -> DataFrame:
+    """Listed contracts within ±pct of the open and the given expiry; with ``cap`` the first symbols per day."""
     spot = F.col("opening_price")
     lo, hi = F.round(spot * (1 - pct), 2), F.round(spot * (1 + pct), 2)
     want = opens.select("trade_date", lo.alias("_lo"), hi.alias("_hi"),
@@ -40,8 +41,11 @@ def discover_in_range(contracts: DataFrame, opens: DataFrame, pct: float, lookah
     listed = contracts.withColumn("expiration_date", F.to_date("expiration_date"))
     hit = listed.join(want, "expiration_date").where(
         (F.col("strike_price") >= F.col("_lo")) & (F.col("strike_price") <= F.col("_hi")))
+    hit = hit.drop("_lo", "_hi")
+    if cap is None:
+        return hit
     w = Window.partitionBy("trade_date").orderBy("ticker")
-    return (hit.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn", "_lo", "_hi"))
+    return hit.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")
 
 
 def first_expiry(contracts: DataFrame, ranges: DataFrame, offsets: Sequence[int] = EXPIRY_OFFSETS) -> DataFrame:

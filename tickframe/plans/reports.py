@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from ..operators import metrics, models, risk, scanners, trades
 from ..operators.bars import opening_price
 from ..operators.compare import best_threshold_per_model, comparison_report, model_threshold_results, signal_overlap
-from ..operators.quality import split_valid
+from ..operators.monitoring import ingest_stats
+from ..operators.quality import split_valid, validate
 from ..operators.selection import construct_contracts, targeted_selection
 from ..operators.splits import chronological_split
 from ..session import materialise
 from ..sources.readers import normalise_bars
 from ..functions.calendar import partition_date
-from ..sources.tables import pending, record_done, upsert_partitions
+from ..sources.tables import pending, record_done, table_exists, upsert_partitions
 
 
 def scan_and_report(bars: DataFrame, forward: bool, **kw) -> dict[str, DataFrame]:
@@ -66,16 +67,31 @@ def select_contracts(bars: DataFrame, listed: DataFrame | None, underlying: str,
 
 
 def backfill(raw: DataFrame, source: str, table: str, ledger: DataFrame | None, ledger_path: str,
-             keys: Sequence[str] = ("timestamp",), arrival: Sequence[str] = ()) -> DataFrame:
-    """Normalise, validate and upsert the days not yet in the ledger; returns the days done."""
+             keys: Sequence[str], arrival: Sequence[str], rejects_path: str | None = None, days_at_once: int = 10) -> DataFrame:
+    """Normalise, validate and upsert the days not yet in the ledger, a few days at once.
+
+    Returns the days done with their counts (fetched, valid, invalid, duplicates,
+    written).  Days are recorded as soon as they are written, so a run that breaks off
+    continues with the next ones; the days of a call are bounded by the calendar.
+    Rejected rows go to ``rejects_path``, one folder per first day.
+    """
     bars = normalise_bars(raw, source, "ticker" in raw.columns).withColumn("date", partition_date(F.col("timestamp")))
     days = bars.select(F.lit(source).alias("source"), "date").distinct()
     todo = pending(days, ledger) if ledger is not None else days
-    good, _ = split_valid(bars.join(todo.select("date"), "date", "left_semi"), source)
-    upsert_partitions(good.withColumnRenamed("date", "trade_date"), table, keys, arrival=arrival)
-    done = materialise(todo, "ledger")
-    record_done(done, ledger_path)
-    return done
+    todo = materialise(todo, "days")
+    bars = materialise(bars.join(todo.select("date"), "date", "left_semi"), "backfill")
+    dates = [r["date"] for r in todo.orderBy("date").collect()]
+    for k in range(0, len(dates), days_at_once):
+        part = bars.where(F.coalesce("date", F.lit("")).isin([d or "" for d in dates[k:k + days_at_once]]))
+        good, bad = split_valid(part, source)
+        upsert_partitions(good.withColumnRenamed("date", "trade_date"), table, keys, arrival)
+        if rejects_path:
+            bad.write.mode("overwrite").parquet(f"{rejects_path}/from={dates[k]}")
+        counts = ingest_stats(validate(part, source), keys, ["date"])
+        record_done(counts.select(F.lit(source).alias("source"), "*"), ledger_path)
+    if not table_exists(raw.sparkSession, ledger_path):
+        return todo
+    return raw.sparkSession.read.parquet(ledger_path).join(todo, ["source", "date"], "left_semi")
 
 
 def backtest(scored: DataFrame, threshold: float) -> dict[str, DataFrame]:

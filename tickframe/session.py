@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOT: dict[str, str] = {}
-
-
 def build_session(app: str = "tickframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every operator relies on (UTC, ANSI, AQE)."""
     builder = SparkSession.builder.appName(app)
@@ -30,26 +26,17 @@ def build_session(app: str = "tickframe", master: str | None = None, **conf: str
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder: on a cluster a
-    machine-local path would be lost with its executor.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = sc.applicationId
-    if app not in _LOCAL_ROOT:
-        _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="tickframe-")
-    return _LOCAL_ROOT[app]
+    """The shared folder named in ``spark.checkpoint.dir``, or one in the session's warehouse, which is shared too."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return root or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, never reused path under the shared folder."""
-    return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh, never reused path under the shared folder, removed when the session's JVM ends."""
+    path = os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -47,25 +47,47 @@ def scan_news(spark: SparkSession, path: str, start: str | None = None, end: str
     return between_dates(spark.read.schema(schema).parquet(path), start, end, "trade_date")
 
 
+def csv_by_name(spark: SparkSession, path: str, schema: T.StructType, skip_unreadable: bool = False) -> DataFrame:
+    """CSV columns by the names in the header, in any order, and the file of each row as ``_file``.
+
+    Missing columns are NULL, others are ignored, values that don't parse are NULL.
+    A file whose header differs from the first one's fails the read instead of
+    putting values under other names.
+    """
+    raw = (spark.read.option("header", "true").option("enforceSchema", "false")
+           .option("ignoreCorruptFiles", str(skip_unreadable).lower()).csv(path))
+    one = lambda f: F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)
+    return raw.select(*[one(f).alias(f.name) for f in schema.fields], F.col("_metadata.file_path").alias("_file"))
+
+
+def files_without_rows(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """Files of a folder that are not the ``_file`` of any of ``rows``: empty or unreadable."""
+    every = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_file"))
+    return every.join(rows.select("_file").distinct(), "_file", "left_anti")
+
+
 def load_features(spark: SparkSession, path: str, schema: T.StructType, start: str | None = None,
-                  end: str | None = None, fmt: str = "parquet", date_from_name: bool = False) -> DataFrame:
-    """Feature rows within the bounds; unreadable files are skipped.
+                  end: str | None = None, fmt: str = "parquet", date_from_name: bool = False,
+                  skip_unreadable: bool = False) -> DataFrame:
+    """Feature rows within the bounds.
 
-    ``date_from_name`` takes the date from ``YYYY-MM-DD_features.csv`` names.
+    An unreadable file fails the read unless the caller asks to skip such files;
+    ``files_without_rows`` then names them by the column ``_file``.  ``date_from_name`` takes the date from ``YYYY-MM-DD_features.csv`` names.
     """
-    reader = spark.read.schema(schema).option("ignoreCorruptFiles", "true")
-    df = reader.option("header", "true").csv(path) if fmt == "csv" else reader.parquet(path)
+    if fmt == "csv":
+        df = csv_by_name(spark, path, schema, skip_unreadable)
+    else:
+        df = spark.read.schema(schema).option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(path)
+        df = df.select("*", F.col("_metadata.file_path").alias("_file"))
     if date_from_name:
-        name = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{4}-\d{2}-\d{2})_", 1)
-        df = df.withColumn("date", name)
+        df = df.withColumn("date", F.regexp_extract("_file", r"/(\d{4}-\d{2}-\d{2})_[^/]*$", 1))
     return nan_to_null(between_dates(df, start, end))
 
 
 def scan_labelable(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV or Parquet by suffix, without labels of an earlier run."""
-    reader = spark.read.schema(schema)
-    df = reader.option("header", "true").csv(path) if path.rstrip("/").endswith(".csv") else reader.parquet(path)
-    return nan_to_null(drop_labels(df))
+    df = csv_by_name(spark, path, schema) if path.rstrip("/").endswith(".csv") else spark.read.schema(schema).parquet(path)
+    return nan_to_null(drop_labels(df.select(*schema.fieldNames())))
 
 
 def drop_labels(df: DataFrame) -> DataFrame:
@@ -76,7 +98,7 @@ def load_event_reports(spark: SparkSession, path: str, forward: bool, start: str
                        end: str | None = None) -> DataFrame:
     """All report files; overlapping forward reports are deduplicated, backward ones are not."""
     schema = schemas.EVENT_FORWARD if forward else schemas.EVENT_BACKWARD
-    df = between_dates(spark.read.schema(schema).option("header", "true").csv(path), start, end)
+    df = between_dates(csv_by_name(spark, path, schema).select(*schema.fieldNames()), start, end)
     return unique_forward_events(df) if forward else df
 
 

@@ -41,8 +41,13 @@ def overwrite_partition(df: DataFrame, path: str, **kw) -> None:
 
 
 def merge_last_wins(old: DataFrame | None, new: DataFrame, keys: Sequence[str],
-                    arrival: Sequence[str] = ()) -> DataFrame:
-    """Union of stored and arriving rows, the last arrival per key."""
+                    arrival: Sequence[str]) -> DataFrame:
+    """Union of stored and arriving rows with the columns of both, the last arrival per key.
+
+    ``arrival`` orders the rows of one batch; without an order there is no last one.
+    """
+    if not arrival:
+        raise ValueError("name the columns that order the arrivals of a batch")
     if old is None:
         both = new.withColumn("_batch", F.lit(1))
     else:
@@ -51,17 +56,31 @@ def merge_last_wins(old: DataFrame | None, new: DataFrame, keys: Sequence[str],
     return dedup_last(both, keys, ["_batch", *arrival]).drop("_batch")
 
 
-def upsert_partitions(df: DataFrame, path: str, keys: Sequence[str] = ("timestamp",),
-                      partitions: Sequence[str] = (PARTITION,), arrival: Sequence[str] = (),
-                      sort: Sequence[str] = ("timestamp",)) -> None:
-    """Merge into the touched partitions only; last arrival wins."""
+def stored_partitions(like: DataFrame, path: str, partitions: Sequence[str]) -> DataFrame:
+    """The rows of a table in the partitions that ``like`` has, with all columns the table has.
+
+    The first partition column's values are listed, which prunes the scan; they
+    are calendar days, so their number is bounded.
+    """
+    spark, first = like.sparkSession, partitions[0]
+    stored = spark.read.option("mergeSchema", "true").parquet(path)
+    kinds = dict(like.dtypes)
+    stored = stored.withColumns({p: F.col(p).cast(kinds[p]) for p in partitions})
+    days = [r[0] for r in like.select(first).distinct().collect()]
+    here = F.col(first).isin([d for d in days if d is not None])
+    stored = stored.where(here | F.col(first).isNull() if None in days else here)
+    return stored if len(partitions) == 1 else stored.join(like.select(*partitions).distinct(), list(partitions), "left_semi")
+
+
+def upsert_partitions(df: DataFrame, path: str, keys: Sequence[str], arrival: Sequence[str],
+                      partitions: Sequence[str] = (PARTITION,), sort: Sequence[str] = ("timestamp",)) -> None:
+    """Merge into the touched partitions only; the last arrival wins, stored columns that a batch lacks stay.
+
+    The batch is written once to the shared folder, since it is read for its days and for the merge.
+    """
     spark = df.sparkSession
-    old = None
-    if table_exists(spark, path):
-        touched = df.select(*partitions).distinct()
-        stored = spark.read.schema(df.schema).parquet(path)
-        # touched is a handful of dates per batch; Spark prunes partitions from it at run time
-        old = stored.join(touched, list(partitions), "left_semi")
+    df = materialise(df, "batch")
+    old = stored_partitions(df, path, partitions) if table_exists(spark, path) else None
     merged = merge_last_wins(old, df, [*partitions, *keys], arrival)
     if old is not None:
         merged = materialise(merged, "upsert")

@@ -63,12 +63,11 @@ def contracts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_contracts(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms of the option tickers of the event stream, one per ticker and day except the last ten days.
+    """Terms of the option tickers of the event stream, one per ticker and day.
 
     The strike is the day's mean price, the expiry two days on.
     """
-    t = option_ticks(spark, sf).where(F.col("trade_date") < "2024-01-21")
-    return t.groupBy("trade_date", "ticker").agg(F.round(F.avg("price"), 0).alias("strike_price")).select(
+    return option_ticks(spark, sf).groupBy("trade_date", "ticker").agg(F.round(F.avg("price"), 0).alias("strike_price")).select(
         "trade_date", "ticker", "strike_price",
         F.date_format(F.date_add(F.to_date("trade_date"), 2), "yyyy-MM-dd").alias("expiration_date"),
         F.when(F.col("ticker") == "purchase", "CALL").otherwise("PUT").alias("contract_type"))
@@ -105,7 +104,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
         (9 + F.pmod("l_linenumber", F.lit(7))).cast("long").alias("hour_et"),
         F.pmod("l_partkey", F.lit(60)).cast("long").alias("minute_et"),
         F.concat(F.lit("O:UND"), F.date_format(at, "yyMMdd"), kind,
-                 F.lpad((F.col("l_partkey") * 100).cast("string"), 8, "0")).alias("ticker"),
+                 F.format_string("%08d", F.col("l_partkey") * 100)).alias("ticker"),
         "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
 
 

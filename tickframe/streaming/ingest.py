@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.calendar import market_open, partition_date
 from ..operators.monitoring import ingest_stats
 from ..operators.quality import split_valid, validate
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources.tables import upsert_partitions
 
 
@@ -30,17 +31,17 @@ def bounded_dedup(stream: DataFrame, keys: Sequence[str], event_time: str, delay
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def ingest(stream: DataFrame, source: str, table: str, keys: Sequence[str] = ("timestamp",),
-           arrival: Sequence[str] = (), checkpoint: str | None = None, stats_path: str | None = None,
+def ingest(stream: DataFrame, source: str, table: str, keys: Sequence[str], arrival: Sequence[str], checkpoint: str | None = None, stats_path: str | None = None,
            rejects_path: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Write the valid rows of a bar stream to a date-partitioned table, last arrival wins.
 
     A batch that is replayed after a failure merges to the same table content.
     """
     def flush(batch: DataFrame, batch_id: int) -> None:
+        batch = materialise(batch, "batch")  # read for the table, the counts and the rejects
         good, bad = split_valid(batch, source)
         dated = good.withColumn("trade_date", partition_date(F.col("timestamp")))
-        upsert_partitions(dated, table, keys, arrival=arrival)
+        upsert_partitions(dated, table, keys, arrival)
         if stats_path:
             stats = ingest_stats(validate(batch, source), keys).withColumn("batch_id", F.lit(batch_id))
             stats.write.mode("overwrite").parquet(f"{stats_path}/batch={batch_id}")
@@ -59,7 +60,7 @@ def start_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
 
 def ingest_options(stream: DataFrame, table: str, **kw) -> StreamingQuery:
     """Option bars are keyed by contract and timestamp."""
-    return ingest(stream, "options", table, keys=("ticker", "timestamp"), **kw)
+    return ingest(stream, "options", table, ("ticker", "timestamp"), **kw)
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
@@ -69,9 +70,42 @@ def append_to(stream: DataFrame, path: str, checkpoint: str | None = None) -> St
             .option("checkpointLocation", spot).trigger(availableNow=True).start())
 
 
-def incremental(stream: DataFrame, since_ms: int, ts: str = "timestamp") -> DataFrame:
-    """Records newer than a high-water mark; the checkpoint keeps the rest of the position."""
-    return stream.where(F.col(ts) > since_ms)
+def append_measured(stream: DataFrame, path: str, metrics: str, name: str = "stream", checkpoint: str | None = None) -> StreamingQuery:
+    """Append each batch to ``path``/batch=… and one row of its duration and volume to ``metrics``.
+
+    A replayed batch replaces its own folders.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, began = batch.sparkSession, time.time()
+        out = f"{path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(out)
+        records = spark.read.schema(batch.schema).parquet(out).count()
+        row = [(name, batch_id, time.time() - began, records, int(time.time() * 1000))]
+        spark.createDataFrame(row, "operation string, batch_id long, seconds double, records long, ended_ms long").write.mode(
+            "overwrite").parquet(f"{metrics}/batch={batch_id}")
+
+    return start_batches(stream, write, checkpoint)
+
+
+def end_of_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str, after_ms: int) -> None:
+    """Land one row with nothing but a far event time.
+
+    It moves the watermark past all windows that are open when an input ends, so
+    they are emitted; its own window stays open and is never emitted.
+    """
+    row = [tuple(after_ms if f.name == ts else None for f in schema.fields)]
+    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    spark.createDataFrame(row, nullable).coalesce(1).write.mode("append").parquet(path)
+
+
+def incremental(stream: DataFrame, since_ms: int | None, ts: str = "timestamp") -> DataFrame:
+    """Records newer than a high-water mark (all without one); the checkpoint keeps the rest of the position."""
+    return stream if since_ms is None else stream.where(F.col(ts) > since_ms)
+
+
+def high_water_mark(stored: DataFrame, ts: str = "timestamp") -> int | None:
+    """The newest time in a stored table."""
+    return stored.agg(F.max(ts)).head()[0]
 
 
 def lay_out(table: DataFrame, path: str, order: str = "ts_ms", mode: str = "append") -> None:
@@ -94,12 +128,3 @@ def late_rows(arrivals: DataFrame, batch: str, ts: str, delay_ms: int) -> DataFr
     marks = (arrivals.groupBy(batch).agg(F.max(ts).alias("_max"))
              .select(batch, (F.max("_max").over(before) - delay_ms).alias("_mark")))
     return arrivals.join(marks, batch).where(F.col(ts) < F.col("_mark")).drop("_mark")
-
-
-def progress_frame(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Duration and volume per batch of a query (Spark keeps the last 100), as operation rows."""
-    rows = [(p.name or "stream", p.batchId, (p.durationMs or {}).get("triggerExecution", 0) / 1000.0,
-             p.numInputRows, p.timestamp) for p in query.recentProgress]
-    done = spark.createDataFrame(rows, "operation string, batch_id long, seconds double, records long, started string")
-    start = F.unix_millis(F.try_to_timestamp("started"))
-    return done.withColumn("ended_ms", start + (F.col("seconds") * 1000).cast("long")).drop("started")
