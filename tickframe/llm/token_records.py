@@ -27,7 +27,7 @@ from .words import pieces
 
 SHARD_BYTES = 32 << 20  # text per file; a file is read back by one task
 CACHE_WORDS = 500_000
-_HEAD, _KEY = struct.Struct("<QI"), struct.Struct("<qBB")
+_HEAD, _KEY = "<QI", "<qBB"
 #: The splitting pattern and normalisation for which words can be encoded one by one.
 _WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _STEPS = ["NFC", "Replace", "Lowercase"]
@@ -103,7 +103,7 @@ def frame(payload: bytes) -> bytes:
 def record_at(data: bytes | memoryview, at: int) -> tuple[memoryview, int]:
     """The checked payload at an offset and the offset of the next record."""
     data = memoryview(data)
-    size, check = _HEAD.unpack_from(data, at)
+    size, check = struct.unpack_from(_HEAD, data, at)
     if masked(bytes(data[at:at + 8])) != check:
         raise ValueError(f"damaged length at {at}")
     payload = data[at + 12:at + 12 + size]
@@ -119,8 +119,8 @@ def seek_record(handle: BinaryIO, offset: int, n_bytes: int) -> tuple[int | None
 
 
 def parse(payload: memoryview) -> tuple[int | None, np.ndarray]:
-    key, null, width = _KEY.unpack_from(payload)
-    return None if null else key, np.frombuffer(payload, f"<u{width}", offset=_KEY.size)
+    key, null, width = struct.unpack_from(_KEY, payload)
+    return None if null else key, np.frombuffer(payload, f"<u{width}", offset=struct.calcsize(_KEY))
 
 
 def _framed(path: str, end: int | None):
@@ -131,7 +131,8 @@ def _framed(path: str, end: int | None):
             for part, data, bounds in pieces(batch):
                 raw, out = data.tobytes(), []
                 for key, a, b in zip(part.column(0).to_pylist(), bounds[:-1], bounds[1:]):
-                    out.append(frame(_KEY.pack(key or 0, key is None, enc.width) + enc.encode(raw[a:b]) + tail))
+                    record = frame(struct.pack(_KEY, key or 0, key is None, enc.width) + enc.encode(raw[a:b]) + tail)
+                    out.append(record[:-1])  # the text writer ends each row with the line feed
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
     return run
 
