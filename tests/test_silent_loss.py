@@ -27,8 +27,9 @@ def test_exponential_means_on_long_days(spark):
         want = pd.Series(close).ewm(span=span, adjust=False, min_periods=span).mean()
         assert np.allclose(out[name], want, rtol=1e-9, atol=0, equal_nan=True)
     step = pd.Series(close).diff()
-    up, down = (x.clip(lower=0).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() for x in (step, -step))
-    assert out["rsi"].notna().sum() == n - 14 and np.allclose(out["rsi"][14:], (100 - 100 / (1 + up / down))[14:], rtol=1e-8)
+    up, down = (x.where(x > 0, 0.0).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() for x in (step, -step))
+    want = (100 - 100 / (1 + up / down)).where(down != 0, 100.0)[13:]
+    assert out["rsi"].notna().sum() == n - 13 and np.allclose(out["rsi"][13:], want, rtol=1e-8)
     with pytest.raises(ValueError):
         ind.ewm(F.col("close"), "x", 0.95, w, 1)
 

@@ -126,9 +126,9 @@ def sql(body: str, *views: str, **extra: str) -> str:
 def ewm_sql(src: str, x: str, name: str, alpha: float, need: int, by: str) -> str:
     """The exponential mean by its recursion, folded over the values so far, as nested SELECTs over ``src``."""
     w = f"(PARTITION BY {by} ORDER BY ts_ms ROWS UNBOUNDED PRECEDING)"
-    return f"""SELECT * EXCLUDE (_x, _l), CASE WHEN len(_l) >= {need}
-            THEN list_reduce(_l, lambda a, x: {1 - alpha!r}::DOUBLE * a + {alpha!r}::DOUBLE * x) END AS {name} FROM (
-        SELECT *, list(CAST(_x AS DOUBLE)) FILTER (WHERE _x IS NOT NULL) OVER {w} AS _l FROM (SELECT *, {x} AS _x FROM {src}))"""
+    return f"""SELECT * EXCLUDE (_x, _list), CASE WHEN len(_list) >= {need}
+            THEN list_reduce(_list, lambda a, x: {1 - alpha!r}::DOUBLE * a + {alpha!r}::DOUBLE * x) END AS {name} FROM (
+        SELECT *, list(CAST(_x AS DOUBLE)) FILTER (WHERE _x IS NOT NULL) OVER {w} AS _list FROM (SELECT *, {x} AS _x FROM {src}))"""
 
 
 def rsi_sql(src: str, close: str, name: str, by: str, period: int = 14) -> str:
