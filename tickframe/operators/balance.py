@@ -33,7 +33,7 @@ def class_weights(df: DataFrame, target: str = "target") -> DataFrame:
 
 
 def attach_class_weight(df: DataFrame, weights: DataFrame, target: str = "target") -> DataFrame:
-    return df.join(F.broadcast(weights.select(target, "weight")), target, "left")  # one row per class
+    return df.join(weights.select(target, "weight"), target, "left")
 
 
 def balance(df: DataFrame, method: str, keys: Sequence[str], seed: int = 42,

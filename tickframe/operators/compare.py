@@ -59,7 +59,7 @@ def model_threshold_results(trades: DataFrame, thresholds: Sequence[float] = KEY
         .withColumn("total_fees_usd", F.col("total_signals") * F.lit(fee_usd))
         .withColumn("net_profit_usd", F.col("monthly_profit_usd") - F.col("total_fees_usd"))
         .withColumn("avg_pnl_per_trade_usd", F.coalesce(ratio(F.col("monthly_profit_usd"), n), zero)))
-    med = exact_quantiles(t, ["model", "is_winner"], "profit_loss_usd", {"m": 0.5}, ("_c", k), few_groups=True)
+    med = exact_quantiles(t, ["model", "is_winner"], "profit_loss_usd", {"m": 0.5}, ("_c", k))
     med = med.groupBy("model", "level").agg(
         F.max(F.when(F.col("is_winner"), F.col("m"))).alias("win_profit_median"),
         F.max(F.when(~F.col("is_winner"), F.col("m"))).alias("loss_amount_median"))

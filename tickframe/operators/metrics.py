@@ -135,8 +135,6 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float] = SWEEP_GRID, by:
 
     ``periods`` names a date column: results then come for the whole table, each
     month and each day (columns scope, period), rolled up from daily cells.
-    Groups must be few (none, calendar periods): their number times the
-    thresholds is what the median pass broadcasts.
     """
     k = len(thresholds)
     fine = [*by, periods] if periods else list(by)
@@ -166,7 +164,7 @@ def threshold_sweep(df: DataFrame, thresholds: Sequence[float] = SWEEP_GRID, by:
     if medians:
         # gains of positives, losses of negatives; levels 0..k-1 above, k..2k-1 below each threshold
         outcome = base.withColumn("_x", F.when(y, F.col("_gain")).otherwise(F.col("_loss")))
-        q = exact_quantiles(outcome, [*fine, "_y"], "_x", {"m": 0.5}, ("_c", k), True, True, rollup, [*keys, "_y"])
+        q = exact_quantiles(outcome, [*fine, "_y"], "_x", {"m": 0.5}, ("_c", k), True, rollup, [*keys, "_y"])
         above_it = F.col("level") < k
         q = q.groupBy(*keys, F.pmod("level", F.lit(k)).alias("level")).agg(
             F.max(F.when(above_it & y, F.col("m"))).alias("tp_profit_pct_median"),

@@ -1,8 +1,9 @@
 """Exact quantiles without gathering a group in one task.
 
-A first pass counts values per logarithmic bin (a few thousand rows per group,
-pre-aggregated before the shuffle) and finds the bins that hold the wanted
-ranks.  A second pass looks only at the values of those bins.
+Equal values are counted first, before any shuffle where they are many.  Counts
+per logarithmic bin find the bins that hold the wanted ranks; only the values of
+these bins are ordered, in fine steps of a bin, so that a narrow measure with
+many distinct values is spread over tasks too.
 """
 
 from __future__ import annotations
@@ -14,16 +15,17 @@ from pyspark.sql import functions as F
 
 _BINS_PER_E = 512
 _BIN_OFFSET = 400_000
+FINE = 4096  # steps per bin
 
 
-def log_bin(v: Column) -> Column:
-    """A monotone integer bin of about 0.2 % relative width."""
-    size = F.floor(F.ln(F.abs(v)) * _BINS_PER_E) + _BIN_OFFSET
+def log_bin(v: Column, fine: int = 1) -> Column:
+    """A monotone integer bin of about 0.2 % relative width, or a step of one."""
+    size = F.floor(F.ln(F.abs(v)) * (_BINS_PER_E * fine)) + _BIN_OFFSET * fine
     return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
-                    levels: tuple[str, int] | None = None, complement: bool = False, few_groups: bool = False,
+                    levels: tuple[str, int] | None = None, complement: bool = False,
                     rollup: Callable[[DataFrame], DataFrame] | None = None,
                     rolled_by: Sequence[str] = ()) -> DataFrame:
     """One row per group with a linearly interpolated quantile per entry of ``probs``.
@@ -34,21 +36,17 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     rows are not replicated.
 
     ``rollup`` maps rows keyed by ``by`` to rows keyed by ``rolled_by`` (for
-    example days to days, months and the whole); the bin counts are rolled up
-    instead of the rows.
-
-    ``few_groups`` states that the number of groups is bounded (no grouping,
-    thresholds, calendar periods): the second pass then broadcasts the wanted
-    bins, at most two per group, level and quantile, instead of shuffling values.
+    example days to days, months and the whole); counts of equal values are
+    rolled up instead of the rows.
     """
     by = list(by)
-    base = df.select(*by, *([F.col(levels[0]).alias("_c")] if levels else []),
+    base = df.select(*by, (F.col(levels[0]) if levels else F.lit(0)).alias("_c"),
                      F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    base = base.withColumn("_bin", log_bin(F.col("_v")))
+    values = base.groupBy(*by, "_c", "_v").agg(F.count(F.lit(1)).alias("_w")).withColumn("_bin", log_bin(F.col("_v")))
     k = levels[1] if levels else 0
     names = ["_all", *[f"_n{i}" for i in range(k)]]
-    counts = [F.count(F.lit(1)).alias("_all"),
-              *[F.count(F.when(F.col("_c") > i, F.lit(1))).alias(f"_n{i}") for i in range(k)]]
+    counts = [F.sum("_w").alias("_all"),
+              *[F.coalesce(F.sum(F.when(F.col("_c") > i, F.col("_w"))), F.lit(0)).alias(f"_n{i}") for i in range(k)]]
 
     def per_level(cols: dict[str, Column]) -> Column:
         """Array over levels of a count known for the nested groups and for all rows."""
@@ -67,32 +65,39 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
             per_level({c: F.col(c + tail) for c in names}).alias(out)
             for out, tail in (("_n", ""), ("_b", "_b"), ("_t", "_t"))])
 
-    # pass 1: the bins that hold the lower and upper neighbour of each wanted rank
-    binned = base.groupBy(*by, "_bin").agg(*counts)
+    # the bins that hold the lower and upper neighbour of each wanted rank
+    binned = values.groupBy(*by, "_bin").agg(*counts)
     if rollup:
-        by, base = list(rolled_by), rollup(base)
+        by, values = list(rolled_by), rollup(values)
         binned = rollup(binned).groupBy(*by, "_bin").agg(*[F.sum(c).alias(c) for c in names])
     hist = with_before(binned, by, "_bin")
-    ranks = (
-        hist.select(*by, "_bin", F.posexplode(F.arrays_zip("_n", "_b", "_t")).alias("level", "_z"))
-        .select(*by, "_bin", "level", "_z.*").where(F.col("_n") > 0)
-        .select("*", F.inline(F.array(*[F.struct(
-            F.lit(p).alias("_p"), (F.lit(float(q)) * (F.col("_t") - 1)).alias("_h")) for p, q in probs.items()]))))
-    here = lambda k: F.when((k >= F.col("_b")) & (k < F.col("_b") + F.col("_n")), k - F.col("_b"))
-    targets = (ranks.select(*by, "_bin", "level", "_p", "_h", here(F.floor("_h")).alias("_klo"),
-                            here(F.ceil("_h")).alias("_khi"))
-               .where(F.col("_klo").isNotNull() | F.col("_khi").isNotNull()))
-
-    # pass 2: count equal values of those bins and pick the wanted ones
+
+    def wanted(at: Column, i: Column, p: str, q: float) -> Column:
+        h = F.lit(float(q)) * (at["_t"] - 1)
+        here = lambda rank: F.when((rank >= at["_b"]) & (rank < at["_b"] + at["_n"]), rank - at["_b"])
+        return F.struct(i.alias("level"), F.lit(p).alias("_p"), h.alias("_h"), here(F.floor(h)).alias("_klo"), here(F.ceil(h)).alias("_khi"))
+
+    zipped = F.arrays_zip("_n", "_b", "_t")
+    each = lambda p, q: F.transform(zipped, lambda at, i: wanted(at, i, p, q))
+    hits = F.concat(*[F.filter(each(p, q), lambda x: x["_klo"].isNotNull() | x["_khi"].isNotNull()) for p, q in probs.items()])
+    targets = hist.select(*by, "_bin", F.inline(hits))
+
+    # the values of those bins, ordered in fine steps
     cells = targets.select(*by, "_bin").distinct()
-    if few_groups or not by:
-        cells = F.broadcast(cells)
-    hit = base.join(cells, [*by, "_bin"], "left_semi").groupBy(*by, "_bin", "_v").agg(*counts)
-    exact = with_before(hit, [*by, "_bin"], "_v")
-    start = F.get("_b", F.col("level"))
-    at = lambda k: F.when((k >= start) & (k < start + F.get("_n", F.col("level"))), F.col("_v"))
+    near = values.join(cells, [*by, "_bin"], "left_semi").groupBy(*by, "_bin", "_v").agg(*counts)
+    near = near.withColumn("_step", log_bin(F.col("_v"), FINE))
+    steps = with_before(near.groupBy(*by, "_bin", "_step").agg(*[F.sum(c).alias(c) for c in names]), [*by, "_bin"], "_step")
+    exact = with_before(near, [*by, "_bin", "_step"], "_v").select(*by, "_bin", "_step", "_v", "_n", F.col("_b").alias("_inside"))
+    level = F.col("level")
     keys = [*by, "level"] if levels else by
-    pairs = exact.join(targets, [*by, "_bin"]).groupBy(*keys, "_p", "_h").agg(
+    pairs = steps.select(*by, "_bin", "_step", F.col("_n").alias("_step_n"), "_b").join(targets, [*by, "_bin"])
+    first, size = F.get("_b", level), F.get("_step_n", level)
+    within = lambda rank: (rank >= first) & (rank < first + size)
+    pairs = pairs.where(within(F.col("_klo")) | within(F.col("_khi"))).select(
+        *by, "_bin", "_step", "level", "_p", "_h", *[(F.when(within(F.col(c)), F.col(c) - first)).alias(c) for c in ("_klo", "_khi")])
+    start = F.get("_inside", level)
+    at = lambda rank: F.when((rank >= start) & (rank < start + F.get("_n", level)), F.col("_v"))
+    found = exact.join(pairs, [*by, "_bin", "_step"]).groupBy(*keys, "_p", "_h").agg(
         F.max(at(F.col("_klo"))).alias("_lo"), F.max(at(F.col("_khi"))).alias("_hi"))
     q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h"))
-    return pairs.groupBy(*keys).agg(*[F.max(F.when(F.col("_p") == p, q)).alias(p) for p in probs])
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_p") == p, q)).alias(p) for p in probs])

@@ -9,26 +9,27 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-_PREFIX = 5  # hex digits: 1,048,576 buckets
+_DIGITS = 3  # hex digits per refinement: 4,096 buckets
 
 
 def global_position(df: DataFrame, ts: str, tie: Sequence[str], name: str = "position") -> DataFrame:
     """0-based position of each row in (ts, tie) order over the whole table.
 
     Rows are cut into sampled, even ranges of the full order, so a crowded
-    timestamp is split by its ties.  The ranges are written once to fix them;
-    after that only their sizes (one row per range) are summed globally.
+    timestamp is split by its ties, sorted inside their range and numbered as they
+    are written.  After that only the ranges' sizes (one row per range) are summed
+    globally; the rows are shuffled once.
     """
-    ranged = df.repartitionByRange(F.col(ts), *[F.col(c) for c in tie])
-    placed = materialise(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    ranged = df.repartitionByRange(F.col(ts), *[F.col(c) for c in tie]).sortWithinPartitions(ts, *tie)
+    # the id counts up inside a partition and has the partition's number above its 33 lowest bits
+    placed = materialise(ranged.withColumn("_place", F.monotonically_increasing_id()), "ranges")
+    range_ = F.shiftright("_place", 33)
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = (placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    base = (placed.groupBy(range_.alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
             .select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base")))
-    order = Window.partitionBy("_range").orderBy(ts, *tie)
-    # one row per range: as many as shuffle partitions
-    return (placed.join(F.broadcast(base), "_range")
-            .withColumn(name, F.col("_base") + F.row_number().over(order) - 1)
-            .drop("_range", "_base"))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return (placed.withColumn("_range", range_).join(base, "_range")
+            .withColumn(name, F.col("_base") + inside).drop("_range", "_base", "_place"))
 
 
 def shuffle_key(seed: int, keys: Sequence[str]) -> Column:
@@ -40,20 +41,34 @@ def smallest_by_hash(df: DataFrame, hash_col: str, take: DataFrame, by: Sequence
                      tie: Sequence[str]) -> DataFrame:
     """The first ``_take`` rows of each group in hash order.
 
-    ``take`` has one row per group (``by`` + ``_take``).  A histogram over the
-    leading hash digits finds the one bucket the limit falls into; only that
-    bucket, about a millionth of the group, is ordered.
+    ``take`` has one row per group (``by`` + ``_take``).  Counts per leading digits
+    of the hash find the bucket the limit falls into, and counts per longer prefix
+    within it the bucket's part, about a sixteen-millionth of the group.  Only that
+    part is ordered; all others are kept or left by comparing hashes.
     """
-    pre = df.withColumn("_pre", F.substring(hash_col, 1, _PREFIX))
-    upto = Window.partitionBy(*by).orderBy("_pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (pre.groupBy(*by, "_pre").agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_c", F.sum("_n").over(upto)).join(take, list(by)))
-    edge = (hist.where((F.col("_c") > F.col("_take")) & (F.col("_c") - F.col("_n") <= F.col("_take")))
-            .groupBy(*by).agg(F.min("_pre").alias("_edge"),
-                              F.min_by(F.col("_take") - F.col("_c") + F.col("_n"), "_pre").alias("_left")))
-    cut = pre.join(F.broadcast(edge), list(by), "left")  # one row per class
-    below = cut.where(F.col("_edge").isNull() | (F.col("_pre") < F.col("_edge")))
+    by = list(by)
+
+    def edge(hist_of: DataFrame, limit: DataFrame, digits: int) -> DataFrame:
+        """(by, prefix, left): the bucket at the limit and how many of its rows are taken."""
+        upto = Window.partitionBy(*by).orderBy("_pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hist = (hist_of.groupBy(*by, F.substring(hash_col, 1, digits).alias("_pre")).agg(F.count(F.lit(1)).alias("_n"))
+                .withColumn("_c", F.sum("_n").over(upto)).join(limit, by).withColumn("_start", F.col("_c") - F.col("_n")))
+        return hist.where((F.col("_c") > F.col("_take")) & (F.col("_start") <= F.col("_take"))).select(
+            *by, F.col("_pre").alias("_edge"), (F.col("_take") - F.col("_start")).alias("_left"))
+
+    slim = df.select(*by, hash_col, *[c for c in tie if c not in by])
+    coarse = materialise(edge(slim, take, _DIGITS), "edge")
+    open_ = slim.join(coarse, by).where(F.substring(hash_col, 1, _DIGITS) == F.col("_edge"))
+    fine = materialise(edge(open_.drop("_edge", "_left"), coarse.select(*by, F.col("_left").alias("_take")), 2 * _DIGITS), "edge")
     order = Window.partitionBy(*by).orderBy(hash_col, *tie)
-    at = (cut.where(F.col("_pre") == F.col("_edge"))
-          .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= F.col("_left")))
-    return below.unionByName(at.drop("_rn")).drop("_pre", "_edge", "_left")
+    rest = (open_.drop("_left", "_edge").join(fine, by).where(F.substring(hash_col, 1, 2 * _DIGITS) == F.col("_edge"))
+            .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= F.col("_left")))
+    # the last row taken: everything up to it in (hash, tie) order is taken
+    names = [hash_col, *[c for c in tie if c not in by]]
+    last = materialise(rest.groupBy(*by).agg(F.max(F.struct(*names)).alias("_last")), "edge")
+    bound = (take.select(*by).join(coarse.select(*by, F.lit(True).alias("_cut")), by, "left")
+             .join(fine.select(*by, F.col("_edge").alias("_fine")), by, "left").join(last, by, "left"))
+    joined = df.join(bound, by)
+    inside = F.coalesce(F.struct(*names) <= F.col("_last"), F.lit(False))
+    keep = F.col("_cut").isNull() | (F.col(hash_col) < F.col("_fine")) | inside
+    return joined.where(keep).select(*df.columns)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import count_if, join_results, ratio
 from .quantiles import exact_quantiles
+from .ranking import global_position
 
 # Report levels.
 STOP_LEVELS = (-5.0, -10.0, -15.0, -20.0, -25.0)
@@ -102,10 +103,18 @@ def trade_expected_value(trades: DataFrame, stop_loss: float = -10.0, by: Sequen
 
 def importance_table(df: DataFrame, feature: str = "feature", score: str = "importance",
                      top: int | None = None) -> DataFrame:
-    """Share of total and rank over a table of one row per feature."""
-    total = F.sum(score).over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.col(score).desc(), feature))
-    out = (df.withColumn(score, F.coalesce(score, F.lit(0.0)))
-           .withColumn("share", F.coalesce(ratio(F.col(score), total), F.lit(0.0)))
-           .withColumn("rank", rank))
-    return out.orderBy("rank").limit(top) if top else out
+    """Share of total and rank over a table of one row per feature.
+
+    With ``top`` the strongest features are picked by a limited sort before they are ranked.
+    """
+    known = df.withColumn(score, F.coalesce(score, F.lit(0.0)))
+    order = [F.col(score).desc(), F.col(feature)]
+    picked = known.orderBy(*order).limit(top) if top else known
+    if top:
+        ranked = picked.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # ``top`` rows
+    else:
+        ranked = (global_position(picked.withColumn("_down", -F.col(score)), "_down", [feature], "_at")
+                  .withColumn("rank", (F.col("_at") + 1).cast("int")).drop("_down", "_at"))
+    total = known.agg(F.sum(score)).scalar()
+    return ranked.withColumn("_total", total).withColumn("share", F.coalesce(ratio(F.col(score), F.col("_total")), F.lit(0.0))).drop(
+        "_total").orderBy("rank")

@@ -44,8 +44,7 @@ def chronological_split(df: DataFrame, train: float = TRAIN_SHARE, val: float =
                         ts: str = "timestamp", date: str = "date", tie: Sequence[str] = ()) -> DataFrame:
     """The input with a ``split`` column; by date when there is one, else by row order."""
     if date in df.columns:
-        # one short row per calendar day: small by construction
-        return df.join(F.broadcast(split_dates(df, train, val, date)), date)
+        return df.join(split_dates(df, train, val, date), date)
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     placed = global_position(df, ts, tie, "_pos")
     return placed.withColumn(
@@ -87,7 +86,7 @@ def fit_val_split(df: DataFrame, date: str = "date") -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy())
     i = F.row_number().over(Window.orderBy(date))
     part = F.when((n >= MIN_FIT_DATES) & (i > _cut(n, FIT_SHARE)), "val").otherwise("fit")
-    return df.join(F.broadcast(d.select(date, part.alias("part"))), date)
+    return df.join(d.select(date, part.alias("part")), date)
 
 
 def timeseries_folds(df: DataFrame, k: int = 5, ts: str = "timestamp", tie: Sequence[str] = (),
@@ -126,7 +125,7 @@ def rows_in_splits(df: DataFrame, splits: DataFrame, part: str = "test", date: s
     lo, hi = F.col(f"{part}_start"), F.col(f"{part}_end")
     months = F.sequence(F.trunc(F.to_date(lo), "MM"), F.to_date(hi), F.expr("interval 1 month"))
     spread = splits.withColumn("_month", F.explode(F.transform(months, lambda m: F.date_format(m, "yyyy-MM"))))
-    joined = df.withColumn("_month", F.substring(date, 1, 7)).join(F.broadcast(spread), "_month")
+    joined = df.withColumn("_month", F.substring(date, 1, 7)).join(spread, "_month")
     return joined.where((F.col(date) >= lo) & (F.col(date) <= hi)).drop("_month")
 
 

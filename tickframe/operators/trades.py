@@ -126,7 +126,7 @@ def monthly_trade_report(trades: DataFrame, fee_usd: float = FEE_USD) -> DataFra
     measures = t.select("month", F.inline(F.array(
         F.struct(F.when(win, "win").otherwise("loss").alias("m"), pnl.alias("v")),
         F.struct(F.lit("time").alias("m"), F.col("time_in_trade_minutes").alias("v")))))
-    q = exact_quantiles(measures, ["month", "m"], "v", {"q": 0.5}, few_groups=True)
+    q = exact_quantiles(measures, ["month", "m"], "v", {"q": 0.5})
     pick = lambda m: _zero(F.max(F.when(F.col("m") == m, F.col("q"))))
     q = q.groupBy("month").agg(pick("win").alias("median_profit_per_win_usd"),
                                pick("loss").alias("median_loss_per_loss_usd"),
