@@ -26,12 +26,15 @@ from pyspark.sql import functions as F
 from .words import pieces
 
 SHARD_BYTES = 32 << 20  # text per file; a file is read back by one task
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 _HEAD, _KEY = "<QI", "<qBB"
 #: The splitting pattern and normalisation for which words can be encoded one by one.
 _WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _STEPS = ["NFC", "Replace", "Lowercase"]
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+# ASCII and Latin letters from U+00C0 to U+017F, on which this splitting and lower case need no Unicode tables.
+_LATIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-įı-ſ]*")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\s0-9a-zß-öø-ſ]+", re.ASCII)
+_BATCH = 20_000
 _INDEX = ("file string, doc_id bigint, offset bigint, n_bytes bigint, n_tokens bigint, start_in_file bigint, "
           "ids_crc32 bigint")
 
@@ -46,8 +49,9 @@ class Encoder(dict):
     """Text to id bytes; white-space separated chunks are encoded once and remembered.
 
     Where the tokenizer splits at white space and treats words alone, as checked in
-    its file, the ids of a text are those of its chunks in order.  Other
-    tokenizers get whole texts.
+    its file, the ids of a text are those of its chunks in order, and the ids of a chunk those
+    of its letter runs, digits and signs.  New parts of many texts are encoded together and told apart by
+    their last ids, which end a word.  Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -59,34 +63,61 @@ class Encoder(dict):
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         steps = [s.get("type") for s in (spec["normalizer"] or {}).get("normalizers", [])]
         split = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-        self.wordwise = (steps == _STEPS and split.get("pattern") == {"Regex": _WORDWISE}
+        ending = spec["model"].get("end_of_word_suffix")
+        self.wordwise = (steps == _STEPS and split.get("pattern") == {"Regex": _WORDWISE} and bool(ending)
                          and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"]))
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.last[k] = bool(ending) and token.endswith(ending)
         self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        if not chunk.isascii() or b"<|" in chunk:  # may hold a special token
-            out = self.whole(chunk.decode())
-        else:
-            known, out = self.parts, []
-            for part in _PLAIN.findall(chunk.decode().lower()):
-                if part not in known:
-                    known[part] = self.whole(part)
-                out.append(known[part])
-            out = b"".join(out)
-        self[chunk] = out
-        return out
-
-    def encode(self, text: bytes) -> bytes:
-        if not self.wordwise:
-            return self.whole(text.decode())
-        if len(self) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
+    def learn(self, parts: list[str]) -> None:
+        for k in range(0, len(parts), _BATCH):
+            some = parts[k:k + _BATCH]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, f"<u{self.width}")
+            end = ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()
+            if len(end) == len(some):
+                raw, at = ids.tobytes(), 0
+                for part, to in zip(some, end):
+                    self.parts[part] = raw[at:to]
+                    at = to
+            else:
+                self.parts.update((part, self.whole(part)) for part in some)
+
+    def prepare(self, chunks: set[bytes]) -> None:
+        """Make all chunks known."""
+        new = chunks.difference(self)
+        if len(self) + len(new) > CACHE_WORDS:
             self.clear()
+            new = chunks
+        if len(self.parts) > CACHE_WORDS:
             self.parts.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+        split, odd = {}, []
+        for chunk in new:
+            text = chunk.decode()
+            if chunk.isalpha():  # ASCII letters only
+                split[chunk] = (text.lower(),)
+            elif _LATIN.fullmatch(text) and b"<|" not in chunk:  # no special token in it
+                split[chunk] = _PARTS.findall(text.lower())
+            else:
+                odd.append(chunk)
+        self.learn(list({part for parts in split.values() for part in parts}.difference(self.parts)))
+        known = self.parts
+        for chunk, parts in split.items():
+            self[chunk] = known[parts[0]] if len(parts) == 1 else b"".join([known[part] for part in parts])
+        for chunk in odd:
+            self[chunk] = self.whole(chunk.decode())
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.wordwise:
+            return [self.whole(text.decode()) for text in texts]
+        words = [text.split() for text in texts]
+        self.prepare(set().union(*words))
+        return [b"".join(map(self.__getitem__, w)) for w in words]
 
 
 @functools.lru_cache(maxsize=2)
@@ -130,8 +161,9 @@ def _framed(path: str, end: int | None):
         for batch in batches:
             for part, data, bounds in pieces(batch):
                 raw, out = data.tobytes(), []
-                for key, a, b in zip(part.column(0).to_pylist(), bounds[:-1], bounds[1:]):
-                    record = frame(struct.pack(_KEY, key or 0, key is None, enc.width) + enc.encode(raw[a:b]) + tail)
+                ids = enc.encode([raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])])
+                for key, some in zip(part.column(0).to_pylist(), ids):
+                    record = frame(struct.pack(_KEY, key or 0, key is None, enc.width) + some + tail)
                     out.append(record[:-1])  # the text writer ends each row with the line feed
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
     return run
