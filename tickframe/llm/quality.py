@@ -17,7 +17,7 @@ _EMPTY = "array<struct<h:bigint,p:int>>"
 #: Value steps of the sketches; a sketch has at most this many counts per measure.
 STEPS = 2000
 #: Per measure: how many spreads above the median are still kept, the least spread that counts (in steps), two-sided or not.
-RULES = {"symbols": (4, 50, False), "dup_lines": (4, 200, False), "repeats": (4, 250, False), "length": (5, 20, True)}
+RULES = {"symbols": (4, 50, False), "dup_lines": (4, 400, False), "repeats": (4, 300, False), "length": (5, 30, True)}
 MIN_TEXTS = 200
 
 
