@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .filters import bit_table, passing
 from .store import Store
 from .words import find, mix, pieces, stream
 
@@ -66,16 +67,15 @@ def _scan(depth: int, least: int):
     return run
 
 
-def _read(depth: int):
-    """The tokens of the wanted lines."""
+def _read(depth: int, least: int, bits: np.ndarray):
+    """The tokens of each different line whose leaf passes the filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, bounds in pieces(batch):
-                token, first, text, line = _tokens(data, bounds)
+            for _, data, bounds in pieces(batch):
+                token, first, _, _ = _tokens(data, bounds)
                 leaf, sig, size = _leaves(token, first, depth)
-                wanted = part.column(2).to_pylist()
-                edge = np.searchsorted(text, np.arange(part.num_rows + 1))
-                at = [j for d, lines in enumerate(wanted) for j in edge[d] + np.flatnonzero(np.isin(line[edge[d]:edge[d + 1]], lines))]
+                at = np.flatnonzero((size >= least) & passing(bits, leaf))
+                at = at[np.unique(sig[at], return_index=True)[1]]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(leaf[at].view(np.int64)), pa.array(sig[at].view(np.int64)),
                     pa.array([token[first[j]:first[j] + size[j]].view(np.int64) for j in at], pa.list_(pa.int64()))], ["leaf", "sig", "tokens"])
@@ -97,14 +97,13 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(docs: DataFrame, store: Store, depth: int, least: int, min_texts: int, similar: float) -> DataFrame:
     """(k, h, line, template) of each line of ``docs`` (k, text, h) that the tree takes."""
     lines = store.keep(docs.select("k", "text", "h").mapInArrow(_scan(depth, least), _LINES), "lines")
-    sigs = lines.groupBy("leaf", "sig").agg(F.count_distinct("h").alias("texts"), F.min(F.struct("k", "h", "line")).alias("at"))
+    sigs = lines.groupBy("leaf", "sig").agg(F.count_distinct("h").alias("texts"))
     sigs = store.keep(sigs, "sigs")
     mixed = sigs.groupBy("leaf").agg(F.count(F.lit(1)).alias("sigs"), F.sum("texts").alias("all")).where(
         (F.col("sigs") > 1) & (F.col("all") >= min_texts)).select("leaf", "all")
     several = store.keep(sigs.join(mixed, "leaf"), "several")
-    wanted = several.groupBy("at.k", "at.h").agg(F.collect_list("at.line").alias("wanted"))  # lines of one text
-    texts = docs.select("k", "text", "h").join(wanted, ["k", "h"]).select("k", "text", "wanted")
-    tokens = texts.mapInArrow(_read(depth), "leaf bigint, sig bigint, tokens array<bigint>").dropDuplicates(["leaf", "sig"])
+    read = _read(depth, least, bit_table(mixed, F.col("leaf")))
+    tokens = docs.select("k", "text").mapInArrow(read, "leaf bigint, sig bigint, tokens array<bigint>").dropDuplicates(["leaf", "sig"])
     placed = store.keep(tokens.join(several.select("leaf", "sig", "texts", "all"), ["leaf", "sig"]).select(
         "leaf", "sig", "texts", "all", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token")), "placed")
     usual = (placed.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("c"), F.max("all").alias("all"))

@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .filters import bit_table, passing
 from .store import Store
 from .words import find, grams, mix, pieces, stream
 
 _U = np.uint64
 _SKETCH = "doc_id bigint, h bigint, n bigint, cls binary, bands array<bigint>"
 _NO_ID = (1 << 63) - 1
-_FILTER = 1 << 25  # bits, 4 MB whatever the input
 _SETS = "cls binary, n bigint, shingles array<bigint>"
 
 
@@ -87,11 +87,10 @@ def _sketches(size: int, bands: int, rows: int):
 
 
 def _full_sets(size: int, bits: np.ndarray):
-    """Class and shingles of the texts whose place in the filter (third column) is set."""
+    """Class and shingles of the texts whose key (third column) passes the filter."""
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            yield batch.filter(pa.array(bits[at // 64] >> (at % 64).astype(_U) & _U(1) == 1))
+            yield batch.filter(pa.array(passing(bits, batch.column(2).to_numpy())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(wanted(batches), size):
@@ -120,17 +119,6 @@ def _sizes_fit(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.lit(100) * F.least(n_a, n_b) >= F.lit(percent) * F.greatest(n_a, n_b)
 
 
-def _bits(names: DataFrame) -> np.ndarray:
-    """A bit for the hash of each (k, h): a filter of fixed size that passes every named row and, while it is sparse, few others."""
-    at = F.pmod(F.xxhash64("k", "h"), F.lit(_FILTER))
-    words = names.select(F.floor(at / 64).alias("w"), (at % 64).cast("int").alias("b")).groupBy("w").agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b"))).alias("bits")).collect()
-    out = np.zeros(_FILTER // 64, np.int64)
-    for w, bits in words:
-        out[w] = bits
-    return out.view(np.uint64)
-
-
 def _rest(members: DataFrame, sets: DataFrame, label: DataFrame, percent: int, store: Store) -> DataFrame:
     """Pairs that may still be similar, from buckets with more than one component.
 
@@ -197,8 +185,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # full sets of the classes that share a bucket with another
     wanted = members.select("cls", "first").distinct()
     named = base.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NO_ID)).alias("k"), "h")
-    texts = named.select("doc_id", "text", F.pmod(F.xxhash64("k", "h"), F.lit(_FILTER)).alias("at"))
-    sets = store.keep(texts.mapInArrow(_full_sets(shingle, _bits(wanted.select("first.*"))), _SETS)
+    bits = bit_table(wanted.select("first.*"), F.xxhash64("k", "h"))
+    texts = named.select("doc_id", "text", F.xxhash64("k", "h").alias("key"))
+    sets = store.keep(texts.mapInArrow(_full_sets(shingle, bits), _SETS)
                       .join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
     # a star in each bucket, around the member that shares most buckets
