@@ -77,7 +77,7 @@ def _ingested(records, source, keys, stats=False):
     for part in (records, fixes):
         part.repartition(4, *keys).write.mode("append").parquet(path)
         stream = ingest.file_stream(spark, path, records.schema)
-        ingest.ingest(stream, source, table, keys, ("event_id",), spot, stats_path).awaitTermination()
+        ingest.ingest(stream, source, table, keys, arrival=("event_id",), checkpoint=spot, stats_path=stats_path).awaitTermination()
     return spark.read.parquet(stats_path if stats else table)
 
 

@@ -31,8 +31,9 @@ def bounded_dedup(stream: DataFrame, keys: Sequence[str], event_time: str, delay
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def ingest(stream: DataFrame, source: str, table: str, keys: Sequence[str], arrival: Sequence[str], checkpoint: str | None = None, stats_path: str | None = None,
-           rejects_path: str | None = None, available_now: bool = True) -> StreamingQuery:
+def ingest(stream: DataFrame, source: str, table: str, keys: Sequence[str] = ("timestamp",), *, arrival: Sequence[str],
+           checkpoint: str | None = None, stats_path: str | None = None, rejects_path: str | None = None,
+           available_now: bool = True) -> StreamingQuery:
     """Write the valid rows of a bar stream to a date-partitioned table, last arrival wins.
 
     A batch that is replayed after a failure merges to the same table content.
