@@ -80,12 +80,21 @@ def market_open(ts_ms: Column, holidays: Sequence[str] = ()) -> Column:
 def next_session_day(day: Column, holidays: Sequence[str] = ()) -> Column:
     """First trading day on or after ``day``.
 
-    The candidate list spans the longest possible closure: every listed
-    holiday and two weekend days each can push the date once.
+    A weekend moves to its Monday; a listed holiday, then, to the day the list says the
+    exchange opens again, one entry per holiday.
     """
-    reach = 3 + 3 * len(holidays)
-    days = F.sequence(day, F.date_add(day, reach))
-    return F.get(F.filter(days, lambda d: (F.weekday(d) < 5) & _not_holiday(d, holidays)), F.lit(0))
+    monday = F.date_add(day, F.when(F.weekday(day) == 5, 2).when(F.weekday(day) == 6, 1).otherwise(0))
+    closed = {dt.date.fromisoformat(h) for h in holidays}
+    if not closed:
+        return monday
+
+    def opens(d: dt.date) -> dt.date:
+        while d in closed or d.weekday() >= 5:
+            d += dt.timedelta(days=1)
+        return d
+
+    moved = F.create_map(*[F.lit(x) for h in sorted(closed) for x in (h, opens(h))])
+    return F.coalesce(F.try_element_at(moved, monday), monday)
 
 
 def _at_exchange_minute(day: Column, minute: int) -> Column:
