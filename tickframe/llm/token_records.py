@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .words import pieces
 
 SHARD_BYTES = 32 << 20  # text per file; a file is read back by one task
-CACHE_WORDS = 300_000
+CACHE_CHUNKS, CACHE_PARTS = 200_000, 200_000
 _HEAD, _KEY = "<QI", "<qBB"
 #: The splitting pattern and normalisation for which words can be encoded one by one.
 _WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -91,10 +92,10 @@ class Encoder(dict):
     def prepare(self, chunks: set[bytes]) -> None:
         """Make all chunks known."""
         new = chunks.difference(self)
-        if len(self) + len(new) > CACHE_WORDS:
+        if len(self) + len(new) > CACHE_CHUNKS:
             self.clear()
             new = chunks
-        if len(self.parts) > CACHE_WORDS:
+        if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
         split, odd = {}, []
         for chunk in new:
@@ -159,7 +160,7 @@ def _framed(path: str, end: int | None):
         enc = encoder(path)
         tail = b"" if end is None else np.array([end], f"<u{enc.width}").tobytes()
         for batch in batches:
-            for part, data, bounds in pieces(batch):
+            for part, data, bounds in pieces(batch, size=1 << 20):
                 raw, out = data.tobytes(), []
                 ids = enc.encode([raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])])
                 for key, some in zip(part.column(0).to_pylist(), ids):
@@ -185,7 +186,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end: int | None =
     ordered = (base.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h")
                .sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text"))
     records = ordered.mapInArrow(_framed(tokenizer, end), "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.text(f"{path}/records")
+    with small_batches(docs.sparkSession):
+        records.select(F.col("record").cast("string").alias("value")).write.text(f"{path}/records")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -106,3 +106,4 @@ def pieces(batch: pa.RecordBatch, text: str = "text", size: int = PIECE) -> Iter
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
         yield batch.slice(at, to - at), data[bounds[at]:bounds[to]], bounds[at:to + 1] - bounds[at]
         at = to
+    pa.default_memory_pool().release_unused()
