@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 from typing import BinaryIO
 
 import numpy as np
@@ -27,7 +28,7 @@ from .store import small_batches
 from .words import pieces
 
 SHARD_BYTES = 32 << 20  # text per file; a file is read back by one task
-CACHE_CHUNKS, CACHE_PARTS = 200_000, 200_000
+CACHE_CHUNKS, CACHE_PARTS = 900_000, 600_000  # about 150 MB in a Python worker
 _HEAD, _KEY = "<QI", "<qBB"
 #: The splitting pattern and normalisation for which words can be encoded one by one.
 _WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -89,21 +90,20 @@ class Encoder(dict):
             else:
                 self.parts.update((part, self.whole(part)) for part in some)
 
-    def prepare(self, chunks: set[bytes]) -> None:
-        """Make all chunks known."""
-        new = chunks.difference(self)
+    def prepare(self, words: list[list[bytes]]) -> None:
+        """Make the chunks of all texts known."""
+        new = set(filterfalse(self.__contains__, chain.from_iterable(words)))
         if len(self) + len(new) > CACHE_CHUNKS:
             self.clear()
-            new = chunks
+            new = set(chain.from_iterable(words))
         if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
         split, odd = {}, []
         for chunk in new:
-            text = chunk.decode()
             if chunk.isalpha():  # ASCII letters only
-                split[chunk] = (text.lower(),)
-            elif _LATIN.fullmatch(text) and b"<|" not in chunk:  # no special token in it
-                split[chunk] = _PARTS.findall(text.lower())
+                split[chunk] = (chunk.decode().lower(),)
+            elif b"<|" not in chunk and (chunk.isascii() or _LATIN.fullmatch(chunk.decode())):  # no special token in it
+                split[chunk] = _PARTS.findall(chunk.decode().lower())
             else:
                 odd.append(chunk)
         self.learn(list({part for parts in split.values() for part in parts}.difference(self.parts)))
@@ -117,7 +117,7 @@ class Encoder(dict):
         if not self.wordwise:
             return [self.whole(text.decode()) for text in texts]
         words = [text.split() for text in texts]
-        self.prepare(set().union(*words))
+        self.prepare(words)
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
 
@@ -160,7 +160,7 @@ def _framed(path: str, end: int | None):
         enc = encoder(path)
         tail = b"" if end is None else np.array([end], f"<u{enc.width}").tobytes()
         for batch in batches:
-            for part, data, bounds in pieces(batch, size=1 << 20):
+            for part, data, bounds in pieces(batch):
                 raw, out = data.tobytes(), []
                 ids = enc.encode([raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])])
                 for key, some in zip(part.column(0).to_pylist(), ids):
