@@ -182,6 +182,17 @@ def test_quality_fences_follow_the_group(spark):
     assert sum(got[1000 + k] for k in range(300)) >= 290
 
 
+def test_quality_fences_of_rare_measures_follow_the_group(spark):
+    """Repeated lines are zero in most texts; where many texts have them they stay, elsewhere the same text stands out."""
+    plain = lambda k: "\n".join(" ".join(prose(k, 200).split()[8 * j:8 * j + 8]) for j in range(20))
+    menu = lambda k: "\n".join(x + ("\nread more" if j % 2 else "") for j, x in enumerate(plain(k).split("\n")))
+    rows = [(k, plain(k), "en", "plain") for k in range(300)]
+    rows += [(1000 + k, plain(k) if k % 10 else menu(k), "en", "forum") for k in range(300)] + [(5000, menu(0), "en", "plain")]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[5000].n_dup_lines == 9 and not got[5000].base_failed and not got[5000].kept
+    assert all(got[1000 + k].kept for k in range(0, 300, 10)) and sum(got[k].kept for k in range(300)) >= 297
+
+
 def test_quality_is_native(spark, sf):
     plan = queries.op3_quality(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -16,8 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 _EMPTY = "array<struct<h:bigint,p:int>>"
 #: Value steps of the sketches; a sketch has at most this many counts per measure.
 STEPS = 2000
-#: Per measure: how many spreads above the median are still kept, the least spread that counts (in steps), two-sided or not.
-RULES = {"symbols": (4, 50, False), "dup_lines": (4, 400, False), "repeats": (4, 300, False), "length": (5, 30, True)}
+#: Upper quantiles and how many quarter spreads (upper quartile to median) they lie above the median in a normal distribution.
+TAILS = {0.75: 1.0, 0.85: 1.54, 0.95: 2.44, 0.99: 3.45}
+#: Per measure: how many spreads from the median are still kept, the least spread that counts (in steps), the highest tail, two-sided or not.
+#: Junk has many symbols and odd words, so those tails end below its share; repeats are zero in most texts and show only far out.
+RULES = {"symbols": (6, 4, 0.85, False), "dup_lines": (6, 10, 0.99, False), "repeats": (6, 10, 0.99, False), "length": (6, 2, 0.85, True)}
 MIN_TEXTS = 200
 
 
@@ -58,13 +61,24 @@ def _steps() -> dict[str, Column]:
 
 
 def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Lower quartile and median, in steps, and the number of texts of each group and measure."""
+    """Median, upper and lower spread, in steps, and the number of texts of each group and measure.
+
+    A spread is the largest of the measure's tails, each as a share of its distance in a normal distribution.
+    """
     order = Window.partitionBy(*by, "measure").orderBy("step")  # at most STEPS + 1 rows per group
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cum = sketch.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
         "all", F.sum("n").over(every))
     first = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * F.lit(q), F.col("step")))
-    return cum.groupBy(*by, "measure").agg(first(0.25).alias("q1"), first(0.5).alias("q2"), F.max("all").alias("texts"))
+    found = cum.groupBy(*by, "measure").agg(
+        first(0.5).alias("mid"), *[first(q).alias(f"h{k}") for k, q in enumerate(TAILS)],
+        *[first(round(1 - q, 2)).alias(f"l{k}") for k, q in enumerate(TAILS)], F.max("all").alias("texts"))
+    last = F.lit(0.0)
+    for name, rule in RULES.items():
+        last = F.when(F.col("measure") == name, F.lit(rule[2])).otherwise(last)
+    wide = lambda side, sign: F.greatest(*[F.when(F.lit(q) <= last, sign * (F.col(f"{side}{k}") - F.col("mid")) / F.lit(z))
+                                           for k, (q, z) in enumerate(TAILS.items())])
+    return found.select(*by, "measure", "mid", wide("h", 1).alias("up"), wide("l", -1).alias("down"), "texts")
 
 
 def fences(judged: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -75,19 +89,19 @@ def fences(judged: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     by_lang = by_source.groupBy("g_lang", "measure", "step").agg(F.sum("n").alias("n"))
     whole = by_lang.groupBy("measure", "step").agg(F.sum("n").alias("n"))
     own = _quantiles(by_source, ["g_lang", "g_source"])
-    lang = _quantiles(by_lang, ["g_lang"]).select("g_lang", "measure", *[F.col(c).alias(f"l_{c}") for c in ("q1", "q2", "texts")])
-    all_ = _quantiles(whole, []).select("measure", *[F.col(c).alias(f"a_{c}") for c in ("q1", "q2")])
+    lang = _quantiles(by_lang, ["g_lang"]).select("g_lang", "measure", *[F.col(c).alias(f"l_{c}") for c in ("mid", "up", "down", "texts")])
+    all_ = _quantiles(whole, []).select("measure", *[F.col(c).alias(f"a_{c}") for c in ("mid", "up", "down")])
     pick = lambda c: (F.when(F.col("texts") >= min_texts, F.col(c)).when(F.col("l_texts") >= min_texts, F.col(f"l_{c}"))
                       .otherwise(F.col(f"a_{c}")))
     chosen = own.join(lang, ["g_lang", "measure"]).join(all_, "measure").select(
-        "g_lang", "g_source", "measure", pick("q2").alias("mid"), (pick("q2") - pick("q1")).alias("spread"))
+        "g_lang", "g_source", "measure", *[pick(c).alias(c) for c in ("mid", "up", "down")])
     out = []
-    for name, (times, least, both) in RULES.items():
-        reach = F.greatest(F.lit(times) * F.col("spread"), F.lit(least))
+    for name, (times, least, _, both) in RULES.items():
+        reach = lambda c: F.lit(times) * F.greatest(F.col(c), F.lit(float(least)))  # noqa: B023, E731
         mine = F.col("measure") == name
-        out.append(F.max(F.when(mine, F.col("mid") + reach)).alias(f"high_{name}"))
+        out.append(F.max(F.when(mine, F.col("mid") + reach("up"))).alias(f"high_{name}"))
         if both:
-            out.append(F.max(F.when(mine, F.col("mid") - reach)).alias(f"low_{name}"))
+            out.append(F.max(F.when(mine, F.col("mid") - reach("down"))).alias(f"low_{name}"))
     return chosen.groupBy("g_lang", "g_source").agg(*out)
 
 
@@ -113,7 +127,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     fits = F.lit(True)
     for name, c in _steps().items():
         fits = fits & (c <= F.col(f"high_{name}"))
-        if RULES[name][2]:
+        if RULES[name][3]:
             fits = fits & (c >= F.col(f"low_{name}"))
     kept = ~F.col("base_failed") & F.coalesce(fits, F.lit(False))
     return rows.join(limit, ["g_lang", "g_source"], "left").select(
