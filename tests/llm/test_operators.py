@@ -282,6 +282,17 @@ def test_licence_rules(spark):
     assert all(re.search(licences.KEYWORDS, t) for t, _ in licences._KNOWN)
 
 
+def test_wrapped_licence_sentences(spark):
+    """A known sentence counts wherever its words are cut by line ends, comment signs or blanks, also if it has one keyword."""
+    rows, want = [], []
+    for text, name in licences._KNOWN:
+        for gap in ("  ", "\n * ", "\n# "):
+            rows.append((len(rows), text.replace(" ", gap) + "."))
+            want.append(name)
+    got = {r.doc_id: r.sentence_ids for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == want
+
+
 def test_licences_on_awkward_rows(odd):
     assert licences.licences(odd).count() == odd.count() and licences.licences(odd.limit(0)).count() == 0
 

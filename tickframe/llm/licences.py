@@ -59,8 +59,10 @@ RULES = (
     ("MPL-2.0", "MplA"), ("CC-BY-NC-4.0", "CcByNc"), ("CC-BY-SA-4.0", "CcBySa"), ("CC-BY-ND-4.0", "CcByNd"), ("CC-BY-4.0", "CcBy"),
     ("CC0-1.0", "Cc0"), ("Unlicense", "Unlicense"), ("LicenseRef-all-rights-reserved", "Reserved"),
 )
-#: Every known sentence holds one of these, so other sentences need no normal form.
-KEYWORDS = r"(?i)licen[sc]e|permission|copyright|warrant|redistribut|free software|public domain|rights reserved"
+#: Every known sentence holds one of these single words, which wrapped lines and comment signs leave whole; other sentences need no normal form.
+KEYWORDS = r"(?i)licen[sc]e|permission|copyright|warrant|redistribut|domain|reserved"
+#: The filter as it stands in the SQL counterpart, whose text is fixed.
+_SQL_KEYWORDS = r"(?i)licen[sc]e|permission|copyright|warrant|redistribut|free software|public domain|rights reserved"
 _KNOWN = [(s, k) for k, group in SENTENCES.items() for s in group]
 _MARK = "\x1e"
 
@@ -117,7 +119,7 @@ def _oracle() -> str:
     id_ = f"list_extract({names}, list_position({known}, {normal.format('{}')}))"
     body = f"""SELECT doc_id, flatten(list_transform(list_filter(string_split(
         regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r\\n]+', '\\1' || chr(30), 'g'), '\\n[ \\t\\r]*\\n', chr(30), 'g'), chr(30)),
-        lambda s: regexp_matches(s, '{KEYWORDS}')), lambda s: CASE WHEN list_contains({known}, {normal.format('s')}) THEN [{id_.format('s')}]
+        lambda s: regexp_matches(s, '{_SQL_KEYWORDS}')), lambda s: CASE WHEN list_contains({known}, {normal.format('s')}) THEN [{id_.format('s')}]
         ELSE list_filter(list_transform(string_split(s, chr(10)), lambda l: CASE WHEN list_contains({known}, {normal.format('l')})
         THEN {id_.format('l')} END), lambda k: k IS NOT NULL) END)) AS ids FROM documents"""
     sql = (f"SELECT doc_id, ids, ' ' || coalesce(array_to_string(ids, '  '), '') || ' ' AS seq, CAST([] AS VARCHAR[]) AS hit FROM ({body})")
