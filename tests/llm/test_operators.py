@@ -329,6 +329,18 @@ def test_exact_templates_match_brute_force(spark, sf):
     assert got == want
 
 
+def dropped(spark, rows, **kw):
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r.n_dropped for r in line_templates.drop_templates(frame, **kw).collect()}
+
+
+def test_leading_tokens_are_no_agreement(spark):
+    """Short lines that have only their first four tokens in common stay; so do table rows."""
+    tails = [" ".join(prose(40 + k, 3).split()[:3]) for k in range(5)]
+    rows = [(k, f"it is said that {t}\n1 2 3 4 {t.split()[0]} {t.split()[1]}") for k, t in enumerate(tails)]
+    assert set(dropped(spark, rows).values()) == {0}
+
+
 # decontamination
 
 def normal(text):

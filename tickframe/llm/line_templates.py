@@ -2,9 +2,8 @@
 
 A line goes to a leaf by its number of tokens and its first tokens, a token
 with a digit being a variable field.  Lines of a leaf that agree with its usual
-tokens in enough places share the leaf's template, in which places without a usual
-token are variable; other lines are templates of their own.  Lines whose template recurs
-in several texts are dropped, except in the first of them.
+tokens in enough places after the first share a template, in which places without a usual
+token are variable; other lines are templates of their own.  Lines whose template recurs in several texts are dropped, except in the first of them.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ DEPTH = 4  # leading tokens in the tree
 MIN_TOKENS = 3  # shorter lines are ordinary words rather than templates
 MIN_TEXTS = 3
 SIMILAR = 0.5
+MIN_REST = 4  # lines with fewer tokens after the leading ones are compared as a whole
 _U, _FIELD = np.uint64, np.uint64(0x2A2A2A2A2A2A2A2A)
 _NO_ID = (1 << 63) - 1
 _LINES = "k bigint, h bigint, line int, leaf bigint, sig bigint"
@@ -94,26 +94,33 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(out, pa.string())], ["doc_id", "n_lines", "n_dropped", "text"])
 
 
+def _usual(placed: DataFrame, similar: float) -> DataFrame:
+    """(leaf, sig, template) of the lines that agree with the usual tokens of their group."""
+    usual = (placed.groupBy("team", "place", "token").agg(F.sum("texts").alias("c"))
+             .groupBy("team", "place").agg(F.max(F.struct("c", "token")).alias("u"), F.sum("c").alias("all"))
+             .where(2 * F.col("u.c") >= F.col("all")).select("team", "place", F.col("u.token").alias("token")))
+    return (placed.join(usual, ["team", "place", "token"]).groupBy("leaf", "sig", "team").agg(
+        F.count(F.lit(1)).alias("same"), F.max("rest").alias("rest")).where(F.col("same") >= F.lit(similar) * F.col("rest"))
+        .select("leaf", "sig", F.col("team").alias("template")))
+
+
 def templates(docs: DataFrame, store: Store, depth: int, least: int, min_texts: int, similar: float) -> DataFrame:
     """(k, h, line, template) of each line of ``docs`` (k, text, h) that the tree takes."""
     lines = store.keep(docs.select("k", "text", "h").mapInArrow(_scan(depth, least), _LINES), "lines")
     sigs = lines.groupBy("leaf", "sig").agg(F.count_distinct("h").alias("texts"))
     sigs = store.keep(sigs, "sigs")
     mixed = sigs.groupBy("leaf").agg(F.count(F.lit(1)).alias("sigs"), F.sum("texts").alias("all")).where(
-        (F.col("sigs") > 1) & (F.col("all") >= min_texts)).select("leaf", "all")
+        (F.col("sigs") > 1) & (F.col("all") >= min_texts)).select("leaf")
     several = store.keep(sigs.join(mixed, "leaf"), "several")
-    read = _read(depth, least, bit_table(mixed, F.col("leaf")))
+    read = _read(depth, max(least, depth + MIN_REST), bit_table(mixed, F.col("leaf")))
     tokens = docs.select("k", "text").mapInArrow(read, "leaf bigint, sig bigint, tokens array<bigint>").dropDuplicates(["leaf", "sig"])
-    placed = store.keep(tokens.join(several.select("leaf", "sig", "texts", "all"), ["leaf", "sig"]).select(
-        "leaf", "sig", "texts", "all", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token")), "placed")
-    usual = (placed.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("c"), F.max("all").alias("all"))
-             .groupBy("leaf", "place").agg(F.max(F.struct("c", "token")).alias("u"), F.max("all").alias("all"))
-             .where(2 * F.col("u.c") >= F.col("all")).select("leaf", "place", F.col("u.token").alias("token")))
-    joined = (placed.join(usual, ["leaf", "place", "token"]).groupBy("leaf", "sig").agg(
-        F.count(F.lit(1)).alias("same"), F.max("n").alias("n")).where(F.col("same") >= F.lit(similar) * F.col("n"))
-        .select("leaf", "sig", F.lit(True).alias("shares")))
-    return lines.join(joined, ["leaf", "sig"], "left").select(
-        "k", "h", "line", F.when(F.col("shares"), F.col("leaf")).otherwise(F.col("sig")).alias("template"))
+    rest = F.size("tokens") - depth
+    placed = store.keep(tokens.join(several.select("leaf", "sig", "texts"), ["leaf", "sig"]).select(
+        "leaf", "sig", "texts", rest.alias("rest"), F.col("leaf").alias("team"),
+        F.posexplode(F.slice("tokens", F.lit(depth + 1), rest)).alias("place", "token")), "placed")
+    store.drop("sigs", "several")
+    joined = _usual(placed, similar)
+    return lines.join(joined, ["leaf", "sig"], "left").select("k", "h", "line", F.coalesce("template", "sig").alias("template"))
 
 
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = MIN_TOKENS,
@@ -136,6 +143,6 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = (placed.join(often, "template").where(F.col("h") != F.col("first.h"))
             .groupBy("k", "h").agg(F.collect_set("line").alias("gone")))  # line numbers of one text
     gone = store.keep(gone, "gone")
-    store.drop("lines", "sigs", "several", "placed", "templates")
+    store.drop(*[name for name in store.paths if name != "gone"])
     joined = base.join(gone, ["k", "h"], "left").select(F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"), "text", "gone")
     return joined.mapInArrow(_clean, "doc_id bigint, n_lines bigint, n_dropped bigint, text string")
