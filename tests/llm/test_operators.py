@@ -334,6 +334,18 @@ def dropped(spark, rows, **kw):
     return {r.doc_id: r.n_dropped for r in line_templates.drop_templates(frame, **kw).collect()}
 
 
+def test_templates_beside_a_commoner_one(spark):
+    """Several variable templates of one leaf are found, a hot one and three equally common ones."""
+    names = [f"{a}{b}" for a in "bdfgklmn" for b in "aeiou"]
+    make = lambda t, n: f"see our news today {t}one {n} {t}two {n}s {t}three {t}four {n}r {t}five"
+    for sizes in ({"hot": 30, "rare": 5}, {"x": 6, "y": 6, "z": 6}):
+        rows, first = [], set()
+        for t, many in sizes.items():
+            first.add(len(rows))
+            rows += [(len(rows) + k, f"{t}{names[k]} alone\n{make(t, names[k] + t)}") for k in range(many)]
+        assert dropped(spark, rows) == {i: int(i not in first) for i, _ in rows}
+
+
 def test_leading_tokens_are_no_agreement(spark):
     """Short lines that have only their first four tokens in common stay; so do table rows."""
     tails = [" ".join(prose(40 + k, 3).split()[:3]) for k in range(5)]

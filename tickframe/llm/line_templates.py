@@ -3,12 +3,15 @@
 A line goes to a leaf by its number of tokens and its first tokens, a token
 with a digit being a variable field.  Lines of a leaf that agree with its usual
 tokens in enough places after the first share a template, in which places without a usual
-token are variable; other lines are templates of their own.  Lines whose template recurs in several texts are dropped, except in the first of them.
+token are variable.  The others are grouped again, by the token that most of them have
+in common, until no group is large enough; what is left are templates of their own.
+Lines whose template recurs in several texts are dropped, except in the first of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +107,16 @@ def _usual(placed: DataFrame, similar: float) -> DataFrame:
         .select("leaf", "sig", F.col("team").alias("template")))
 
 
+def _regroup(left: DataFrame, min_texts: int) -> DataFrame:
+    """``left`` with each line in the group of its commonest token at a place that made no group yet; lines without one go."""
+    common = left.groupBy("team", "place", "token").agg(F.sum("texts").alias("c")).where(F.col("c") >= min_texts)
+    pivot = left.where(~F.array_contains("path", F.col("place"))).join(common, ["team", "place", "token"]).groupBy("leaf", "sig").agg(
+        F.max(F.struct("c", (-F.col("place")).alias("back"), "token")).alias("p"))
+    return left.join(pivot, ["leaf", "sig"]).select(
+        "leaf", "sig", "texts", "rest", F.xxhash64("team", "p.back", "p.token").alias("team"),
+        F.concat("path", F.array(-F.col("p.back"))).alias("path"), "place", "token")
+
+
 def templates(docs: DataFrame, store: Store, depth: int, least: int, min_texts: int, similar: float) -> DataFrame:
     """(k, h, line, template) of each line of ``docs`` (k, text, h) that the tree takes."""
     lines = store.keep(docs.select("k", "text", "h").mapInArrow(_scan(depth, least), _LINES), "lines")
@@ -116,11 +129,20 @@ def templates(docs: DataFrame, store: Store, depth: int, least: int, min_texts:
     tokens = docs.select("k", "text").mapInArrow(read, "leaf bigint, sig bigint, tokens array<bigint>").dropDuplicates(["leaf", "sig"])
     rest = F.size("tokens") - depth
     placed = store.keep(tokens.join(several.select("leaf", "sig", "texts"), ["leaf", "sig"]).select(
-        "leaf", "sig", "texts", rest.alias("rest"), F.col("leaf").alias("team"),
+        "leaf", "sig", "texts", rest.alias("rest"), F.col("leaf").alias("team"), F.array().cast("array<int>").alias("path"),
         F.posexplode(F.slice("tokens", F.lit(depth + 1), rest)).alias("place", "token")), "placed")
     store.drop("sigs", "several")
-    joined = _usual(placed, similar)
-    return lines.join(joined, ["leaf", "sig"], "left").select("k", "h", "line", F.coalesce("template", "sig").alias("template"))
+    joined, last = [], "placed"
+    while similar <= 1 and not placed.isEmpty():  # a place groups a line at most once
+        joined.append(store.keep(_usual(placed, similar), f"joined{len(joined)}"))
+        name = f"placed{len(joined)}"
+        placed = store.keep(_regroup(placed.join(joined[-1], ["leaf", "sig"], "left_anti"), min_texts), name)
+        store.drop(last)
+        last = name
+    if not joined:
+        return lines.select("k", "h", "line", F.col("sig").alias("template"))
+    return lines.join(reduce(DataFrame.union, joined), ["leaf", "sig"], "left").select(
+        "k", "h", "line", F.coalesce("template", "sig").alias("template"))
 
 
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = MIN_TOKENS,
