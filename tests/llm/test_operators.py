@@ -334,6 +334,15 @@ def dropped(spark, rows, **kw):
     return {r.doc_id: r.n_dropped for r in line_templates.drop_templates(frame, **kw).collect()}
 
 
+def test_long_lines_recur_from_two_documents(spark):
+    """A long line in two documents goes from the second; short lines need three documents, of which copies of a text are some."""
+    long, short = " ".join(prose(9, 60).split()), "short line of clean words"
+    rows = [(k, f"{' '.join(prose(20 + k, 15).split())}\n{x}") for k, x in enumerate((long, long, short, short))]
+    rows += [(10, "some other words here\nanother short line to see"), (11, "some other words here\nanother short line to see"),
+             (12, "unlike the rest\nanother short line to see")]
+    assert dropped(spark, rows, long_texts=2, copies=True) == {0: 0, 1: 1, 2: 0, 3: 0, 10: 0, 11: 0, 12: 1}
+
+
 def test_templates_beside_a_commoner_one(spark):
     """Several variable templates of one leaf are found, a hot one and three equally common ones."""
     names = [f"{a}{b}" for a in "bdfgklmn" for b in "aeiou"]

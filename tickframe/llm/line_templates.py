@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import bit_table, passing
@@ -27,15 +27,16 @@ MIN_TOKENS = 3  # shorter lines are ordinary words rather than templates
 MIN_TEXTS = 3
 SIMILAR = 0.5
 MIN_REST = 4  # lines with fewer tokens after the leading ones are compared as a whole
+LONG_TOKENS = 20  # lines from here on can recur as they stand, see long_texts
 _U, _FIELD = np.uint64, np.uint64(0x2A2A2A2A2A2A2A2A)
 _NO_ID = (1 << 63) - 1
-_LINES = "k bigint, h bigint, line int, leaf bigint, sig bigint"
+_LINES = "k bigint, h bigint, line int, leaf bigint, sig bigint, exact bigint"
 _DIGIT = np.zeros(256, np.int64)
 _DIGIT[48:58] = 1
 
 
-def _tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes with variable fields masked; first token, text and number within the text of each line that has tokens."""
+def _tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes with variable fields masked, and as they stand; first token, text and number within the text of each line that has tokens."""
     w = find(data, bounds, fold=False)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     token = np.where(digits[w.end] > digits[w.start], _FIELD, w.hash)
@@ -43,7 +44,7 @@ def _tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     text = w.text
     line = breaks[w.start] - breaks[bounds[:-1]][text]
     first = np.flatnonzero((np.diff(line, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
-    return token, first, text[first], line[first]
+    return token, w.hash, first, text[first], line[first]
 
 
 def _leaves(token: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,13 +61,15 @@ def _scan(depth: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, bounds in pieces(batch):
-                token, first, text, line = _tokens(data, bounds)
+                token, raw, first, text, line = _tokens(data, bounds)
                 leaf, sig, size = _leaves(token, first, depth)
                 at = np.flatnonzero(size >= least)
+                exact = pa.array(_leaves(raw, first, depth)[1][at].view(np.int64), mask=size[at] < LONG_TOKENS)
                 doc = pa.array(text[at])
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).take(doc), part.column(2).take(doc), pa.array(line[at].astype(np.int32)),
-                    pa.array(leaf[at].view(np.int64)), pa.array(sig[at].view(np.int64))], ["k", "h", "line", "leaf", "sig"])
+                    pa.array(leaf[at].view(np.int64)), pa.array(sig[at].view(np.int64)), exact],
+                    ["k", "h", "line", "leaf", "sig", "exact"])
     return run
 
 
@@ -75,7 +78,7 @@ def _read(depth: int, least: int, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, bounds in pieces(batch):
-                token, first, _, _ = _tokens(data, bounds)
+                token, _, first, _, _ = _tokens(data, bounds)
                 leaf, sig, size = _leaves(token, first, depth)
                 at = np.flatnonzero((size >= least) & passing(bits, leaf))
                 at = at[np.unique(sig[at], return_index=True)[1]]
@@ -97,6 +100,10 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(out, pa.string())], ["doc_id", "n_lines", "n_dropped", "text"])
 
 
+def _documents(copies: bool) -> Column:
+    return F.count_distinct("k", "h") if copies else F.count_distinct("h")
+
+
 def _usual(placed: DataFrame, similar: float) -> DataFrame:
     """(leaf, sig, template) of the lines that agree with the usual tokens of their group."""
     usual = (placed.groupBy("team", "place", "token").agg(F.sum("texts").alias("c"))
@@ -117,10 +124,10 @@ def _regroup(left: DataFrame, min_texts: int) -> DataFrame:
         F.concat("path", F.array(-F.col("p.back"))).alias("path"), "place", "token")
 
 
-def templates(docs: DataFrame, store: Store, depth: int, least: int, min_texts: int, similar: float) -> DataFrame:
-    """(k, h, line, template) of each line of ``docs`` (k, text, h) that the tree takes."""
+def templates(docs: DataFrame, store: Store, depth: int, least: int, min_texts: int, similar: float, copies: bool = False) -> DataFrame:
+    """(k, h, line, exact, template) of each line of ``docs`` (k, text, h) that the tree takes."""
     lines = store.keep(docs.select("k", "text", "h").mapInArrow(_scan(depth, least), _LINES), "lines")
-    sigs = lines.groupBy("leaf", "sig").agg(F.count_distinct("h").alias("texts"))
+    sigs = lines.groupBy("leaf", "sig").agg(_documents(copies).alias("texts"))
     sigs = store.keep(sigs, "sigs")
     mixed = sigs.groupBy("leaf").agg(F.count(F.lit(1)).alias("sigs"), F.sum("texts").alias("all")).where(
         (F.col("sigs") > 1) & (F.col("all") >= min_texts)).select("leaf")
@@ -140,18 +147,19 @@ def templates(docs: DataFrame, store: Store, depth: int, least: int, min_texts:
         store.drop(last)
         last = name
     if not joined:
-        return lines.select("k", "h", "line", F.col("sig").alias("template"))
+        return lines.select("k", "h", "line", "exact", F.col("sig").alias("template"))
     return lines.join(reduce(DataFrame.union, joined), ["leaf", "sig"], "left").select(
-        "k", "h", "line", F.coalesce("template", "sig").alias("template"))
+        "k", "h", "line", "exact", F.coalesce("template", "sig").alias("template"))
 
 
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = MIN_TOKENS,
-                   min_texts: int = MIN_TEXTS, similar: float = SIMILAR) -> DataFrame:
+                   min_texts: int = MIN_TEXTS, similar: float = SIMILAR, long_texts: int | None = None, copies: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) for each row of ``docs``: the text without lines of recurring templates.
 
     Lines are split at line feeds, tokens at white space.  A template recurs if it
-    occurs in at least ``min_texts`` different texts; exact copies count once and are
-    treated alike.  The text with the smallest id (null ids last, then by text hash) keeps its lines.  Lines with
+    occurs in at least ``min_texts`` different texts, and a line of ``LONG_TOKENS`` tokens or more also
+    if it stands as it is in ``long_texts`` (none: no such rule).  With ``copies`` each document counts, not only each text.
+    Exact copies of a text are treated alike.  The text with the smallest id (null ids last, then by text hash) keeps its lines.  Lines with
     fewer than ``least`` tokens stay.  A null text stays null and has no lines, an empty one stays
     empty; rows equal in id and text are treated alike; an empty table gives no rows;
     other columns are ignored.
@@ -159,10 +167,15 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     store = Store(docs.sparkSession, "templates")
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("k"), F.col(text_col).cast("string").alias("text"),
                        F.xxhash64(F.col(text_col).cast("string")).alias("h"))
-    placed = store.keep(templates(base, store, depth, least, min_texts, similar), "templates")
-    often = placed.groupBy("template").agg(F.count_distinct("h").alias("texts"), F.min(F.struct("k", "h")).alias("first")).where(
-        F.col("texts") >= min_texts)
-    gone = (placed.join(often, "template").where(F.col("h") != F.col("first.h"))
+    placed = store.keep(templates(base, store, depth, least, min_texts, similar, copies), "templates")
+    keyed = placed.select("k", "h", "line", F.col("template").alias("key"), F.lit(min_texts).alias("needed"), F.lit(False).alias("long"))
+    if long_texts:
+        keyed = keyed.union(placed.where(F.col("exact").isNotNull()).select(
+            "k", "h", "line", "exact", F.lit(long_texts).alias("needed"), F.lit(True).alias("long")))
+    often = keyed.groupBy("key", "long", "needed").agg(
+        _documents(copies).alias("texts"), F.min("h").alias("low"), F.max("h").alias("high"), F.min(F.struct("k", "h")).alias("first")).where(
+        (F.col("texts") >= F.col("needed")) & (F.col("low") != F.col("high"))).select("key", "long", "first")
+    gone = (keyed.join(often, ["key", "long"]).where(F.col("h") != F.col("first.h"))
             .groupBy("k", "h").agg(F.collect_set("line").alias("gone")))  # line numbers of one text
     gone = store.keep(gone, "gone")
     store.drop(*[name for name in store.paths if name != "gone"])

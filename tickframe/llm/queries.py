@@ -50,7 +50,7 @@ def op5_licences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_line_templates(spark: SparkSession, sf: str) -> DataFrame:
-    return drop_templates(_table(spark, sf, "documents"))
+    return drop_templates(_table(spark, sf, "documents"), long_texts=2, copies=True)
 
 
 def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
