@@ -44,8 +44,28 @@ def test_upsert_keeps_columns_a_batch_lacks(spark):
     assert got == {1: (1.0, "x", None), 2: (8.0, None, 6), 3: (3.0, "z", None), 4: (4.0, None, 7)}
     with pytest.raises(ValueError):
         tables.upsert_partitions(short, path, ("timestamp",), ())
-    plan = tables.stored_partitions(short, path, ("trade_date",))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "d1" in plan
+    assert {r["timestamp"]: (r["note"], r["extra"]) for r in tables.read_table(spark, path).collect()} == {k: v[1:] for k, v in got.items()}
+
+
+def test_upsert_opens_only_files_of_touched_days(spark):
+    path = scratch_path(spark, "upsert")
+    rows = [(k, float(k), f"2024-01-{1 + k % 9:02d}") for k in range(90)] + [(99, 1.0, None)]
+    full = spark.createDataFrame(rows, "timestamp long, close double, trade_date string")
+    tables.upsert_partitions(full, path, ("timestamp",), ("close",))
+    few = spark.createDataFrame([(3, 7.0, "2024-01-04", 1), (500, 7.0, "2024-02-01", 1), (99, 2.0, None, 1)],
+                                "timestamp long, close double, trade_date string, extra int")
+    read = tables.stored_partitions(few, path, ("trade_date",))
+    days = {f.split("trade_date=")[1].split("/")[0] for f in read.inputFiles()}
+    assert days == {"2024-01-04", "__HIVE_DEFAULT_PARTITION__"} and read.count() == 11
+    before = {f for f in spark.read.parquet(path).inputFiles() if "2024-01-04" not in f and "HIVE" not in f}
+    tables.upsert_partitions(few, path, ("timestamp",), ("close",))
+    stored = tables.read_table(spark, path)
+    assert before <= set(stored.inputFiles())
+    assert {r["timestamp"]: (r["close"], r["extra"]) for r in stored.where("timestamp in (3, 99, 500, 12)").collect()} == {
+        3: (7.0, 1), 99: (2.0, 1), 500: (7.0, 1), 12: (12.0, None)}
+    # a table whose side file was never written
+    os.remove(f"{path}/_columns.json")
+    assert tables.table_schema(spark, path).names == ["timestamp", "close", "extra", "trade_date"]
 
 
 def test_times_missing_on_the_right_match_nothing(spark):
@@ -82,17 +102,6 @@ def test_unreadable_files_fail_or_are_named(spark):
     assert [r["_file"].rsplit("/", 1)[1] for r in readers.files_without_rows(spark, root, rows).collect()] == ["bad.parquet"]
 
 
-def test_open_windows_are_emitted_at_the_end(spark):
-    path, out = scratch_path(spark, "landing"), scratch_path(spark, "out")
-    rows = spark.createDataFrame([("a", 1_000), ("a", 2_000), ("b", 900_000)], "ticker string, ts_ms long")
-    rows.write.parquet(path)
-    ingest.end_of_stream(spark, path, rows.schema, "ts_ms", 900_000 + 86_400_000)
-    beats = windows.heartbeat(windows.watermarked(ingest.file_stream(spark, path, rows.schema), "10 minutes"), ["ticker"])
-    ingest.append_to(beats, out).awaitTermination()
-    got = sorted((r["ticker"], r["messages"]) for r in spark.read.schema(beats.schema).parquet(out).collect())
-    assert got == [("a", 2), ("b", 1)]
-
-
 def test_bands_at_their_bounds(spark):
     rows = [("spy_macd", 5e-10), ("spy_macd", 0.0), ("moneyness", 1.03), ("moneyness", 1.03 + 5e-10), ("spy_vol_regime", 2.0), ("spy_vol_regime", 0.5),
             ("spy_vol_regime", 1.5), ("spy_vol_regime", 9.0)]
@@ -132,6 +141,13 @@ def test_metrics_of_every_batch(spark):
     path, out, metrics = (scratch_path(spark, n) for n in ("landing", "out", "metrics"))
     spark.range(12).repartition(6).write.parquet(path)
     stream = ingest.file_stream(spark, path, T.StructType([T.StructField("id", T.LongType())]), 1)
-    ingest.append_measured(stream, out, metrics).awaitTermination()
-    got = spark.read.parquet(metrics).agg(F.count(F.lit(1)), F.sum("records")).first()
-    assert got[0] >= 6 and got[1] == 12
+    query, log = ingest.append_measured(stream, out, metrics, F.col("id") == 3)
+    query.awaitTermination()
+    log.finish()
+    got = spark.read.schema(ingest.METRICS).parquet(metrics)
+    rows = got.orderBy("batch_id").collect()
+    assert [r["batch_id"] for r in rows] == list(range(len(rows))) and len(rows) >= 6
+    assert sum(r["records"] for r in rows) == 12 and sum(r["rejected"] for r in rows) == 1
+    assert spark.read.schema(stream.schema).parquet(out).count() == 11
+    stats = monitoring.latency_stats(got, ["ended_ms"]).first()
+    assert stats["samples"] == len(rows) and stats["p99"] >= stats["p50"] > 0

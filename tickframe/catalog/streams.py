@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import monitoring
 from ..session import scratch_path
 from ..sources import views
-from ..streaming import ingest, windows
+from ..sources.tables import read_table
+from ..streaming import ingest, state, windows
 from .base import Catalog, sql
 from .predicates import _OPEN_SQL
 
@@ -26,26 +27,16 @@ def _second(t):
     return t.where(F.col("trade_date") >= HALF)
 
 
-def _two_landings(t, run, close=False):
-    """Land the first half of the month, drain the stream, land the second, drain again."""
+def _two_landings(t, run):
+    """Land the first half of the month, drain the stream, land the second, drain again; nothing else is landed."""
     spark, path = t.sparkSession, scratch_path(t.sparkSession, "landing")
     for half in (_first(t), _second(t)):
         ingest.lay_out(half, path)
-        query = run(ingest.file_stream(spark, path, t.schema))
-        query.awaitTermination()
-    if close:
-        _end(t, path)
-        query = run(ingest.file_stream(spark, path, t.schema))
-        query.awaitTermination()
-    return query
-
+        run(ingest.file_stream(spark, path, t.schema)).awaitTermination()
 
-def _end(t, path):
-    ingest.end_of_stream(t.sparkSession, path, t.schema, "ts_ms", (t.agg(F.max("ts_ms")).head()[0] or 0) + 30 * 86_400_000)
 
-
-def _to_table(t, shape, close=False):
-    """Run ``shape`` over both landings into a table and read it; ``close`` ends the stream, so open windows are emitted."""
+def _to_table(t, shape):
+    """Run ``shape`` over both landings into a table of finished rows and read it."""
     spark = t.sparkSession
     out, spot = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
     schemas = []
@@ -55,10 +46,18 @@ def _to_table(t, shape, close=False):
         schemas.append(shaped.schema)
         return ingest.append_to(shaped, out, spot)
 
-    _two_landings(t, run, close)
+    _two_landings(t, run)
     return spark.read.schema(schemas[-1]).parquet(out)
 
 
+def _to_current(t, shape, keys, ts):
+    """Run ``shape`` over both landings into a table that has its open windows too, and read it."""
+    spark = t.sparkSession
+    out, spot = scratch_path(spark, "current"), scratch_path(spark, "checkpoint")
+    _two_landings(t, lambda stream: ingest.keep_current(shape(stream), out, keys, ts, spot))
+    return read_table(spark, out)
+
+
 def _records(spark, sf, source):
     """Ticks as bar records on a 15-minute grid: many arrivals per key, some without a close."""
     t = views.ticks(spark, sf)
@@ -107,6 +106,25 @@ def stream_dedup(spark, sf):
     return _to_table(t, shape)
 
 
+_WITHIN_MS = 6 * 3_600_000
+
+
+@add("R3_last_within", "user_id:l ticker:s event_id:l ts_ms:l close:d", sql(f"""
+    SELECT user_id, ticker, max_by(event_id, event_id) AS event_id, max_by(ts_ms, event_id) AS ts_ms, max_by(close, event_id) AS close
+    FROM opened GROUP BY user_id, ticker, opened HAVING opened + {_WITHIN_MS} < (SELECT max(ts_ms) FROM ticks) - {DELAY_MS}""",
+    "ticks", listed="SELECT user_id, ticker, list(ts_ms ORDER BY ts_ms, event_id) AS times FROM ticks GROUP BY ALL",
+    folded=f"""SELECT user_id, ticker, list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(times, lambda t: [t])),
+        lambda a, t: CASE WHEN len(a) > 0 AND t[1] - a[-1] <= {_WITHIN_MS} THEN a ELSE list_concat(a, t) END) AS opens FROM listed""",
+    opened="""SELECT t.*, o.opened FROM ticks t ASOF JOIN (SELECT user_id, ticker, unnest(opens) AS opened FROM folded) o
+        ON t.user_id = o.user_id AND t.ticker = o.ticker AND t.ts_ms >= o.opened"""))
+def last_within(spark, sf):
+    """A user's last tick of a ticker within six hours of the first one; a later one starts anew."""
+    t = views.ticks(spark, sf).select("user_id", "ticker", "event_id", "ts_ms", "close")
+    t = t.withColumn("trade_date", F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd"))
+    shape = lambda s: state.last_within(windows.watermarked(s, DELAY), ["user_id", "ticker"], ["event_id"], _WITHIN_MS)
+    return _to_table(t, shape)
+
+
 @add("R4_market_hours_gate", "event_id:l ts_ms:l", sql(f"SELECT event_id, ts_ms FROM ticks WHERE {_OPEN_SQL}", "ticks"))
 def market_hours_gate(spark, sf):
     return _to_table(views.ticks(spark, sf), lambda s: ingest.market_hours_gate(s, "ts_ms", ("2024-01-15",)))
@@ -116,7 +134,8 @@ def market_hours_gate(spark, sf):
     SELECT ticker, ts_ms - ts_ms % 300000 AS beat_ms, count(*) AS messages, max(ts_ms) AS last_message_ms FROM ticks
     GROUP BY 1, 2""", "ticks"))
 def heartbeat(spark, sf):
-    return _to_table(views.ticks(spark, sf), lambda s: windows.heartbeat(windows.watermarked(s, DELAY), ["ticker"]), True)
+    return _to_current(views.ticks(spark, sf), lambda s: windows.heartbeat(windows.watermarked(s, DELAY), ["ticker"]),
+                       ["ticker", "beat_ms"], "beat_ms")
 
 
 @add("R5_heartbeat_totals", "ticker:s beat_ms:l messages:l last_message_ms:l total_today:l", sql("""
@@ -132,7 +151,27 @@ def heartbeat_totals(spark, sf):
     SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY ticker ORDER BY ts_ms, event_id) <= 900000 THEN 0 ELSE 1 END AS n FROM ticks))
     GROUP BY ticker, g""", "ticks"))
 def activity_sessions(spark, sf):
-    return _to_table(views.ticks(spark, sf), lambda s: windows.activity_sessions(windows.watermarked(s, DELAY), ["ticker"]), True)
+    shape = lambda s: state.activity_spans(windows.watermarked(s, DELAY), ["ticker"])
+    return _to_current(views.ticks(spark, sf), shape, ["ticker", "start_ms"], "start_ms").where("messages > 0")
+
+
+@add("R6_closed_sessions", "ticker:s start_ms:l end_ms:l messages:l", sql(f"""
+    SELECT ticker, min(ts_ms) AS start_ms, max(ts_ms) + 900000 AS end_ms, count(*) AS messages FROM (
+    SELECT *, sum(n) OVER (PARTITION BY ticker ORDER BY ts_ms, event_id) AS g FROM (
+    SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY ticker ORDER BY ts_ms, event_id) <= 900000 THEN 0 ELSE 1 END AS n FROM ticks))
+    GROUP BY ticker, g HAVING max(ts_ms) + 900000 <= (SELECT max(ts_ms) FROM ticks) - {DELAY_MS}""", "ticks"))
+def closed_sessions(spark, sf):
+    """Spans that the watermark has closed, by Spark's own session windows."""
+    return _to_table(views.ticks(spark, sf), lambda s: windows.activity_sessions(windows.watermarked(s, DELAY), ["ticker"]))
+
+
+@add("R6_stream_stalls", "ticker:s stalled_from_ms:l overdue_ms:l", sql(f"""
+    SELECT ticker, ts_ms AS stalled_from_ms, ts_ms + 900000 AS overdue_ms FROM (
+    SELECT ticker, ts_ms, lead(ts_ms) OVER (PARTITION BY ticker ORDER BY ts_ms) AS n, max(ts_ms) OVER () - {DELAY_MS} AS mark FROM ticks)
+    WHERE (n - ts_ms > 900000 OR n IS NULL) AND ts_ms + 900000 < mark""", "ticks"))
+def stream_stalls(spark, sf):
+    """Silences as they are noticed, the lasting ones too."""
+    return _to_table(views.ticks(spark, sf), lambda s: state.stall_alerts(windows.watermarked(s, DELAY), ["ticker"]))
 
 
 @add("R6_stall_detect", "ticker:s stalled_from_ms:l resumed_ms:l gap_seconds:d", sql("""
@@ -158,7 +197,7 @@ def incremental_news(spark, sf):
     GROUP BY w""", "ticks"))
 def error_rate_stream(spark, sf):
     t = views.ticks(spark, sf).withColumn("is_error", F.col("price") > 60)
-    return _to_table(t, lambda s: windows.error_rate(windows.watermarked(s, DELAY)), True)
+    return _to_current(t, lambda s: windows.error_rate(windows.watermarked(s, DELAY)), ["window_ms"], "window_ms")
 
 
 def _with_late(t):
@@ -168,28 +207,56 @@ def _with_late(t):
         _second(t).unionByName(again).withColumn("landing", F.lit(2)))
 
 
+def _routed(t, then=None):
+    """Both landings through the late router; ``then`` follows the accepted rows after each one."""
+    spark = t.sparkSession
+    landing, accepted, late, ledger, spot = (scratch_path(spark, n) for n in ("landing", "accepted", "late", "ledger", "checkpoint"))
+    both = _with_late(t)
+    for n in (1, 2):
+        ingest.lay_out(both.where(F.col("landing") == n).drop("landing"), landing)
+        ingest.route_late(ingest.file_stream(spark, landing, t.schema), accepted, late, ledger, "ts_ms", DELAY_MS, spot).awaitTermination()
+        if then:
+            then(ingest.file_stream(spark, f"{accepted}/*", t.schema)).awaitTermination()
+    return late, ledger
+
+
+_MARK = f"(SELECT max(ts_ms) FROM ticks WHERE trade_date < '{HALF}') - {DELAY_MS}"
+
+
 @add("R9_late_data_dropped", "ticker:s beat_ms:l messages:l", sql(f"""
-    SELECT ticker, ts_ms - ts_ms % 300000 AS beat_ms, count(*) AS messages FROM ticks GROUP BY 1, 2""", "ticks"))
+    SELECT ticker, ts_ms - ts_ms % 300000 AS beat_ms, count(*) AS messages FROM (SELECT * FROM ticks
+        UNION ALL SELECT * FROM ticks WHERE trade_date < '{HALF}' AND event_id % 10 = 0 AND ts_ms >= {_MARK}) GROUP BY 1, 2""", "ticks"))
 def late_data_dropped(spark, sf):
-    """Re-sent ticks of closed intervals change nothing."""
-    t = views.ticks(spark, sf)
-    path, out, spot = (scratch_path(spark, n) for n in ("landing", "out", "checkpoint"))
-    both = _with_late(t)
-    for n in (1, 2, None):
-        if n is None:
-            _end(t, path)
-        else:
-            ingest.lay_out(both.where(F.col("landing") == n).drop("landing"), path)
-        stream = windows.watermarked(ingest.file_stream(spark, path, t.schema), DELAY)
-        beats = windows.heartbeat(stream, ["ticker"])
-        ingest.append_to(beats, out, spot).awaitTermination()
-    return spark.read.schema(beats.schema).parquet(out)
+    """Ticks that come again change nothing once they are older than the mark."""
+    out, spot = scratch_path(spark, "current"), scratch_path(spark, "checkpoint")
+    beats = lambda s: ingest.keep_current(
+        windows.heartbeat(windows.watermarked(s, DELAY), ["ticker"]), out, ["ticker", "beat_ms"], "beat_ms", spot)
+    _routed(views.ticks(spark, sf), beats)
+    return read_table(spark, out)
 
 
 @add("R9_late_rows", "event_id:l ts_ms:l", sql(f"""
-    SELECT event_id, ts_ms FROM ticks WHERE trade_date < '{HALF}' AND event_id % 10 = 0
-        AND ts_ms < (SELECT max(ts_ms) FROM ticks WHERE trade_date < '{HALF}') - {DELAY_MS}""", "ticks"))
+    SELECT event_id, ts_ms FROM ticks WHERE trade_date < '{HALF}' AND event_id % 10 = 0 AND ts_ms < {_MARK}""", "ticks"))
 def late_rows(spark, sf):
+    """The late rows that a router set aside as they arrived."""
+    t = views.ticks(spark, sf)
+    late, _ = _routed(t)
+    return spark.read.schema(t.schema).parquet(late)
+
+
+@add("R9_late_ledger", "batch_id:l mark:l arrived:l accepted:l late:l", sql(f"""
+    SELECT 0 AS batch_id, NULL AS mark, count(*) AS arrived, count(*) AS accepted, 0 AS late FROM ticks WHERE trade_date < '{HALF}'
+    UNION ALL SELECT 1, {_MARK}, count(*), count(*) FILTER (trade_date >= '{HALF}' OR ts_ms >= {_MARK}),
+        count(*) FILTER (trade_date < '{HALF}' AND ts_ms < {_MARK}) FROM ticks WHERE trade_date >= '{HALF}' OR event_id % 10 = 0""", "ticks"))
+def late_ledger(spark, sf):
+    _, ledger = _routed(views.ticks(spark, sf))
+    return spark.read.schema(ingest.LEDGER).parquet(ledger)
+
+
+@add("R9_late_rows_landed", "event_id:l ts_ms:l", sql(f"""
+    SELECT event_id, ts_ms FROM ticks WHERE trade_date < '{HALF}' AND event_id % 10 = 0 AND ts_ms < {_MARK}""", "ticks"))
+def late_rows_landed(spark, sf):
+    """The same by comparing landed batches."""
     return ingest.late_rows(_with_late(views.ticks(spark, sf)), "landing", "ts_ms", DELAY_MS)
 
 
@@ -205,17 +272,35 @@ def replay(spark, sf):
     SELECT * FROM bars""", "bars"))
 def stream_bars(spark, sf):
     shape = lambda s: windows.stream_bars(windows.watermarked(s, DELAY), ["ticker"], "15 minutes", "event_id")
-    return _to_table(views.ticks(spark, sf), shape, True)
+    return _to_current(views.ticks(spark, sf), shape, ["ticker", "ts_ms"], "ts_ms")
+
+
+def _measured(spark, sf):
+    """Both landings appended without the ticks above 90, and the log of their batches."""
+    out, metrics, spot = (scratch_path(spark, n) for n in ("out", "metrics", "checkpoint"))
+
+    def run(stream):
+        query, log = ingest.append_measured(stream, out, metrics, F.col("price") > 90, checkpoint=spot)
+        query.awaitTermination()
+        log.finish()
+        return query
+
+    _two_landings(views.ticks(spark, sf), run)
+    return spark.read.schema(ingest.METRICS).parquet(metrics)
 
 
-@add("R12_stream_metrics", "operation:s records:l", sql("SELECT 'stream' AS operation, count(*) AS records FROM ticks", "ticks"))
+@add("R12_stream_metrics", "operation:s batch_id:l records:l rejected:l", sql(f"""
+    SELECT 'stream' AS operation, CASE WHEN trade_date < '{HALF}' THEN 0 ELSE 1 END AS batch_id, count(*) AS records,
+        count(*) FILTER (price > 90) AS rejected FROM ticks GROUP BY ALL""", "ticks"))
 def stream_metrics(spark, sf):
-    t, path, out = views.ticks(spark, sf), scratch_path(spark, "landing"), scratch_path(spark, "out")
-    ingest.lay_out(t, path)
-    metrics = scratch_path(spark, "metrics")
-    ingest.append_measured(ingest.file_stream(spark, path, t.schema, 1), out, metrics).awaitTermination()
-    done = spark.read.parquet(metrics)
-    return done.groupBy("operation").agg(F.sum("records").alias("records"))
+    return _measured(spark, sf)
+
+
+@add("R12_stream_latency", "operation:s samples:l timed:b", sql("SELECT 'stream' AS operation, 2 AS samples, true AS timed"))
+def stream_latency(spark, sf):
+    """The batches' durations reduced as any other operation's."""
+    stats = monitoring.latency_stats(_measured(spark, sf), ["ended_ms"])
+    return stats.withColumn("timed", (F.col("p50") > 0) & (F.col("p99") >= F.col("p50")))
 
 
 @add("R12_ingest_stats", "batch_id:l fetched:l valid:l invalid:l duplicates:l written:l", sql("""

@@ -7,10 +7,12 @@ lost executor re-reads files, never a half-overwritten source.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.quality import dedup_last
 from ..session import materialise
@@ -23,6 +25,39 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
 
 
+def _schema_path(spark: SparkSession, path: str):
+    side = spark._jvm.org.apache.hadoop.fs.Path(path, "_columns.json")  # readers skip names with an underscore
+    return side, side.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def table_schema(spark: SparkSession, path: str) -> T.StructType:
+    """All columns a table has: from its side file, or from the footers of all its files where there is none yet."""
+    side, fs = _schema_path(spark, path)
+    if not fs.exists(side):
+        return spark.read.option("mergeSchema", "true").parquet(path).schema
+    stream = fs.open(side)
+    try:
+        return T.StructType.fromJson(json.loads(bytes(stream.readAllBytes()).decode()))
+    finally:
+        stream.close()
+
+
+def _note_schema(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Widen the side file by columns it lacks."""
+    side, fs = _schema_path(spark, path)
+    known = table_schema(spark, path) if fs.exists(side) else T.StructType([])
+    wide = T.StructType([*known.fields, *[f for f in schema.fields if f.name not in known.names]])
+    if wide != known:
+        stream = fs.create(side, True)
+        stream.write(json.dumps(wide.jsonValue()).encode())
+        stream.close()
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A partitioned table with all columns any of its files has, without opening them for their schema."""
+    return spark.read.schema(table_schema(spark, path)).parquet(path)
+
+
 def write_partitions(df: DataFrame, path: str, partitions: Sequence[str] = (PARTITION,),
                      sort: Sequence[str] = ("timestamp",)) -> None:
     """Replace exactly the partitions present in ``df``.
@@ -30,10 +65,15 @@ def write_partitions(df: DataFrame, path: str, partitions: Sequence[str] = (PART
     The rebalance hint brings each partition together in as few files as the
     advised size allows and splits a heavy day over several tasks.
     """
+    spark = df.sparkSession
+    known = table_schema(spark, path) if table_exists(spark, path) else None  # before files with other columns come
     (df.hint("rebalance", *[F.col(c) for c in partitions])
      .sortWithinPartitions(*partitions, *sort)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partitions).parquet(path))
+    if known is not None:
+        _note_schema(spark, path, known)
+    _note_schema(spark, path, df.schema)
 
 
 def overwrite_partition(df: DataFrame, path: str, **kw) -> None:
@@ -59,16 +99,21 @@ def merge_last_wins(old: DataFrame | None, new: DataFrame, keys: Sequence[str],
 def stored_partitions(like: DataFrame, path: str, partitions: Sequence[str]) -> DataFrame:
     """The rows of a table in the partitions that ``like`` has, with all columns the table has.
 
-    The first partition column's values are listed, which prunes the scan; they
-    are calendar days, so their number is bounded.
+    Only the folders of the first partition column's values are read; they are calendar
+    days, so their number is bounded.  The columns come from the table's side file.
     """
     spark, first = like.sparkSession, partitions[0]
-    stored = spark.read.option("mergeSchema", "true").parquet(path)
-    kinds = dict(like.dtypes)
+    schema, kinds = table_schema(spark, path), dict(like.dtypes)
+    days = [r[0] for r in like.select(F.col(first).cast("string")).distinct().collect()]
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    folders = [f"{path}/{first}=" + ("__HIVE_DEFAULT_PARTITION__" if d in (None, "") else escape(d)) for d in days]
+    folders = [f for f in folders if table_exists(spark, f)]
+    if not folders:
+        return spark.createDataFrame([], schema).withColumns({p: F.col(p).cast(kinds[p]) for p in partitions})
+    # partition columns as text, so that every value is read as it was written
+    typed = T.StructType([T.StructField(f.name, T.StringType()) if f.name in partitions else f for f in schema.fields])
+    stored = spark.read.option("basePath", path).schema(typed).parquet(*folders)
     stored = stored.withColumns({p: F.col(p).cast(kinds[p]) for p in partitions})
-    days = [r[0] for r in like.select(first).distinct().collect()]
-    here = F.col(first).isin([d for d in days if d is not None])
-    stored = stored.where(here | F.col(first).isNull() if None in days else here)
     return stored if len(partitions) == 1 else stored.join(like.select(*partitions).distinct(), list(partitions), "left_semi")
 
 
