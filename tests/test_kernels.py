@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickframe.functions import indicators as ind
 from tickframe.functions import pricing
+from tickframe.operators import metrics, scanners
 from tickframe.operators.asof import asof_bars, asof_grid, asof_join
 from tickframe.operators.balance import undersample_majority
 from tickframe.operators.metrics import roc_auc, threshold_sweep
@@ -230,3 +231,70 @@ def test_pricing_bounds_and_round_trip(spark):
     bad = spark.createDataFrame([(0.0, 100.0, 10.0), (200.0, 100.0, 10.0), (1.0, -1.0, 10.0), (1.0, 100.0, 0.0)], "p double, s double, d double")
     ivs = bad.select(pricing.implied_vol(F.col("p"), F.col("s"), k, F.col("d"), F.lit(True)).alias("iv")).collect()
     assert [r["iv"] for r in ivs] == [0.2] * 4
+
+
+def _plain_backward(close, window, up=1.2, hold=1.1):
+    floor, bar, out = 0, 0, []
+    while bar < len(close):
+        begin = max(floor, bar - window)
+        past = [c for c in close[begin:bar] if c is not None]
+        low = min(past, default=0.0)
+        if low > 0 and close[bar] is not None and close[bar] >= low * up:
+            stop = next((k + 1 for k in range(bar, len(close)) if close[k] is None or close[k] < low * hold), len(close))
+            run = [c for c in close[bar:stop] if c is not None]
+            out.append((begin + close[begin:bar].index(low), bar, sum(c >= low * up for c in run), sum(c >= low * hold for c in run)))
+            floor = bar = stop
+        else:
+            bar += 1
+    return out
+
+
+def _plain_forward(close, window, up=1.2, hold=1.1):
+    bar, out = 0, []
+    while bar < len(close):
+        entry = close[bar]
+        hit = next((k for k in range(bar + 1, min(bar + 1 + window, len(close))) if close[k] is not None and close[k] >= entry * up), None) if entry else None
+        if hit is None:
+            bar += 1
+            continue
+        stop = next((k + 1 for k in range(hit, len(close)) if close[k] is None or close[k] < entry * hold), len(close))
+        run = [c for c in close[hit:stop] if c is not None]
+        out.append((bar, hit, sum(c >= entry * up for c in run), sum(c >= entry * hold for c in run)))
+        bar = stop
+    return out
+
+
+def test_scans_match_a_plain_loop(spark):
+    rng, rows, days = np.random.default_rng(8), [], {}
+    for d in range(30):
+        n = int(rng.integers(1, 300)) if d else 23_400  # the first is a day of second bars
+        price = 10 * np.exp(np.cumsum(rng.normal(0, 0.002 if d == 0 else 0.08, n)))
+        close = [None if rng.random() < 0.03 else 0.0 if rng.random() < 0.01 else float(p) for p in price]
+        days[f"t{d}"] = close
+        rows += [(f"t{d}", "2024-03-04", DAY0 + 1000 * k, c) for k, c in enumerate(close)]
+    df = spark.createDataFrame(rows, "ticker string, trade_date string, ts_ms long, close double").repartition(4)
+    for find, plain in ((scanners._backward_event, _plain_backward), (scanners._forward_event, _plain_forward)):
+        got = scanners._scan(df, find, 120, 20.0, 10.0, "ts_ms")
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r["ticker"], (r["anchor_ms"] - DAY0) // 1000, (r["trigger_ms"] - DAY0) // 1000, r["above_trigger"], r["above_sustain"]) for r in got.collect())
+        want = sorted((t, *e) for t, close in days.items() for e in plain(close, 120))
+        assert found == want and len(found) > 100
+
+
+def test_packed_scores_are_split(spark):
+    rng = np.random.default_rng(4)
+    packed = np.unique(0.5 + rng.random(60_000) * 1e-9)
+    score = np.concatenate([packed, [0.0, 1.0, 0.0, 1.0], rng.random(500), np.repeat(packed[:50], 3)])
+    y = (rng.random(len(score)) < 0.3 + 0.4 * (score > np.median(score))).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"proba": score, "target": y}))
+    ranks = pd.Series(score).rank().to_numpy()
+    n1, n0 = y.sum(), len(y) - y.sum()
+    want = (ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
+    assert metrics.roc_auc(df).first()["roc_auc"] == pytest.approx(want, abs=1e-12)
+    # a million different scores within 1e-6: no band of any level holds more than its share
+    dense = spark.range(1_000_000).select(metrics.score_cell(0.5 + F.col("id") / 1e12).alias("c"))
+    for shift in (15, 30, 45):
+        sizes = dense.select(F.shiftright("c", shift - 15).alias("c")).distinct().groupBy(F.shiftright("c", 15)).count()
+        assert sizes.agg(F.max("count")).head()[0] <= 1 << 15
+    with pytest.raises(Exception, match="not a score"):
+        metrics.roc_auc(spark.createDataFrame([(1.5, 1), (0.2, 0)], "proba double, target int")).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` worked out once, also where it is used inside another lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ratio(num: Column, den: Column) -> Column:
     """num / den, NULL on a zero or NULL denominator."""
     return num / F.nullif(den, F.lit(0.0).cast("double"))

@@ -7,14 +7,14 @@ same formula can be written in plain SQL.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import reduce
 from math import pi, sqrt
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .numeric import let, ratio
 
 # Approximation constants and pricing defaults.
 AS_P = 0.2316419
@@ -24,6 +24,7 @@ IV_LOW = 0.01
 IV_HIGH = 5.0
 IV_FALLBACK = 0.20
 IV_STEPS = 60
+IV_CLOSE = 1e-13
 YEAR_DAYS = 365.0
 MIN_TTE_DAYS = 0.01
 
@@ -69,45 +70,52 @@ def greek_columns(s: Column, k: Column, t: Column, v: Column, call: Column,
     }
 
 
-def _np_cdf(x: np.ndarray) -> np.ndarray:
-    t = 1 / (1 + AS_P * np.abs(x))
-    poly = np.full_like(t, AS_B[4])
-    for b in reversed(AS_B[:4]):
-        poly = poly * t + b
-    tail = np.exp(-x * x / 2) / sqrt(2 * pi) * poly * t
-    return np.where(x >= 0, 1 - tail, tail)
-
-
-def _np_price(s, k, t, v, w, r):
-    spread = v * np.sqrt(t)
-    d1 = (np.log(s / k) + (r + v * v / 2) * t) / spread
-    return w * (s * _np_cdf(w * d1) - k * np.exp(-r * t) * _np_cdf(w * (d1 - spread)))
-
-
-@F.pandas_udf(T.DoubleType())
-def _solve_vol(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    """Bisection on volatility for whole Arrow batches; NULL when not bracketed."""
-    for price, spot, strike, years, sign, rate in batches:
-        p, s, k, t, w, r = (c.to_numpy(dtype=float) for c in (price, spot, strike, years, sign, rate))
-        lo, hi = np.full_like(p, IV_LOW), np.full_like(p, IV_HIGH)
-        with np.errstate(all="ignore"):
-            inside = (_np_price(s, k, t, lo, w, r) <= p) & (p <= _np_price(s, k, t, hi, w, r))
-            for _ in range(IV_STEPS):
-                mid = (lo + hi) / 2
-                low = _np_price(s, k, t, mid, w, r) < p
-                lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
-        yield pd.Series((lo + hi) / 2).where(pd.Series(inside))
+def _let_cdf(x: Column) -> Column:
+    """``normal_cdf`` of an expression that is worked out once."""
+    def tail(x: Column) -> Column:
+        return let(1 / (1 + AS_P * F.abs(x)), lambda t: normal_pdf(x) * t * reduce(lambda a, b: a * t + b, reversed(AS_B[:4]), F.lit(AS_B[4])))
+    return let(x, lambda x: let(tail(x), lambda y: F.when(x >= 0, 1 - y).otherwise(y)))
 
 
 def implied_vol(price: Column, spot: Column, strike: Column, tte_days: Column, call: Column,
                 rate: float = RISK_FREE) -> Column:
-    """Implied volatility, or the fallback for unusable inputs and no solution in range."""
+    """Implied volatility, or the fallback for unusable inputs and no solution in range.
+
+    Newton steps from the point of inflection, from which they close in on one side, inside a bracket that is
+    halved where a step would leave it.  The steps are a fold inside the JVM that stands still once the root
+    is found; rows with unusable inputs or a price outside of the range's never reach it.
+    """
     usable = (price > 0) & (spot > 0) & (strike > 0) & (tte_days > 0)
-    solved = _solve_vol(
-        price.cast("double"), spot.cast("double"), strike.cast("double"),
-        (tte_days / YEAR_DAYS).cast("double"), F.when(call, 1.0).otherwise(-1.0), F.lit(rate),
-    )
-    return F.when(usable, F.coalesce(solved, F.lit(IV_FALLBACK))).otherwise(F.lit(IV_FALLBACK))
+    years = tte_days / YEAR_DAYS
+    quote = F.struct(price.cast("double").alias("p"), spot.cast("double").alias("s"), years.alias("t"), F.sqrt(years).alias("root"),
+                     F.ln(spot / strike).alias("m"), (strike * F.exp(-rate * years)).alias("k"), F.when(call, 1.0).otherwise(-1.0).alias("w"))
+
+    def at(q: Column, v: Column, body: Callable[[Column], Column]) -> Column:
+        return let((q["m"] + (rate + v * v / 2) * q["t"]) / (v * q["root"]), body)
+
+    def value(q: Column, v: Column, d: Column) -> Column:
+        return q["w"] * (q["s"] * _let_cdf(q["w"] * d) - q["k"] * _let_cdf(q["w"] * (d - v * q["root"])))
+
+    def step(q: Column, b: Column) -> Column:
+        x = b["x"]
+        probed = at(q, x, lambda d: F.struct((value(q, x, d) - q["p"]).alias("over"), (q["s"] * normal_pdf(d) * q["root"]).alias("slope")))
+        low = lambda f: F.when(f["over"] < 0, x).otherwise(b["low"])
+        high = lambda f: F.when(f["over"] < 0, b["high"]).otherwise(x)
+        return let(probed, lambda f: let(
+            F.struct(low(f).alias("low"), high(f).alias("high"), (x - ratio(f["over"], f["slope"])).alias("x")),
+            lambda n: let(F.when((n["x"] > n["low"]) & (n["x"] < n["high"]), n["x"]).otherwise((n["low"] + n["high"]) / 2), lambda y: F.struct(
+                n["low"].alias("low"), n["high"].alias("high"), y.alias("x"), (F.abs(y - x) < IV_CLOSE).alias("found")))))
+
+    def solved(q: Column) -> Column:
+        inside = (at(q, F.lit(IV_LOW), lambda d: value(q, F.lit(IV_LOW), d)) <= q["p"]) & (
+            q["p"] <= at(q, F.lit(IV_HIGH), lambda d: value(q, F.lit(IV_HIGH), d)))
+        inflection = F.sqrt(2 * F.abs(q["m"] + rate * q["t"]) / q["t"])
+        start = F.struct(F.lit(IV_LOW).alias("low"), F.lit(IV_HIGH).alias("high"),
+                         F.greatest(F.lit(IV_LOW), F.least(F.lit(IV_HIGH), inflection)).alias("x"), F.lit(False).alias("found"))
+        root = F.aggregate(F.sequence(F.lit(1), F.lit(IV_STEPS)), start, lambda b, _: F.when(b["found"], b).otherwise(step(q, b)), lambda b: b["x"])
+        return F.when(inside, root)
+
+    return F.coalesce(F.when(usable, let(quote, solved)), F.lit(IV_FALLBACK))
 
 
 def add_greeks(df: DataFrame, spot: str = "spy_close", price: str = "option_avg_price",

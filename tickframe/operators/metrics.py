@@ -20,7 +20,7 @@ from .quantiles import exact_quantiles
 SWEEP_GRID = tuple(round(0.70 + i / 100, 2) for i in range(26))
 KEY_GRID = (0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
 SEARCH_GRID = tuple(round(0.50 + i / 100, 2) for i in range(50))
-_AUC_BINS = 65_536
+_AUC_BITS, _AUC_STEP = 60, 15
 
 
 def apply_threshold(df: DataFrame, threshold: float, score: str = "proba", name: str = "predicted") -> DataFrame:
@@ -45,24 +45,34 @@ def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Col
     return p, r, f
 
 
+def score_cell(score: Column) -> Column:
+    """The score as a whole number of 2^-60ths; scores outside [0, 1] are refused."""
+    return F.when((score >= 0) & (score <= 1), F.floor(score * 2.0 ** _AUC_BITS)).otherwise(
+        F.raise_error(F.concat(F.lit("not a score: "), score.cast("string")))).cast("long")
+
+
 def roc_auc(df: DataFrame, by: Sequence[str] = (), label: str = "target", score: str = "proba") -> DataFrame:
     """Rank AUC with ties at half, NULL when a class is missing.
 
-    Scores in [0, 1] are first counted per distinct value; ranks come from
-    65,536 score bands and, inside each, from its distinct values.
+    Scores in [0, 1] are first counted per distinct value.  Wins of positives over negatives are added up level by
+    level: among the scores of a band of 2^-45, then among the 32,768 bands of the next wider one, up to the whole, so
+    packed scores are split however close they are.
     """
     pos, neg = count_if(F.col(label) == 1), count_if(F.col(label) == 0)
-    values = (df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_s"))
-              .agg(pos.alias("_p"), neg.alias("_q"))
-              .withColumn("_band", F.floor(F.col("_s") * _AUC_BINS)))
-    inside = Window.partitionBy(*by, "_band").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    bands = (values.withColumn("_below", F.coalesce(F.sum("_q").over(inside), F.lit(0)))
-             .groupBy(*by, "_band").agg(
-                 F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2)).alias("_u"),
-                 F.sum("_p").alias("_p"), F.sum("_q").alias("_q")))
-    key = list(by) or [F.lit(0)]
-    across = Window.partitionBy(*key).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    summed = bands.withColumn("_b", F.coalesce(F.sum("_q").over(across), F.lit(0)))
+    counted = (df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("_s"))
+               .agg(pos.alias("_p"), neg.alias("_q")))
+    nodes = counted.withColumn("_u", F.col("_p") * F.col("_q") / 2).withColumn("_cell", score_cell(F.col("_s")))
+    order = ["_cell", "_s"]
+    for _ in range(_AUC_BITS // _AUC_STEP):
+        band = F.shiftright("_cell", _AUC_STEP)
+        below = Window.partitionBy(*by, "_band").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        beaten = F.coalesce(F.sum("_q").over(below), F.lit(0))
+        nodes = (nodes.withColumn("_band", band).withColumn("_u", F.col("_u") + F.col("_p") * beaten)
+                 .groupBy(*by, F.col("_band").alias("_cell")).agg(*[F.sum(c).alias(c) for c in ("_u", "_p", "_q")]))
+        order = ["_cell"]
+    # what is left are the lower and the closed upper end of [0, 1]
+    top = Window.partitionBy(*(list(by) or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    summed = nodes.withColumn("_b", F.coalesce(F.sum("_q").over(top), F.lit(0)))
     pairs = F.sum("_p").cast("double") * F.sum("_q")
     return summed.groupBy(*by).agg(
         ratio(F.sum(F.col("_u") + F.col("_p") * F.col("_b")), pairs).alias("roc_auc"))

@@ -1,23 +1,22 @@
 """Price-move events per contract-day and the reports over them.
 
-An event fixes where the search for the next one may start, so the scan is a
-fold over the bars of one contract-day.  Groups are bars on a minute grid
-(1,440 at most) and independent of each other.
+An event fixes where the search for the next one may start: it depends on the
+restart bar alone.  The bars of one contract-day are one array, and a fold over
+its positions inside the JVM carries the restart bar and the events found.
+Contract-days are independent; a day of second bars is 23,400 numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import exchange_clock
 from ..functions.contracts import option_type
 from ..functions.indicators import SERIES
-from ..functions.numeric import count_if, join_results, ratio
+from ..functions.numeric import count_if, join_results, let, ratio
 
 # Scan defaults and report bands.
 WINDOW_BARS = 120
@@ -29,65 +28,74 @@ MORNING_HOURS = (9, 10, 11)
 MORNING_SPREAD = 0.25
 SKEW_BANDS = (2.0, 1.5)
 
-_RAW = ("trade_date string, ticker string, anchor_ms long, trigger_ms long, bars_to_trigger long, "
-        "gain_pct double, above_trigger long, above_sustain long, anchor_price double, trigger_price double")
-
-
-def _run_lengths(close: np.ndarray, start: int, anchor: float, up: float, hold: float) -> tuple[int, int, int]:
-    """Bars at or above each level from ``start`` until the first not at ``hold`` or without a close; next free bar."""
-    tail = close[start:]
-    below = np.flatnonzero(~(tail >= anchor * hold))
-    kept = int(below[0]) if below.size else tail.size
-    stop = start + kept + (1 if below.size else 0)
-    return int((tail[:kept] >= anchor * up).sum()), kept, stop
-
-
-def _backward_events(close: np.ndarray, window: int, up: float, hold: float):
-    floor, bar = 0, 0
-    while bar < close.size:
-        past = close[max(floor, bar - window):bar]
-        low = np.nanmin(past) if past.size and not np.isnan(past).all() else 0.0
-        if low > 0 and close[bar] >= low * up:
-            anchor = max(floor, bar - window) + int(np.nanargmin(past))
-            high, kept, stop = _run_lengths(close, bar, close[anchor], up, hold)
-            yield anchor, bar, high, kept
-            floor = bar = stop
-        else:
-            bar += 1
-
-
-def _forward_events(close: np.ndarray, window: int, up: float, hold: float):
-    bar = 0
-    while bar < close.size:
-        entry = close[bar]
-        hits = np.flatnonzero(close[bar + 1:bar + 1 + window] >= entry * up) if entry > 0 else ()
-        if len(hits):
-            trigger = bar + 1 + int(hits[0])
-            high, kept, stop = _run_lengths(close, trigger, entry, up, hold)
-            yield bar, trigger, high, kept
-            bar = stop
-        else:
-            bar += 1
+def _first(values: Column, holds: Callable[[Column], Column], wanted: bool) -> Column:
+    """The place (from 1) of the first value for which ``holds`` is ``wanted``, 0 if there is none; a missing value holds nothing."""
+    return F.array_position(F.transform(values, lambda v: F.coalesce(holds(v), F.lit(False))), F.lit(wanted)).cast("int")
 
 
-def _scan(bars: DataFrame, find, window: int, trigger: float, sustain: float, ts: str) -> DataFrame:
-    up, hold = 1 + trigger / 100, 1 + sustain / 100
+def _after(close: Column, bar: Column) -> Column:
+    return F.slice(close, bar + 1, F.size(close))
+
+
+def _stop(close: Column, bar: Column, level: Column) -> Column:
+    """The bar after the first from ``bar`` on that is not at ``level``, or the end of the day."""
+    return let(_first(_after(close, bar), lambda v: v >= level, False), lambda n: F.when(n == 0, F.size(close)).otherwise(bar + n))
+
+
+def _backward_event(close: Column, window: int, up: float, hold: float) -> Callable[[Column, Column], Column]:
+    """The event that bar ``t`` triggers if the last one ended before ``floor``, or NULL."""
+    def event(floor: Column, t: Column) -> Column:
+        begin = F.greatest(floor, t - window)
+        past, now = F.slice(close, begin + 1, t - begin), F.get(close, t)
+        found = lambda low: F.when((low > 0) & (now >= low * up), F.struct(
+            (begin + F.array_position(past, low).cast("int") - 1).alias("anchor"), t.alias("trigger"), _stop(close, t, low * hold).alias("stop")))
+        return let(F.array_min(past), found)
+    return event
 
-    def fold(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values(ts)
-        close, at = day["close"].to_numpy(dtype=float, na_value=np.nan), day[ts].to_numpy()
-        head = (day["trade_date"].iloc[0], day["ticker"].iloc[0])
-        found = [(*head, at[a], at[t], t - a, (close[t] - close[a]) / close[a] * 100,
-                  high, kept, close[a], close[t]) for a, t, high, kept in find(close, window, up, hold)]
-        return pd.DataFrame(found, columns=[c.split()[0] for c in _RAW.split(", ")])
 
-    return bars.select(*SERIES, ts, "close").groupBy(*SERIES).applyInPandas(fold, _RAW)
+def _forward_event(close: Column, window: int, up: float, hold: float) -> Callable[[Column, Column], Column]:
+    """The event that an entry at bar ``t`` has within the window, or NULL."""
+    def event(floor: Column, t: Column) -> Column:
+        entry, ahead = F.get(close, t), F.slice(close, t + 2, F.lit(window))
+        found = lambda n: F.when(n > 0, F.struct(
+            t.alias("anchor"), (t + n).alias("trigger"), _stop(close, t + n, entry * hold).alias("stop")))
+        return F.when(entry > 0, let(_first(ahead, lambda v: v >= entry * up, True), found))
+    return event
+
+
+_EVENT = "struct<anchor:int,trigger:int,stop:int>"
+
+
+def _scan(bars: DataFrame, find, window: int, trigger: float, sustain: float, ts: str) -> DataFrame:
+    up, hold = 1 + trigger / 100, 1 + sustain / 100
+    bar = F.struct(F.col(ts).alias("t"), F.nullif(F.col("close").cast("double"), F.lit(float("nan"))).alias("c"))
+    days = (bars.groupBy(*SERIES).agg(F.array_sort(F.collect_list(bar)).alias("_bars"))
+            .select(*SERIES, F.transform("_bars", lambda b: b["t"]).alias("_at"), F.transform("_bars", lambda b: b["c"]).alias("_close")))
+    close, event = F.col("_close"), find(F.col("_close"), window, up, hold)
+    none = F.lit(None).cast(_EVENT)
+
+    def step(s: Column, t: Column) -> Column:
+        got = F.when(t >= s["floor"], event(s["floor"], t)).otherwise(none)
+        return let(got, lambda e: F.when(e.isNull(), s).otherwise(F.struct(
+            e["stop"].alias("floor"), F.concat(s["events"], F.array(e)).alias("events"))))
+
+    start = F.struct(F.lit(0).alias("floor"), F.array().cast(f"array<{_EVENT}>").alias("events"))
+    found = days.select(*SERIES, "_at", "_close", F.explode(F.aggregate(
+        F.sequence(F.lit(0), F.size(close) - 1), start, step, lambda s: s["events"])).alias("_e"))
+    anchor, first = F.col("_e.anchor"), F.col("_e.trigger")
+    base, price = F.get(close, anchor), F.get(close, first)
+    run = F.slice(close, first + 1, F.col("_e.stop") - first)  # up to the bar that ended it
+    count = lambda level: F.size(F.filter(run, lambda v: v >= level))
+    return found.select(
+        *SERIES, F.get("_at", anchor).alias("anchor_ms"), F.get("_at", first).alias("trigger_ms"), (first - anchor).cast("long").alias("bars_to_trigger"),
+        ((price - base) / base * 100).alias("gain_pct"), count(base * up).cast("long").alias("above_trigger"),
+        count(base * hold).cast("long").alias("above_sustain"), base.alias("anchor_price"), price.alias("trigger_price"))
 
 
 def scan_backward(bars: DataFrame, window: int = WINDOW_BARS, trigger: float = TRIGGER_PCT,
                   sustain: float = SUSTAIN_PCT, ts: str = "ts_ms") -> DataFrame:
     """Bars standing ``trigger`` percent above the low of the prior window."""
-    raw = _scan(bars, _backward_events, window, trigger, sustain, ts)
+    raw = _scan(bars, _backward_event, window, trigger, sustain, ts)
     return raw.select(
         F.col("trade_date").alias("date"), "ticker",
         exchange_clock(F.col("trigger_ms")).alias("trigger_time_et"),
@@ -103,7 +111,7 @@ def scan_backward(bars: DataFrame, window: int = WINDOW_BARS, trigger: float = T
 def scan_forward(bars: DataFrame, window: int = WINDOW_BARS, trigger: float = TRIGGER_PCT,
                  sustain: float = SUSTAIN_PCT, ts: str = "ts_ms") -> DataFrame:
     """Earliest entries whose price reaches ``trigger`` percent within the next window."""
-    raw = _scan(bars, _forward_events, window, trigger, sustain, ts)
+    raw = _scan(bars, _forward_event, window, trigger, sustain, ts)
     return raw.select(
         F.col("trade_date").alias("date"), "ticker",
         exchange_clock(F.col("anchor_ms")).alias("entry_time_et"),
