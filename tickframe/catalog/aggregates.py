@@ -202,7 +202,7 @@ def split_summary(spark, sf):
     return splits.split_summary(splits.chronological_split(views.scored(spark, sf)))
 
 
-def _auc_sql(src: str, by: str) -> str:
+def auc_sql(src: str, by: str) -> str:
     part, key = (f"PARTITION BY {by} ", f"{by}, ") if by else ("", "")
     group = f"GROUP BY {by}" if by else ""
     return f"""SELECT {key}(sum(CASE WHEN target = 1 THEN rk END) - sum(target) * (sum(target) + 1) / 2.0::DOUBLE)
@@ -223,7 +223,7 @@ def _auc_sql(src: str, by: str) -> str:
             avg(max_gain_120m) FILTER (proba >= 0.7) AS avg_gain_signals,
             avg(max_gain_120m) FILTER (proba >= 0.7 AND target = 1) AS avg_gain_tp,
             avg(max_gain_120m) FILTER (proba >= 0.7 AND target = 0) AS avg_gain_fp FROM scored_models GROUP BY model)
-        JOIN ({_auc_sql("scored_models", "model")}) USING (model)""", "scored_models"))
+        JOIN ({auc_sql("scored_models", "model")}) USING (model)""", "scored_models"))
 def backtest_metrics(spark, sf):
     return metrics.backtest_metrics(views.scored_models(spark, sf), 0.7, ["model"])
 
@@ -231,7 +231,7 @@ def backtest_metrics(spark, sf):
 @add("A16_classification_metrics", "n_rows:l accuracy:d precision:d recall:d f1:d roc_auc:d", sql(f"""
     SELECT *, (tp + tn) / CAST(n_rows AS DOUBLE) AS accuracy, tp / CAST(tp + fp AS DOUBLE) AS precision,
         tp / CAST(tp + fn AS DOUBLE) AS recall, 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) AS f1,
-        (SELECT roc_auc FROM ({_auc_sql("scored", "")})) AS roc_auc
+        (SELECT roc_auc FROM ({auc_sql("scored", "")})) AS roc_auc
     FROM (SELECT count(*) AS n_rows, count(*) FILTER (proba >= 0.6 AND target = 1) AS tp,
         count(*) FILTER (proba >= 0.6 AND target = 0) AS fp, count(*) FILTER (proba < 0.6 AND target = 1) AS fn,
         count(*) FILTER (proba < 0.6 AND target = 0) AS tn FROM scored)""", "scored"))
@@ -493,18 +493,33 @@ def folds(spark, sf):
     return compare.fold_metrics(splits.rows_in_splits(s, w), 0.67, train_positives=positives)
 
 
+TOTALS_SQL = """SELECT split_index, count(*) AS total_trades, count(*) FILTER (is_winner) AS winning_trades,
+    sum(profit_loss_usd) - count(*) * 4.0 AS net_profit_after_fees_usd FROM {trades} GROUP BY split_index"""
+
+
+def folds_with_trades(spark, sf):
+    s = views.scored(spark, sf)
+    test = splits.rows_in_splits(s, splits.walk_forward_splits(s))
+    totals = trades.trade_totals(trades.trade_outcomes(trades.signals_at(test, 0.67)), ["split_index"])
+    return folds(spark, sf).join(totals, "split_index", "left")
+
+
 @add("A29_walk_forward_summary",
      "successful_splits:l precision_mean:d precision_median:d precision_std:d precision_min:d precision_max:d signals_mean:d "
-     "signals_median:d signals_min:l signals_max:l ev_mean:d ev_median:d ev_std:d stability:s", sql(f"""
-    SELECT count(*) AS successful_splits, avg(precision) AS precision_mean, median(precision) AS precision_median,
+     "signals_median:d signals_min:l signals_max:l ev_mean:d ev_median:d ev_std:d stability:s months_simulated:l total_trades:l "
+     "total_wins:l total_losses:l overall_win_rate:d total_net_profit_usd:d2", sql(f"""
+    SELECT count(total_trades) AS months_simulated, sum(total_trades) AS total_trades, sum(winning_trades) AS total_wins,
+        sum(total_trades - winning_trades) AS total_losses, sum(winning_trades) / CAST(sum(total_trades) AS DOUBLE) AS overall_win_rate,
+        round(sum(net_profit_after_fees_usd), 2) AS total_net_profit_usd, count(*) AS successful_splits, avg(precision) AS precision_mean, median(precision) AS precision_median,
         stddev_pop(precision) AS precision_std, min(precision) AS precision_min, max(precision) AS precision_max,
         avg(total_signals) AS signals_mean, median(total_signals) AS signals_median, min(total_signals) AS signals_min,
         max(total_signals) AS signals_max, avg(expected_value_pct) AS ev_mean, median(expected_value_pct) AS ev_median,
         stddev_pop(expected_value_pct) AS ev_std, CASE WHEN stddev_pop(precision) < 0.03 THEN 'good'
             WHEN stddev_pop(precision) < 0.06 THEN 'moderate' ELSE 'poor' END AS stability
-    FROM ({FOLDS_SQL}) WHERE status = 'SUCCESS'""", "scored", walk=WALK_SQL))
+    FROM ({FOLDS_SQL}) LEFT JOIN ({TOTALS_SQL.format(trades="trades JOIN walk ON date BETWEEN test_start AND test_end")}) USING (split_index)
+    WHERE status = 'SUCCESS'""", "scored", walk=WALK_SQL, trades=f"SELECT * FROM ({TRADES_SQL.format(src='scored')}) WHERE proba >= 0.67"))
 def walk_forward_summary(spark, sf):
-    return compare.walk_forward_summary(folds(spark, sf))
+    return compare.walk_forward_summary(folds_with_trades(spark, sf))
 
 
 @add("A30_fold_metrics",

@@ -11,10 +11,10 @@ from ..plans.consolidate import consolidate
 from ..session import scratch_path
 from ..sources import views
 from . import pricing_sql as ps
-from .aggregates import (GRID_SQL, RESULT_COLUMNS, RESULTS_SQL, SPLIT_SQL, SWEEP_COLUMNS, SWEEP_SQL, _MODEL_TRADES)
+from .aggregates import (GRID_SQL, RESULT_COLUMNS, RESULTS_SQL, SPLIT_SQL, SWEEP_COLUMNS, SWEEP_SQL, _MODEL_TRADES, auc_sql)
 from .base import Catalog, bollinger_sql, ewm_sql, macd_sql, rsi_sql, sql
 from .joins import OPTION_SIDE_SQL, RANGED_SQL, RUNGS_SQL, TARGETED_SQL, underlying_bars
-from .models import MODEL_FEATURES, SMALL, modelling_rows
+from .models import MODEL_FEATURES, ONE_SPLIT, _RATES, _TRAINED, confusion_sql, modelling_rows
 from .predicates import DAILY_OPENS_SQL, ET_SQL, daily_opens
 from .windows import _BACK_CHAIN, _FORWARD_CHAIN, _LAGS, _LISTS, _RETS
 
@@ -230,10 +230,13 @@ def scan_report_forward(spark, sf):
 
 
 def _trained(spark, sf):
-    return reports.train_and_score(modelling_rows(spark, sf), MODEL_FEATURES, views.ROW_KEY, params=SMALL)
+    return reports.train_and_score(modelling_rows(spark, sf), MODEL_FEATURES, views.ROW_KEY, params=ONE_SPLIT)
 
 
-@add("C8_train_backtest", "n_test_rows:l n_signals:l precision:d recall:d f1:d roc_auc:d avg_gain_signals:d lift:d")
+@add("C8_train_backtest", "n_test_rows:l n_signals:l precision:d recall:d f1:d roc_auc:d avg_gain_signals:d lift:d", sql(f"""
+    SELECT *, n_rows AS n_test_rows, tp + fp AS n_signals, {_RATES}, gain_signals AS avg_gain_signals,
+        CASE WHEN gain_all > 0 THEN gain_signals / gain_all END AS lift
+    FROM ({confusion_sql("judged", "split", 0.5)}) JOIN ({auc_sql("judged", "split")}) USING (split) WHERE split = 'test'""", "scored", **_TRAINED))
 def train_backtest(spark, sf):
     artifact, scored = _trained(spark, sf)
     return reports.backtest(scored, artifact.threshold)["metrics"]

@@ -318,9 +318,15 @@ def signal_cautions(spark, sf):
     return explain.signal_cautions(explain.top_impacts(contributions(spark, sf), views.ROW_KEY), views.ROW_KEY, 0.7)
 
 
-_SAMPLE_SQL = """SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY target ORDER BY
-    md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey)) <=
-    (SELECT min(c) FROM (SELECT count(*) AS c FROM scored GROUP BY target))"""
+def sample_sql(src: str, by: str = "") -> str:
+    """As many rows of the larger class of ``src`` as the smaller has, for each ``by``."""
+    key = f"{by}, " if by else ""
+    return f"""SELECT * EXCLUDE (_c) FROM (SELECT *, count(*) OVER (PARTITION BY {key}target) AS _c FROM {src})
+        QUALIFY row_number() OVER (PARTITION BY {key}target ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey
+            || '|' || l_suppkey)) <= min(_c) OVER ({f"PARTITION BY {by}" if by else ""})"""
+
+
+_SAMPLE_SQL = sample_sql("scored")
 
 
 @add("W30_undersample_majority", "l_orderkey:l l_linenumber:l l_partkey:l l_suppkey:l target:l", sql(_SAMPLE_SQL, "scored"))

@@ -132,10 +132,21 @@ def fold_metrics(rows: DataFrame, threshold: float, min_positives: int = MIN_POS
 
 
 def walk_forward_summary(folds: DataFrame) -> DataFrame:
-    """Spread of the successful splits (a few per year) and a stability band."""
+    """Spread of the successful splits (a few per year) and a stability band.
+
+    Where the folds have trades, the totals of the months with any follow.
+    """
     ok = folds.where(F.col("status") == "SUCCESS")
     sd = F.stddev_pop("precision")
+    totals = []
+    if "total_trades" in folds.columns:
+        n, wins = F.coalesce(F.sum("total_trades"), F.lit(0)), F.coalesce(F.sum("winning_trades"), F.lit(0))
+        net = F.round(F.sum(F.when(F.col("total_trades") > 0, F.col("net_profit_after_fees_usd"))), 2)
+        totals = [count_if(F.col("total_trades") > 0).alias("months_simulated"), n.alias("total_trades"), wins.alias("total_wins"),
+                  (n - wins).alias("total_losses"), ratio(wins.cast("double"), n.cast("double")).alias("overall_win_rate"),
+                  net.alias("total_net_profit_usd")]
     return ok.agg(
+        *totals,
         F.count(F.lit(1)).alias("successful_splits"),
         F.avg("precision").alias("precision_mean"), F.median("precision").alias("precision_median"),
         sd.alias("precision_std"), F.min("precision").alias("precision_min"), F.max("precision").alias("precision_max"),

@@ -20,7 +20,9 @@ from ..session import materialise, scratch_path
 from .balance import align_features, attach_class_weight, class_weights, undersample_majority
 from .metrics import classification_metrics
 from .compare import fold_metrics
-from .splits import chronological_split, fit_val_split, rows_in_splits, timeseries_folds
+from .ranking import global_position
+from .splits import chronological_split, fit_val_split, fold_ranges, rows_in_splits
+from .trades import OUTCOME_COLUMNS, signals_at, trade_outcomes, trade_totals
 
 # Training defaults.
 MIN_FOLD_POSITIVES = 10
@@ -104,20 +106,22 @@ def tune(df: DataFrame, features: Sequence[str], grid: dict[str, Sequence], metr
     """Mean metric per parameter set over expanding time folds.
 
     A fold with fewer than 10 training positives zeroes the whole trial; fewer
-    than 3 signals zero that fold.  Each fit is distributed; the loop only
+    than 3 signals zero that fold.  Rows are numbered in time order and written
+    once; a fold is a range of numbers.  Each fit is distributed; the loop only
     walks parameters and folds.
     """
-    parts = materialise(timeseries_folds(df, folds, ts, tie), "folds")
-    positives = {r["fold"]: r["p"] for r in parts.where(F.col("role") == "train").groupBy("fold")
-                 .agg(count_if(F.col("target") == 1).alias("p")).collect()}  # one row per fold
-    enough = all(positives.get(i, 0) >= MIN_FOLD_POSITIVES for i in range(folds))
+    placed = materialise(global_position(df.select(*features, "target", ts, *[c for c in tie if c not in (*features, "target", ts)]),
+                                         ts, tie, "_pos").drop(*[c for c in tie if c not in features]), "folds")
+    blocks = fold_ranges(placed.count(), folds)
+    held = F.array(*[F.when((F.col("_pos") < start) & (F.col("target") == 1), 1).otherwise(0) for start, _ in blocks])
+    counts = placed.select(F.posexplode(held)).groupBy("pos").agg(F.sum("col")).collect()  # one row per fold
+    enough = len(counts) == folds and all(r[1] >= MIN_FOLD_POSITIVES for r in counts)
     trials = []
     for values in product(*grid.values()):
         params, scores = dict(zip(grid, values, strict=True)), []
-        for i in range(folds if enough else 0):
-            fold = parts.where(F.col("fold") == i)
-            model = fit(fold.where(F.col("role") == "train"), features, params)
-            scored = score(model, fold.where(F.col("role") == "test"), features)
+        for start, end in blocks if enough else ():
+            model = fit(placed.where(F.col("_pos") < start), features, params)
+            scored = score(model, placed.where((F.col("_pos") >= start) & (F.col("_pos") < end)), features)
             n = scored.agg(count_if(F.col("proba") >= threshold).alias("signals"))
             row = join_results(classification_metrics(scored, threshold), n, ()).first()
             scores.append((row[metric] or 0.0) if row["signals"] >= MIN_FOLD_SIGNALS else 0.0)
@@ -127,29 +131,35 @@ def tune(df: DataFrame, features: Sequence[str], grid: dict[str, Sequence], metr
 
 def walk_forward(df: DataFrame, features: Sequence[str], keys: Sequence[str], windows: DataFrame,
                  threshold: float = 0.67, params: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """Refit per window and score its test range; returns (fold metrics, scored test rows).
+    """Refit per window and score its test range; returns (fold metrics with trade totals, scored test rows).
 
-    The loop walks the windows, a few per year of data.  Every fit and scoring
-    is distributed, and each scored range is written before the next fit.
+    The input is written once in ranges of dates, which the windows' scans prune.  The loop walks the windows, a few
+    per year of data, and only fits: each model's test rows are appended to one long table (split_index, row),
+    which is reduced per window at the end.  Trade totals come where the columns of trades are there.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, "walk")
-    positives = (rows_in_splits(df, windows, "train").groupBy("split_index")
+    base = materialise(df.repartitionByRange("date").sortWithinPartitions("date"), "walk-input")
+    positives = (rows_in_splits(base.select("date", "target"), windows, "train").groupBy("split_index")
                  .agg(count_if(F.col("target") == 1).alias("train_positives")))
     positives = materialise(windows.select("split_index").join(positives, "split_index", "left")
                             .fillna(0, ["train_positives"]), "positives")
     usable = windows.join(positives.where(F.col("train_positives") >= MIN_FOLD_POSITIVES), "split_index")
     schema = None
+    needed = [*dict.fromkeys([*features, *keys, "target", "date"])]
     for w in usable.orderBy("split_index").collect():
-        span = df.where(F.col("date").between(w["train_start"], w["train_end"]))
+        span = base.where(F.col("date").between(w["train_start"], w["train_end"])).select(*needed)
         parts = materialise(fit_val_split(span), "fit")
         model = fit(undersample_majority(parts.where(F.col("part") == "fit"), keys), features, params,
                     parts.where(F.col("part") == "val"))
-        scored = score(model, df.where(F.col("date").between(w["test_start"], w["test_end"])), features)
-        scored = scored.withColumn("split_index", F.lit(w["split_index"]))
+        scored = score(model, base.where(F.col("date").between(w["test_start"], w["test_end"])), features)
+        scored = scored.withColumn("split_index", F.lit(w["split_index"]).cast("long"))
         schema = scored.schema
         scored.write.mode("append").parquet(path)
     if schema is None:
         scored = df.limit(0).withColumn("proba", F.lit(0.0)).withColumn("split_index", F.lit(0).cast("long"))
     else:
         scored = spark.read.schema(schema).parquet(path)
-    return fold_metrics(scored, threshold, train_positives=positives), scored
+    folds = fold_metrics(scored, threshold, train_positives=positives)
+    if set(OUTCOME_COLUMNS) <= set(scored.columns):
+        folds = folds.join(trade_totals(trade_outcomes(signals_at(scored, threshold)), ["split_index"]), "split_index", "left")
+    return folds, scored

@@ -56,7 +56,9 @@ def smallest_by_hash(df: DataFrame, hash_col: str, take: DataFrame, by: Sequence
         return hist.where((F.col("_c") > F.col("_take")) & (F.col("_start") <= F.col("_take"))).select(
             *by, F.col("_pre").alias("_edge"), (F.col("_take") - F.col("_start")).alias("_left"))
 
-    slim = df.select(*by, hash_col, *[c for c in tie if c not in by])
+    # read three times: written once, so that the hashes and what lies below are not worked out again
+    slim = materialise(df.select(*by, hash_col, *[c for c in tie if c not in by]), "hashes")
+    take = materialise(take, "take")
     coarse = materialise(edge(slim, take, _DIGITS), "edge")
     open_ = slim.join(coarse, by).where(F.substring(hash_col, 1, _DIGITS) == F.col("_edge"))
     fine = materialise(edge(open_.drop("_edge", "_left"), coarse.select(*by, F.col("_left").alias("_take")), 2 * _DIGITS), "edge")

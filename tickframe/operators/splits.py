@@ -89,6 +89,12 @@ def fit_val_split(df: DataFrame, date: str = "date") -> DataFrame:
     return df.join(d.select(date, part.alias("part")), date)
 
 
+def fold_ranges(rows: int, k: int = 5) -> list[tuple[int, int]]:
+    """(start, end) positions of each fold's test block; its training rows are all before the start."""
+    size = rows // (k + 1)
+    return [(rows - (k - i) * size, rows - (k - i - 1) * size) for i in range(k)]
+
+
 def timeseries_folds(df: DataFrame, k: int = 5, ts: str = "timestamp", tie: Sequence[str] = (),
                      position: str | None = None) -> DataFrame:
     """Long form (fold, role, row): expanding training blocks with equal test blocks.

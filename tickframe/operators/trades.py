@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.contracts import option_type
 from ..functions.numeric import count_if
 from .quantiles import exact_quantiles
+from .ranking import global_position
 
 # Sizing, exits and report bands.
 POSITION_USD = 12_500.0
@@ -23,6 +24,10 @@ ASSESSMENT = ((25_000, "EXCEEDS"), (20_000, "MEETS"), (15_000, "BELOW"))
 EXIT_REASONS = ("Stop-loss (before target)", "Target hit", "Stop-loss", "Time limit (120 min)")
 
 
+#: Columns that the outcome of a trade is taken from.
+OUTCOME_COLUMNS = ("close", "max_gain_120m", "min_loss_120m", "time_to_max_min", "hour_et", "minute_et", "date", "ticker")
+
+
 def trade_outcomes(signals: DataFrame, target_pct: float = TARGET_PCT, stop_pct: float = STOP_PCT,
                    position_usd: float = POSITION_USD, optimistic_exit: bool = True) -> DataFrame:
     """Size, exit, P&L and winner flag per signal row, as one projection.
@@ -65,6 +70,25 @@ def trade_outcomes(signals: DataFrame, target_pct: float = TARGET_PCT, stop_pct:
     )
 
 
+def simulated_trades(scored: DataFrame, threshold: float, order: str, tie: Sequence[str], importances: Sequence[tuple[str, float]] = (),
+                     score: str = "proba", **kw) -> DataFrame:
+    """The trades of all signals with their number, confidence and trigger factors.
+
+    Signals are numbered from 1 in (order, tie) order before those too dear for one contract are left out.
+    """
+    placed = global_position(signals_at(scored, threshold, score), order, tie, "_pos")
+    numbered = placed.withColumn("trade_id", F.col("_pos") + 1).withColumn("confidence", F.round(F.col(score), 4))
+    return trigger_factors(trade_outcomes(numbered.drop("_pos"), **kw), importances)
+
+
+def trade_totals(trades: DataFrame, by: Sequence[str], fee_usd: float = FEE_USD) -> DataFrame:
+    """Number, wins and net profit after fees of the trades of each group."""
+    n, win = F.count(F.lit(1)), F.col("is_winner")
+    return trades.groupBy(*by).agg(
+        n.alias("total_trades"), count_if(win).alias("winning_trades"),
+        (F.sum("profit_loss_usd") - n * fee_usd).alias("net_profit_after_fees_usd"))
+
+
 def signals_at(scored: DataFrame, threshold: float, score: str = "proba") -> DataFrame:
     return scored.where(F.col(score) >= threshold)
 
@@ -74,7 +98,8 @@ def trigger_factors(signals: DataFrame, importances: Sequence[tuple[str, float]]
     ranked = sorted(importances, key=lambda kv: -kv[1])[:top]
     items = [F.struct(F.lit(f).alias("feature"), F.round(F.col(f).cast("double"), 4).alias("value"),
                       F.lit(round(float(v), 4)).alias("importance")) for f, v in ranked]
-    return signals.withColumn("trigger_factors", F.array(*items))
+    none = F.array().cast("array<struct<feature:string,value:double,importance:double>>")
+    return signals.withColumn("trigger_factors", F.array(*items) if items else none)
 
 
 # Outcome columns carried by a trade list.
