@@ -1,4 +1,3 @@
-import io
 import math
 import random
 import re
@@ -355,6 +354,93 @@ def test_templates_beside_a_commoner_one(spark):
         assert dropped(spark, rows) == {i: int(i not in first) for i, _ in rows}
 
 
+def plain_groups(lines, similar, min_texts):
+    """{line: template} of one leaf; lines are (texts, tokens after the leading ones)."""
+    rest, out = len(lines[0][1]), {}
+    seen = Counter((p, t) for _, tokens in lines for p, t in enumerate(tokens))
+    near = [k for k, (_, tokens) in enumerate(lines) if sum(seen[p, t] > 1 for p, t in enumerate(tokens)) >= similar * rest]
+
+    def split(team, path, name):
+        count = Counter()
+        for k in team:
+            for cell in enumerate(lines[k][1]):
+                count[cell] += lines[k][0]
+        return count
+
+    teams = [(near, (), ("leaf",))]
+    while teams:
+        team, path, name = teams.pop()
+        if not team:
+            continue
+        count, all_ = split(team, path, name), sum(lines[k][0] for k in team)
+        usual = {}
+        for (p, t), c in count.items():
+            if (c, t) > usual.get(p, (0, 0)) and 2 * c >= all_ or p not in usual and 2 * c >= all_:
+                usual[p] = max(usual.get(p, (c, t)), (c, t))
+        left = []
+        for k in team:
+            if sum(p in usual and usual[p][1] == t for p, t in enumerate(lines[k][1])) >= similar * rest:
+                out[k] = name
+            else:
+                left.append(k)
+        count, groups = split(left, path, name), {}
+        for k in left:
+            ways = [(count[p, t], -p, t) for p, t in enumerate(lines[k][1]) if p not in path and count[p, t] >= min_texts]
+            if ways:
+                c, back, t = max(ways)
+                groups.setdefault((-back, t), []).append(k)
+        teams += [(g, (*path, p), (*name, p, t)) for (p, t), g in groups.items()]
+    return out
+
+
+def plain_templates(rows, similar, min_texts, long_texts, copies):
+    """{id: lines dropped} at any settings, by plain Python over all lines."""
+    held, leaves = [], {}
+    for i, text in rows:
+        if not text:
+            continue
+        token, raw, first, _, line = line_templates._tokens(*W.buffers(pa.array([text])))
+        for a, b, no in zip(first, np.append(first[1:], len(token)), line):
+            if b - a >= 3:
+                masked, exact = tuple(token[a:b].view(np.int64).tolist()), tuple(raw[a:b].tolist())
+                held.append((i, text, int(no), masked, exact if b - a >= 20 else None))
+                leaves.setdefault((len(masked), masked[:4]), {}).setdefault(masked, set()).add((i, text) if copies else text)
+    template = {}
+    for leaf, sigs in leaves.items():
+        lines = [(len(docs), m[4:]) for m, docs in sigs.items()]
+        if leaf[0] >= 8 and len(lines) > 1 and sum(n for n, _ in lines) >= min_texts:
+            names = plain_groups(lines, similar, min_texts)
+            template.update({m: (leaf, names[k]) for k, m in enumerate(sigs) if k in names})
+    gone = {}
+    for needed, key_of in ((min_texts, lambda r: template.get(r[3], r[3])), (long_texts, lambda r: r[4])):
+        keyed = {}
+        for r in held:
+            if key_of(r) is not None:
+                keyed.setdefault(key_of(r), []).append(r)
+        for group in keyed.values():
+            if len({(r[0], r[1]) if copies else r[1] for r in group}) >= needed and len({r[1] for r in group}) > 1:
+                kept = min(group, key=lambda r: r[0])[1]
+                for r in group:
+                    if r[1] != kept:
+                        gone.setdefault(r[0], set()).add(r[2])
+    return {i: len(gone.get(i, ())) for i, _ in rows}
+
+
+@pytest.mark.parametrize("cells", [line_templates.CELLS, 0])
+def test_templates_at_the_shipped_settings_match_brute_force(spark, sf, cells):
+    """In tasks of whole leaves, and spread by tokens."""
+    rng, rows = random.Random(5), rows_of(table(spark, sf, "documents"))
+    pool = [f"v{a}{b}" for a in "bdfgklmnpr" for b in "aeiou"]
+    shapes = [[rng.choice(pool) for _ in range(rng.choice([9, 12, 24]))] for _ in range(6)]
+    shapes += [[*x[:4], *[rng.choice(pool) for _ in x[4:]]] for x in shapes[:4] for _ in range(3)]  # several in one leaf
+    for k in range(160):
+        lines = [" ".join(w if rng.random() < 0.8 or p < 4 else rng.choice(pool) for p, w in enumerate(rng.choice(shapes))) for _ in range(rng.choice([1, 2, 4]))]
+        rows.append((10_000 + k, "\n".join([f"own words {pool[k % 50]} {k}x{k}", *lines])))
+    rows += [(20_000 + k, t) for k, (_, t) in enumerate(rows[-8:])]
+    want = plain_templates(rows, 0.5, 3, 2, True)
+    assert dropped(spark, rows, long_texts=2, copies=True, cells=cells) == want and sum(want.values()) > 150
+
+
 def test_leading_tokens_are_no_agreement(spark):
     """Short lines that have only their first four tokens in common stay; so do table rows."""
     tails = [" ".join(prose(40 + k, 3).split()[:3]) for k in range(5)]
@@ -520,4 +606,4 @@ def test_store_removes_tables(spark, odd):
     path = store.path("t")
     store.drop("t")
     fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs) and io.StringIO
+    assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
