@@ -441,6 +441,35 @@ def test_templates_at_the_shipped_settings_match_brute_force(spark, sf, cells):
     assert dropped(spark, rows, long_texts=2, copies=True, cells=cells) == want and sum(want.values()) > 150
 
 
+def test_short_items_are_found_as_they_stand(spark):
+    docs = spark.createDataFrame([(1, "we ask: what is\nthe Capital of France, and more"), (2, "the capital of a France"), (3, "Paris"), (4, None), (5, "x paris y paris"),
+                                  (6, prose(4, 300) + " " + prose(77, 40))], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "The capital of France"), (11, "paris"), (None, "what is"), (12, ""), (13, None), (14, prose(77, 40)), (15, "Paris")], "item_id long, text string")
+    got = {r.doc_id: (r.item_ids, r.lcs > 0, r.n_words) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {1: ([10], True, 10), 2: ([], False, 5), 3: ([11, 15], True, 1), 4: ([], False, 0), 5: ([11, 15], True, 4), 6: ([14], True, 340)}
+    only = decontaminate.contaminated(docs, items.where("item_id != 14 OR item_id IS NULL")).collect()
+    assert {r.doc_id: r.item_ids for r in only} == {1: [10], 2: [], 3: [11, 15], 4: [], 5: [11, 15], 6: []}
+
+
+def test_a_common_url_counts_once(spark):
+    rows = [("http://a.net/x", 0)] * 500 + [(f"http://b{k}.org/fr/p{k}", 1) for k in range(60)] + [(f"http://c{k}.net/q{k}", 0) for k in range(60)]
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(("http://zz.org/fr/p", "http://zz.net/q"))], "page_id long, url string")
+    more = url_filter.judge_urls(pages, labelled, rules=())
+    once = url_filter.judge_urls(pages, labelled.distinct(), rules=())
+    p = lambda df: {r.page_id: round(r.p_allow, 9) for r in df.collect()}
+    assert p(more) == p(once) and p(more)[0] > 0.5 > p(more)[1]
+
+
+def test_a_repeated_labelled_row_is_learnt_once(spark):
+    rows = [(k, f"{prose(200 + k, 30)} {'vile rotten swine ' * (k % 3 == 0)}") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    hot = docs.union(spark.createDataFrame([rows[4]] * 300, docs.schema))
+    score = lambda df: {r.doc_id: round(r.score, 9) for r in toxicity.toxic_passages(df, labels).collect()}
+    assert score(hot) == score(docs)
+
+
 def test_leading_tokens_are_no_agreement(spark):
     """Short lines that have only their first four tokens in common stay; so do table rows."""
     tails = [" ".join(prose(40 + k, 3).split()[:3]) for k in range(5)]

@@ -59,3 +59,23 @@ def test_awkward_rows_pass_all_stages(spark, sf, tmp_path, empty):
         if name not in ("quality", "tokens"):  # quality would leave few of these rows
             docs = spark.read.parquet(str(tmp_path / name))
             assert out.columns == docs.columns
+
+
+def test_odd_column_names_pass_all_stages(spark, sf, tmp_path):
+    docs = table(spark, sf, "documents")
+    for name in ("a.b", "my col", "ti`ck"):
+        docs = docs.withColumn(name, docs["doc_id"] % 7)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        assert after.columns == docs.columns and after.count() > 0
+        assert after.where("`a.b` != doc_id % 7 OR `my col` != doc_id % 7").count() == 0
+        docs = after
+
+
+def test_a_run_leaves_the_tables_of_other_queries(spark, sf):
+    from tickframe.llm.near_dup import near_duplicates
+    docs = table(spark, sf, "documents")
+    lazy = near_duplicates(docs)
+    corpus_pipeline.run(spark, sf).count()
+    assert lazy.count() == docs.count()

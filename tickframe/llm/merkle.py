@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Store
+from .store import Store, column
 
 #: Levels of the tree within one block: 243 nodes of a tree with three children.
 LEVELS = 5
@@ -33,10 +33,6 @@ def leaf_hash(values: Sequence[Column]) -> Column:
     return F.sha2(F.concat(*[encoded(v) for v in values]), 256)
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def numbered(rows: DataFrame, store: Store, name: str, order: Sequence[str]) -> DataFrame:
     """``rows`` with ``pos``, the place of each within its ``key`` in the given order, and ``n``, the rows of the key.
 
@@ -130,11 +126,11 @@ def manifest(docs: DataFrame, columns: Sequence[str] = _COLUMNS, order_col: str
     """
     store = Store(docs.sparkSession, "merkle")
     kind = docs.schema[order_col].dataType
-    own = [_quoted(c) for c in columns]
-    changed = [(now or {}).get(c, _quoted(c)) for c in columns]
-    leaves = docs.select(_quoted(order_col).alias("id"), leaf_hash(own).alias("node"),
+    own = [column(c) for c in columns]
+    changed = [(now or {}).get(c, column(c)) for c in columns]
+    leaves = docs.select(column(order_col).alias("id"), leaf_hash(own).alias("node"),
                          leaf_hash(changed).alias("now_leaf"),
-                         F.coalesce(F.concat(F.lit("="), _quoted(group_col).cast("string")), F.lit("")).alias("key"))
+                         F.coalesce(F.concat(F.lit("="), column(group_col).cast("string")), F.lit("")).alias("key"))
     nodes = numbered(leaves, store, "leaves", ["id", "node", "now_leaf"])
     most = nodes.agg(F.max("n")).head()[0]
     if most is None:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import global_position
-from .store import Store
+from .store import Store, column
 
 WORD = r"[^\x20\x09-\x0D]+"
 _LEVELS = ((48, 12), (32, 16), (0, 32))  # shift and bits of the hash at each refinement
@@ -118,10 +118,9 @@ def resample(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3,
     store = Store(docs.sparkSession, "mix")
     sized = store.keep(measured(docs, id_col, text_col, source_col), "sized")
     limit = store.keep(thresholds(sized, store, weights, most), "limit")
-    names = [F.col(f"d.`{c}`") for c in docs.columns]
-    own = docs.select(F.struct(*docs.columns).alias("d"), source_key(source_col).alias("key"), row_hash(id_col, text_col).alias("h"))
+    own = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("d"), source_key(source_col).alias("key"), row_hash(id_col, text_col).alias("h"))
     often = own.join(limit.select("key", "full", "upto"), "key").withColumn("copies", copies().cast("int"))
-    return often.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*names)
+    return often.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("d.*")
 
 
 ORACLE = r"""

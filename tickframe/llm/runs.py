@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import column
+
 #: Bytes of text whose suffixes are sorted together; one longer text is sorted alone.
 PIECE = 1 << 20
 _OUT = "runs array<struct<start:bigint,length:bigint,period:bigint>>, n_words bigint, collapsed string"
@@ -192,7 +194,7 @@ def find_runs(docs: DataFrame, least: int = 12, id_col: str = "doc_id", text_col
     """
     if least < 8:
         raise ValueError("suffixes are told apart by their first four words")
-    key, text = (F.col("`" + c.replace("`", "``") + "`") for c in (id_col, text_col))
+    key, text = (column(c) for c in (id_col, text_col))
     rows = docs.select(key.alias("doc_id"), text.cast("string").alias("text"))
     return rows.mapInArrow(_task(least), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_OUT}")
 
@@ -204,7 +206,7 @@ def words_of(text: Column) -> Column:
 
 def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text): a tenth of the texts get their words from one on replaced by a repetition, as the crc32 of the id decides."""
-    key, text = (F.col("`" + c.replace("`", "``") + "`") for c in (id_col, text_col))
+    key, text = (column(c) for c in (id_col, text_col))
     seed = F.crc32(key.cast("string"))
     rows = docs.select(key.alias("doc_id"), text.cast("string").alias("text"), F.floor(seed / 10).cast("bigint").alias("g"),
                        F.when(seed % 10 == 0, words_of(text)).alias("words"))  # a step of its own, so that a text is split once

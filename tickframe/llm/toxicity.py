@@ -208,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, store: Store, sample: int = SAMPLE,
     share = int((1 << 30) * min(1.0, sample / max(n, 1)))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share)
     # at most about `sample` rows of nine bytes, so they fit every executor
-    rows = store.keep(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates()  # a repeated row is learnt once
+    rows = store.keep(rows, "labelled")
     one = rows.mapInArrow(_families, "doc_id bigint, family bigint").groupBy("family").agg(F.min("doc_id").alias("doc_id"))
     train = store.keep(rows.join(one.select("doc_id").distinct(), "doc_id", "left_semi"), "train")
     size = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}

@@ -52,9 +52,10 @@ def ngrams(host: Column, path: Column, sizes: Sequence[int] = SIZES) -> Column:
 def train(labelled: DataFrame, store: Store, features: int = FEATURES, sample: int = SAMPLE):
     """A function that adds ``p`` (probability of allow), from rows (host, path, label 1 for allow).
 
-    At most about ``sample`` rows, chosen by the hash of host and path, fit the model.
-    With labels of one kind only, or none, every URL gets that kind, or allow.
+    Different (host, path, label) count once, however often they stand; at most about ``sample`` of them,
+    chosen by the hash of host and path, fit the model.  With labels of one kind only, or none, every URL gets that kind, or allow.
     """
+    labelled = labelled.select("host", "path", "label").distinct()
     kinds = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
     if len(kinds) < 2:
         return lambda df: df.withColumn("p", F.lit(float(next(iter(kinds), 1))))
