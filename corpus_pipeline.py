@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.llm.decontaminate import search
 from tickframe.llm.mixing import resample
 from tickframe.llm.near_dup import near_duplicates
 from tickframe.llm.quality import judged
-from tickframe.llm.store import delete, release
+from tickframe.llm.store import Run, column, delete
 from tickframe.llm.token_records import write_index, write_records
 from tickframe.session import scratch_path, shared_root
 
@@ -20,11 +20,24 @@ TOKENIZER = "word_bpe_49k.json"
 #: The token ids of the last stage have no SQL form; tests compare every stage with brute force.
 ORACLE_SQL = None
 _NO_ID = (1 << 63) - 1
+#: The tables of the last stage that ran over an input folder; the next one removes them, since that stage's result is written by then.
+_LAST: dict[str, Run] = {}
+
+
+def _stage(spark: SparkSession, sf_dir: str) -> Run:
+    """The tables of this stage, with those of the one before removed; other queries keep theirs."""
+    run = _LAST.setdefault(sf_dir, Run())
+    run.release(spark)
+    return run
+
+
+def _row(docs: DataFrame) -> Column:
+    return F.struct(*[column(c) for c in docs.columns]).alias("row")
 
 
 def _named(docs: DataFrame) -> DataFrame:
     """Each row whole, with the names (k, h) under which verdicts are joined to it: id and hash of the text."""
-    return docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("k"),
+    return docs.select(_row(docs), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("k"),
                        F.xxhash64(F.col("text").cast("string")).alias("h"))
 
 
@@ -34,36 +47,38 @@ def _names(verdict: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep; rows without words, null texts among them, go."""
-    release(spark)
-    return _named(docs).join(_names(judged(docs).where("kept")), ["k", "h"], "left_semi").select("row.*")
+    with _stage(spark, sf_dir):
+        kept = _names(judged(docs).where("kept"))
+    return _named(docs).join(kept, ["k", "h"], "left_semi").select("row.*")
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, the one with the smallest id; of equal rows one stays."""
-    release(spark)
-    one = _named(docs).join(_names(near_duplicates(docs).where("chosen")), ["k", "h"], "left_semi")
+    with _stage(spark, sf_dir):
+        chosen = _names(near_duplicates(docs).where("chosen"))
+    one = _named(docs).join(chosen, ["k", "h"], "left_semi")
     return one.dropDuplicates(["k", "h"]).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a benchmark item in their text."""
-    release(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       F.struct(*docs.columns).alias("row"))
-    return search(base, benchmark).where(F.col("lcs") == 0).select("row.*")
+                       _row(docs))
+    with _stage(spark, sf_dir):
+        return search(base, benchmark).where(F.col("lcs") == 0).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them."""
-    release(spark)
-    return resample(docs)
+    with _stage(spark, sf_dir):
+        return resample(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The offset index of the record files, which stay in the shared folder."""
-    release(spark)
     import public_tokenizers
+    _stage(spark, sf_dir)
     path = f"{shared_root(spark)}/corpus-tokens-{uuid.uuid4().hex}"  # the pipeline's product: it stays
     write_records(docs, path, public_tokenizers.path(TOKENIZER))
     return write_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
