@@ -636,3 +636,61 @@ def test_store_removes_tables(spark, odd):
     store.drop("t")
     fs = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+
+
+NOTICES = {
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+                  'You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to '
+                  'in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either '
+                  "express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+           "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+           "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above "
+           "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+                        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                         "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+                         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+           "copyright notice and this permission notice appear in all copies.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+                    "met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+                    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+                    "documentation and/or other materials provided with the distribution.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty.\n\nPermission is granted to anyone to use this software for any purpose, "
+            "including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+               "https://www.eclipse.org/legal/epl-2.0/",
+}
+
+
+def test_notices_in_all_their_forms(spark, tmp_path):
+    import textwrap
+    head, rows, want = "Copyright (c) 2020 Some One", [], {}
+    for name, text in NOTICES.items():
+        paragraphs = text.split("\n\n")
+        for width in (None, 72, 80):
+            body = ["\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) if width else p for p in x.split("\n")) for x in paragraphs]
+            forms = ["\n\n".join(body), "\n\n".join([head, *body]), head + "\n" + "\n\n".join(body)]
+            for sign in ("# ", "// ", " * ", ";; "):
+                forms += ["\n".join((sign + line).rstrip() for line in f.split("\n")) for f in forms[:3]]
+            if width is None:
+                forms.append(" ".join(text.split()))
+            for f in forms:
+                want[len(rows)] = name
+                rows.append((len(rows), f"{prose(6, 20)}.\n\n{f}\n\n{prose(7, 20)}"))
+    for text, name in (("Licensed under the MIT license (see LICENSE).", "MIT"), ("x = 1\n# SPDX-License-Identifier: BSD-3-Clause\nimport y", "BSD-3-Clause"),
+                       ("/* SPDX-License-Identifier: LGPL-3.0-or-later */", "LGPL-3.0-or-later"), ("the licence of this odd work is not known", "")):
+        want[len(rows)] = name
+        rows.append((len(rows), text))
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.licences for r in licences.licences(docs).collect()}
+    assert [(rows[i][1], got[i], n) for i, n in want.items() if got[i] != n] == []
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    assert differences(licences.licences(docs), con, licences.ORACLE) == []

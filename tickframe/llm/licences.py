@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ SENTENCES = {
     "ApacheBy": ("licensed under the apache license version 2 0",
                  "licensed under the apache license version 2 0 the license"),
     "ApacheUse": ("you may not use this file except in compliance with the license",),
-    "ApacheCopy": ("you may obtain a copy of the license at http www apache org licenses license 2 0",),
+    "ApacheCopy": ("you may obtain a copy of the license at http www apache org licenses license 2 0",
+                   "you may obtain a copy of the license at https www apache org licenses license 2 0",
+                   "you may obtain a copy of the license at"),
     "ApacheAsIs": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on "
                    "an as is basis without warranties or conditions of any kind either express or implied",),
     "ApacheSee": ("see the license for the specific language governing permissions and limitations under the license",),
@@ -40,7 +44,33 @@ SENTENCES = {
                   "disclaimer in the documentation and or other materials provided with the distribution",),
     "BsdNames": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
                  "derived from this software without specific prior written permission",),
-    "MplA": ("this source code form is subject to the terms of the mozilla public license v",),
+    "LgplFree21": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public "
+                   "license as published by the free software foundation either version 2 1 of the license or at your option any later version",),
+    "LgplFree3": ("this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public "
+                  "license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "LgplHope": ("this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty "
+                 "of merchantability or fitness for a particular purpose",),
+    "LgplSee": ("see the gnu lesser general public license for more details",),
+    "AgplFree3": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public "
+                  "license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "AgplSee": ("see the gnu affero general public license for more details",),
+    "IscGrant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
+                 "that the above copyright notice and this permission notice appear in all copies",
+                 "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided "
+                 "that the above copyright notice and this permission notice appear in all copies"),
+    "EplBy": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is "
+              "available at https www eclipse org legal epl 2 0",
+              "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is "
+              "available at http www eclipse org legal epl 2 0",
+              "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is "
+              "available at", "licensed under the eclipse public license 2 0"),
+    "ZlibAsIs": ("this software is provided as is without any express or implied warranty",),
+    "ZlibGrant": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it "
+                  "and redistribute it freely subject to the following restrictions",),
+    "BslBy": ("distributed under the boost software license version 1 0", "licensed under the boost software license version 1 0"),
+    "ArtisticBy": ("this program is free software you can redistribute it and or modify it under the terms of the artistic license 2 0",
+                   "licensed under the artistic license 2 0"),
+    "MplA": ("this source code form is subject to the terms of the mozilla public license v", "licensed under the mozilla public license 2 0"),
     "CcBy": ("licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
     "CcBySa": ("licensed under cc by sa 4 0",),
     "CcByNc": ("licensed under cc by nc 4 0",),
@@ -49,6 +79,11 @@ SENTENCES = {
     "Unlicense": ("this is free and unencumbered software released into the public domain",),
     "Reserved": ("all rights reserved",),
 }
+#: Licences that a tag line may name.
+TAGGED = ("0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0",
+          "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC",
+          "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+SENTENCES |= {f"Tag:{name}": ("spdx license identifier " + " ".join(re.findall("[a-z0-9]+", name.lower())),) for name in TAGGED}
 #: Licence rules in order: the first that fits takes its identifiers, so longer sequences come first.
 RULES = (
     ("Apache-2.0", "ApacheBy ApacheUse ApacheCopy ApacheAsIs ApacheSee"), ("Apache-2.0", "ApacheBy ApacheUse ApacheCopy"),
@@ -58,13 +93,25 @@ RULES = (
     ("BSD-3-Clause", "BsdRedist BsdSource BsdBinary BsdNames"), ("BSD-2-Clause", "BsdRedist BsdSource BsdBinary"),
     ("MPL-2.0", "MplA"), ("CC-BY-NC-4.0", "CcByNc"), ("CC-BY-SA-4.0", "CcBySa"), ("CC-BY-ND-4.0", "CcByNd"), ("CC-BY-4.0", "CcBy"),
     ("CC0-1.0", "Cc0"), ("Unlicense", "Unlicense"), ("LicenseRef-all-rights-reserved", "Reserved"),
+    ("LGPL-2.1-or-later", "LgplFree21 LgplHope LgplSee"), ("LGPL-2.1-or-later", "LgplFree21"),
+    ("LGPL-3.0-or-later", "LgplFree3 GplHope LgplSee"), ("LGPL-3.0-or-later", "LgplFree3"),
+    ("AGPL-3.0-or-later", "AgplFree3 GplHope AgplSee"), ("AGPL-3.0-or-later", "AgplFree3"),
+    ("ISC", "IscGrant"), ("EPL-2.0", "EplBy"), ("Zlib", "ZlibAsIs ZlibGrant"), ("Zlib", "ZlibGrant"),
+    ("BSL-1.0", "BslBy"), ("Artistic-2.0", "ArtisticBy"), *((name, f"Tag:{name}") for name in TAGGED),
 )
 #: Every known sentence holds one of these single words, which wrapped lines and comment signs leave whole; other sentences need no normal form.
 KEYWORDS = r"(?i)licen[sc]e|permission|copyright|warrant|redistribut|domain|reserved"
-#: The filter as it stands in the SQL counterpart, whose text is fixed.
-_SQL_KEYWORDS = r"(?i)licen[sc]e|permission|copyright|warrant|redistribut|free software|public domain|rights reserved"
 _KNOWN = [(s, k) for k, group in SENTENCES.items() for s in group]
 _MARK = "\x1e"
+#: Where sentences end, as (pattern, what stays before the cut, after it), in this order.
+_CUTS = (
+    (r"(?im)^([^A-Za-z0-9\n]*copyright[ \t]*(?:\(c\)|[0-9])[^\n]*)\n", "1", ""),  # a copyright line
+    (r"(https?://[^ \t\r\n]+)[ \t\r\n]+", "1", ""),
+    (r"([.!?])[ \t\r\n]+", "1", ""),
+    (r"([a-z]):[ \t\r\n]+([A-Z0-9])", "1", "2"),
+    (r"\n[^A-Za-z0-9\n]*\n", "", ""),  # an empty line, or one with comment signs only
+)
+_TAG, _CLAUSE, _ASIDE = r"(?i)(SPDX-License-Identifier):[ \t]*", r";[ \t\r\n]+", r"\([^()]*\)"
 
 
 def _normal(s: Column) -> Column:
@@ -73,16 +120,19 @@ def _normal(s: Column) -> Column:
 
 
 def _known(s: Column) -> Column:
-    """The identifier of a sentence, null if it is not a known one."""
-    place = F.array_position(F.array(*[F.lit(t) for t, _ in _KNOWN]), _normal(s)).cast("int")
-    return F.when(place > 0, F.get(F.array(*[F.lit(k) for _, k in _KNOWN]), place - 1))
+    """The identifier of a sentence, as it stands or without what is in parentheses; null if it is not a known one."""
+    def named(text: Column) -> Column:
+        place = F.array_position(F.array(*[F.lit(t) for t, _ in _KNOWN]), _normal(text)).cast("int")
+        return F.when(place > 0, F.get(F.array(*[F.lit(k) for _, k in _KNOWN]), place - 1))
+    return F.coalesce(named(s), named(F.regexp_replace(s, _ASIDE, " ")))
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences, rest) for each row of ``docs``.
 
-    Sentences end at a full stop, exclamation or question mark before white space, or
-    at an empty line; one that is not known as a whole is tried line by line.  ``sentence_ids``
+    Sentences end at a full stop, exclamation or question mark before white space, after an address, at a colon before a
+    capital letter or digit, around a copyright line, and at an empty line or one of comment signs.  One that is not known as a
+    whole, nor without its parentheses, is tried clause by clause (up to semicolons), and such a clause line by line.  ``sentence_ids``
     are the identifiers of the known ones in text order.  Rules are tried in order: one
     that finds its identifiers side by side adds its licence and uses up all such runs.
     ``rest`` are the identifiers no rule used.  Null and empty texts have no
@@ -90,11 +140,14 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     table gives no rows; other columns are ignored.  A row is handled on its own: no shuffle.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    cut = F.regexp_replace(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1" + _MARK), r"\n[ \t\r]*\n", _MARK)
+    cut = F.regexp_replace(text, _TAG, "$1 ")
+    for pattern, before, after in _CUTS:
+        cut = F.regexp_replace(cut, pattern, (f"${before}" if before else "") + _MARK + (f"${after}" if after else ""))
     telling = lambda s: s.rlike(KEYWORDS)
+    either = lambda s, parts: F.coalesce(F.when(_known(s).isNotNull(), F.array(_known(s))), parts)
     by_line = lambda s: F.filter(F.transform(F.filter(F.split(s, "\n"), telling), _known), lambda k: k.isNotNull())
-    ids = F.flatten(F.transform(F.filter(F.split(cut, _MARK), telling),
-                                lambda s: F.coalesce(F.when(_known(s).isNotNull(), F.array(_known(s))), by_line(s))))
+    by_clause = lambda s: F.flatten(F.transform(F.filter(F.split(s, _CLAUSE), telling), lambda c: either(c, by_line(c))))
+    ids = F.flatten(F.transform(F.filter(F.split(cut, _MARK), telling), lambda s: either(s, by_clause(s))))
     found = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                         F.when(text.rlike(KEYWORDS), ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     rules = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(f" {' '.join(s.split())} ").alias("run")) for k, s in RULES])
@@ -115,13 +168,17 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _oracle() -> str:
     known = "[" + ", ".join(f"'{t}'" for t, _ in _KNOWN) + "]"
     names = "[" + ", ".join(f"'{k}'" for _, k in _KNOWN) + "]"
-    normal = ("trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))")
-    id_ = f"list_extract({names}, list_position({known}, {normal.format('{}')}))"
-    body = f"""SELECT doc_id, flatten(list_transform(list_filter(string_split(
-        regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r\\n]+', '\\1' || chr(30), 'g'), '\\n[ \\t\\r]*\\n', chr(30), 'g'), chr(30)),
-        lambda s: regexp_matches(s, '{_SQL_KEYWORDS}')), lambda s: CASE WHEN list_contains({known}, {normal.format('s')}) THEN [{id_.format('s')}]
-        ELSE list_filter(list_transform(string_split(s, chr(10)), lambda l: CASE WHEN list_contains({known}, {normal.format('l')})
-        THEN {id_.format('l')} END), lambda k: k IS NOT NULL) END)) AS ids FROM documents"""
+    normal = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+    one = lambda x: f"list_extract({names}, list_position({known}, {normal.format(x)}))"
+    id_ = lambda x: f"coalesce({one(x)}, {one(f"regexp_replace({x}, '{_ASIDE}', ' ', 'g')")})"
+    lines = f"list_filter(list_transform(string_split(c, chr(10)), lambda l: {id_('l')}), lambda k: k IS NOT NULL)"
+    clauses = (f"flatten(list_transform(regexp_split_to_array(s, '{_CLAUSE}'), "
+               f"lambda c: CASE WHEN {id_('c')} IS NOT NULL THEN [{id_('c')}] ELSE {lines} END))")
+    cut = f"regexp_replace(coalesce(text, ''), '{_TAG}', '\\1 ', 'g')"
+    for pattern, before, after in _CUTS:
+        cut = f"regexp_replace({cut}, '{pattern}', '{f'\\{before}' if before else ''}' || chr(30) || '{f'\\{after}' if after else ''}', 'g')"
+    body = f"""SELECT doc_id, flatten(list_transform(string_split({cut}, chr(30)),
+        lambda s: CASE WHEN {id_('s')} IS NOT NULL THEN [{id_('s')}] ELSE {clauses} END)) AS ids FROM documents"""
     sql = (f"SELECT doc_id, ids, ' ' || coalesce(array_to_string(ids, '  '), '') || ' ' AS seq, CAST([] AS VARCHAR[]) AS hit FROM ({body})")
     for name, run in RULES:
         spaced = " " + "  ".join(run.split()) + " "
