@@ -123,6 +123,17 @@ def sql(body: str, *views: str, **extra: str) -> str:
     return f"{word} {', '.join(parts)} {body}" if parts else body
 
 
+def long_sql(name: str, columns: str, body: str, *by: str) -> str:
+    """The rows of ``body`` as (output, key, measure, number, label), the SQL side of ``reports.long_form``."""
+    spec = dict((c.split(":") + ["d"])[:2] for c in columns.split())
+    show = lambda c: f"printf('%.2f', CAST({c} AS DOUBLE))" if spec[c][0] == "d" else f"CAST({c} AS VARCHAR)"
+    key = " || '|' || ".join(f"coalesce({show(c)}, '')" for c in by) or "''"
+    kind = {"s": "VARCHAR", "l": "BIGINT", "b": "BOOLEAN"}
+    cells = [f"{{'measure': '{c}', 'number': {'NULL' if k == 's' else c if k[0] == 'd' else f'CAST({c} AS {kind[k]})'}::DOUBLE, "
+             f"'label': {c if k == 's' else 'NULL'}::VARCHAR}}" for c, k in spec.items() if c not in by]
+    return f"SELECT '{name}' AS output, {key} AS key, unnest([{', '.join(cells)}], recursive := true) FROM ({body}) AS q"
+
+
 def ewm_sql(src: str, x: str, name: str, alpha: float, need: int, by: str) -> str:
     """The exponential mean by its recursion, folded over the values so far, as nested SELECTs over ``src``."""
     w = f"(PARTITION BY {by} ORDER BY ts_ms ROWS UNBOUNDED PRECEDING)"

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import join_results
 from ..operators.trades import build_trades
-from ..plans import features, reports
+from ..plans import features, jobs, reports
 from ..plans.consolidate import consolidate
 from ..session import scratch_path
 from ..sources import views
 from . import pricing_sql as ps
-from .aggregates import (GRID_SQL, RESULT_COLUMNS, RESULTS_SQL, SPLIT_SQL, SWEEP_COLUMNS, SWEEP_SQL, _MODEL_TRADES, auc_sql)
-from .base import Catalog, bollinger_sql, ewm_sql, macd_sql, rsi_sql, sql
+from .aggregates import CATALOG as AGGREGATES
+from .aggregates import (GRID_SQL, LABELS_SQL, RESULT_COLUMNS, RESULTS_SQL, SPLIT_SQL, SWEEP_COLUMNS, SWEEP_SQL, _MODEL_TRADES, _SUMMARY,
+                         _summary_sql, _symbol_bars, auc_sql)
+from .base import Catalog, bollinger_sql, ewm_sql, long_sql, macd_sql, rsi_sql, sql
+from .joins import CATALOG as JOINS
 from .joins import OPTION_SIDE_SQL, RANGED_SQL, RUNGS_SQL, TARGETED_SQL, underlying_bars
 from .models import MODEL_FEATURES, ONE_SPLIT, _RATES, _TRAINED, confusion_sql, modelling_rows
 from .predicates import DAILY_OPENS_SQL, ET_SQL, daily_opens
@@ -59,6 +62,29 @@ def consolidated(spark, sf):
                        views.event_contracts(spark, sf), views.news(spark, sf), views.BAR_MS, "event_id")
 
 
+# Days of the events tables, with one day after them that has no rows.
+_FROM, _TO = "2024-01-01", "2024-01-31"
+_RUN = "dates_processed:l dates_skipped:l total_rows:l total_contracts:l positive_rate:d"
+
+
+def _run_sql(src: str, rate: str) -> str:
+    return f"""SELECT count(DISTINCT trade_date) AS dates_processed, 31 - count(DISTINCT trade_date) AS dates_skipped, count(*) AS total_rows,
+        count(DISTINCT (trade_date, ticker)) AS total_contracts, {rate} AS positive_rate FROM {src}"""
+
+
+@add("C1_job_stats", "trade_date:s total_rows:l minutes:l contracts:l has_options:b has_news:b has_index:b", sql("""
+    SELECT trade_date, count(*) AS total_rows, count(DISTINCT ts_ms) AS minutes, count(DISTINCT ticker) AS contracts,
+        count(ticker) > 0 AS has_options, count(article_id) > 0 AS has_news, count(level) > 0 AS has_index
+    FROM (SELECT u.trade_date, u.ts_ms, opt.ticker, n.article_id, i.close AS level
+          FROM und u ASOF LEFT JOIN news n ON u.trade_date = n.trade_date AND u.ts_ms >= n.ts_ms
+          ASOF LEFT JOIN idx i ON u.trade_date = i.trade_date AND u.ts_ms >= i.ts_ms
+          LEFT JOIN opt ON u.trade_date = opt.trade_date AND u.ts_ms = opt.ts_ms)
+    WHERE ticker IS NOT NULL OR trade_date NOT IN (SELECT trade_date FROM opt) GROUP BY trade_date""",
+    "und", "idx", "news", "terms", opt=OPTION_SIDE_SQL))
+def consolidation_job(spark, sf):
+    return jobs.run_consolidation(consolidated(spark, sf), scratch_path(spark, "consolidated")).stats
+
+
 _MSO = f"hour({ET_SQL}) * 60 + minute({ET_SQL}) - 570"
 _KEY = "ticker:s trade_date:s ts_ms:l"
 
@@ -79,6 +105,11 @@ def engineer_equity(spark, sf):
     return features.engineer_equity(views.bars(spark, sf))
 
 
+@add("C2_job_stats", _RUN, sql(_run_sql("bars", "NULL"), "bars"))
+def equity_job(spark, sf):
+    return jobs.run_features(engineer_equity(spark, sf), scratch_path(spark, "equity"), _FROM, _TO).stats
+
+
 # Option bars with the underlying's close as-of, and a quote per bar for the volatility.
 _OPT = f"""SELECT *, {_MSO} AS mso FROM (SELECT o.*, u.close AS spy_close FROM optbars o ASOF LEFT JOIN und u
     ON o.trade_date = u.trade_date AND o.ts_ms >= u.ts_ms)"""
@@ -97,6 +128,11 @@ def engineer_options(spark, sf):
     return features.engineer_options(views.option_bars(spark, sf), underlying_bars(spark, sf), views.BAR_MS)
 
 
+@add("C3_job_stats", _RUN, sql(_run_sql("optbars", "NULL"), "optbars"))
+def options_job(spark, sf):
+    return jobs.run_features(engineer_options(spark, sf), scratch_path(spark, "options"), _FROM, _TO).stats
+
+
 def _log_ret(x: str, n: int, w: str) -> str:
     return f"CASE WHEN mso >= {n} THEN CASE WHEN {x} > 0 AND lag({x}, {n}) OVER {w} > 0 THEN ln({x} / lag({x}, {n}) OVER {w}) * 100 END ELSE 0.0 END"
 
@@ -168,6 +204,11 @@ def engineer_ml_features(spark, sf):
     return features.engineer_ml_features(views.option_bars(spark, sf), underlying_bars(spark, sf), grid_ms=views.BAR_MS)
 
 
+@add("C4_job_stats", _RUN, sql(_run_sql("l", "avg(target)"), "optbars", l=LABELS_SQL.replace("FROM bars", "FROM optbars")))
+def features_job(spark, sf):
+    return jobs.run_features(engineer_ml_features(spark, sf), scratch_path(spark, "features"), _FROM, _TO).stats
+
+
 @add("C5_prepare_training", f"{_KEY} k:l price:d", sql("""
     SELECT c.*, k, f.close AS price FROM (SELECT b.* FROM bars b JOIN bars f ON f.ticker = b.ticker AND f.trade_date = b.trade_date
         AND f.ts_ms > b.ts_ms AND f.ts_ms <= b.ts_ms + 7200000 GROUP BY ALL HAVING count(*) >= 4) c
@@ -178,6 +219,12 @@ def prepare_training(spark, sf):
     return v.select("ticker", "trade_date", "ts_ms", F.posexplode("target_future_prices").alias("i", "price")).withColumn("k", F.col("i") + 1)
 
 
+@add("C5_job_stats", "trade_date:s rows_in:l rows_out:l rows_filtered:l distinct_options:l", AGGREGATES["A8_prep_stats"].sql)
+def preparation_job(spark, sf):
+    b = views.bars(spark, sf)
+    return jobs.run_preparation(b, features.prepare_training(b, 8, views.BAR_MS), scratch_path(spark, "prepared")).stats
+
+
 def _raw_ticks(spark, sf):
     """Ticks as vendor records; every thirteenth lacks its prices."""
     t = views.ticks(spark, sf)
@@ -229,6 +276,51 @@ def scan_report_forward(spark, sf):
     return reports.scan_and_report(views.bars(spark, sf), True, window=8)["hours"]
 
 
+LONG = "output:s key:s measure:s number:d4 label:s"
+_SYMBOL_LISTS = _LISTS.replace("ticker", "symbol AS ticker").replace("FROM bars", "FROM optbars")
+_FINDINGS = "rate_finding:s peak_finding:s peak_hour:l peak_events:l peak_pct:d morning_finding:s morning_peak:l skew_finding:s"
+_HOUR_OF = "hour(make_timestamp(ts[{}] * 1000) - INTERVAL 5 HOUR)"
+_TYPED = "CASE WHEN ticker LIKE '%C000%' THEN 'C' ELSE 'P' END AS option_type"
+_BACK_EVENTS = f"""SELECT trade_date AS date, ticker, {_HOUR_OF.format("ti")} AS hour, a20 AS above_20pct_duration_min, {_TYPED}
+    FROM chain WHERE ended OR (active AND i = n)"""
+_FORWARD_EVENTS = f"""SELECT trade_date AS date, ticker, {_HOUR_OF.format("j")} AS hour,
+    len(list_filter(c[j:stop - 1], lambda v: v >= c[e] * 1.2::DOUBLE)) AS above_20pct_duration_min, {_TYPED} FROM chain WHERE j IS NOT NULL"""
+
+
+def _spec(q) -> str:
+    return " ".join(f"{c}:{k}" for c, k in q.columns.items())
+
+
+def _union(*parts: str) -> str:
+    return " UNION ALL ".join(parts)
+
+
+def _scan_outputs_sql(chain: str, events: str) -> str:
+    """Summary (also by type), hours and findings of a scan of the option bars."""
+    findings = AGGREGATES["A11_scan_observations"].sql
+    findings = findings[findings.index("SELECT CASE WHEN positive_minute_rate"):]
+    return sql(_union(long_sql("summary", _SUMMARY, _summary_sql("")),
+                      long_sql("by_type", f"option_type:s {_SUMMARY}", _summary_sql("option_type"), "option_type"),
+                      long_sql("hours", "hour:l events:l", "SELECT hour, count(*) AS events FROM ev GROUP BY hour", "hour"),
+                      long_sql("findings", _FINDINGS, findings)),
+               "optbars", lists=_SYMBOL_LISTS, chain=chain, ev=events)
+
+
+def _scan_outputs(spark, sf, forward):
+    found = reports.scan_and_report(_symbol_bars(spark, sf), forward, scratch_path(spark, "events"), window=8)
+    return reports.long_form({k: v for k, v in found.items() if k != "events"})
+
+
+@add("C7_backward_outputs", LONG, _scan_outputs_sql(_BACK_CHAIN, _BACK_EVENTS))
+def scan_outputs_backward(spark, sf):
+    return _scan_outputs(spark, sf, False)
+
+
+@add("C7_forward_outputs", LONG, _scan_outputs_sql(_FORWARD_CHAIN, _FORWARD_EVENTS))
+def scan_outputs_forward(spark, sf):
+    return _scan_outputs(spark, sf, True)
+
+
 def _trained(spark, sf):
     return reports.train_and_score(modelling_rows(spark, sf), MODEL_FEATURES, views.ROW_KEY, params=ONE_SPLIT)
 
@@ -255,6 +347,27 @@ def threshold_report(spark, sf):
     return reports.threshold_report(views.scored(spark, sf))["sweep"].where(F.col("scope") == "full")
 
 
+def _best_sql(metric: str, least: float) -> str:
+    return f"""SELECT CASE WHEN count(*) > 0 THEN 'SUCCESS' ELSE 'NO_VALID_THRESHOLD' END AS status, arg_max(threshold, {{'m': {metric}, 't': -threshold}})
+        AS optimal_threshold, max({metric}) AS best_value FROM swept WHERE scope = 'full' AND precision >= {least} AND total_signals >= 10"""
+
+
+_PIVOT = AGGREGATES["A18_monthly_pivot"]
+_PIVOT_SQL = _PIVOT.sql[_PIVOT.sql.index("SELECT period AS month"):].replace(f"({SWEEP_SQL})", "swept")
+_BEST = "status:s optimal_threshold:d best_value:d"
+
+
+@add("C9_outputs", LONG, sql(_union(
+    long_sql("sweep", f"scope:s period:s {SWEEP_COLUMNS}", "SELECT * FROM swept WHERE scope <> 'day'", "scope", "period", "threshold"),
+    long_sql("monthly", _spec(_PIVOT), _PIVOT_SQL, "month"),
+    long_sql("best_ev", _BEST, _best_sql("expected_value_pct", 0.9)),
+    long_sql("best_precision", _BEST, _best_sql("precision", 0.93))), "scored", thresholds=GRID_SQL, swept=SWEEP_SQL))
+def threshold_outputs(spark, sf):
+    """The sweep of the whole and of the months, the monthly table and both recommendations; the days are in A17."""
+    found = reports.threshold_report(views.scored(spark, sf))
+    return reports.long_form({**found, "sweep": found["sweep"].where(F.col("scope") != "day")})
+
+
 @add("C10_error_report", "stop_level_pct:d triggered_count:l uncaught_count:l uncaught_max_loss_pct:d total_false_positives:l p90:d expected_value_pct:d", sql("""
     SELECT s AS stop_level_pct, count(*) FILTER (x < s) AS triggered_count, count(*) FILTER (x >= s) AS uncaught_count,
         coalesce(min(x) FILTER (x >= s), 0.0) AS uncaught_max_loss_pct, count(*) AS total_false_positives, quantile_cont(x, 0.9) AS p90,
@@ -268,11 +381,37 @@ def error_report(spark, sf):
     return join_results(join_results(r["stops"], head, ()), r["expected_value"].select("expected_value_pct"), ())
 
 
+_LOSSES = """SELECT bin, lo + (hi - lo) * bin / 10 AS left_edge, lo + (hi - lo) * (bin + 1) / 10 AS right_edge, count(x) AS n,
+    count(x) * 100.0::DOUBLE / (SELECT count(x) FROM fp) AS pct
+    FROM (SELECT unnest(range(10)) AS bin), (SELECT min(x)::DOUBLE AS lo, max(x)::DOUBLE AS hi FROM fp)
+    LEFT JOIN (SELECT x, coalesce(least(9, CAST(floor((x - l) * 10 / nullif(h - l, 0)) AS BIGINT)), 0) AS b
+        FROM fp, (SELECT min(x)::DOUBLE AS l, max(x)::DOUBLE AS h FROM fp) WHERE x IS NOT NULL) ON b = bin GROUP BY ALL"""
+
+
+@add("C10_outputs", LONG, sql(_union(
+    long_sql("histogram", "bin:l left_edge:d right_edge:d n:l pct:d", _LOSSES, "bin"),
+    long_sql("report", _spec(AGGREGATES["A21_fp_risk_report"]), AGGREGATES["A21_fp_risk_report"].sql),
+    long_sql("stops", _spec(AGGREGATES["A22_stop_loss_impact"]), AGGREGATES["A22_stop_loss_impact"].sql, "stop_level_pct"),
+    long_sql("expected_value", _spec(AGGREGATES["A24_expected_value"]), AGGREGATES["A24_expected_value"].sql)),
+    "scored", fp="SELECT min_loss_120m AS x FROM scored WHERE proba >= 0.5 AND target = 0"))
+def error_outputs(spark, sf):
+    return reports.long_form(reports.error_report(build_trades(views.scored(spark, sf), 0.5)))
+
+
 @add("C11_full_comparison", RESULT_COLUMNS, sql(RESULTS_SQL, "scored_models", **_MODEL_TRADES))
 def full_comparison(spark, sf):
     return reports.full_comparison(views.scored_models(spark, sf))["results"]
 
 
+@add("C11_outputs", LONG, _union(
+    long_sql("results", RESULT_COLUMNS, AGGREGATES["A27_model_threshold_results"].sql, "model", "threshold"),
+    *[long_sql(n, _spec(q), q.sql, *reports.REPORT_KEYS[n]) for n, q in (
+        ("report", AGGREGATES["A28_comparison_report"]), ("best", AGGREGATES["A28_best_threshold_per_model"]),
+        ("overlap", JOINS["J8_signal_overlap"]))]))
+def comparison_outputs(spark, sf):
+    return reports.long_form(reports.full_comparison(views.scored_models(spark, sf), 0.8))
+
+
 @add("C12_select_contracts", "trade_date:s contract_type:s rank:l ticker:s strike_price:d expiration_date:s", sql(
     TARGETED_SQL, "contracts", opens=DAILY_OPENS_SQL, rungs=RUNGS_SQL, ranged=RANGED_SQL))
 def select_contracts(spark, sf):

@@ -73,14 +73,15 @@ def opening_price(bars: DataFrame, by: Sequence[str] = ("trade_date",), ts: str
     return bars.groupBy(*by).agg(F.min_by("open", ts).alias("opening_price"))
 
 
-def consolidation_stats(df: DataFrame) -> DataFrame:
-    """Row, minute and contract counts of a consolidated table, per trade date."""
+def consolidation_stats(df: DataFrame, index: str = "vix_close") -> DataFrame:
+    """Row, minute and contract counts of a consolidated table and the sources present, per trade date."""
+    has_index = [(F.count(index) > 0).alias("has_index")] if index in df.columns else []
     return df.groupBy("trade_date").agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.count_distinct("ts_ms").alias("minutes"),
         F.count_distinct("ticker").alias("contracts"),
         (F.count("ticker") > 0).alias("has_options"),
-        (F.count("news_article_id") > 0).alias("has_news"),
+        (F.count("news_article_id") > 0).alias("has_news"), *has_index,
     )
 
 

@@ -62,20 +62,20 @@ def future_price_vector(bars: DataFrame, steps: int = 120, step_ms: int = MINUTE
     """array<double>: the price exactly k steps ahead for k = 1..steps, NULL where missing.
 
     A frame of the times up to ``steps`` ahead keeps one price per grid time, so
-    the collected list is bounded by the rows of that span; each is put at its
-    place in one pass.  Of bars that share a time the last close by value counts, and each gets the vector.
+    the collected list is bounded by the rows of that span.  It is ordered, so each
+    price fills the gap since the one before it: linear in ``steps``.  Of bars that
+    share a time the last close by value counts, and each gets the vector.
     """
     grid = bars.groupBy(*by, ts).agg(F.max(close).alias("_v"))
     ahead = Window.partitionBy(*by).orderBy(ts).rangeBetween(1, steps * step_ms)
-    near = F.collect_list(F.struct(F.col(ts).alias("k"), F.col("_v").alias("v"))).over(ahead)
-    exact = F.filter("_near", lambda x: F.pmod(x["k"] - F.col(ts), F.lit(step_ms)) == 0)
-    at = lambda x: ((x["k"] - F.col(ts)) / step_ms).cast("int")
+    near = F.collect_list(F.struct(F.col(ts).alias("k"), F.col("_v").cast("double").alias("v"))).over(ahead)
+    exact = F.transform(F.filter("_near", lambda x: F.pmod(x["k"] - F.col(ts), F.lit(step_ms)) == 0),
+                        lambda x: F.struct(((x["k"] - F.col(ts)) / step_ms).cast("int").alias("n"), x["v"].alias("v")))
     nothing = lambda n: F.array_repeat(F.lit(None).cast("double"), n)
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<array<double>>").alias("parts"))
-    filled = F.aggregate(exact, start, lambda s, x: F.struct(at(x).alias("n"), F.concat(s["parts"], F.array(F.concat(
-        nothing(at(x) - s["n"] - 1), F.array(x["v"].cast("double"))))).alias("parts")))
-    vector = F.concat(F.flatten(F.col("_f.parts")), nothing(F.lit(steps) - F.col("_f.n")))
-    ready = grid.withColumn("_near", near).withColumn("_f", filled).select(*by, ts, vector.alias(name))
+    before = lambda i: F.coalesce(F.get("_at", i - 1)["n"], F.lit(0))
+    pieces = F.transform("_at", lambda x, i: F.concat(nothing(x["n"] - before(i) - 1), F.array(x["v"])))
+    vector = F.concat(F.flatten(pieces), nothing(F.lit(steps) - before(F.size("_at"))))
+    ready = grid.withColumn("_near", near).withColumn("_at", exact).select(*by, ts, vector.alias(name))
     return bars.join(ready, [*by, ts], "left").withColumn(name, F.when(F.col("ticker").isNotNull(), F.col(name)))
 
 
@@ -87,13 +87,13 @@ def target_coverage_filter(df: DataFrame, min_pct: float = 50.0,
 
 
 def feature_run_stats(features: DataFrame) -> DataFrame:
-    """Dates, rows, contract-days and positive rate of a feature run."""
+    """Dates, rows, contract-days and positive rate of a feature run; no rate without labels."""
+    positives = count_if(F.col("target") == 1) if "target" in features.columns else F.max(F.lit(None).cast("long"))
     daily = features.groupBy("trade_date").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("ticker").alias("contracts"),
-        count_if(F.col("target") == 1).alias("pos"))
+        F.count(F.lit(1)).alias("n"), F.count_distinct("ticker").alias("contracts"), positives.alias("pos"))
     return daily.agg(
-        F.count(F.lit(1)).alias("dates_processed"), F.sum("n").alias("total_rows"),
-        F.sum("contracts").alias("total_contracts"), (F.sum("pos") / F.sum("n")).alias("positive_rate"))
+        F.count(F.lit(1)).alias("dates_processed"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum("contracts"), F.lit(0)).alias("total_contracts"), (F.sum("pos") / F.sum("n")).alias("positive_rate"))
 
 
 def prep_stats(before: DataFrame, after: DataFrame, by: Sequence[str] = ("trade_date",)) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +18,46 @@ from ..operators.splits import chronological_split
 from ..session import materialise
 from ..sources.readers import normalise_bars
 from ..functions.calendar import partition_date
+from .jobs import write_days
 from ..sources.tables import pending, record_done, table_exists, upsert_partitions
 
 
-def scan_and_report(bars: DataFrame, forward: bool, **kw) -> dict[str, DataFrame]:
-    """Events, summary (also by option type), hours and findings of a scan."""
+#: Columns that tell the rows of each output of a report apart.
+REPORT_KEYS: dict[str, tuple[str, ...]] = {
+    "by_type": ("option_type",), "hours": ("hour",), "sweep": ("scope", "period", "threshold"), "monthly": ("month",),
+    "histogram": ("bin",), "stops": ("stop_level_pct",), "results": ("model", "threshold"), "report": ("model",),
+    "best": ("model",), "overlap": ("n_agree", "models")}
+
+
+def long_form(outputs: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] = REPORT_KEYS) -> DataFrame:
+    """All outputs of a report as one table of (output, key, measure, number, label).
+
+    Flags are 0 and 1, texts go to ``label``; keys are joined by ``|``, with two decimals where they
+    are fractions.  Columns of nested types are left out.
+    """
+    def text(df: DataFrame, c: str):
+        shown = F.format_string("%.2f", F.col(c)) if dict(df.dtypes)[c] == "double" else F.col(c).cast("string")
+        return F.coalesce(shown, F.lit(""))
+
+    def melted(name: str, df: DataFrame) -> DataFrame:
+        by = [c for c in keys.get(name, ()) if c in df.columns]
+        kinds = {c: k for c, k in df.dtypes if c not in by and not k.startswith(("map", "array", "struct"))}
+        cells = [F.struct(F.lit(c).alias("measure"), (F.lit(None) if k == "string" else F.col(c)).cast("double").alias("number"),
+                          (F.col(c) if k == "string" else F.lit(None)).cast("string").alias("label")) for c, k in kinds.items()]
+        key = F.concat_ws("|", *[text(df, c) for c in by]) if by else F.lit("")
+        return df.select(F.lit(name).alias("output"), key.alias("key"), F.inline(F.array(*cells)))
+
+    return reduce(DataFrame.unionByName, [melted(n, df) for n, df in outputs.items()])
+
+
+def scan_and_report(bars: DataFrame, forward: bool, path: str | None = None, **kw) -> dict[str, DataFrame]:
+    """Events, summary (also by option type), hours and findings of a scan.
+
+    With ``path`` the events replace their days in that table.
+    """
     scan = scanners.scan_forward if forward else scanners.scan_backward
-    events = materialise(scan(bars, **kw), "events")
+    found = scan(bars, **kw)
+    events = write_days(found, path, ("ticker", "trigger_time_et"), "date") if path else materialise(found, "events")
     summary, hours = scanners.scan_summary(bars, events), scanners.trigger_hours(events)
     return {"events": events, "summary": summary, "hours": hours,
             "by_type": scanners.scan_summary(bars, events, ["option_type"]),
