@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.contracts import option_type
 from ..functions.numeric import count_if, ratio
+from ..session import materialise
 from .metrics import KEY_GRID, cuts_reached, threshold_at
 from .quantiles import exact_quantiles
 from .trades import FEE_USD
@@ -23,15 +24,17 @@ def model_threshold_results(trades: DataFrame, thresholds: Sequence[float] = KEY
                             score: str = "proba", fee_usd: float = FEE_USD) -> DataFrame:
     """P&L per (model, threshold) from the outcomes of every candidate row.
 
-    An outcome does not depend on the threshold, so rows are aggregated once per
-    (model, thresholds reached, side, type) and those cells spread over thresholds.
+    An outcome does not depend on the threshold, so equal outcomes are counted once per
+    (model, thresholds reached, side, type) and written; cells spread over the thresholds
+    and medians both come from these counts, whatever the outcomes cost.
     """
     k = len(thresholds)
     t = (trades.withColumn("_c", cuts_reached(F.col(score), thresholds)).where(F.col("_c") > 0)
          .withColumn("_k", option_type(F.col("ticker"), "X")))
     pnl = F.col("profit_loss_usd")
+    t = materialise(t.groupBy("model", "_c", "is_winner", "_k", "profit_loss_usd").agg(F.count(F.lit(1)).alias("n")), "outcomes")
     cells = t.groupBy("model", "_c", "is_winner", "_k").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(pnl).alias("s"), F.min(pnl).alias("lo"), F.max(pnl).alias("hi"))
+        F.sum("n").alias("n"), F.sum(pnl * F.col("n")).alias("s"), F.min(pnl).alias("lo"), F.max(pnl).alias("hi"))
     spread = (cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
               .withColumn("_on", F.col("_c") > F.col("level")))
     on, win = F.col("_on"), F.col("is_winner")
@@ -59,7 +62,7 @@ def model_threshold_results(trades: DataFrame, thresholds: Sequence[float] = KEY
         .withColumn("total_fees_usd", F.col("total_signals") * F.lit(fee_usd))
         .withColumn("net_profit_usd", F.col("monthly_profit_usd") - F.col("total_fees_usd"))
         .withColumn("avg_pnl_per_trade_usd", F.coalesce(ratio(F.col("monthly_profit_usd"), n), zero)))
-    med = exact_quantiles(t, ["model", "is_winner"], "profit_loss_usd", {"m": 0.5}, ("_c", k))
+    med = exact_quantiles(t, ["model", "is_winner"], "profit_loss_usd", {"m": 0.5}, ("_c", k), weight="n")
     med = med.groupBy("model", "level").agg(
         F.max(F.when(F.col("is_winner"), F.col("m"))).alias("win_profit_median"),
         F.max(F.when(~F.col("is_winner"), F.col("m"))).alias("loss_amount_median"))

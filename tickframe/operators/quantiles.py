@@ -27,7 +27,7 @@ def log_bin(v: Column, fine: int = 1) -> Column:
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
                     levels: tuple[str, int] | None = None, complement: bool = False,
                     rollup: Callable[[DataFrame], DataFrame] | None = None,
-                    rolled_by: Sequence[str] = ()) -> DataFrame:
+                    rolled_by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """One row per group with a linearly interpolated quantile per entry of ``probs``.
 
     ``levels=(col, k)`` answers for k nested groups at once: level i of the output
@@ -37,12 +37,13 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
 
     ``rollup`` maps rows keyed by ``by`` to rows keyed by ``rolled_by`` (for
     example days to days, months and the whole); counts of equal values are
-    rolled up instead of the rows.
+    rolled up instead of the rows.  A row stands for ``weight`` equal ones, where
+    rows are counted already.
     """
     by = list(by)
     base = df.select(*by, (F.col(levels[0]) if levels else F.lit(0)).alias("_c"),
-                     F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    values = base.groupBy(*by, "_c", "_v").agg(F.count(F.lit(1)).alias("_w")).withColumn("_bin", log_bin(F.col("_v")))
+                     F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+    values = base.where(F.col("_v").isNotNull()).groupBy(*by, "_c", "_v").agg(F.sum("_w").alias("_w")).withColumn("_bin", log_bin(F.col("_v")))
     k = levels[1] if levels else 0
     names = ["_all", *[f"_n{i}" for i in range(k)]]
     counts = [F.sum("_w").alias("_all"),
