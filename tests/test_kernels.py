@@ -298,3 +298,21 @@ def test_packed_scores_are_split(spark):
         assert sizes.agg(F.max("count")).head()[0] <= 1 << 15
     with pytest.raises(Exception, match="not a score"):
         metrics.roc_auc(spark.createDataFrame([(1.5, 1), (0.2, 0)], "proba double, target int")).collect()
+
+
+def test_quantiles_of_counted_rows_are_those_of_the_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(str(g), int(c), float(v), int(n)) for g, c, v, n in zip(
+        rng.integers(0, 3, 200), rng.integers(0, 4, 200), rng.integers(-30, 30, 200) / 4, rng.integers(1, 40, 200))]
+    rows += [("hot", 1, 2.5, 50_000), ("hot", 2, 3.5, 50_001), ("hot", 0, None, 7)]
+    counted = spark.createDataFrame(rows, "g string, c int, v double, n long")
+    single = counted.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("_", "n")
+    probs = {"q1": 0.25, "m": 0.5, "q9": 0.9}
+    for levels in (None, ("c", 3)):
+        names = ["g", *(["level"] if levels else []), *probs]
+        got = sorted(map(tuple, exact_quantiles(counted, ["g"], "v", probs, levels, weight="n").select(names).collect()))
+        assert got == sorted(map(tuple, exact_quantiles(single, ["g"], "v", probs, levels).select(names).collect()))
+        if not levels:
+            for g, *values in got:
+                every = np.concatenate([np.full(n, v) for h, _, v, n in rows if h == g and v is not None])
+                assert np.allclose(values, np.quantile(every, list(probs.values())))
