@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ class RuleSet:
     required: frozenset[str]
     positive: frozenset[str] = field(default_factory=frozenset)
     source: str | None = None
+    not_negative: frozenset[str] = field(default_factory=frozenset)
 
 
 # Rule sets per source.
@@ -30,8 +31,14 @@ RULES: Mapping[str, RuleSet] = {
 }
 
 
+def zero_allowed(source: str) -> RuleSet:
+    """The rules of ``source`` for measures of which 0 is a value, unlike a price: only negative ones are refused."""
+    rules = RULES[source]
+    return replace(rules, positive=rules.positive - _OHLC, not_negative=rules.positive & _OHLC)
+
+
 def validation_errors(df: DataFrame, rules: RuleSet) -> Column:
-    """array<string>: missing fields (sorted), timestamp, positives (sorted), source."""
+    """array<string>: missing fields (sorted), timestamp, positives and negatives (sorted), source."""
     present = set(df.columns)
     checks: list[Column] = []
     for c in sorted(rules.required):
@@ -41,17 +48,19 @@ def validation_errors(df: DataFrame, rules: RuleSet) -> Column:
         checks.append(F.when(F.col("timestamp") <= 0, F.lit("not_positive:timestamp")))
     for c in sorted(rules.positive & present):
         checks.append(F.when(F.col(c) <= 0, F.lit(f"not_positive:{c}")))
+    for c in sorted(rules.not_negative & present):
+        checks.append(F.when(F.col(c) < 0, F.lit(f"negative:{c}")))
     if rules.source and "source" in present:
         checks.append(F.when(F.col("source") != rules.source, F.lit("unexpected:source")))
     return F.array_compact(F.array(*checks))
 
 
-def validate(df: DataFrame, source: str) -> DataFrame:
-    """The input with an ``errors`` array; empty means valid."""
-    return df.withColumn("errors", validation_errors(df, RULES[source]))
+def validate(df: DataFrame, source: str | RuleSet) -> DataFrame:
+    """The input with an ``errors`` array by the rules of a source, or by others; empty means valid."""
+    return df.withColumn("errors", validation_errors(df, source if isinstance(source, RuleSet) else RULES[source]))
 
 
-def split_valid(df: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+def split_valid(df: DataFrame, source: str | RuleSet) -> tuple[DataFrame, DataFrame]:
     checked = validate(df, source)
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
 

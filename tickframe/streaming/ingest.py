@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.calendar import market_open, partition_date
 from ..operators.monitoring import ingest_stats
-from ..operators.quality import split_valid, validate
+from ..operators.quality import RuleSet, split_valid, validate
 from ..session import materialise, scratch_path
 from ..sources.tables import upsert_partitions
 from .state import keyed_state
@@ -37,11 +37,12 @@ def bounded_dedup(stream: DataFrame, keys: Sequence[str], event_time: str, delay
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def ingest(stream: DataFrame, source: str, table: str, keys: Sequence[str] = ("timestamp",), *, arrival: Sequence[str],
+def ingest(stream: DataFrame, source: str | RuleSet, table: str, keys: Sequence[str] = ("timestamp",), *, arrival: Sequence[str],
            checkpoint: str | None = None, stats_path: str | None = None, rejects_path: str | None = None,
            available_now: bool = True) -> StreamingQuery:
     """Write the valid rows of a bar stream to a date-partitioned table, last arrival wins.
 
+    Rows are valid by the rules of ``source``, which may also be a rule set of the caller.
     A batch that is replayed after a failure merges to the same table content.
     """
     def flush(batch: DataFrame, batch_id: int) -> None:
