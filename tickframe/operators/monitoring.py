@@ -99,7 +99,9 @@ def error_rate(events: DataFrame, window_ms: int = ERROR_WINDOW_MS, limit_pct: f
 
     Events are first counted per millisecond.  Time is cut into slices, each
     also receiving the tail of the slice before it, so no window spans the
-    whole history in one task.
+    whole history in one task.  A count enters its slice at its time and leaves
+    with the opposite sign once the window has passed, so a window is a running
+    sum and a slice is linear in its times, however many share a window.
     """
     points = events.groupBy(ts).agg(F.count(F.lit(1)).alias("n"), count_if(F.col(is_error)).alias("e"))
     reach = window_ms // slice_ms + 1
@@ -108,9 +110,13 @@ def error_rate(events: DataFrame, window_ms: int = ERROR_WINDOW_MS, limit_pct: f
               .withColumn("_slice", F.explode(F.filter(
                   F.sequence(home, home + reach),
                   lambda s: (s == home) | (F.col(ts) >= s * slice_ms - window_ms)))))
-    w = Window.partitionBy("_slice").orderBy(ts).rangeBetween(-window_ms, 0)
-    out = (spread.withColumn("total", F.sum("n").over(w)).withColumn("errors", F.sum("e").over(w))
-           .where(F.col("_slice") == F.col("_home")))
+    here = F.col("_slice") == F.col("_home")
+    move = lambda at, sign, home: F.struct(at.alias("at"), (F.col("n") * sign).alias("n"), (F.col("e") * sign).alias("e"), home.alias("home"))
+    moves = spread.select("_slice", F.inline(F.array(
+        move(F.col(ts), 1, here), move(F.col(ts) + window_ms + 1, -1, F.lit(False))))).where(F.col("at") < (F.col("_slice") + 1) * slice_ms)
+    w = Window.partitionBy("_slice").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    out = (moves.withColumn("total", F.sum("n").over(w)).withColumn("errors", F.sum("e").over(w))
+           .where("home").withColumnRenamed("at", ts))
     rate = F.col("errors") * 100.0 / F.col("total")
     return out.select(ts, "total", "errors", rate.alias("rate_pct"), (rate > limit_pct).alias("alert"))
 
