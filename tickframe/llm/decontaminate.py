@@ -26,7 +26,6 @@ from .words import PUNCT, Words, buffers, find, grams, pieces
 BLOCK = 32
 MIN_WORDS = 8  # items with fewer words are found as they stand, all others in the latent space
 ITEMS = 4096  # items searched at once
-SAMPLE = 20_000  # documents at most whose passages fit the latent space; all passages are searched
 _PARTS = 8
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()),
                      T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("lcs", T.DoubleType())])
@@ -155,6 +154,17 @@ def _gram(terms: Terms, weight: np.ndarray, probe: np.ndarray):
     return run
 
 
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the partial sums of some partitions."""
+    total = None
+    for batch in batches:
+        for z in batch.column(0):
+            z = np.frombuffer(z.as_py(), np.float32).astype(float)
+            total = z if total is None else total + z
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()])], ["z"])
+
+
 def _search(terms: Terms, space: np.ndarray, queries: np.ndarray, items: list[Item], close: float, same: float, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,9 +233,10 @@ def fit(base: DataFrame, found: list[tuple[Item, np.ndarray]], rank: int, seed:
         items[k, np.unique(np.searchsorted(terms.hashes, h))] = 1
     items *= weight
     probe = np.random.default_rng(seed).standard_normal((n, min(rank, n)))
-    docs = base.count()
-    part = base.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1, SAMPLE / max(docs, 1)))))
-    sums = part.repartition(_PARTS).mapInArrow(_gram(terms, weight, probe), "z binary").collect()
+    # one sum per partition, added up in a few tasks in the order of the partitions, so that few come to the driver
+    partial = base.mapInArrow(_gram(terms, weight, probe), "z binary").withColumn("part", F.spark_partition_id())
+    sums = (partial.repartition(_PARTS, F.pmod("part", F.lit(_PARTS))).sortWithinPartitions("part").select("z")
+            .mapInArrow(_total, "z binary").collect())
     z = sum((np.frombuffer(r[0], np.float32).reshape(probe.shape).astype(float) for r in sums), np.zeros(probe.shape))
     # the items take part in the fit with the same total as all passages, so their directions are in the space
     own = items.T @ (items @ probe)
@@ -246,8 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     0.8 of its answer (``answer_col``, or the last sentence, three words at
     least).  Words are runs of letters, digits and non-ASCII characters, A-Z in
     lower case.  Inverse frequencies count all passages; the latent space is
-    fitted on at most ``SAMPLE`` documents chosen by hash and on the items; every passage is
-    searched.  Items are a query set, taken in blocks of ``ITEMS``.  Items of fewer than ``MIN_WORDS``
+    fitted on all passages and on the items; every passage is searched.  Items are a query set, taken in blocks of ``ITEMS``.  Items of fewer than ``MIN_WORDS``
     words are found where their words follow each other; null and empty ones have none.  A null item id is found but not listed.
     Null and empty texts have no words and no items; repeated rows are judged alike; an
     empty table of either kind gives no finds.  Other columns are ignored.
