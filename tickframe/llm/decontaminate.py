@@ -26,7 +26,7 @@ from .words import PUNCT, Words, buffers, find, grams, pieces
 BLOCK = 32
 MIN_WORDS = 8  # items with fewer words are found as they stand, all others in the latent space
 ITEMS = 4096  # items searched at once
-_PARTS = 8
+_PARTS = 64  # ranges of terms whose sums are added up apart
 _OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()),
                      T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("lcs", T.DoubleType())])
 
@@ -149,20 +149,23 @@ def _gram(terms: Terms, weight: np.ndarray, probe: np.ndarray):
                 order = np.argsort(term, kind="stable")
                 if len(order):
                     start = np.flatnonzero(np.diff(term[order], prepend=-1))
-                    total[term[order][start]] += np.add.reduceat(g[block[order]], start, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([(weight[:, None] * total).astype(np.float32).tobytes()])], ["z"])
+                    mine, rows = term[order], block[order]
+                    for lo, hi in zip(start.tolist(), np.append(start[1:], len(order)).tolist()):
+                        total[mine[lo]] += g[rows[lo:hi]].sum(axis=0)
+        parts = np.array_split((weight[:, None] * total).astype(np.float32), _PARTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS)), pa.array([z.tobytes() for z in parts], pa.binary())], ["range", "z"])
     return run
 
 
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sum of the partial sums of some partitions."""
-    total = None
+    """The partial sums of all partitions added up for each range of terms."""
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for z in batch.column(0):
+        for k, z in zip(batch.column(0).to_pylist(), batch.column(1)):
             z = np.frombuffer(z.as_py(), np.float32).astype(float)
-            total = z if total is None else total + z
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()])], ["z"])
+            total[k] = total[k] + z if k in total else z
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([z.astype(np.float32).tobytes() for z in total.values()], pa.binary())],
+                                     ["range", "z"])
 
 
 def _search(terms: Terms, space: np.ndarray, queries: np.ndarray, items: list[Item], close: float, same: float, similar: float):
@@ -233,11 +236,12 @@ def fit(base: DataFrame, found: list[tuple[Item, np.ndarray]], rank: int, seed:
         items[k, np.unique(np.searchsorted(terms.hashes, h))] = 1
     items *= weight
     probe = np.random.default_rng(seed).standard_normal((n, min(rank, n)))
-    # one sum per partition, added up in a few tasks in the order of the partitions, so that few come to the driver
-    partial = base.mapInArrow(_gram(terms, weight, probe), "z binary").withColumn("part", F.spark_partition_id())
-    sums = (partial.repartition(_PARTS, F.pmod("part", F.lit(_PARTS))).sortWithinPartitions("part").select("z")
-            .mapInArrow(_total, "z binary").collect())
-    z = sum((np.frombuffer(r[0], np.float32).reshape(probe.shape).astype(float) for r in sums), np.zeros(probe.shape))
+    # the partitions' sums are added up by ranges of terms, in the order of the partitions; one sum comes to the driver
+    partial = base.mapInArrow(_gram(terms, weight, probe), "range bigint, z binary").withColumn("part", F.spark_partition_id())
+    sums = dict(partial.repartition(_PARTS, "range").sortWithinPartitions("range", "part").select("range", "z")
+                .mapInArrow(_total, "range bigint, z binary").collect())
+    z = np.frombuffer(b"".join(bytes(sums[k]) for k in sorted(sums)), np.float32).astype(float)
+    z = z.reshape(probe.shape) if len(z) else np.zeros(probe.shape)
     # the items take part in the fit with the same total as all passages, so their directions are in the space
     own = items.T @ (items @ probe)
     basis, _ = np.linalg.qr(z / max(np.linalg.norm(z), 1e-12) + own / max(np.linalg.norm(own), 1e-12))
