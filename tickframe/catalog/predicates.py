@@ -256,16 +256,25 @@ def threshold(spark, sf):
     return apply_threshold(views.scored(spark, sf), 0.7)
 
 
+IMPACTS = ("opt_rsi_14", "moneyness", "implied_volatility", "l_tax")
+
+
+def _features():
+    """feature: (value, signed contribution)"""
+    return dict(zip(IMPACTS, ((F.col("l_quantity") * 2, F.col("proba") - 0.5), (F.col("l_extendedprice") / 50_000, F.col("proba_b") - 0.5),
+                              (F.col("l_discount") * 5, F.col("proba_c") - 0.5), (F.col("l_tax"), F.col("l_tax") - 0.04))))
+
+
 def contributions(spark, sf):
-    """Long form of three features per row with a signed contribution."""
-    s = views.scored(spark, sf)
+    """Long form of the features of a row with a signed contribution."""
     item = lambda f, v, i: F.struct(F.lit(f).alias("feature"), v.alias("value"), i.alias("impact"))
-    each = F.inline(F.array(
-        item("opt_rsi_14", F.col("l_quantity") * 2, F.col("proba") - 0.5),
-        item("moneyness", F.col("l_extendedprice") / 50_000, F.col("proba_b") - 0.5),
-        item("implied_volatility", F.col("l_discount") * 5, F.col("proba_c") - 0.5),
-        item("l_tax", F.col("l_tax"), F.col("l_tax") - 0.04)))
-    return s.select(*views.ROW_KEY, "proba", each)
+    each = F.inline(F.array(*[item(f, v, i) for f, (v, i) in _features().items()]))
+    return views.scored(spark, sf).select(*views.ROW_KEY, "proba", each)
+
+
+def wide_impacts(spark, sf):
+    """The contributions of a row as columns named by feature."""
+    return views.scored(spark, sf).select(*views.ROW_KEY, "proba", *[i.alias(f) for f, (_, i) in _features().items()])
 
 
 CONTRIBUTIONS_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, proba, 'opt_rsi_14' AS feature,
